@@ -106,26 +106,18 @@ def calls(spark: SparkSession, sf_dir: str, extra: list[str] = ()) -> DataFrame:
             F.col("w.l_linenumber").cast("int").alias("ln"), F.col("w.l_returnflag").alias("flag")))
     s = sites(spark, sf_dir).select(
         "bucket_index", "summary_index", "chromosome", "position", F.size("alternatives").alias("n_alts"))
-    lay = pedigree.layout(ped(spark, sf_dir))
-    joined = first.join(s, ["bucket_index", "summary_index"]).join(lay, "family_id")
-    q, ln, n = F.col("q"), F.col("ln"), F.col("n_alts")
+    people = variants.persons_of(pedigree.layout(ped(spark, sf_dir)))
+    joined = first.join(s, ["bucket_index", "summary_index"]).join(people, "family_id")
+    q, ln, n, role = F.col("q"), F.col("ln"), F.col("n_alts"), F.col("role")
+    idx = F.when(role == 16, 0).when(role == 32, 1).when(role == 128, 2).otherwise(3)
     on_x = (F.col("chromosome") == "chrX") & ~F.col("position").between(PAR[0][1], PAR[0][2])
-
-    def with_call(m):
-        # member rows keep their place in the family: 0 mom, 1 dad, 2 proband, 3 sibling
-        idx = F.when(m["role"] == 16, 0).when(m["role"] == 32, 1).when(m["role"] == 128, 2).otherwise(3)
-        unknown = (q + idx) % 17 == 0
-        a1 = F.when(unknown, -1).when((q + idx) % 3 == 0, 1 + (q + ln) % n).otherwise(0)
-        a2 = (
-            F.when(on_x & m["sex"].isin(1, 4), -2).when(unknown, -1)
-            .when((q + ln + 2 * idx) % 4 == 0, 1 + (q + idx) % n).otherwise(0))
-        names = ["person_id", "sex", "status", "role", "role_bit", "sex_bit", "status_bit", "mom_ix", "dad_ix", "founder"]
-        return F.struct(
-            *[m[f].alias(f) for f in names], a1.cast("int").alias("a1"), a2.cast("int").alias("a2"))
-
-    return joined.select(
-        "bucket_index", "summary_index", "family_id", *extra,
-        F.transform("members", with_call).alias("members"))
+    unknown = (q + idx) % 17 == 0
+    a1 = F.when(unknown, -1).when((q + idx) % 3 == 0, 1 + (q + ln) % n).otherwise(0)
+    a2 = (
+        F.when(on_x & F.col("sex").isin(1, 4), -2).when(unknown, -1)
+        .when((q + ln + 2 * idx) % 4 == 0, 1 + (q + idx) % n).otherwise(0))
+    person_calls = joined.withColumn("a1", a1.cast("int")).withColumn("a2", a2.cast("int"))
+    return variants.family_calls(person_calls, ["bucket_index", "summary_index", *extra])
 
 
 def founders(spark: SparkSession, sf_dir: str) -> DataFrame:

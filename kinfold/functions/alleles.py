@@ -23,29 +23,36 @@ def common_suffix(left: Column, right: Column, limit: Column) -> Column:
     return common_prefix(F.reverse(left), F.reverse(right), limit)
 
 
-def _trimmed(ref: Column, alt: Column, keep: int) -> Column:
-    """Shared suffix removed first, then shared prefix; ``keep`` bases always stay."""
+def _trimmed(ref: Column, alt: Column, keep: int, use) -> Column:
+    """``use(struct(shift, ref, alt))`` after the shared suffix and then the shared prefix are cut.
+
+    ``keep`` bases always stay.
+    """
     tail = common_suffix(ref, alt, F.least(F.length(ref), F.length(alt)) - keep)
-    r = F.substring(ref, F.lit(1), F.length(ref) - tail)
-    a = F.substring(alt, F.lit(1), F.length(alt) - tail)
-    head = common_prefix(r, a, F.least(F.length(r), F.length(a)) - keep)
-    return F.struct(
-        head.alias("shift"),
-        F.substring(r, head + 1, F.length(r)).alias("ref"),
-        F.substring(a, head + 1, F.length(a)).alias("alt"))
+
+    def cut_head(cut: Column) -> Column:
+        head = common_prefix(cut["r"], cut["a"], F.least(F.length(cut["r"]), F.length(cut["a"])) - keep)
+        return codes.bind(head, lambda h: F.struct(
+            h.alias("shift"), F.substring(cut["r"], h + 1, F.length(cut["r"])).alias("ref"),
+            F.substring(cut["a"], h + 1, F.length(cut["a"])).alias("alt")))
+
+    without_tail = codes.bind(tail, lambda t: F.struct(
+        F.substring(ref, F.lit(1), F.length(ref) - t).alias("r"),
+        F.substring(alt, F.lit(1), F.length(alt) - t).alias("a")))
+    return codes.bind(codes.bind(without_tail, cut_head), use)
 
 
 def allele_type(ref: Column, alt: Column) -> Column:
     """Type flag of an allele after trimming both sides down to one base at least."""
-    t = _trimmed(ref, alt, 1)
-    r, a = t["ref"], t["alt"]
-    same_start = F.substring(r, 1, 1) == F.substring(a, 1, 1)
-    return (
-        F.when(F.coalesce(F.length(alt), F.lit(0)) == 0, 0)
-        .when((F.length(r) == 1) & (F.length(a) == 1), SUB)
-        .when((F.length(r) == 1) & (F.length(a) > 1) & same_start, INS)
-        .when((F.length(r) > 1) & (F.length(a) == 1) & same_start, DEL)
-        .otherwise(COMP))
+    def kind(t: Column) -> Column:
+        r, a = t["ref"], t["alt"]
+        same_start = F.substring(r, 1, 1) == F.substring(a, 1, 1)
+        return (
+            F.when((F.length(r) == 1) & (F.length(a) == 1), SUB)
+            .when((F.length(r) == 1) & (F.length(a) > 1) & same_start, INS)
+            .when((F.length(r) > 1) & (F.length(a) == 1) & same_start, DEL)
+            .otherwise(COMP))
+    return F.when(F.coalesce(F.length(alt), F.lit(0)) == 0, 0).otherwise(_trimmed(ref, alt, 1, kind))
 
 
 def end_position(pos: Column, ref: Column, alt: Column) -> Column:
@@ -64,13 +71,12 @@ def tandem_repeat(ref: Column, alt: Column, min_mono_reference: int = 8) -> Colu
             & (F.repeat(unit, (n_alt / period).cast("int")) == alt))
 
     periods = F.sequence(F.lit(1), F.greatest(F.lit(1), (n_ref / 2).cast("int")))
-    period = F.get(F.filter(periods, fits), F.lit(0))
-    return F.when(
+    return codes.bind(F.get(F.filter(periods, fits), F.lit(0)), lambda period: F.when(
         period.isNotNull() & ~((period == 1) & (n_ref < min_mono_reference)),
         F.struct(
             F.substring(ref, F.lit(1), period).alias("unit"),
             (n_ref / period).cast("int").alias("ref_repeats"),
-            (n_alt / period).cast("int").alias("alt_repeats")))
+            (n_alt / period).cast("int").alias("alt_repeats"))))
 
 
 def variant_description(pos: Column, ref: Column, alt: Column, cnv_type: Column | None = None) -> Column:
@@ -79,28 +85,33 @@ def variant_description(pos: Column, ref: Column, alt: Column, cnv_type: Column
     Fields: ``variant_type, position, ref, alt, length, tr_unit, tr_ref, tr_alt``. ``cnv_type`` is
     the type flag of copy-number rows, which carry no sequence.
     """
-    t = _trimmed(ref, alt, 0)
-    r, a = t["ref"], t["alt"]
-    n_r, n_a = F.length(r), F.length(a)
-    kind = (
-        F.when((n_r == 0) & (n_a == 0), COMP)
-        .when((n_r == 1) & (n_a == 1), SUB)
-        .when((n_r > 0) & (n_a == 0), DEL)
-        .when((n_r == 0) & (n_a > 0), INS)
-        .otherwise(COMP))
-    repeat = tandem_repeat(ref, alt)
-    flagged = kind.bitwiseOR(F.when(repeat.isNotNull(), F.lit(REPEAT)).otherwise(F.lit(0)))
     is_cnv = F.lit(False) if cnv_type is None else F.coalesce(
         cnv_type.bitwiseAND(CNV_DEL | CNV_DUP) != 0, F.lit(False))
-    return F.struct(
-        F.when(is_cnv, cnv_type if cnv_type is not None else F.lit(0)).otherwise(flagged).alias("variant_type"),
-        F.when(is_cnv, pos).otherwise(pos + t["shift"]).alias("position"),
-        F.when(kind.isin(SUB, COMP), r).alias("ref"),
-        F.when(kind.isin(SUB, COMP, INS), a).alias("alt"),
-        F.greatest(n_r, n_a).alias("length"),
-        repeat["unit"].alias("tr_unit"),
-        repeat["ref_repeats"].alias("tr_ref"),
-        repeat["alt_repeats"].alias("tr_alt"))
+    given = F.lit(0) if cnv_type is None else cnv_type
+
+    def describe(t: Column) -> Column:
+        r, a, repeat = t["t"]["ref"], t["t"]["alt"], t["repeat"]
+        n_r, n_a = F.length(r), F.length(a)
+        kind = (
+            F.when((n_r == 0) & (n_a == 0), COMP)
+            .when((n_r == 1) & (n_a == 1), SUB)
+            .when((n_r > 0) & (n_a == 0), DEL)
+            .when((n_r == 0) & (n_a > 0), INS)
+            .otherwise(COMP))
+        flagged = kind.bitwiseOR(F.when(repeat.isNotNull(), F.lit(REPEAT)).otherwise(F.lit(0)))
+        return F.struct(
+            F.when(is_cnv, given).otherwise(flagged).alias("variant_type"),
+            F.when(is_cnv, pos).otherwise(pos + t["t"]["shift"]).alias("position"),
+            F.when(kind.isin(SUB, COMP), r).alias("ref"),
+            F.when(kind.isin(SUB, COMP, INS), a).alias("alt"),
+            F.greatest(n_r, n_a).alias("length"),
+            repeat["unit"].alias("tr_unit"),
+            repeat["ref_repeats"].alias("tr_ref"),
+            repeat["alt_repeats"].alias("tr_alt"))
+
+    parts = F.struct(
+        _trimmed(ref, alt, 0, lambda t: t).alias("t"), tandem_repeat(ref, alt).alias("repeat"))
+    return codes.bind(parts, describe)
 
 
 def short_notation(desc: Column) -> Column:

@@ -151,6 +151,11 @@ X_CHROMOSOMES = ["chrX", "X"]
 TRUE_WORDS = ["true", "1", "yes", "y", "t", "1.0"]
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, for expressions that repeat a costly part."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bit_offset(flag: int) -> int:
     """Position of the single bit set in ``flag``."""
     return flag.bit_length() - 1

@@ -66,21 +66,42 @@ def trio_inheritance(child: Column, mom: Column, dad: Column, allele: Column | i
 
 
 def member_inheritance(child: Column, mom: Column, dad: Column, allele: Column | int) -> Column:
-    """Inheritance class of one member; parents that are no members are NULL structs."""
-    nobody = ~(carries(child, allele) | carries(mom, allele) | carries(dad, allele))
-    trio = trio_inheritance(child, mom, dad, allele)
+    """Inheritance class of one member; parents that are no members are NULL structs.
+
+    A member without the allele is an omission when a parent is homozygous for it, else missing.
+    """
     return (
         F.when(mom.isNull() | dad.isNull(), UNKNOWN)
         .when(is_unknown(child) | is_unknown(mom) | is_unknown(dad), UNKNOWN)
-        .when(nobody, MISSING)
-        .when(~carries(child, allele) & (trio != OMISSION), MISSING)
-        .otherwise(trio))
+        .when(mendelian_trio(child, mom, dad, allele), MENDELIAN)
+        .when(carries(child, allele), DENOVO)
+        .when(omission_trio(child, mom, dad, allele), OMISSION)
+        .otherwise(MISSING))
 
 
-def inheritance_by_member(members: Column, allele: Column) -> Column:
-    """Inheritance class of every member, in member order."""
-    return F.transform(members, lambda m: member_inheritance(
-        m, F.get(members, m["mom_ix"] - 1), F.get(members, m["dad_ix"] - 1), allele))
+def inheritance_by_member(members: Column, allele: Column | int) -> Column:
+    """Inheritance class of every member, in member order.
+
+    The copy counts of all members (0, 1 or 2 copies of the allele, NULL when a copy is unknown)
+    are computed once; each member then looks up its own and its parents' counts.
+    """
+    counts = F.transform(members, lambda m: F.when(
+        ~is_unknown(m), (m["a1"] == allele).cast("int") + (m["a2"] == allele).cast("int")))
+    holder = F.array(F.struct(counts.alias("n")))
+
+    def classify(n: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            own, mom, dad = F.get(n, i), F.get(n, m["mom_ix"] - 1), F.get(n, m["dad_ix"] - 1)
+            most = F.greatest(mom, dad)
+            return (
+                F.when((m["mom_ix"] == 0) | (m["dad_ix"] == 0), UNKNOWN)
+                .when((own + mom + dad).isNull(), UNKNOWN)
+                .when(own > 0, F.when(most > 0, MENDELIAN).otherwise(DENOVO))
+                .when(most == 2, OMISSION)
+                .otherwise(MISSING))
+        return F.transform(members, one)
+
+    return F.get(F.transform(holder, lambda h: classify(h["n"])), F.lit(0))
 
 
 def apply_denovo_mode(classes: Column, mode: str) -> Column:

@@ -43,14 +43,28 @@ def running_index(df: DataFrame, bucket: str, position: str, order: list[str], n
         .drop("_blk", "_rn", "_off"))
 
 
-def attach_members(calls: DataFrame, layout: DataFrame, genotype: str = "genotype") -> DataFrame:
-    """Fill the family's member structs with calls held as a map ``person_id -> (a1, a2)``."""
-    return calls.join(layout, "family_id").withColumn("members", F.transform("members", lambda m: F.struct(
-        *[m[f].alias(f) for f in (
-            "person_id", "sex", "status", "role", "role_bit", "sex_bit", "status_bit",
-            "mom_ix", "dad_ix", "founder")],
-        F.coalesce(F.try_element_at(F.col(genotype), m["person_id"])["a1"], F.lit(-1)).alias("a1"),
-        F.coalesce(F.try_element_at(F.col(genotype), m["person_id"])["a2"], F.lit(-1)).alias("a2")))).drop(genotype)
+MEMBER_FIELDS = [
+    "person_id", "sex", "status", "role", "role_bit", "sex_bit", "status_bit", "mom_ix", "dad_ix",
+    "founder",
+]
+
+
+def persons_of(layout: DataFrame) -> DataFrame:
+    """The layout in long form, one row per member with its place in the family."""
+    return layout.select("family_id", F.posexplode("members").alias("place", "m")).select(
+        "family_id", "place", "m.*")
+
+
+def family_calls(person_calls: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Person calls ``(…keys, family_id, place, member fields, a1, a2)`` grouped to member arrays.
+
+    One group is one family at one site, so its size is the family's.
+    """
+    member = F.struct("place", *MEMBER_FIELDS, "a1", "a2")
+    grouped = person_calls.groupBy(*keys, "family_id").agg(
+        F.array_sort(F.collect_list(member)).alias("members"))
+    return grouped.withColumn("members", F.transform("members", lambda m: F.struct(
+        *[m[f].alias(f) for f in [*MEMBER_FIELDS, "a1", "a2"]])))
 
 
 def _classes(denovo_mode: str, omission_mode: str, denovo_source: bool) -> Column:
