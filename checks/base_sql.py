@@ -32,7 +32,7 @@ sites0 AS (
          WHEN p_size % 4 = 0 THEN 'C' WHEN p_size % 4 = 1 THEN 'AGT' WHEN p_size % 4 = 2 THEN 'A'
          ELSE 'GG' END AS alt1,
     CASE WHEN p_size % 10 <> 7 AND p_size % 3 = 0 THEN 2 ELSE 1 END AS n_alts,
-    p_brand AS gene,
+    p_size % 9 = 0 AS rare, p_brand AS gene,
     CASE p_type WHEN 'STANDARD' THEN 'missense' WHEN 'PROMO' THEN 'synonymous' WHEN 'SMALL' THEN 'nonsense'
       WHEN 'MEDIUM' THEN 'frame-shift' WHEN 'ECONOMY' THEN 'splice-site' WHEN 'LARGE' THEN 'intergenic' END AS effect,
     CASE WHEN p_size % 5 = 0 THEN 'Brand#' || (1 + p_size % 25) END AS gene2,
@@ -74,9 +74,11 @@ gt AS (
   SELECT f.family_id, f.s, w.d AS flag, m.person_id, m.idx, m.sex, m.status, m.role, m.mom_id, m.dad_id, m.is_child,
     m.is_founder, t.n_alts, t.chromosome, t.position,
     CASE WHEN (w.c::INT + m.idx) % 17 = 0 THEN -1
+         WHEN t.rare AND w.c < 47 THEN 0
          WHEN (w.c::INT + m.idx) % 3 = 0 THEN 1 + (w.c::INT + w.b) % t.n_alts ELSE 0 END AS a1,
     CASE WHEN t.chromosome = 'chrX' AND NOT t.position BETWEEN 1 AND 40000 AND m.sex IN (1, 4) THEN -2
          WHEN (w.c::INT + m.idx) % 17 = 0 THEN -1
+         WHEN t.rare AND w.c < 47 THEN 0
          WHEN (w.c::INT + w.b + 2 * m.idx) % 4 = 0 THEN 1 + (w.c::INT + m.idx) % t.n_alts ELSE 0 END AS a2
   FROM first_call f JOIN members m USING (family_id) JOIN sites t ON t.s = f.s),
 fv AS (

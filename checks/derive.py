@@ -87,6 +87,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cnv, F.when(size > 25, 32).otherwise(16)).cast("int").alias("variant_type"),
         F.lit(1).alias("transmission_type"),
         F.when(size % 5 == 0, F.array(main, second)).otherwise(F.array(main)).alias("effect_gene"),
+        (size % 9 == 0).alias("rare"),
         F.when(size % 7 != 0, F.col("p_retailprice")).alias("score"),
         F.when(size % 6 != 0, F.col("p_name")).alias("label"))
 
@@ -105,16 +106,17 @@ def calls(spark: SparkSession, sf_dir: str, extra: list[str] = ()) -> DataFrame:
             "family_id", *keys, F.col("w.l_quantity").cast("int").alias("q"),
             F.col("w.l_linenumber").cast("int").alias("ln"), F.col("w.l_returnflag").alias("flag")))
     s = sites(spark, sf_dir).select(
-        "bucket_index", "summary_index", "chromosome", "position", F.size("alternatives").alias("n_alts"))
+        "bucket_index", "summary_index", "chromosome", "position", "rare", F.size("alternatives").alias("n_alts"))
     people = variants.persons_of(pedigree.layout(ped(spark, sf_dir)))
     joined = first.join(s, ["bucket_index", "summary_index"]).join(people, "family_id")
     q, ln, n, role = F.col("q"), F.col("ln"), F.col("n_alts"), F.col("role")
     idx = F.when(role == 16, 0).when(role == 32, 1).when(role == 128, 2).otherwise(3)
     on_x = (F.col("chromosome") == "chrX") & ~F.col("position").between(PAR[0][1], PAR[0][2])
     unknown = (q + idx) % 17 == 0
-    a1 = F.when(unknown, -1).when((q + idx) % 3 == 0, 1 + (q + ln) % n).otherwise(0)
+    absent = F.col("rare") & (q < 47)
+    a1 = F.when(unknown, -1).when(absent, 0).when((q + idx) % 3 == 0, 1 + (q + ln) % n).otherwise(0)
     a2 = (
-        F.when(on_x & F.col("sex").isin(1, 4), -2).when(unknown, -1)
+        F.when(on_x & F.col("sex").isin(1, 4), -2).when(unknown, -1).when(absent, 0)
         .when((q + ln + 2 * idx) % 4 == 0, 1 + (q + idx) % n).otherwise(0))
     person_calls = joined.withColumn("a1", a1.cast("int")).withColumn("a2", a2.cast("int"))
     return variants.family_calls(person_calls, ["bucket_index", "summary_index", *extra])
@@ -149,7 +151,9 @@ def study(spark: SparkSession, sf_dir: str, counters: bool = False, frequencies:
 # ---- side tables ------------------------------------------------------------------------------
 
 def gene_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sites(spark, sf_dir).select("chromosome", "position", F.col("effect_gene")[0]["effect_gene_symbols"].alias("gene"), "summary_index")
+    """Twenty-five neighbouring sites of a chromosome walk are the overlapping transcripts of a gene."""
+    gene = F.concat(F.lit("G"), F.floor(F.col("summary_index") / 25).cast("long").cast("string"))
+    p = sites(spark, sf_dir).select("chromosome", "position", gene.alias("gene"), "summary_index")
     size = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("summary_index"), "p_size")
     return p.join(size, "summary_index").select(
         "gene", F.col("chromosome").alias("chrom"), F.col("position").cast("long").alias("cds_start"),

@@ -230,16 +230,19 @@ def carried_by_table(alleles: DataFrame, persons: DataFrame) -> DataFrame:
     return alleles.join(hits, ["sj_index", "family_id"], "left_semi")
 
 
-def carried_by_pedigree(
-    alleles: DataFrame, ped: DataFrame, positive: list[dict[str, object]], negative: list[dict[str, object]],
+def pedigree_matches(
+    ped: DataFrame, positive: list[dict[str, object]], negative: list[dict[str, object]] = (),
 ) -> DataFrame:
-    """Any carrier whose pedigree fields match one positive and no negative description."""
+    """Persons matching any positive description and no negative one.
+
+    A description lists pedigree fields that must all be equal.
+    """
     def same(fields: dict[str, object]) -> list[Column]:
         return [F.col(name) == value for name, value in fields.items()]
 
     wanted = _any([_all(same(d)) for d in positive]) if positive else F.lit(True)
     unwanted = _all([_any([~c for c in same(d)]) for d in negative])
-    return carried_by_table(alleles, ped.filter(wanted & unwanted).select("family_id", "person_id"))
+    return ped.filter(wanted & unwanted).select("family_id", "person_id")
 
 
 def variant_id() -> Column:
