@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -146,7 +147,7 @@ def _number(value: float | None) -> bool:
     return value is not None and not (isinstance(value, float) and math.isnan(value))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binomial_test(observed: pd.Series, count: pd.Series, probability: pd.Series) -> pd.Series:
     """p-value of ``observed`` hits in ``count`` events; no hits give 1."""
     return pd.Series([
@@ -154,14 +155,14 @@ def binomial_test(observed: pd.Series, count: pd.Series, probability: pd.Series)
         for k, n, p in zip(observed, count, probability)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def poisson_test(observed: pd.Series, expected: pd.Series) -> pd.Series:
     return pd.Series([
         poisson_two_sided(float(k), float(e)) if _number(e) else None
         for k, e in zip(observed, expected)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_test(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([
         t_two_sided(float(v), float(d)) if _number(v) and _number(d) else None
