@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from checks import table_queries, variant_queries  # noqa: F401
+from checks import report_queries, table_queries, variant_queries  # noqa: F401

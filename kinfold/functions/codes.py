@@ -167,11 +167,13 @@ def zygosity_mask(flag: int, zygosity: int) -> int:
 
 
 def expand_effects(effects: str | list[str]) -> list[str]:
-    """Effect groups replaced by their members; plain effect types pass through."""
+    """Effect groups replaced by their members; names of groups and types ignore case."""
     names = [effects] if isinstance(effects, str) else list(effects)
+    types = {effect.lower(): effect for effect in EFFECT_GROUPS["all"]}
     expanded: dict[str, None] = {}
     for name in names:
-        for effect in EFFECT_GROUPS.get(name.lower(), [name]):
+        known = types.get(name.lower(), name)
+        for effect in EFFECT_GROUPS.get(name.lower(), [known]):
             expanded[effect] = None
     return list(expanded)
 

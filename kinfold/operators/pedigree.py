@@ -200,123 +200,136 @@ def tagged_family_ids(
 
 # ---- roles ----------------------------------------------------------------------------------
 
-def infer_roles(ped: DataFrame) -> DataFrame:
-    """Adds ``inferred_role``, the relation of each person to the family's proband.
-
-    Relations are written as ordered assignments and the last one per person wins; uncles and
-    aunts are assigned only to persons without a role so far. ``proband`` may be an optional
-    boolean column.
+def _parent_known(base: DataFrame) -> DataFrame:
+    """Adds ``with_parent``: a parent is listed in the family, as member or not."""
+    listed = base.select(F.col("family_id").alias("_f"), F.col("person_id").alias("_p"))
+    for parent in ("mom_id", "dad_id"):
+        base = base.join(
+            listed.select(F.col("_f").alias(f"_f_{parent}"), F.col("_p").alias(f"_p_{parent}")),
+            (F.col("family_id") == F.col(f"_f_{parent}")) & (F.col(parent) == F.col(f"_p_{parent}")), "left")
+    known = F.col("_p_mom_id").isNotNull() | F.col("_p_dad_id").isNotNull()
+    return base.withColumn("with_parent", known).drop(
+        *[f"_{k}_{p}" for k in ("f", "p") for p in ("mom_id", "dad_id")])
+
+
+def _proband_context(people: DataFrame) -> DataFrame:
+    """Per family: the proband, its parents and their parents.
+
+    The proband is the first member with that role, else the first flagged person, else the first
+    affected member with a parent.
     """
-    flag = F.col("proband") if "proband" in ped.columns else F.lit(False)
-    base = ped.select(
-        "family_id", "person_id", "mom_id", "dad_id", "sex", "status", "role", "member_index",
-        is_missing().alias("missing"), F.coalesce(flag, F.lit(False)).alias("flagged"))
-    ids = base.select("family_id", F.col("person_id").alias("_p"))
-    in_family = (
-        base.join(
-            ids.select(F.col("family_id").alias("_f1"), F.col("_p").alias("_m")),
-            (F.col("family_id") == F.col("_f1")) & (F.col("mom_id") == F.col("_m")), "left")
-        .join(
-            ids.select(F.col("family_id").alias("_f2"), F.col("_p").alias("_d")),
-            (F.col("family_id") == F.col("_f2")) & (F.col("dad_id") == F.col("_d")), "left")
-        .withColumn("with_parent", F.col("_m").isNotNull() | F.col("_d").isNotNull())
-        .drop("_f1", "_f2", "_m", "_d"))
-
     who = F.struct("member_index", "person_id", "mom_id", "dad_id", "with_parent")
-    proband = in_family.groupBy("family_id").agg(F.coalesce(
+    chosen = people.groupBy("family_id").agg(F.coalesce(
         F.min(F.when(~F.col("missing") & (F.col("role") == ROLE["prb"]), who)),
         F.min(F.when(F.col("flagged"), who)),
         F.min(F.when(
             ~F.col("missing") & (F.col("status") == 2) & F.col("with_parent"), who))).alias("b"))
-    proband = proband.filter("b IS NOT NULL").select(
+    proband = chosen.filter("b IS NOT NULL").select(
         "family_id", F.col("b.person_id").alias("pb"), F.col("b.mom_id").alias("pb_mom"),
         F.col("b.dad_id").alias("pb_dad"), F.col("b.with_parent").alias("pb_has_parent"))
+    # both parents' own parents from one grouping over the family's persons
+    parent = F.struct("person_id", "mom_id", "dad_id", "sex", "with_parent")
+    joined = people.join(proband, "family_id")
+    parents = joined.groupBy("family_id").agg(
+        F.min(F.when(F.col("person_id") == F.col("pb_mom"), parent)).alias("pm"),
+        F.min(F.when(F.col("person_id") == F.col("pb_dad"), parent)).alias("pd"))
+    return proband.join(parents, "family_id")
+
+
+def _children_of(people: DataFrame, parents: DataFrame, name: str) -> DataFrame:
+    """Marks persons with a parent in ``parents(family_id, person_id)``."""
+    for i, parent in enumerate(("mom_id", "dad_id")):
+        keys = parents.select(F.col("family_id").alias(f"_kf{i}"), F.col("person_id").alias(f"_kp{i}"))
+        people = people.join(
+            keys, (F.col("family_id") == F.col(f"_kf{i}")) & (F.col(parent) == F.col(f"_kp{i}")), "left")
+    marked = people.withColumn(name, F.col("_kp0").isNotNull() | F.col("_kp1").isNotNull())
+    return marked.drop("_kf0", "_kp0", "_kf1", "_kp1")
 
-    def parent(column: str, prefix: str) -> DataFrame:
-        return in_family.select(
-            F.col("family_id").alias(f"{prefix}_f"), F.col("person_id").alias(f"{prefix}_id"),
-            F.col("mom_id").alias(f"{prefix}_mom"), F.col("dad_id").alias(f"{prefix}_dad"),
-            F.col("sex").alias(f"{prefix}_sex"), F.col("with_parent").alias(f"{prefix}_has_parent"))
-
-    context = (
-        proband
-        .join(parent("pb_mom", "pm"), (F.col("family_id") == F.col("pm_f")) & (F.col("pb_mom") == F.col("pm_id")), "left")
-        .join(parent("pb_dad", "pd"), (F.col("family_id") == F.col("pd_f")) & (F.col("pb_dad") == F.col("pd_id")), "left")
-        .drop("pm_f", "pd_f"))
-    people = in_family.join(context, "family_id")
+
+def infer_roles(ped: DataFrame) -> DataFrame:
+    """Adds ``inferred_role``, the relation of each person to the family's proband.
+
+    Relations carry an order and the latest one of a person wins. Relations that follow from the
+    proband's own parent ids are assigned in one pass over the persons; uncles and aunts, who must
+    have no earlier role, and then their children follow. ``proband`` may be an optional boolean
+    column.
+    """
+    flag = F.col("proband") if "proband" in ped.columns else F.lit(False)
+    base = _parent_known(ped.select(
+        "family_id", "person_id", "mom_id", "dad_id", "sex", "status", "role", "member_index",
+        is_missing().alias("missing"), F.coalesce(flag, F.lit(False)).alias("flagged")))
+    people = base.join(_proband_context(base), "family_id")
+    person, mom, dad, pb = F.col("person_id"), F.col("mom_id"), F.col("dad_id"), F.col("pb")
+    pm, pd = F.col("pm"), F.col("pd")
+    pm_parent, pd_parent = F.coalesce(pm["with_parent"], F.lit(False)), F.coalesce(pd["with_parent"], F.lit(False))
+    pb_parent = F.col("pb_has_parent")
+
+    def same_parents(m: Column, d: Column) -> Column:
+        return F.col("with_parent") & mom.eqNullSafe(m) & dad.eqNullSafe(d)
+
+    def half(parent: Column, other: Column, proband_other: Column) -> Column:
+        """Child of the proband's parent with somebody else."""
+        own = F.when(parent["sex"] == 1, dad).otherwise(mom)
+        return (
+            pb_parent & F.col("with_parent") & (own == parent["person_id"])
+            & other.isNotNull() & ~other.eqNullSafe(proband_other))
+
+    def assign(condition: Column, target: Column, order: int, role: str) -> Column:
+        return F.when(condition & target.isNotNull(), F.struct(
+            target.alias("target"), F.lit(order).alias("ord"), F.lit(ROLE[role]).alias("role")))
+
+    proband_child = F.col("with_parent") & (mom.eqNullSafe(pb) | dad.eqNullSafe(pb))
+    spouse = F.when(dad.isNotNull() & (dad != pb), dad).when(mom.isNotNull() & (mom != pb), mom)
+    maternal_half = half(pm, dad, F.col("pb_dad"))
+    paternal_half = half(pd, mom, F.col("pb_mom"))
+    assigned = F.array_compact(F.array(
+        assign(person == pb, person, 0, "prb"),
+        assign(proband_child, person, 1, "child"),
+        assign(proband_child, spouse, 2, "spouse"),
+        assign(pb_parent & (person == F.col("pb_mom")), person, 3, "mom"),
+        assign(pb_parent & (person == F.col("pb_dad")), person, 3, "dad"),
+        assign(pb_parent & (person != pb) & same_parents(F.col("pb_mom"), F.col("pb_dad")), person, 4, "sib"),
+        assign(pd_parent & (person == pd["dad_id"]), person, 5, "paternal_grandfather"),
+        assign(pd_parent & (person == pd["mom_id"]), person, 5, "paternal_grandmother"),
+        assign(pm_parent & (person == pm["dad_id"]), person, 8, "maternal_grandfather"),
+        assign(pm_parent & (person == pm["mom_id"]), person, 8, "maternal_grandmother"),
+        assign(maternal_half, dad, 11, "step_dad"),
+        assign(maternal_half, person, 12, "maternal_half_sibling"),
+        assign(paternal_half, mom, 13, "step_mom"),
+        assign(paternal_half, person, 14, "paternal_half_sibling")))
+    direct = (
+        people.select("family_id", F.explode(assigned).alias("a"))
+        .groupBy("family_id", F.col("a.target").alias("person_id"))
+        .agg(F.min("a.ord").alias("first_ord"), F.max(F.struct("a.ord", "a.role")).alias("last")))
     unset = F.col("role").isNull() | (F.col("role") == ROLE["unknown"])
-    person, mom, dad = F.col("person_id"), F.col("mom_id"), F.col("dad_id")
-    not_proband = person != F.col("pb")
-
-    def same_parents(m: str, d: str) -> Column:
-        return F.col("with_parent") & mom.eqNullSafe(F.col(m)) & dad.eqNullSafe(F.col(d))
-
-    def assign(rows: DataFrame, condition: Column, target: Column, order: int, role: Column) -> DataFrame:
-        return rows.filter(condition & target.isNotNull()).select(
-            "family_id", target.alias("target"), F.lit(order).alias("ord"), role.alias("new_role"))
-
-    def fixed(name: str) -> Column:
-        return F.lit(ROLE[name])
-
-    proband_child = F.col("with_parent") & ((mom == F.col("pb")) | (dad == F.col("pb")))
-    spouse = F.when(dad.isNotNull() & (dad != F.col("pb")), dad).when(
-        mom.isNotNull() & (mom != F.col("pb")), mom)
-    early = reduce(DataFrame.unionByName, [
-        assign(people, person == F.col("pb"), person, 0, fixed("prb")),
-        assign(people, F.coalesce(proband_child, F.lit(False)), person, 1, fixed("child")),
-        assign(people, F.coalesce(proband_child, F.lit(False)), spouse, 2, fixed("spouse")),
-        assign(people, F.col("pb_has_parent") & (person == F.col("pb_mom")), person, 3, fixed("mom")),
-        assign(people, F.col("pb_has_parent") & (person == F.col("pb_dad")), person, 3, fixed("dad")),
-        assign(people, F.col("pb_has_parent") & not_proband & same_parents("pb_mom", "pb_dad"),
-               person, 4, fixed("sib")),
-        assign(people, F.col("pd_has_parent") & (person == F.col("pd_dad")), person, 5, fixed("paternal_grandfather")),
-        assign(people, F.col("pd_has_parent") & (person == F.col("pd_mom")), person, 5, fixed("paternal_grandmother")),
-    ])
-
-    def side(prefix: str, word: str, before: DataFrame, order: int) -> DataFrame:
-        """Uncles and aunts on one side, then their children."""
-        taken = before.select("family_id", F.col("target").alias("person_id")).distinct()
-        siblings = people.filter(
-            unset & F.col(f"{prefix}_has_parent") & same_parents(f"{prefix}_mom", f"{prefix}_dad")
-        ).join(taken, ["family_id", "person_id"], "left_anti")
-        relation = F.when(F.col("sex") == 1, ROLE[f"{word}_uncle"]).when(F.col("sex") == 2, ROLE[f"{word}_aunt"])
-        uncles = assign(siblings, F.lit(True), F.col("person_id"), order, relation)
-        keys = siblings.select(F.col("family_id").alias("_uf"), F.col("person_id").alias("_u"))
-        by_parent = reduce(DataFrame.unionByName, [
-            people.join(keys, (F.col("family_id") == F.col("_uf")) & (F.col(p) == F.col("_u")))
-            for p in ("mom_id", "dad_id")])
-        cousins = assign(by_parent, F.lit(True), F.col("person_id"), order + 1, fixed(f"{word}_cousin"))
-        return uncles.filter("new_role IS NOT NULL").unionByName(cousins)
-
-    paternal = early.unionByName(side("pd", "paternal", early, 6))
-    maternal_old = reduce(DataFrame.unionByName, [
-        paternal,
-        assign(people, F.col("pm_has_parent") & (person == F.col("pm_dad")), person, 8, fixed("maternal_grandfather")),
-        assign(people, F.col("pm_has_parent") & (person == F.col("pm_mom")), person, 8, fixed("maternal_grandmother")),
-    ])
-    maternal = maternal_old.unionByName(side("pm", "maternal", maternal_old, 9))
-
-    def half(prefix: str, own: str, other: str) -> Column:
-        """Children of the proband's parent with somebody else."""
-        male = F.col(f"{prefix}_sex") == 1
-        is_parent = F.when(male, dad == F.col(f"{prefix}_id")).otherwise(mom == F.col(f"{prefix}_id"))
-        return F.coalesce(
-            F.col("pb_has_parent") & F.col("with_parent") & is_parent
-            & ~F.col(other).eqNullSafe(F.col(f"pb_{own}")), F.lit(False))
-
-    maternal_half = half("pm", "dad", "dad_id") & dad.isNotNull()
-    paternal_half = half("pd", "mom", "mom_id") & mom.isNotNull()
-    every = reduce(DataFrame.unionByName, [
-        maternal,
-        assign(people, maternal_half, dad, 11, fixed("step_dad")),
-        assign(people, maternal_half, person, 12, fixed("maternal_half_sibling")),
-        assign(people, paternal_half, mom, 13, fixed("step_mom")),
-        assign(people, paternal_half, person, 14, fixed("paternal_half_sibling")),
-    ])
-    last = every.groupBy("family_id", "target").agg(
-        F.max_by("new_role", F.struct("ord", "new_role")).alias("assigned")
-    ).withColumnRenamed("target", "person_id")
-    return ped.join(last, ["family_id", "person_id"], "left").withColumn(
+    related = people.select(
+        "family_id", "person_id", "mom_id", "dad_id", "sex", unset.alias("unset"),
+        (pd_parent & same_parents(pd["mom_id"], pd["dad_id"])).alias("pat_sib"),
+        (pm_parent & same_parents(pm["mom_id"], pm["dad_id"])).alias("mat_sib"),
+    ).join(direct, ["family_id", "person_id"], "left")
+
+    def taken(order: int) -> Column:
+        return F.coalesce(F.col("first_ord") <= order, F.lit(False))
+
+    related = related.withColumn("pat_uncle", F.col("pat_sib") & F.col("unset") & ~taken(5))
+    related = _children_of(related, related.filter("pat_uncle").select("family_id", "person_id"), "pat_cousin")
+    named = F.col("pat_uncle") & F.col("sex").isin(1, 2)
+    related = related.withColumn(
+        "mat_uncle", F.col("mat_sib") & F.col("unset") & ~taken(8) & ~named & ~F.col("pat_cousin"))
+    related = _children_of(related, related.filter("mat_uncle").select("family_id", "person_id"), "mat_cousin")
+
+    def relation(condition: str, order: int, role: Column) -> Column:
+        return F.when(F.col(condition) & role.isNotNull(), F.struct(F.lit(order).alias("ord"), role.alias("role")))
+
+    def by_sex(word: str) -> Column:
+        return F.when(F.col("sex") == 1, ROLE[f"{word}_uncle"]).when(F.col("sex") == 2, ROLE[f"{word}_aunt"])
+
+    latest = F.array_max(F.array_compact(F.array(
+        F.col("last"),
+        relation("pat_uncle", 6, by_sex("paternal")), relation("pat_cousin", 7, F.lit(ROLE["paternal_cousin"])),
+        relation("mat_uncle", 9, by_sex("maternal")), relation("mat_cousin", 10, F.lit(ROLE["maternal_cousin"])))))
+    final = related.select("family_id", "person_id", latest["role"].alias("assigned"))
+    return ped.join(final, ["family_id", "person_id"], "left").withColumn(
         "inferred_role", F.coalesce("assigned", "role", F.lit(ROLE["unknown"]))).drop("assigned")
 
 
