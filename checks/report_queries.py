@@ -214,10 +214,10 @@ def d18_denovo_gene_set(spark, sf):
 
 
 @register("d18_single_gene_set", CACHE + """
-SELECT gene, count(DISTINCT family_id) AS families FROM cache WHERE set_id = 'unaffected' AND effect_criteria = 'Missense' AND sex_criteria = 'Unspecified'
+SELECT gene, count(DISTINCT family_id) AS families FROM cache WHERE set_id = 'unaffected' AND effect_criteria = 'Missense' AND sex_criteria = 'Female'
 GROUP BY 1 HAVING count(DISTINCT family_id) = 1""")
 def d18_single_gene_set(spark, sf):
-    return gene_sets.denovo_gene_set(cache(spark, sf), "status", ["unaffected"], ["Missense"], ["Unspecified"], "Single")
+    return gene_sets.denovo_gene_set(cache(spark, sf), "status", ["unaffected"], ["Missense"], ["Female"], "Single")
 
 
 @register("d19_gene_sets_over_studies", CACHE + """
@@ -339,36 +339,56 @@ def d07_gene_weight_expectation(spark, sf):
     return tested.select("set_id", "effect_group", "counted", "events", "overlapped", F.round("expected", 6).alias("expected"))
 
 
-@register("d07_gene_weight_test")
+@register("d07_gene_weight_test", EVENTS + """, w AS (SELECT upper(p_brand) AS gene, sum(p_size)::DOUBLE AS w FROM part GROUP BY 1),
+p AS (SELECT sum(w) FILTER (WHERE gene IN (SELECT gene FROM genes)) / sum(w) AS p FROM w),
+outcomes AS (
+  SELECT set_id, effect_group, counted, events, overlapped, k, lgamma(events + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END
+    - CASE WHEN events = k THEN 0 ELSE lgamma(events - k + 1) END + k * ln(p) + (events - k) * ln(1 - p) AS lp
+  FROM (SELECT *, unnest(range(0, events + 1)) AS k FROM matrix WHERE events > 0 AND overlapped > 0), p),
+observed AS (SELECT set_id, effect_group, counted, lp FROM outcomes WHERE k = overlapped)
+SELECT m.set_id, m.effect_group, m.counted, m.overlapped, round(coalesce(least(t.pvalue, 1), 1), 6) AS pvalue FROM matrix m LEFT JOIN (
+  SELECT o.set_id, o.effect_group, o.counted, sum(exp(o.lp)) AS pvalue FROM outcomes o JOIN observed b USING (set_id, effect_group, counted)
+  WHERE o.lp <= b.lp + 1e-7 GROUP BY 1, 2, 3) t USING (set_id, effect_group, counted)""")
 def d07_gene_weight_test(spark, sf):
-    """With the binomial p-values."""
-    return enrichment.gene_weight_test(matrix(spark, sf), derive.gene_weights(spark, sf), tested_genes(spark, sf)).select(
-        "set_id", "effect_group", "counted", "events", "overlapped", "expected", "pvalue")
+    """Binomial p-values; the SQL adds up every outcome at most as likely as the observed one."""
+    tested = enrichment.gene_weight_test(matrix(spark, sf), derive.gene_weights(spark, sf), tested_genes(spark, sf))
+    return tested.select("set_id", "effect_group", "counted", "overlapped", F.round("pvalue", 6).alias("pvalue"))
 
 
-@register("d08_mutation_rate_expectation", EVENTS + """, r AS (
+RATES = EVENTS + """, r AS (
   SELECT 'LGDs' AS effect_group, sum(n / 100000.0::DOUBLE) AS boys, sum(1.25::DOUBLE * n / 100000.0::DOUBLE) AS girls
     FROM (SELECT upper(p_brand) AS gene, sum(p_size)::DOUBLE AS n FROM part GROUP BY 1) WHERE gene IN (SELECT gene FROM genes)
   UNION ALL SELECT 'Missense', sum(n / 100000.0::DOUBLE), sum(1.25::DOUBLE * n / 100000.0::DOUBLE)
     FROM (SELECT upper(p_brand) AS gene, sum(p_size * 2)::DOUBLE AS n FROM part GROUP BY 1) WHERE gene IN (SELECT gene FROM genes)
   UNION ALL SELECT 'Synonymous', sum(n / 100000.0::DOUBLE), sum(1.25::DOUBLE * n / 100000.0::DOUBLE)
     FROM (SELECT upper(p_brand) AS gene, sum(p_size * 3)::DOUBLE AS n FROM part GROUP BY 1) WHERE gene IN (SELECT gene FROM genes)),
-tot AS (SELECT set_id, effect_group, max(events) FILTER (WHERE counted = 'all') AS n_all, max(events) FILTER (WHERE counted = 'rec') AS n_rec FROM matrix GROUP BY 1, 2)
-SELECT set_id, effect_group, counted, CASE WHEN counted = 'unspecified' THEN 0 ELSE events END AS events,
+tot AS (SELECT set_id, effect_group, max(events) FILTER (WHERE counted = 'all') AS n_all, max(events) FILTER (WHERE counted = 'rec') AS n_rec FROM matrix GROUP BY 1, 2),
+rated AS (SELECT set_id, effect_group, counted, CASE WHEN counted = 'unspecified' THEN 0 ELSE events END AS events,
   CASE WHEN counted = 'unspecified' THEN 0 ELSE overlapped END AS overlapped,
-  round(CASE counted WHEN 'all' THEN boys * (male + unspecified) + girls * female WHEN 'male' THEN boys * male WHEN 'female' THEN girls * female
-    WHEN 'rec' THEN CASE WHEN n_all > 0 AND n_rec > 0 THEN (boys * (male + unspecified) + girls * female) * n_rec / n_all ELSE 0 END ELSE 0 END, 6) AS expected
-FROM matrix JOIN r USING (effect_group) JOIN tot USING (set_id, effect_group)""")
+  CASE counted WHEN 'all' THEN boys * (male + unspecified) + girls * female WHEN 'male' THEN boys * male WHEN 'female' THEN girls * female
+    WHEN 'rec' THEN CASE WHEN n_all > 0 AND n_rec > 0 THEN (boys * (male + unspecified) + girls * female) * n_rec / n_all ELSE 0 END ELSE 0 END AS expected
+FROM matrix JOIN r USING (effect_group) JOIN tot USING (set_id, effect_group))
+"""
+
+
+@register("d08_mutation_rate_expectation", RATES + "SELECT set_id, effect_group, counted, events, overlapped, round(expected, 6) AS expected FROM rated")
 def d08_mutation_rate_expectation(spark, sf):
     tested = enrichment.mutation_rate_test(matrix(spark, sf), derive.mutation_rates(spark, sf), tested_genes(spark, sf))
     return tested.select("set_id", "effect_group", "counted", "events", "overlapped", F.round("expected", 6).alias("expected"))
 
 
-@register("d09_full_enrichment_matrix")
+@register("d09_full_enrichment_matrix", RATES + """, terms AS (
+  SELECT set_id, effect_group, counted, expected, overlapped,
+    unnest(range(0, CASE WHEN overlapped >= expected THEN overlapped ELSE overlapped + 1 END)) AS k FROM rated WHERE counted <> 'unspecified'),
+below AS (SELECT set_id, effect_group, counted, sum(exp(CASE WHEN expected > 0 THEN k * ln(expected) - expected ELSE CASE WHEN k = 0 THEN 0 ELSE -1e9 END END
+    - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END)) AS cdf FROM terms GROUP BY 1, 2, 3)
+SELECT r.set_id, r.effect_group, r.counted, r.overlapped, round(CASE WHEN r.counted = 'unspecified' THEN 1
+  ELSE least(1, 2 * CASE WHEN r.overlapped >= r.expected THEN greatest(1 - coalesce(cdf, 0), 0) ELSE coalesce(cdf, 0) END) END, 6) AS pvalue
+FROM rated r LEFT JOIN below USING (set_id, effect_group, counted)""")
 def d09_full_enrichment_matrix(spark, sf):
-    """Person sets x effect groups with mutation-rate p-values."""
-    return enrichment.mutation_rate_test(matrix(spark, sf), derive.mutation_rates(spark, sf), tested_genes(spark, sf)).select(
-        "set_id", "effect_group", "counted", "events", "overlapped", "expected", "pvalue")
+    """Person sets x effect groups with the Poisson p-values; the SQL adds up the lower tail."""
+    tested = enrichment.mutation_rate_test(matrix(spark, sf), derive.mutation_rates(spark, sf), tested_genes(spark, sf))
+    return tested.select("set_id", "effect_group", "counted", "overlapped", F.round("pvalue", 6).alias("pvalue"))
 
 
 @register("d10_event_count_cache", EVENTS + """
