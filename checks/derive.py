@@ -15,8 +15,8 @@ from kinfold.plans.study import Study
 
 PAR = [("chrX", 1, 40_000)]
 PARTITIONING = bins.Partitioning(
-    region_length=30_000, chromosomes=("chr1", "chr2", "chr3"), rare_boundary=5.0,
-    coding_effects=bins.coding_effects(["coding"]), family_bins=20, longest_event=5_000,
+    region_length=100_000, chromosomes=("chr1", "chr2", "chr3"), rare_boundary=5.0,
+    coding_effects=bins.coding_effects(["coding"]), family_bins=8, longest_event=5_000,
     chromosome_lengths={})
 EFFECT_OF_TYPE = {
     "STANDARD": "missense", "PROMO": "synonymous", "SMALL": "nonsense",
@@ -216,3 +216,28 @@ def market() -> Collection:
          PersonSet("building_m", "building men", ("BUILDING", "M"))),
         PersonSet("others", "others", ()))
 
+
+
+# ---- stored study -------------------------------------------------------------------------------
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Study:
+    """The derived study written once per application to the shared folder and read back."""
+    from kinfold.session import scratch_dir
+    from kinfold.sources import store
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_dir(spark)
+        full = study(spark, sf_dir, counters=True, frequencies=True)
+        store.write_study(
+            Study(full.pedigree, full.summary, full.family, PARTITIONING), path, {"source": "derived", "bins": "100000"}, salts=2)
+        _STORED[key] = path
+    return store.read_study(spark, _STORED[key], PARTITIONING, gene_models(spark, sf_dir))
+
+
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
+    stored(spark, sf_dir)
+    return _STORED[(spark.sparkContext.applicationId, sf_dir)]

@@ -290,12 +290,12 @@ def d13_aligned_association(spark, sf):
 
 
 @register("d14_association_download", CARRIERS + NORMAL + """
-SELECT nv.person_id, nv.y AS balance, round(round(z, 5), 4) AS normalized, coalesce((a.person_id IS NOT NULL)::BIGINT, 0) AS lgds, coalesce((b.person_id IS NOT NULL)::BIGINT, 0) AS missense
+SELECT nv.person_id, nv.y AS balance, round(z, 5) AS normalized, coalesce((a.person_id IS NOT NULL)::BIGINT, 0) AS lgds, coalesce((b.person_id IS NOT NULL)::BIGINT, 0) AS missense
 FROM nv LEFT JOIN ce a ON a.person_id = nv.person_id AND a.effect = 'LGDs' LEFT JOIN ce b ON b.person_id = nv.person_id AND b.effect = 'missense'""")
 def d14_association_download(spark, sf):
     table = pheno.association_download(normalized(spark, sf), carriers(spark, sf), "i1.balance", ["LGDs", "missense"])
     return table.select(
-        "person_id", F.col("`i1.balance`").alias("balance"), F.round("normalized", 4).alias("normalized"),
+        "person_id", F.col("`i1.balance`").alias("balance"), "normalized",
         F.col("LGDs").alias("lgds"), "missense")
 
 

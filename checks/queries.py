@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from checks import pheno_queries, report_queries, table_queries, variant_queries  # noqa: F401
+from checks import pheno_queries, report_queries, storage_queries, table_queries, variant_queries  # noqa: F401

@@ -502,7 +502,7 @@ def x19_genotype_predicates(spark, sf):
     ).groupBy("all_ref", "any_unk", "all_unk", "ref_or_unk").agg(F.count("*").alias("genotypes"))
 
 
-RB = "CASE WHEN chromosome IN ('chr1', 'chr2', 'chr3') THEN chromosome ELSE 'other' END || '_' || ((position - 1) // 30000)"
+RB = "CASE WHEN chromosome IN ('chr1', 'chr2', 'chr3') THEN chromosome ELSE 'other' END || '_' || ((position - 1) // 100000)"
 
 
 @register("x20_region_bin", f"SELECT s::BIGINT AS s, {RB} AS region_bin FROM sites")
@@ -513,8 +513,8 @@ def x20_region_bin(spark, sf):
 
 
 @register("x20_integer_region_bin", """
-SELECT s::BIGINT AS s, CASE WHEN chromosome IN ('chr1', 'chr2', 'chr3') THEN (substr(chromosome, 4)::INT - 1) * 10000 + (position - 1) // 30000
-  ELSE 10000000 + (position - 1) // 30000 END::BIGINT AS region_bin FROM sites""")
+SELECT s::BIGINT AS s, CASE WHEN chromosome IN ('chr1', 'chr2', 'chr3') THEN (substr(chromosome, 4)::INT - 1) * 10000 + (position - 1) // 100000
+  ELSE 10000000 + (position - 1) // 100000 END::BIGINT AS region_bin FROM sites""")
 def x20_integer_region_bin(spark, sf):
     from dataclasses import replace
     return derive.sites(spark, sf).select(
@@ -524,7 +524,7 @@ def x20_integer_region_bin(spark, sf):
 
 @register("x21_region_bins", """
 SELECT s::BIGINT AS s, CASE WHEN chromosome IN ('chr1', 'chr2', 'chr3') THEN chromosome ELSE 'other' END || '_' || b AS region_bin
-FROM (SELECT *, unnest(range((position - 1) // 30000, (end_position - 1) // 30000 + 1)) AS b FROM sites)""")
+FROM (SELECT *, unnest(range((position - 1) // 100000, (end_position - 1) // 100000 + 1)) AS b FROM sites)""")
 def x21_region_bins(spark, sf):
     return derive.sites(spark, sf).select(
         F.col("summary_index").alias("s"), F.explode(bins.region_bins(

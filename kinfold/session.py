@@ -25,3 +25,20 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder of the cluster, for tables that outlive a stage.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that
+    setting falls back to a temporary folder of the machine, which is then also the whole cluster.
+    """
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="kinfold-")
+    return f"{base.rstrip('/')}/kinfold-{uuid.uuid4().hex}"

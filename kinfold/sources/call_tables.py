@@ -31,8 +31,7 @@ def _members_with(
 
     Other members are reference; haploid loci put the copy on the first side.
     """
-    people = variants.persons_of(pedigree.layout(ped))
-    joined = calls.join(people, "family_id")
+    joined = _with_members(calls, ped)
     has = F.array_contains("carriers", F.col("person_id")).cast("int")
     haploid = genotypes.locus_ploidy(F.col("chromosome"), F.col("position"), F.col("sex"), par) != 2
     return variants.family_calls(
@@ -81,14 +80,24 @@ def denovo_rows(
         F.col("position").isNotNull() & F.col("reference").isNotNull() & F.col("alternative").isNotNull())
 
 
+def listed_persons(cell: Column) -> Column:
+    """Person ids of a cell, separated by ``;`` or ``,``."""
+    return F.transform(F.split(cell, "[;,]"), lambda p: F.trim(p))
+
+
+def _with_members(rows: DataFrame, ped: DataFrame) -> DataFrame:
+    """Rows of a family repeated for each member, with the member fields and the member's place."""
+    people = variants.persons_of(pedigree.layout(ped))
+    return rows.drop("place", *variants.MEMBER_FIELDS).join(people, "family_id")
+
+
 def denovo_by_person(rows: DataFrame, ped: DataFrame, person: str = "person_id", family: str | None = None) -> DataFrame:
     """One row per site and family with the carriers; person cells may list several ids.
 
     Separate lines of one family at one site become one family row. Unknown persons are dropped; a
     person of several families is an error found by ``ambiguous_persons``.
     """
-    split = rows.withColumn("person_id", F.explode(F.split(F.col(person), "[;,]"))).withColumn(
-        "person_id", F.trim("person_id"))
+    split = rows.withColumn("person_id", F.explode(listed_persons(F.col(person))))
     owners = ped.select("family_id", "person_id").distinct()
     if family is not None:
         split = split.withColumn("family_id", F.col(family))
@@ -100,7 +109,7 @@ def denovo_by_person(rows: DataFrame, ped: DataFrame, person: str = "person_id",
 
 def ambiguous_persons(rows: DataFrame, ped: DataFrame, person: str = "person_id") -> DataFrame:
     """Carriers listed in a de-novo table that belong to several families."""
-    listed = rows.select(F.trim(F.explode(F.split(F.col(person), "[;,]"))).alias("person_id")).distinct()
+    listed = rows.select(F.explode(listed_persons(F.col(person))).alias("person_id")).distinct()
     return pedigree.persons_in_several_families(ped).join(listed, "person_id", "left_semi")
 
 
@@ -118,8 +127,7 @@ def _columns_of(matrix: Column) -> Column:
 
 def calls_from_states(rows: DataFrame, keys: list[str], ped: DataFrame, states: Column) -> DataFrame:
     """Family genotypes from best states listed in member order."""
-    people = variants.persons_of(pedigree.layout(ped))
-    joined = rows.withColumn("_st", states).join(people, "family_id")
+    joined = _with_members(rows.withColumn("_st", states), ped)
     pair = genotypes.genotype_from_best_state(F.get("_st", F.col("place")))
     known = joined.withColumn("_state", F.get("_st", F.col("place"))).filter("_state IS NOT NULL")
     return variants.family_calls(
@@ -142,8 +150,7 @@ def denovo_study_inputs(
     if best_state is not None:
         calls = calls_from_states(keyed, variants.KEY, ped, _columns_of(_matrix(F.col(best_state))))
     elif genotype is not None:
-        people = variants.persons_of(pedigree.layout(ped))
-        joined = keyed.withColumn("_gt", F.split(F.col(genotype), ",")).join(people, "family_id")
+        joined = _with_members(keyed.withColumn("_gt", F.split(F.col(genotype), ",")), ped)
         sides = F.split(F.get("_gt", F.col("place")), "/")
         side = lambda i: F.coalesce(F.get(sides, F.lit(i)).try_cast("int"), F.lit(-1))
         calls = variants.family_calls(joined.withColumn("a1", side(0)).withColumn("a2", side(1)))
@@ -235,21 +242,19 @@ CNV_KEY = ["chromosome", "position", "end_position", "variant_type"]
 
 def cnv_states_by_person(rows: DataFrame, ped: DataFrame, par: list[tuple[str, int, int]] = (), person: str = "person_id") -> DataFrame:
     """Copies ``[ref, alt]`` of every member of a carrier's family; ``place`` is the member order."""
-    split = rows.withColumn("person_id", F.trim(F.explode(F.split(F.col(person), ";")))).select(*CNV_KEY, "person_id")
+    split = rows.withColumn("person_id", F.explode(listed_persons(F.col(person)))).select(*CNV_KEY, "person_id")
     owners = ped.select("family_id", "person_id").distinct()
     carriers = split.join(owners, "person_id").groupBy(*CNV_KEY, "family_id").agg(
         F.array_sort(F.collect_set("person_id")).alias("carriers"))
-    people = variants.persons_of(pedigree.layout(ped))
     expected = genotypes.interval_ploidy(
         F.col("chromosome"), F.col("position"), F.col("end_position"), F.col("sex"), list(par))
     alt = F.array_contains("carriers", F.col("person_id")).cast("int")
-    return carriers.join(people, "family_id").withColumn("state", F.array((expected - alt).cast("int"), alt))
+    return _with_members(carriers, ped).withColumn("state", F.array((expected - alt).cast("int"), alt))
 
 
 def cnv_states_by_family(rows: DataFrame, ped: DataFrame, par: list[tuple[str, int, int]] = (), best_state: str = "best_state") -> DataFrame:
     """Copies ``[ref, alt]`` from observed ploidies listed in member order (``2 2 3 2``)."""
-    people = variants.persons_of(pedigree.layout(ped))
-    joined = rows.withColumn("_o", F.split(F.trim(F.col(best_state)), " +")).join(people, "family_id")
+    joined = _with_members(rows.withColumn("_o", F.split(F.trim(F.col(best_state)), " +")), ped)
     expected = genotypes.interval_ploidy(
         F.col("chromosome"), F.col("position"), F.col("end_position"), F.col("sex"), list(par))
     observed = F.get("_o", F.col("place")).cast("int")

@@ -64,3 +64,25 @@ def variant_table(rows: DataFrame) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, sep="\t", header=True)
+
+
+def family_vcf_lines(sites: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(family_id, chromosome, position, value)`` records of one VCF per family.
+
+    A line has only the family's members, so the output is linear in the calls; the header line of
+    a family comes first with position 0.
+    """
+    keys = ["bucket_index", "summary_index"]
+    members = F.col("members")
+    alternatives = F.array_join(F.transform("alternatives", lambda a: F.coalesce(a, F.lit("."))), ",")
+    body = calls.join(sites.select(*keys, "chromosome", "position", "reference", "alternatives"), keys).select(
+        "family_id", "chromosome", "position", F.concat_ws(
+            "\t", F.col("chromosome"), F.col("position").cast("string"), F.lit("."), F.coalesce("reference", F.lit(".")),
+            alternatives, F.lit("."), F.lit("."), F.lit("."), F.lit("GT"),
+            F.array_join(F.transform(members, lambda m: _call_text(m["a1"], m["a2"])), "\t")).alias("value"))
+    names = F.array_join(F.transform(members, lambda m: m["person_id"]), "\t")
+    columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+    header = calls.groupBy("family_id").agg(F.first(names).alias("_n")).select(
+        "family_id", F.lit("").alias("chromosome"), F.lit(0).alias("position"),
+        F.concat_ws("\t", F.lit(columns), F.col("_n")).alias("value"))
+    return header.unionByName(body)
