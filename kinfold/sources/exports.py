@@ -47,9 +47,10 @@ def write_vcf(lines: DataFrame, header: list[str], path: str) -> None:
 
     def with_header(batches):
         import pyarrow as pa
-        yield pa.RecordBatch.from_pydict({"value": [head]})
-        for batch in batches:
-            yield batch.select(["value"])
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
 
     ordered.select("value").mapInArrow(with_header, "value string").write.mode("errorifexists").text(path)
 
