@@ -92,34 +92,51 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 6 != 0, F.col("p_name")).alias("label"))
 
 
+FLAGS = ("A", "N", "R")
+
+
 def calls(spark: SparkSession, sf_dir: str, extra: list[str] = ()) -> DataFrame:
-    """The first order line of a family for a part is the family's genotype at that site."""
+    """The first order line of a family for a part is the family's genotype at that site.
+
+    Order key, line number, quantity and flag are packed into one number, so the first line is a
+    plain minimum. ``extra`` may name ``flag``, the line's return flag.
+    """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    fam = F.concat(F.lit("F"), F.floor(F.col("o_custkey") / 4).cast("long").cast("string"))
-    keys = [F.lit(1).alias("bucket_index"), F.col("l_partkey").cast("int").alias("summary_index")]
+    flags = F.array(*[F.lit(f) for f in FLAGS])
+    packed = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")) * 4 + (
+        F.array_position(flags, F.col("l_returnflag")) - 1)
     first = (
         li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(fam.alias("family_id"), "l_partkey")
-        .agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).alias("w"))
         .select(
-            "family_id", *keys, F.col("w.l_quantity").cast("int").alias("q"),
-            F.col("w.l_linenumber").cast("int").alias("ln"), F.col("w.l_returnflag").alias("flag")))
+            F.concat(F.lit("F"), F.floor(F.col("o_custkey") / 4).cast("long").cast("string")).alias("family_id"),
+            F.col("l_partkey").cast("int").alias("summary_index"), packed.alias("packed"))
+        .groupBy("family_id", "summary_index").agg(F.min("packed").alias("w")))
     s = sites(spark, sf_dir).select(
         "bucket_index", "summary_index", "chromosome", "position", "rare", F.size("alternatives").alias("n_alts"))
-    people = variants.persons_of(pedigree.layout(ped(spark, sf_dir)))
-    joined = first.join(s, ["bucket_index", "summary_index"]).join(people, "family_id")
-    q, ln, n, role = F.col("q"), F.col("ln"), F.col("n_alts"), F.col("role")
-    idx = F.when(role == 16, 0).when(role == 32, 1).when(role == 128, 2).otherwise(3)
+    joined = first.join(s, "summary_index").join(pedigree.layout(ped(spark, sf_dir)), "family_id").select(
+        "bucket_index", "summary_index", "family_id", "members", "chromosome", "position", "rare", "n_alts",
+        F.floor(F.col("w") / 4).alias("w"), F.get(flags, (F.col("w") % 4).cast("int")).alias("flag"))
+    q = (F.col("w") % 64).cast("int")
+    ln = (F.floor(F.col("w") / 64) % 8).cast("int")
+    n = F.col("n_alts")
     on_x = (F.col("chromosome") == "chrX") & ~F.col("position").between(PAR[0][1], PAR[0][2])
-    unknown = (q + idx) % 17 == 0
-    absent = F.col("rare") & (q < 47)
-    a1 = F.when(unknown, -1).when(absent, 0).when((q + idx) % 3 == 0, 1 + (q + ln) % n).otherwise(0)
-    a2 = (
-        F.when(on_x & F.col("sex").isin(1, 4), -2).when(unknown, -1).when(absent, 0)
-        .when((q + ln + 2 * idx) % 4 == 0, 1 + (q + idx) % n).otherwise(0))
-    person_calls = joined.withColumn("a1", a1.cast("int")).withColumn("a2", a2.cast("int"))
-    return variants.family_calls(person_calls, ["bucket_index", "summary_index", *extra])
+
+    def with_call(m):
+        role = m["role"]
+        idx = F.when(role == 16, 0).when(role == 32, 1).when(role == 128, 2).otherwise(3)
+        unknown = (F.col("q") + idx) % 17 == 0
+        absent = F.col("rare") & (F.col("q") < 47)
+        a1 = F.when(unknown, -1).when(absent, 0).when(
+            (F.col("q") + idx) % 3 == 0, 1 + (F.col("q") + F.col("ln")) % n).otherwise(0)
+        a2 = (
+            F.when(F.col("on_x") & m["sex"].isin(1, 4), -2).when(unknown, -1).when(absent, 0)
+            .when((F.col("q") + F.col("ln") + 2 * idx) % 4 == 0, 1 + (F.col("q") + idx) % n).otherwise(0))
+        return F.struct(
+            *[m[f].alias(f) for f in variants.MEMBER_FIELDS], a1.cast("int").alias("a1"), a2.cast("int").alias("a2"))
+
+    return joined.withColumns({"q": q, "ln": ln, "on_x": on_x}).select(
+        "bucket_index", "summary_index", "family_id", *extra, F.transform("members", with_call).alias("members"))
 
 
 def founders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +162,7 @@ def study(spark: SparkSession, sf_dir: str, counters: bool = False, frequencies:
         sa = variants.with_frequency(sa, freq)
     if counters:
         sa = variants.stored_summary(sa, fa)
-    return Study(ped(spark, sf_dir), sa, fa, gene_models=gene_models(spark, sf_dir))
+    return Study(ped(spark, sf_dir), sa, fa)
 
 
 # ---- side tables ------------------------------------------------------------------------------
@@ -235,7 +252,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Study:
         store.write_study(
             Study(full.pedigree, full.summary, full.family, PARTITIONING), path, {"source": "derived", "bins": "100000"}, salts=2)
         _STORED[key] = path
-    return store.read_study(spark, _STORED[key], PARTITIONING, gene_models(spark, sf_dir))
+    return store.read_study(spark, _STORED[key], PARTITIONING)
 
 
 def stored_path(spark: SparkSession, sf_dir: str) -> str:

@@ -138,7 +138,7 @@ def bit_or_of(values: Column, kind: str = "int") -> Column:
 
 def attribute_mask(carrier_structs: Column, field: str) -> Column:
     """OR of a flag field over the carriers."""
-    return bit_or_of(F.transform(carrier_structs, lambda m: m[field]))
+    return F.aggregate(carrier_structs, F.lit(0), lambda acc, m: acc.bitwiseOR(m[field]))
 
 
 def zygosity_by(carrier_structs: Column, bit_field: str, skip_unspecified: bool = False) -> Column:
@@ -149,7 +149,7 @@ def zygosity_by(carrier_structs: Column, bit_field: str, skip_unspecified: bool
         if skip_unspecified:
             return F.when(m["status"] == 4, F.lit(0).cast("long")).otherwise(shifted)
         return shifted
-    return bit_or_of(F.transform(carrier_structs, bits), "long")
+    return F.aggregate(carrier_structs, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(bits(m)))
 
 
 def all_reference(members: Column) -> Column:

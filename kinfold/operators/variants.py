@@ -75,21 +75,17 @@ def _classes(denovo_mode: str, omission_mode: str, denovo_source: bool) -> Colum
     return genotypes.apply_omission_mode(genotypes.apply_denovo_mode(classes, denovo_mode), omission_mode)
 
 
-def without_ignored(calls: DataFrame, denovo_mode: str, omission_mode: str) -> DataFrame:
-    """Drop family variants with a de-novo or omission class when that mode is ``ignore``.
-
-    Every allele of the variant counts, the reference allele included.
-    """
+def _ignored(denovo_mode: str, omission_mode: str) -> Column:
+    """A de-novo or omission class in any allele, the reference included, whose mode is ``ignore``."""
     unwanted = [
         code for code, mode in (
             (codes.INHERITANCE["denovo"], denovo_mode), (codes.INHERITANCE["omission"], omission_mode))
         if mode == "ignore"]
     if not unwanted:
-        return calls
+        return F.lit(False)
     every = F.concat(F.array(F.lit(0)), genotypes.alleles_present(F.col("members")))
-    found = F.exists(every, lambda a: F.exists(
+    return F.exists(every, lambda a: F.exists(
         genotypes.inheritance_by_member(F.col("members"), a), lambda c: c.isin(unwanted)))
-    return calls.filter(~found)
 
 
 def family_alleles(
@@ -100,27 +96,32 @@ def family_alleles(
     """One row per allele of each family variant with its carrier columns.
 
     Families that are all reference are skipped unless ``include_reference``. The reference allele
-    gets a row when a copy is unknown or its own class is de novo.
+    gets a row when a copy is unknown or its own class is de novo. With a mode of ``ignore`` family
+    variants having that class in any allele are left out.
+
+    Skipped families have no alleles to unfold, so no filter sits on the member array: Catalyst
+    would push it below the projection that built the array and compute the array twice.
     """
     members = F.col("members")
-    rows = without_ignored(calls, denovo_mode, omission_mode)
+    skipped = _ignored(denovo_mode, omission_mode)
     if not include_unknown_persons:
-        rows = rows.filter(~genotypes.any_unknown(members))
+        skipped = skipped | genotypes.any_unknown(members)
     if not include_unknown_families:
-        rows = rows.filter(~genotypes.all_unknown(members))
+        skipped = skipped | genotypes.all_unknown(members)
     if not include_reference:
-        rows = rows.filter(~genotypes.all_reference(members))
-    reference_denovo = F.exists(
-        genotypes.inheritance_by_member(members, F.lit(0)), lambda c: c == DENOVO)
+        skipped = skipped | genotypes.all_reference(members)
+    # only a member without any reference copy can make the reference allele de novo in a child
+    without_reference = F.exists(members, lambda m: (m["a1"] > 0) & (m["a2"] != 0))
+    reference_denovo = F.when(without_reference, F.exists(
+        genotypes.inheritance_by_member(members, F.lit(0)), lambda c: c == DENOVO)).otherwise(False)
     with_reference = F.lit(True) if include_reference else (
         genotypes.any_unknown(members) | genotypes.all_reference(members) | reference_denovo)
-    listed = F.concat(
-        F.when(with_reference, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
-        genotypes.alleles_present(members))
-    exploded = rows.withColumn("allele_index", F.explode(listed))
-    classed = exploded.withColumn(
-        "inheritance_by_member", _classes(denovo_mode, omission_mode, denovo_source)
-    ).withColumn("_c", genotypes.carriers(members, F.col("allele_index")))
+    nothing = F.array().cast("array<int>")
+    listed = F.when(skipped, nothing).otherwise(F.concat(
+        F.when(with_reference, F.array(F.lit(0))).otherwise(nothing), genotypes.alleles_present(members)))
+    classed = calls.withColumn("allele_index", F.explode(listed)).withColumns({
+        "inheritance_by_member": _classes(denovo_mode, omission_mode, denovo_source),
+        "_c": genotypes.carriers(members, F.col("allele_index"))})
     carrier = F.col("_c")
     mask = genotypes.bit_or_of(F.col("inheritance_by_member"))
     return classed.select(
@@ -131,7 +132,7 @@ def family_alleles(
         genotypes.attribute_mask(carrier, "sex").alias("allele_in_sexes"),
         genotypes.attribute_mask(carrier, "status").alias("allele_in_statuses"),
         mask.alias("inheritance_in_members"),
-        (mask.bitwiseAND(DENOVO) != 0).alias("is_denovo"),
+        F.exists("inheritance_by_member", lambda c: c == DENOVO).alias("is_denovo"),
         genotypes.zygosity_by(carrier, "role_bit").alias("zygosity_in_roles"),
         genotypes.zygosity_by(carrier, "sex_bit").cast("int").alias("zygosity_in_sexes"),
         genotypes.zygosity_by(carrier, "status_bit", skip_unspecified=True).cast("int").alias("zygosity_in_status"),

@@ -122,8 +122,8 @@ def family_query(
     person_ids: list[str] | DataFrame | None = None, inheritance: str | list[str] | None = None,
     roles: str | None = None, sexes: str | None = None, affected_statuses: str | None = None,
     selected_tags: list[str] | None = None, deselected_tags: list[str] | None = None,
-    tags_or_mode: bool = False, tags: DataFrame | None = None, return_unknown: bool = False,
-    study_ids: list[str] | None = None, prune: bool = True, pruning: list[Column] = (),
+    tags_or_mode: bool = False, tags: DataFrame | None = None, return_reference: bool = False,
+    return_unknown: bool = False, study_ids: list[str] | None = None, prune: bool = True, pruning: list[Column] = (),
 ) -> DataFrame:
     """Family alleles satisfying every given filter."""
     rows = study.family
@@ -143,7 +143,9 @@ def family_query(
         conditions.append(filters.in_families(family_ids))
     if isinstance(person_ids, list):
         conditions.append(filters.carried_by(person_ids))
-    if not return_unknown:
+    if not return_reference and not return_unknown:
+        conditions.append(F.col("allele_index") > 0)  # leaves no family without a known copy
+    elif not return_unknown:
         conditions.append(~genotypes.all_unknown(F.col("genotype")))
     if study_ids is not None:
         conditions.append(F.col("study_id").isin(list(study_ids)))
@@ -179,6 +181,7 @@ def query_variants(
     """
     for_summary = {k: v for k, v in query.items() if k in SUMMARY_ARGUMENTS}
     for_family = {k: v for k, v in query.items() if k not in SUMMARY_ARGUMENTS}
+    for_family["return_reference"] = query.get("return_reference", False)
     pruning = prune_columns(study, **query) if prune else []
     family = study.family
     if person_set is not None:
