@@ -250,7 +250,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Study:
         path = scratch_dir(spark)
         full = study(spark, sf_dir, counters=True, frequencies=True)
         store.write_study(
-            Study(full.pedigree, full.summary, full.family, PARTITIONING), path, {"source": "derived", "bins": "100000"}, salts=2)
+            Study(full.pedigree, full.summary, full.family, PARTITIONING), path, {"source": "derived", "bins": "100000"})
         _STORED[key] = path
     return store.read_study(spark, _STORED[key], PARTITIONING)
 

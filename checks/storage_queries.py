@@ -129,7 +129,16 @@ def d35_verified_files(spark, sf):
 def family_lines(spark, sf):
     """One VCF per family, as split lines with the family as the file name."""
     lines = exports.family_vcf_lines(derive.sites(spark, sf), derive.calls(spark, sf))
-    return lines.select(F.col("family_id").alias("file"), F.split("value", "\t").alias("f"))
+    return lines.select(
+        F.col("family_id").alias("file"), F.xxhash64("family_id", "chromosome", "position").alias("line"),
+        F.split("value", "\t").alias("f"))
+
+
+def family_calls(spark, sf):
+    """Sample calls of all families; a position is one site, whichever file it is in."""
+    lines = family_lines(spark, sf)
+    recs = vcf.records(lines).withColumn("occurrence", F.lit(0))
+    return recs, vcf.sample_calls(recs, vcf.samples(lines))
 
 
 @register("k06_family_vcf_lines", """
@@ -144,8 +153,7 @@ GT = "SELECT t.chromosome, t.position::BIGINT AS position, g.person_id, g.a1::BI
 
 @register("s03_vcf_sample_calls", GT)
 def s03_vcf_sample_calls(spark, sf):
-    lines = family_lines(spark, sf)
-    return vcf.sample_calls(vcf.records(lines), vcf.samples(lines)).select(
+    return family_calls(spark, sf)[1].select(
         "chromosome", "position", F.col("sample_id").alias("person_id"), "a1", "a2")
 
 
@@ -154,10 +162,10 @@ SELECT t.chromosome, t.position::BIGINT AS position, g.person_id, CASE WHEN t.ch
   CASE WHEN t.chromosome = 'chrX' THEN 0 ELSE g.a2 END::BIGINT AS a2 FROM gt g JOIN sites t ON t.s = g.s""")
 def s04_vcf_batches_merged(spark, sf):
     """The first batch lacks chrX; the second has every site with all calls reference."""
-    lines = family_lines(spark, sf)
-    calls = vcf.sample_calls(vcf.records(lines), vcf.samples(lines))
+    recs, calls = family_calls(spark, sf)
     _, merged = vcf.merged([
-        calls.filter("chromosome <> 'chrX'"), calls.withColumn("a1", F.lit(0)).withColumn("a2", F.lit(0))])
+        (recs.filter("chromosome <> 'chrX'"), calls.filter("chromosome <> 'chrX'")),
+        (recs, calls.withColumn("a1", F.lit(0)).withColumn("a2", F.lit(0)))])
     return merged.select("chromosome", "position", F.col("sample_id").alias("person_id"), "a1", "a2")
 
 
@@ -165,10 +173,9 @@ def s04_vcf_batches_merged(spark, sf):
 SELECT family_id, t.chromosome, t.position::BIGINT AS position, string_agg(CASE WHEN a1 < 0 THEN '.' ELSE a1::VARCHAR END || '/'
   || CASE WHEN a2 < 0 THEN '.' ELSE a2::VARCHAR END, ';' ORDER BY idx) AS genotype FROM gt JOIN sites t ON t.s = gt.s GROUP BY 1, 2, 3""")
 def s05_vcf_study_inputs(spark, sf):
-    lines = family_lines(spark, sf)
-    calls = vcf.sample_calls(vcf.records(lines), vcf.samples(lines))
-    site_rows, call_rows = vcf.merged([calls])
-    sites, families = vcf.to_study_inputs(site_rows, call_rows, derive.ped(spark, sf))
+    recs, calls = family_calls(spark, sf)
+    site_rows, call_rows = vcf.merged([(recs, calls)])
+    sites, families = vcf.to_study_inputs(site_rows.distinct(), call_rows, derive.ped(spark, sf))
     return families.join(sites, ["bucket_index", "summary_index"]).select(
         "family_id", "chromosome", "position", genotypes.genotype_text(F.col("members")).alias("genotype"))
 

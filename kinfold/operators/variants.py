@@ -273,6 +273,17 @@ def matched_alleles(fa: DataFrame) -> DataFrame:
 
 
 def annotate(summary: DataFrame, annotations: DataFrame, drop: list[str] | None = None) -> DataFrame:
-    """Add annotation columns by site and allele; drop old ones first."""
+    """Add annotation columns by site and allele; drop old ones first.
+
+    Copy-number alleles have no sequence, so missing references match each other; their
+    annotations should also bring ``end_position`` and ``variant_type``.
+    """
+    old = summary.drop(*(drop or []))
     keys = ["chromosome", "position", "reference", "alternative"]
-    return summary.drop(*(drop or [])).join(annotations, keys, "left")
+    keys += [k for k in ("end_position", "variant_type") if k in annotations.columns]
+    right = annotations.withColumnsRenamed({k: f"_a_{k}" for k in keys})
+    strict = F.lit(True)
+    for k in keys:
+        same = F.col(k) == F.col(f"_a_{k}") if k in ("chromosome", "position") else F.col(k).eqNullSafe(F.col(f"_a_{k}"))
+        strict = strict & same
+    return old.join(right, strict, "left").drop(*[f"_a_{k}" for k in keys])

@@ -55,27 +55,24 @@ def with_family_bins(family: DataFrame, summary: DataFrame, part: bins.Partition
     return family
 
 
-def _write(df: DataFrame, path: str, columns: list[str], salts: int) -> None:
+def _write(df: DataFrame, path: str, columns: list[str]) -> None:
     """Partitioned write with few files per directory.
 
-    Rows are shuffled by their directory and a salt, so a directory holding a third of the study
-    is written by ``salts`` tasks, and files are cut by row count.
+    Rows are rebalanced by directory: adaptive execution merges small directories into one task
+    and splits a directory holding a third of the study over many. Files are cut by row count.
     """
-    writer = df
-    if columns:
-        salt = F.pmod(F.xxhash64(*[c for c in ("sj_index", "family_id") if c in df.columns]), F.lit(salts))
-        writer = df.withColumn("_salt", salt).repartition(*columns, "_salt").drop("_salt")
-    out = writer.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
+    rows = df.hint("rebalance", *columns) if columns else df
+    out = rows.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
     (out.partitionBy(*columns) if columns else out).parquet(path)
 
 
-def write_study(study: Study, path: str, metadata: dict[str, str] | None = None, salts: int = 8) -> None:
+def write_study(study: Study, path: str, metadata: dict[str, str] | None = None) -> None:
     """Pedigree, summary, family and metadata tables under one directory."""
     spark = study.pedigree.sparkSession
     part = study.partitioning
     pedigree_files.stored(study.pedigree, part.family_bins).write.mode("errorifexists").parquet(f"{path}/pedigree")
-    _write(with_summary_bins(study.summary, part), f"{path}/summary", part.summary_columns, salts)
-    _write(with_family_bins(study.family, study.summary, part), f"{path}/family", part.family_columns, salts)
+    _write(with_summary_bins(study.summary, part), f"{path}/summary", part.summary_columns)
+    _write(with_family_bins(study.family, study.summary, part), f"{path}/family", part.family_columns)
     write_metadata(spark, f"{path}/meta", metadata or {})
 
 
@@ -109,9 +106,9 @@ def read_region(study: Study, region: filters.Region) -> Study:
         study.partitioning, study.gene_models)
 
 
-def compact(spark: SparkSession, source: str, target: str, columns: list[str], salts: int = 1) -> None:
-    """Small files of every directory merged into ``salts`` files each, at a new path."""
-    _write(spark.read.parquet(source), target, columns, salts)
+def compact(spark: SparkSession, source: str, target: str, columns: list[str]) -> None:
+    """Small files of every directory merged, at a new path."""
+    _write(spark.read.parquet(source), target, columns)
 
 
 def file_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,11 @@ FIRST_SAMPLE = len(FIXED_COLUMNS)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tab-split lines with their file; ``##`` lines are dropped."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    """Tab-split lines with their file and line order; ``##`` lines are dropped."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
     return lines.filter(~F.col("value").startswith("##") & (F.length("value") > 0)).select(
-        "file", F.split("value", "\t").alias("f"))
+        "file", "line", F.split("value", "\t").alias("f"))
 
 
 def samples(lines: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def records(lines: DataFrame, prefix: str | None = None, add_prefix: bool = True
     body = lines.filter((field(0) != "#CHROM") & ~field(0).contains("HLA"))
     gt_place = F.array_position(F.split(field(8), ":"), "GT").cast("int")
     return body.select(
-        "file", adjusted_chrom(field(0), prefix, add_prefix).alias("chromosome"),
+        "file", "line", adjusted_chrom(field(0), prefix, add_prefix).alias("chromosome"),
         field(1).cast("int").alias("position"), field(3).alias("reference"),
         F.split(field(4), ",").alias("alternatives"), gt_place.alias("gt_place"),
         F.slice("f", FIRST_SAMPLE + 1, F.greatest(F.size("f") - FIRST_SAMPLE, F.lit(0))).alias("fields"))
@@ -66,14 +67,27 @@ def calls_of(field: Column, gt_place: Column) -> Column:
         F.when(F.size(sides) == 1, F.lit(-2)).otherwise(allele_of(F.get(sides, F.lit(1)))).alias("a2"))
 
 
+SITE = ["chromosome", "position", "occurrence"]
+
+
+def numbered(recs: DataFrame) -> DataFrame:
+    """Adds ``occurrence``: 0 for the first record at a position, 1 for the second, ….
+
+    Only positions with several records are looked at closely; their numbers are joined back, so
+    the wide records are not sorted.
+    """
+    repeated = recs.groupBy("chromosome", "position").agg(
+        F.sort_array(F.collect_list("line")).alias("_lines")).filter(F.size("_lines") > 1)
+    places = repeated.select(F.posexplode("_lines").alias("_occ", "line"))
+    return recs.join(places, "line", "left").withColumn(
+        "occurrence", F.coalesce("_occ", F.lit(0))).drop("_occ")
+
+
 def sample_calls(recs: DataFrame, sample_places: DataFrame) -> DataFrame:
-    """One row per record and sample ``(site columns, file, sample_id, a1, a2)``."""
-    unfolded = recs.select(
-        "file", "chromosome", "position", "reference", "alternatives", "gt_place",
-        F.posexplode("fields").alias("place", "field"))
+    """One row per record and sample ``(chromosome, position, occurrence, sample_id, a1, a2)``."""
+    unfolded = recs.select("file", *SITE, "gt_place", F.posexplode("fields").alias("place", "field"))
     called = unfolded.withColumn("c", calls_of(F.col("field"), F.col("gt_place")))
-    return called.join(sample_places, ["file", "place"]).select(
-        "chromosome", "position", "reference", "alternatives", "file", "sample_id", "c.a1", "c.a2")
+    return called.join(sample_places, ["file", "place"]).select(*SITE, "sample_id", "c.a1", "c.a2")
 
 
 def first_call_wins(batches: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -83,17 +97,16 @@ def first_call_wins(batches: list[DataFrame], keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.min_by(F.struct(*names), "_ord").alias("w")).select(*keys, "w.*")
 
 
-def merged(batches: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Records of several sample batches aligned by chromosome and position.
+def merged(batches: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """``(records, calls)`` of several sample batches aligned by chromosome and position.
 
     Returns the sites, shaped as in the first batch that has them, and the calls, where the first
-    batch wins per sample.
+    batch wins per sample. One batch alone needs no alignment and is passed through.
     """
-    shapes = [
-        b.select("chromosome", "position", "reference", "alternatives").distinct() for b in batches]
-    keys = ["chromosome", "position"]
-    only = [b.select(*keys, "sample_id", "a1", "a2") for b in batches]
-    return first_call_wins(shapes, keys), first_call_wins(only, [*keys, "sample_id"])
+    shapes = [r.select(*SITE, "reference", "alternatives") for r, _ in batches]
+    if len(batches) == 1:
+        return shapes[0], batches[0][1]
+    return first_call_wins(shapes, SITE), first_call_wins([c for _, c in batches], [*SITE, "sample_id"])
 
 
 def to_study_inputs(
@@ -102,22 +115,29 @@ def to_study_inputs(
 ) -> tuple[DataFrame, DataFrame]:
     """``(sites, calls)`` as the variant operators take them.
 
-    Every family of the pedigree that has a sequenced sample at a site gets a row there; members
-    without a call get ``fill`` (-1 unknown, 0 reference). Families without any call at a site do
-    not appear: they are all unknown, or all reference when filled.
+    Sample calls are shuffled once, to their family and site; the family's member array, with
+    ``fill`` (-1 unknown, 0 reference) for members without a call, is joined to the grouped rows.
+    Families without any sample at a site do not appear: they are all unknown, or all reference
+    when filled.
     """
     bucketed = site_rows.withColumn("bucket_index", F.lit(bucket_index))
-    sites = variants.running_index(bucketed, "bucket_index", "position", ["chromosome"], "summary_index").withColumn(
+    sites = variants.running_index(
+        bucketed, "bucket_index", "position", ["chromosome", "occurrence"], "summary_index").withColumn(
         "end_position", F.lit(None).cast("int")).withColumn("transmission_type", F.lit(transmission_type))
-    people = variants.persons_of(pedigree.layout(ped))
     owners = pedigree.members(ped).select("family_id", "person_id", "sample_id")
-    own_calls = call_rows.join(owners, "sample_id").select("chromosome", "position", "family_id", "person_id", "a1", "a2")
-    keyed = own_calls.join(sites.select("chromosome", "position", *variants.KEY), ["chromosome", "position"])
-    present = keyed.select(*variants.KEY, "family_id").distinct()
-    filled = present.join(people, "family_id").join(
-        keyed.select(*variants.KEY, "family_id", "person_id", "a1", "a2"),
-        [*variants.KEY, "family_id", "person_id"], "left").fillna(fill, ["a1", "a2"])
-    return sites, variants.family_calls(filled)
+    by_family = call_rows.join(owners, "sample_id").groupBy(*SITE, "family_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("person_id", F.struct("a1", "a2")))).alias("_gt"))
+
+    def with_call(m: Column) -> Column:
+        call = F.try_element_at(F.col("_gt"), m["person_id"])
+        return F.struct(
+            *[m[f].alias(f) for f in variants.MEMBER_FIELDS],
+            F.coalesce(call["a1"], F.lit(fill)).alias("a1"), F.coalesce(call["a2"], F.lit(fill)).alias("a2"))
+
+    filled = by_family.join(pedigree.layout(ped), "family_id").select(
+        *SITE, "family_id", F.transform("members", with_call).alias("members"))
+    calls = filled.join(sites.select(*SITE, *variants.KEY), SITE).select(*variants.KEY, "family_id", "members")
+    return sites.drop("occurrence"), calls
 
 
 def read(
@@ -133,8 +153,9 @@ def read(
     for paths in batches:
         lines = read_lines(spark, paths)
         places = samples(lines)
+        recs = numbered(records(lines, prefix, add_prefix))
         sample_tables.append(places.select("sample_id"))
-        tables.append(sample_calls(records(lines, prefix, add_prefix), places))
+        tables.append((recs, sample_calls(recs, places)))
     all_samples = reduce(DataFrame.union, sample_tables)
     matched = pedigree.match_samples(ped, all_samples, fixed_pedigree)
     site_rows, call_rows = merged(tables)

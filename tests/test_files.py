@@ -60,6 +60,17 @@ def test_vcf_batches(spark, tmp_path):
     assert shapes[("chr1", 10)] == ["C"]
 
 
+def test_vcf_repeated_positions_stay_apart(spark, tmp_path):
+    ped = ped_rows(spark, QUAD)
+    people = ["mom1", "dad1", "prb1", "sib1"]
+    path = write_vcf(tmp_path / "a.vcf", people, [
+        ("chr1", 10, "A", "C", "0/0 0/0 0/1 0/0"), ("chr1", 10, "AT", "A", "0/1 0/0 0/0 0/0"), ("chr1", 11, "A", "C", "0/0 0/1 0/0 0/0")])
+    sites, calls, _ = vcf.read(spark, [[path]], ped)
+    found = {(r["reference"], r["alternatives"][0], r["g"]) for r in calls.join(sites, ["bucket_index", "summary_index"]).select(
+        "reference", "alternatives", genotypes.genotype_text(F.col("members")).alias("g")).collect()}
+    assert found == {("A", "C", "0/0;0/0;0/1;0/0"), ("AT", "A", "0/1;0/0;0/0;0/0"), ("A", "C", "0/0;0/1;0/0;0/0")}
+
+
 def test_vcf_import_modes(spark, tmp_path):
     ped = ped_rows(spark, QUAD)
     path = write_vcf(tmp_path / "a.vcf", ["mom1", "dad1", "prb1", "sib1"], [
