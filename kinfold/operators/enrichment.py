@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import stats
@@ -29,32 +30,38 @@ def denovo_events(denovo: DataFrame) -> DataFrame:
 
 
 def grouped_events(events: DataFrame, sets: DataFrame, effect_groups: list[str]) -> DataFrame:
-    """One row per person set, sex group, effect group, variant and gene.
+    """Rows of person set, sex group, effect group, variant and gene.
 
     A variant belongs to a group when a child of the group carries any of its alleles; then the
-    genes of all its alleles count.
+    genes of all its alleles count. Two carriers of one group repeat a row; all consumers take
+    minima or distinct values.
     """
     sex_group = F.when(F.col("sex") == 1, "male").when(F.col("sex") == 2, "female").otherwise("unspecified")
     children = sets.filter("is_child").select(
         "psc_id", "set_id", "family_id", "person_id", F.explode(F.array(F.lit("all"), sex_group)).alias("sex_group"))
-    carriers = events.select("family_id", "fvuid", F.explode("persons").alias("person_id"))
-    variant_groups = carriers.join(children, ["family_id", "person_id"]).select(
-        "psc_id", "set_id", "sex_group", "family_id", "fvuid").distinct()
-    labelled = F.col("g.gene").alias("gene"), F.explode(
-        label_array(effect_groups, F.array("g.effect"))).alias("effect_group")
-    variant_genes = (
-        events.select("family_id", "fvuid", "order", F.explode("genes").alias("g"))
-        .select("family_id", "fvuid", "order", *labelled).distinct())
-    return variant_groups.join(variant_genes, ["family_id", "fvuid"])
+    # one row per family variant: the alleles of one site in one family
+    variant = events.groupBy("family_id", "fvuid").agg(
+        F.min("order").alias("order"), F.array_distinct(F.flatten(F.collect_list("persons"))).alias("persons"),
+        F.array_distinct(F.flatten(F.collect_list("genes"))).alias("genes"))
+    labelled = F.filter(
+        F.transform("genes", lambda g: F.named_struct(
+            F.lit("gene"), g["gene"], F.lit("groups"), label_array(effect_groups, F.array(g["effect"])))),
+        lambda g: F.size(g["groups"]) > 0)
+    carried = variant.select("family_id", "fvuid", "order", F.explode("persons").alias("person_id"), labelled.alias("genes"))
+    return (
+        carried.join(children, ["family_id", "person_id"])
+        .select("psc_id", "set_id", "sex_group", "family_id", "fvuid", "order", F.explode("genes").alias("g"))
+        .select("psc_id", "set_id", "sex_group", "family_id", "fvuid", "order", F.col("g.gene").alias("gene"),
+                F.explode("g.groups").alias("effect_group")))
 
 
 KEYS = ["psc_id", "set_id", "effect_group"]
 
 
-def _with_set(rows: DataFrame, genes: DataFrame) -> DataFrame:
-    """Marks genes of the tested set."""
-    marked = genes.select(F.upper("gene").alias("gene")).distinct().withColumn("in_set", F.lit(True))
-    return rows.join(marked, "gene", "left").withColumn("in_set", F.coalesce("in_set", F.lit(False)))
+def first_events(grouped: DataFrame) -> DataFrame:
+    """The first variant that hits a gene in a family, per person set, effect group and sex group."""
+    return grouped.groupBy(*KEYS, "sex_group", "family_id", "gene").agg(
+        F.min(F.struct("order", "fvuid")).alias("first"))
 
 
 def recurrent_genes(grouped: DataFrame) -> DataFrame:
@@ -68,23 +75,24 @@ def event_counts(grouped: DataFrame, genes: DataFrame, counter: str) -> DataFram
     """Events and overlapping events per person set, effect group and group of ``GROUPS``.
 
     ``counter`` is ``events`` (a variant counts once when it is the first to hit some gene in its
-    family) or ``genes`` (distinct genes).
+    family) or ``genes`` (distinct genes). Every first hit is one item of its sex group, and those
+    of all children are also items of the recurrent group, which keeps genes of several families;
+    so all groups come from one pass.
     """
-    if counter == "events":
-        first = grouped.groupBy(*KEYS, "sex_group", "family_id", "gene").agg(F.min("order").alias("first"))
-        per_sex = _with_set(first, genes).groupBy(*KEYS, "sex_group").agg(
-            F.count_distinct("first").alias("events"),
-            F.count_distinct(F.when(F.col("in_set"), F.col("first"))).alias("overlapped"))
-    elif counter == "genes":
-        distinct = grouped.select(*KEYS, "sex_group", "gene").distinct()
-        per_sex = _with_set(distinct, genes).groupBy(*KEYS, "sex_group").agg(
-            F.count("*").alias("events"), F.count(F.when(F.col("in_set"), 1)).alias("overlapped"))
-    else:
+    if counter not in ("events", "genes"):
         raise ValueError(f"unknown counter {counter!r}")
-    recurrent = _with_set(recurrent_genes(grouped), genes).groupBy(*KEYS).agg(
-        F.count("*").alias("events"), F.count(F.when(F.col("in_set"), 1)).alias("overlapped")
-    ).withColumn("sex_group", F.lit("rec"))
-    return per_sex.unionByName(recurrent).withColumnRenamed("sex_group", "counted")
+    wanted = genes.select(F.upper("gene").alias("gene")).distinct().withColumn("in_set", F.lit(1))
+    hits = first_events(grouped).join(wanted, "gene", "left")
+    counted_item = F.col("first.fvuid") if counter == "events" else F.col("gene")
+    items = F.array_compact(F.array(
+        F.struct(F.col("sex_group").alias("counted"), counted_item.alias("item")),
+        F.when(F.col("sex_group") == "all", F.struct(F.lit("rec").alias("counted"), F.col("gene").alias("item")))))
+    each = hits.select(*KEYS, F.coalesce("in_set", F.lit(0)).alias("in_set"), F.explode(items).alias("i"))
+    per_item = each.groupBy(*KEYS, F.col("i.counted").alias("counted"), F.col("i.item").alias("item")).agg(
+        F.count("*").alias("families"), F.max("in_set").alias("in_set"))
+    kept = per_item.filter((F.col("counted") != "rec") | (F.col("families") > 1))
+    return kept.groupBy(*KEYS, "counted").agg(
+        F.count("*").alias("events"), F.sum("in_set").alias("overlapped"))
 
 
 def full_matrix(counts: DataFrame, sets: DataFrame, effect_groups: list[str]) -> DataFrame:
@@ -127,10 +135,11 @@ def mutation_rate_test(matrix: DataFrame, rates: DataFrame, genes: DataFrame) ->
         .selectExpr("M", "F", f"stack({len(effects)}, {pairs}) AS (effect, p)")
         .groupBy("effect").agg(
             F.sum(F.col("M") * F.col("p")).alias("p_boys"), F.sum(F.col("F") * F.col("p")).alias("p_girls")))
-    totals = matrix.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("counted") == "all", F.col("events"))).alias("n_all"),
-        F.max(F.when(F.col("counted") == "rec", F.col("events"))).alias("n_rec"))
-    joined = matrix.join(totals, KEYS).join(
+    cells = W.partitionBy(*KEYS)  # the five groups of one person set and effect group
+    totals = matrix.withColumn(
+        "n_all", F.max(F.when(F.col("counted") == "all", F.col("events"))).over(cells)).withColumn(
+        "n_rec", F.max(F.when(F.col("counted") == "rec", F.col("events"))).over(cells))
+    joined = totals.join(
         sums, F.concat(F.lit("P_"), F.upper("effect_group")) == F.col("effect"), "left").fillna(0.0, ["p_boys", "p_girls"])
     male, female = F.col("p_boys") * F.col("male"), F.col("p_girls") * F.col("female")
     everyone = F.col("p_boys") * (F.col("male") + F.col("unspecified")) + female

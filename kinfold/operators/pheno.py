@@ -330,7 +330,8 @@ def numeric_histogram(values: DataFrame, column: str, bins: int = BINS) -> DataF
     widened = extent.select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    lo, hi = widened.select("lo").scalar(), widened.select("hi").scalar()
+    bounds = widened.select(F.struct("lo", "hi")).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     index = F.least(F.floor((F.col("v") - lo) * bins / (hi - lo)), F.lit(bins - 1)).cast("int")
     counts = clean.select(index.alias("bin")).groupBy("bin").agg(F.count("*").alias("bar"))
     step = (F.col("hi") - F.col("lo")) / bins

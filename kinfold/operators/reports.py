@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import codes
@@ -24,8 +25,8 @@ def people_counter_rows(counters: DataFrame) -> DataFrame:
     """Counters in long form without the rows that are zero in every set."""
     pairs = ", ".join(f"'{r}', {r}" for r in PEOPLE_ROWS)
     long = counters.selectExpr("psc_id", "set_id", f"stack({len(PEOPLE_ROWS)}, {pairs}) AS (counter, people)")
-    used = long.groupBy("psc_id", "counter").agg(F.sum("people").alias("_n")).filter("_n > 0")
-    return long.join(used.drop("_n"), ["psc_id", "counter"], "left_semi")
+    over_sets = F.sum("people").over(W.partitionBy("psc_id", "counter"))  # one row per set
+    return long.withColumn("_n", over_sets).filter("_n > 0").drop("_n")
 
 
 def family_types(ped: DataFrame, sets: DataFrame) -> DataFrame:
@@ -95,15 +96,18 @@ def denovo_report(denovo: DataFrame, sets: DataFrame, labels: list[str]) -> Data
         .select("psc_id", "set_id", "fvuid", "family_id", "person_id", F.explode("labels").alias("effect")))
     counted = events.groupBy("psc_id", "set_id", "effect").agg(
         F.count_distinct("fvuid").alias("events"), F.count_distinct("person_id").alias("with_event"))
-    columns = counted.select("psc_id", "set_id").distinct()
-    used = counted.select("psc_id", "effect").distinct()
-    grid = sizes.join(columns, ["psc_id", "set_id"], "left_semi").join(used, "psc_id")
     events_n, kids_n = F.coalesce("events", F.lit(0)), F.coalesce("with_event", F.lit(0))
-    return grid.join(counted, ["psc_id", "set_id", "effect"], "left").select(
-        "psc_id", "set_id", "effect", "children",
-        events_n.alias("number_of_observed_events"), kids_n.alias("number_of_children_with_event"),
-        (events_n / F.col("children")).alias("observed_rate_per_child"),
-        (kids_n / F.col("children")).alias("percent_of_children_with_events"))
+    grid = sizes.withColumn("effect", F.explode(F.array(*[F.lit(label) for label in labels]))).join(
+        counted, ["psc_id", "set_id", "effect"], "left").select(
+        "psc_id", "set_id", "effect", "children", events_n.alias("number_of_observed_events"),
+        kids_n.alias("number_of_children_with_event"))
+    # the grid has one row per set and label, both from the configuration
+    seen = F.sum("number_of_observed_events")
+    used = grid.withColumn("_column", seen.over(W.partitionBy("psc_id", "set_id"))).withColumn(
+        "_row", seen.over(W.partitionBy("psc_id", "effect"))).filter("_column > 0 AND _row > 0").drop("_column", "_row")
+    return used.withColumn(
+        "observed_rate_per_child", F.col("number_of_observed_events") / F.col("children")).withColumn(
+        "percent_of_children_with_events", F.col("number_of_children_with_event") / F.col("children"))
 
 
 def as_json(report: DataFrame) -> DataFrame:

@@ -145,22 +145,29 @@ def allele_frequencies(calls: DataFrame, n_founders: DataFrame) -> DataFrame:
     Only families without an unknown copy count. ``n_founders`` is a one-row table with the number
     of founders of the pedigree in column ``founders``.
     """
-    counted = calls.filter(~genotypes.any_unknown(F.col("members")))
+    members = F.col("members")
     founders = F.filter("members", lambda m: m["founder"])
     copies = F.flatten(F.transform(founders, lambda m: F.array(m["a1"], m["a2"])))
-    pre = counted.select(*KEY, F.size(founders).alias("called"), copies.alias("copies"))
-    called = pre.groupBy(*KEY).agg(F.sum("called").alias("af_parents_called_count"))
-    per_allele = (
-        pre.select(*KEY, F.explode("copies").alias("allele_index")).filter("allele_index >= 0")
-        .groupBy(*KEY, "allele_index").agg(F.count("*").alias("af_allele_count"))
-        .groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("allele_index", "af_allele_count"))).alias("_counts")))
+
+    def counts(seen: Column) -> Column:
+        """The reference allele, which also carries the number of founders, and every other allele seen."""
+        listed = F.array_union(F.array(F.lit(0)), F.filter(seen, lambda a: a > 0))
+        return F.transform(listed, lambda a: F.struct(
+            a.alias("allele_index"), F.size(F.filter(seen, lambda c: c == a)).alias("n"),
+            F.when(a == 0, F.size(founders)).otherwise(0).alias("called")))
+
+    nothing = F.array().cast("array<struct<allele_index:int,n:int,called:int>>")
+    rows = calls.select(*KEY, F.explode(
+        F.when(genotypes.any_unknown(members), nothing).otherwise(codes.bind(copies, counts))).alias("c"))
+    per_allele = rows.groupBy(*KEY, F.col("c.allele_index").alias("allele_index")).agg(
+        F.sum("c.n").alias("af_allele_count"), F.sum("c.called").alias("called"))
     total = n_founders.select("founders").scalar()
-    return (
-        called.join(per_allele, KEY, "left")
-        .select(
-            *KEY, "af_parents_called_count",
-            F.when(total > 0, 100.0 * F.col("af_parents_called_count") / total).otherwise(0.0).alias("af_parents_called_percent"),
-            F.coalesce("_counts", F.create_map().cast("map<int,bigint>")).alias("_counts")))
+    return per_allele.groupBy(*KEY).agg(
+        F.sum("called").alias("af_parents_called_count"),
+        F.map_from_entries(F.collect_list(F.struct("allele_index", "af_allele_count"))).alias("_counts")).select(
+        *KEY, "af_parents_called_count",
+        F.when(total > 0, 100.0 * F.col("af_parents_called_count") / total).otherwise(0.0).alias("af_parents_called_percent"),
+        "_counts")
 
 
 def with_frequency(alleles_df: DataFrame, frequencies: DataFrame) -> DataFrame:

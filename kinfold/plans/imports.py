@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.bins import Partitioning
 from kinfold.operators import pedigree, variants
 from kinfold.plans.study import Study
+from kinfold.session import written
 
 NO_EFFECT = "array(named_struct('effect_gene_symbols', CAST(NULL AS STRING), 'effect_types', CAST(NULL AS STRING)))"
 
@@ -15,7 +16,7 @@ NO_EFFECT = "array(named_struct('effect_gene_symbols', CAST(NULL AS STRING), 'ef
 def build_study(
     sites: DataFrame, calls: DataFrame, ped: DataFrame, partitioning: Partitioning = Partitioning(),
     annotations: DataFrame | None = None, gene_models: DataFrame | None = None, frequencies: bool = True,
-    include_reference: bool = False, **modes,
+    include_reference: bool = False, scratch: str | None = None, **modes,
 ) -> Study:
     """Alleles, frequencies, counters and annotations of called family genotypes.
 
@@ -23,7 +24,12 @@ def build_study(
     ``effect_gene``; alleles without effects get one pair of missing values. ``frequencies`` is
     switched off for de-novo sources, whose frequency columns stay missing. Other keywords go to
     ``variants.family_alleles``.
+
+    Sites and calls feed several tables. With ``scratch``, a new path in the shared folder (see
+    ``session.scratch_dir``), both are written there first, so files are parsed once.
     """
+    if scratch is not None:
+        sites, calls = written(sites, f"{scratch}/sites"), written(calls, f"{scratch}/calls")
     fa = variants.family_alleles(calls, include_reference=include_reference, **modes)
     sa = variants.summary_alleles(sites, include_reference)
     if annotations is not None:

@@ -72,7 +72,9 @@ def write_study(study: Study, path: str, metadata: dict[str, str] | None = None)
     part = study.partitioning
     pedigree_files.stored(study.pedigree, part.family_bins).write.mode("errorifexists").parquet(f"{path}/pedigree")
     _write(with_summary_bins(study.summary, part), f"{path}/summary", part.summary_columns)
-    _write(with_family_bins(study.family, study.summary, part), f"{path}/family", part.family_columns)
+    # the bins of family rows need columns of the summary: read what was just written
+    summary = spark.read.parquet(f"{path}/summary")
+    _write(with_family_bins(study.family, summary, part), f"{path}/family", part.family_columns)
     write_metadata(spark, f"{path}/meta", metadata or {})
 
 

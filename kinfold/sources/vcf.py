@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import pedigree, variants
+from kinfold.session import written
 
 FIXED_COLUMNS = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 FIRST_SAMPLE = len(FIXED_COLUMNS)
@@ -111,19 +112,22 @@ def merged(batches: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataF
 
 def to_study_inputs(
     site_rows: DataFrame, call_rows: DataFrame, ped: DataFrame, fill: int = -1, bucket_index: int = 1,
-    transmission_type: int = 1,
+    transmission_type: int = 1, scratch: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(sites, calls)`` as the variant operators take them.
 
     Sample calls are shuffled once, to their family and site; the family's member array, with
     ``fill`` (-1 unknown, 0 reference) for members without a call, is joined to the grouped rows.
     Families without any sample at a site do not appear: they are all unknown, or all reference
-    when filled.
+    when filled. With ``scratch`` the numbered sites are written there once, as they are needed on
+    both sides.
     """
     bucketed = site_rows.withColumn("bucket_index", F.lit(bucket_index))
     sites = variants.running_index(
         bucketed, "bucket_index", "position", ["chromosome", "occurrence"], "summary_index").withColumn(
         "end_position", F.lit(None).cast("int")).withColumn("transmission_type", F.lit(transmission_type))
+    if scratch is not None:
+        sites = written(sites, f"{scratch}/numbered")
     owners = pedigree.members(ped).select("family_id", "person_id", "sample_id")
     by_family = call_rows.join(owners, "sample_id").groupBy(*SITE, "family_id").agg(
         F.map_from_entries(F.collect_list(F.struct("person_id", F.struct("a1", "a2")))).alias("_gt"))
@@ -143,6 +147,7 @@ def to_study_inputs(
 def read(
     spark: SparkSession, batches: list[list[str]], ped: DataFrame, fill: int = -1,
     fixed_pedigree: bool = True, prefix: str | None = None, add_prefix: bool = True,
+    scratch: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sites, family calls and the matched pedigree of VCF files.
 
@@ -159,5 +164,5 @@ def read(
     all_samples = reduce(DataFrame.union, sample_tables)
     matched = pedigree.match_samples(ped, all_samples, fixed_pedigree)
     site_rows, call_rows = merged(tables)
-    sites, calls = to_study_inputs(site_rows, call_rows, matched, fill)
+    sites, calls = to_study_inputs(site_rows, call_rows, matched, fill, scratch=scratch)
     return sites, calls, matched
