@@ -397,3 +397,16 @@ def u03_ids_in_all_filters(spark, sf):
         filters.persons_with_value(ped, "role", ["prb"])])
 
 
+
+
+@register("j02_alleles_of_tagged_families", "SELECT count(*) AS alleles FROM fa WHERE family_id IN (SELECT family_id FROM ped GROUP BY 1 HAVING count(*) FILTER (WHERE status = 2) > 1)")
+def j02_alleles_of_tagged_families(spark, sf):
+    """A tag is held by every member; each family row is still kept once."""
+    chosen = pedigree.tagged_family_ids(pedigree.family_tags(derive.ped(spark, sf)), ["tag_multiplex_family"], None)
+    return derive.family(spark, sf).join(chosen, "family_id", "left_semi").agg(F.count("*").alias("alleles"))
+
+
+@register("u04_rows_of_kept_families", "SELECT person_id FROM ped WHERE family_id NOT IN (SELECT family_id FROM ped WHERE segment = 'AUTOMOBILE')")
+def u04_rows_of_kept_families(spark, sf):
+    ped = derive.ped(spark, sf)
+    return pedigree.without_families(ped, ped.filter("segment = 'AUTOMOBILE'").select("family_id").distinct()).select("person_id")

@@ -152,28 +152,38 @@ def zygosity_by(carrier_structs: Column, bit_field: str, skip_unspecified: bool
     return F.aggregate(carrier_structs, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(bits(m)))
 
 
+def _within(members: Column, low: int, high: int) -> Column:
+    """Every copy of every member lies in a range; true for no members."""
+    sides = [members["a1"], members["a2"]]
+    tests = [(F.array_min(x) >= low) & (F.array_max(x) <= high) for x in sides]
+    return F.coalesce(tests[0] & tests[1], F.lit(True))
+
+
+def _contains(members: Column, code: int) -> Column:
+    return F.array_contains(members["a1"], code) | F.array_contains(members["a2"], code)
+
+
 def all_reference(members: Column) -> Column:
-    return F.forall(members, lambda m: (m["a1"] == 0) & (m["a2"] == 0))
+    return _within(members, 0, 0)
 
 
 def reference_or_unknown(members: Column) -> Column:
     """No copy other than reference or unknown, with a reference copy somewhere."""
-    return F.forall(members, lambda m: m["a1"].isin(0, -1) & m["a2"].isin(0, -1)) & F.exists(
-        members, lambda m: (m["a1"] == 0) | (m["a2"] == 0))
+    return _within(members, -1, 0) & _contains(members, 0)
 
 
 def any_unknown(members: Column) -> Column:
-    return F.exists(members, is_unknown)
+    return _contains(members, codes.UNKNOWN_CALL)
 
 
 def all_unknown(members: Column) -> Column:
-    return F.forall(members, lambda m: (m["a1"] == -1) & (m["a2"] == -1))
+    return _within(members, -1, -1)
 
 
 def alleles_present(members: Column) -> Column:
     """Alternative allele indexes seen in the family, ascending."""
-    copies = F.flatten(F.transform(members, lambda m: F.array(m["a1"], m["a2"])))
-    return F.array_sort(F.array_distinct(F.filter(copies, lambda a: a > 0)))
+    copies = F.concat(members["a1"], members["a2"])
+    return F.sort_array(F.array_distinct(F.filter(copies, lambda a: a > 0)))
 
 
 # ---- ploidy and best state ------------------------------------------------------------------

@@ -222,12 +222,14 @@ def carried_by(ids: list[str]) -> Column:
 
 
 def carried_by_table(alleles: DataFrame, persons: DataFrame) -> DataFrame:
-    """Any carrier in a person table; rows stay single."""
-    keys = ["person_id"] + (["family_id"] if "family_id" in persons.columns else [])
-    carriers = alleles.select(
-        "sj_index", "family_id", F.explode("allele_in_members").alias("person_id"))
-    hits = carriers.join(persons.select(*keys), keys, "left_semi").select("sj_index", "family_id")
-    return alleles.join(hits, ["sj_index", "family_id"], "left_semi")
+    """Any carrier among the persons ``(family_id, person_id)``.
+
+    The wanted persons of a family become one array, so the family rows are joined once on the
+    family and compared in place; nothing is unfolded.
+    """
+    wanted = persons.groupBy("family_id").agg(F.collect_set("person_id").alias("_wanted"))
+    return alleles.join(wanted, "family_id").filter(
+        F.arrays_overlap("allele_in_members", "_wanted")).drop("_wanted")
 
 
 def pedigree_matches(

@@ -126,8 +126,7 @@ def family_alleles(
     mask = genotypes.bit_or_of(F.col("inheritance_by_member"))
     return classed.select(
         *[c for c in calls.columns if c != "members"], "allele_index", sj_index().alias("sj_index"),
-        F.transform(members, lambda m: m["person_id"]).alias("member_ids"),
-        F.transform(carrier, lambda m: m["person_id"]).alias("allele_in_members"),
+        members["person_id"].alias("member_ids"), carrier["person_id"].alias("allele_in_members"),
         genotypes.attribute_mask(carrier, "role").alias("allele_in_roles"),
         genotypes.attribute_mask(carrier, "sex").alias("allele_in_sexes"),
         genotypes.attribute_mask(carrier, "status").alias("allele_in_statuses"),
@@ -147,7 +146,7 @@ def allele_frequencies(calls: DataFrame, n_founders: DataFrame) -> DataFrame:
     """
     members = F.col("members")
     founders = F.filter("members", lambda m: m["founder"])
-    copies = F.flatten(F.transform(founders, lambda m: F.array(m["a1"], m["a2"])))
+    copies = F.concat(founders["a1"], founders["a2"])
 
     def counts(seen: Column) -> Column:
         """The reference allele, which also carries the number of founders, and every other allele seen."""

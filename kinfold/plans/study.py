@@ -158,7 +158,10 @@ def family_query(
         chosen = pedigree.tagged_family_ids(tag_table, selected_tags, deselected_tags, tags_or_mode)
         rows = rows.join(chosen, "family_id", "left_semi")
     if isinstance(person_ids, DataFrame):
-        rows = filters.carried_by_table(rows, person_ids)
+        persons = person_ids
+        if "family_id" not in persons.columns:  # a person may be in several families
+            persons = study.pedigree.select("family_id", "person_id").join(person_ids, "person_id", "left_semi")
+        rows = filters.carried_by_table(rows, persons)
     return rows
 
 
