@@ -6,6 +6,7 @@ result is handed to Spark SQL, which applies the precedence ``not`` > ``and`` >
 
 from __future__ import annotations
 
+import ast
 import re
 
 from pyspark.sql import Column
@@ -56,17 +57,32 @@ def flag_expr(text: str, column: str, names: dict[str, int], zygosity_column: st
 
 
 def matches(text: str, value: int, names: dict[str, int]) -> bool:
-    """Whether a plain integer satisfies a flag expression; zygosities are ignored."""
+    """Whether a plain integer satisfies a flag expression; zygosities are ignored.
+
+    With names replaced by their truth the text is a Python boolean expression of the same
+    precedence; only its ``and``, ``or``, ``not`` and constants are accepted.
+    """
     known = {name.lower(): code for name, code in names.items()}
 
     def truth(match: re.Match) -> str:
         word = match[0].lower()
         return word if word in _KEYWORDS else str(bool(known[word] & value))
 
-    python_text = _NAME.sub(truth, _expand_lists(without_zygosity(text)))
-    if re.search(r"[^\sA-Za-z()]", python_text):
+    def holds(node: ast.AST) -> bool:
+        match node:
+            case ast.Expression(body=body):
+                return holds(body)
+            case ast.BoolOp(op=ast.And(), values=values):
+                return all([holds(v) for v in values])
+            case ast.BoolOp(op=ast.Or(), values=values):
+                return any([holds(v) for v in values])
+            case ast.UnaryOp(op=ast.Not(), operand=operand):
+                return not holds(operand)
+            case ast.Constant(value=bool() as constant):
+                return constant
         raise ValueError(f"not a flag expression: {text!r}")
-    return bool(eval(python_text, {"__builtins__": {}}))  # only True/False/and/or/not/() remain
+
+    return holds(ast.parse(_NAME.sub(truth, _expand_lists(without_zygosity(text))).strip(), mode="eval"))
 
 
 def with_zygosity(text: str, zygosity: str) -> str:

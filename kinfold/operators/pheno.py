@@ -383,7 +383,11 @@ def role_distribution(values: DataFrame, measure_id: str, merge_parents: bool =
 def category_counts(
     values: DataFrame, measure_id: str, natural_order: bool = False, most: int = MAX_CATEGORIES,
 ) -> DataFrame:
-    """The most frequent categories with their rank, or all categories in numeric order."""
+    """The most frequent categories with their rank, or all categories in numeric order.
+
+    The numeric order is for ordinal measures, which by classification have fewer values than
+    ``Inference.continuous_rank``; the ranks are given over at most that many rows.
+    """
     counts = values.groupBy(F.col(f"`{measure_id}`").alias("value")).agg(F.count("*").alias("n"))
     if natural_order:
         ranked = counts.orderBy(F.col("value").cast("double"))
