@@ -33,12 +33,13 @@ def scratch_dir(spark: SparkSession) -> str:
     The folder is the session's ``spark.checkpoint.dir``. Only a local session without that
     setting falls back to a temporary folder of the machine, which is then also the whole cluster.
     """
+    import re
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="kinfold-")
     return f"{base.rstrip('/')}/kinfold-{uuid.uuid4().hex}"

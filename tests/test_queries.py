@@ -39,4 +39,4 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_points():
     import __spark_entry__
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(__spark_entry__.queries()) == len(QUERIES) and len(ORACLES) > 200
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and len(ORACLES) > 200
