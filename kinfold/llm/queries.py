@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import curriculum, hash_tree, url_expressions
+from kinfold.llm import curriculum, hash_tree, quality_trees, toxicity_ordinal, url_expressions
 from kinfold.llm.common import table, utf8_size, words_in
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,17 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = curriculum.plan(narrow).withColumn("first_position", F.try_element_at("occurrences", F.lit(1))["position"])
     ordered = curriculum.in_order(planned, "first_position", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register()
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; rejected from ``REJECT_AT`` on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_ordinal.graded(docs, table(spark, sf_dir, "labels"), keep_text=False)
+
+
+@register()
+def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_trees.screened(docs, table(spark, sf_dir, "labels"), keep_text=False)
