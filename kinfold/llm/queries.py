@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import curriculum, hash_tree, quality_trees, toxicity_ordinal, url_expressions
+from kinfold.llm import curriculum, hash_tree, quality_trees, simhash_gray, toxicity_ordinal, url_expressions
 from kinfold.llm.common import table, utf8_size, words_in
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,9 @@ def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_trees.screened(docs, table(spark, sf_dir, "labels"), keep_text=False)
+
+
+@register()
+def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    return simhash_gray.groups(table(spark, sf_dir, "documents"))
