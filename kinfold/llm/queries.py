@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinfold.llm import curriculum, hash_tree, quality_trees, simhash_gray, toxicity_ordinal, url_expressions
+from kinfold.llm import curriculum, hash_tree, quality_trees, radix_windows, simhash_gray, toxicity_ordinal, url_expressions
 from kinfold.llm.common import table, utf8_size, words_in
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +118,17 @@ def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash_gray.groups(table(spark, sf_dir, "documents"))
+
+
+def _removal_digest(data: bytes, spans: np.ndarray) -> tuple[Any, ...]:
+    kept = radix_windows.rest(data, spans)
+    return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+
+
+@register()
+def op10_radix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and spans removed from every document and the digest of the rest."""
+    finished = T.StructType([
+        T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
+        T.StructField("kept_sha256", T.StringType())])
+    return radix_windows.strip(table(spark, sf_dir, "documents").select("doc_id", "text"), _removal_digest, finished)
