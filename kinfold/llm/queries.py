@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm import curriculum, hash_tree, quality_trees, radix_windows, simhash_gray, toxicity_ordinal, url_expressions
+from kinfold.llm import (
+    curriculum, hash_tree, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, token_rollup, toxicity_ordinal,
+    url_expressions)
 from kinfold.llm.common import table, utf8_size, words_in
+from kinfold.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +135,16 @@ def op10_radix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType())])
     return radix_windows.strip(table(spark, sf_dir, "documents").select("doc_id", "text"), _removal_digest, finished)
+
+
+@register()
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents, revised texts without repeated lines, exact copies deleted."""
+    rollup = token_rollup.Rollup(spark, scratch_dir(spark))
+    return token_rollup.history(rollup, table(spark, sf_dir, "documents")).totals()
+
+
+@register()
+def op2_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    return sentencepiece_trie.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
