@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.session import scratch_dir, written
 
@@ -64,6 +66,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
         yield batch.slice(first)
 
 
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    return to_arrow_type(kind)
+
+
 def batch_of(columns: dict[str, Any], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of the named columns in the order of ``schema``."""
     return pa.RecordBatch.from_arrays(

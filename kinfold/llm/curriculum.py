@@ -80,6 +80,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: i
         .select("source", "rank", "source_size", "target", "schedule"))
 
 
+def _stream_columns() -> tuple[Column, Column, Column]:
+    md5 = F.md5(F.coalesce(column("doc_id").cast("string"), F.lit("")))
+    return F.coalesce(column("size"), F.lit(0)).cast("long"), md5, F.substring(md5, 1, BLOCK_DIGITS)
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """source, block and size of every document (doc_id, source, size): what totals and offsets are summed from."""
+    size, _, block = _stream_columns()
+    return docs.select(column("source").alias("source"), block.alias("block"), size.alias("size"))
+
+
 def plan(
         docs: DataFrame, sizes: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, most_epochs: int = MOST_EPOCHS,
         schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, order: Sequence[str] = ()) -> DataFrame:
@@ -89,24 +100,23 @@ def plan(
     when its offset in the stream is below the target; ``words`` are its words up to the target, so only the last document
     of a stream counts in part and a source's words come to its target, rounded. Documents without words never occur. Equal
     ids are ordered by size and the ``order`` columns; rows equal in all of these are interchangeable. A null id or source
-    is one like any other; a null size is 0. Columns with the name of a new one are replaced. ``sizes`` (source, md5, size)
-    is what totals are summed from, if it is at hand as a narrow table.
+    is one like any other; a null size is 0. Columns with the name of a new one are replaced. ``sizes`` is ``narrow(docs)``,
+    if it is at hand as a written table.
     """
     knots = [tuple(s) for s in schedules]
     docs = without(docs, "source_size", "target", "taken", "occurrences")
-    size = F.coalesce(column("size"), F.lit(0)).cast("long")
-    md5 = F.md5(F.coalesce(column("doc_id").cast("string"), F.lit("")))
+    size, md5, block = _stream_columns()
     rows = docs.select(
         F.struct(*[column(c) for c in docs.columns]).alias("row"), column("source").alias("source"), size.alias("size"), md5.alias("md5"),
-        F.substring(md5, 1, BLOCK_DIGITS).alias("block"), F.struct(md5.alias("md5"), column("doc_id"), size.alias("size"), *[column(c) for c in order]).alias("by"))
-    narrow = rows.select("source", "block", "size") if sizes is None else sizes
+        block.alias("block"), F.struct(md5.alias("md5"), column("doc_id"), size.alias("size"), *[column(c) for c in order]).alias("by"))
+    sizes = narrow(docs) if sizes is None else sizes
     shared = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    goals = targets(narrow, weights, most_epochs, len(knots))
+    goals = targets(sizes, weights, most_epochs, len(knots))
     for k in range(len(knots)):
         goals = goals.withColumn(f"all_{k}", F.sum(F.when(F.col("schedule") == k, F.col("target")).otherwise(0.0)).over(shared))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        narrow.groupBy("source", "block").agg(F.sum("size").alias("n"))
+        sizes.groupBy("source", "block").agg(F.sum("size").alias("n"))
         .select("source", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
     starts = blocks.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source")), "left") \
         .withColumnRenamed("source", "start_source").withColumnRenamed("block", "start_block")

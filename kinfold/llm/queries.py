@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 from typing import Any
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm import (
-    curriculum, hash_tree, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, token_rollup, toxicity_ordinal,
+    curriculum, hash_tree, media_chunks, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, token_rollup, toxicity_ordinal,
     url_expressions)
 from kinfold.llm.common import table, utf8_size, words_in
 from kinfold.session import scratch_dir
@@ -148,3 +149,22 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and whether they decode to its text."""
     return sentencepiece_trie.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+def _media_digest(data: bytes, recipe: list[tuple[bytes, int]], n_bytes: int) -> tuple[Any, ...]:
+    """Digests of the payload and of its stored form (recipe and chunks), and the mean and entropy of its samples."""
+    share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+    seen = share[share > 0]
+    form = media_chunks.serialized(recipe)
+    return (
+        n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(form) + len(data),
+        hashlib.sha256(form + data).hexdigest(),
+        f"chunks={len(recipe)};mean={(share * np.arange(256)).sum():.3f};entropy={-(seen * np.log2(seen)).sum():.3f}")
+
+
+@register()
+def op5_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as chunks, read back and digested."""
+    finished = T.StructType.fromDDL(
+        "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media_chunks.read(media_chunks.store(table(spark, sf_dir, "documents").select("doc_id", "text")), _media_digest, finished)

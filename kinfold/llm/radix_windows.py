@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import column, cut, pieces, without
+from kinfold.llm.common import arrow_type, column, cut, pieces, without
 
 #: Bytes that make a repeated passage, bytes of a leader, windows of a block.
 THRESHOLD, LEADER, BLOCK = 200, 64, 16
@@ -283,7 +283,7 @@ def strip(docs: DataFrame, finish: Finish = kept_text, finished: T.StructType =
             null = lambda c: pc.if_else(keep, c, pa.scalar(None, c.type))
             lists = [pa.array([x if w else None for w, x in zip(waits.tolist(), batch.column(n).to_pylist())], batch.column(n).type) for n in ("ranges", "open")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), batch.column("crc"), null(batch.column("packed")), *lists, pa.array(made, _arrow(finished))],
+                [batch.column("row"), batch.column("id"), batch.column("crc"), null(batch.column("packed")), *lists, pa.array(made, arrow_type(finished))],
                 names=["row", "id", "crc", "packed", "ranges", "open", "made"])
 
     visited = cut(
@@ -310,7 +310,7 @@ def strip(docs: DataFrame, finish: Finish = kept_text, finished: T.StructType =
             made = [
                 dict(zip(finished.names, finish(unpack(z.as_py()), covered(np.concatenate([a, b])))))
                 for z, a, b in zip(batch.column("packed"), known, more)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, _arrow(finished))], names=["row", "made"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, arrow_type(finished))], names=["row", "made"])
 
     ended = _beside(waiting.drop("open", "made"), later).select("row", "packed", "ranges", "more").mapInArrow(end, T.StructType([row_type, made_type]))
     return done.unionAll(ended).select("row.*", "made.*")
@@ -326,8 +326,3 @@ def _same_key() -> Any:
 
 def _beside(texts: DataFrame, found: DataFrame) -> DataFrame:
     return texts.join(_renamed(found), _same_key(), "left")
-
-
-def _arrow(schema: T.StructType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(schema)
