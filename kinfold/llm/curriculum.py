@@ -127,7 +127,7 @@ def plan(
     def occurrence(epoch: Column) -> Column:
         begins = epoch * F.col("source_size") + offset
         words = F.least(F.col("size"), F.greatest(goal - begins, F.lit(0).cast("long")))
-        part = begins / F.col("target")
+        part = F.try_divide(begins.cast("double"), "target")  # a target of 0 takes nothing
         time = None
         for k, course in enumerate(knots):
             time = F.when(F.col("schedule") == k, due(part, course)) if time is None else time.when(F.col("schedule") == k, due(part, course))
