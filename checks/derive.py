@@ -16,8 +16,7 @@ from kinfold.plans.study import Study
 PAR = [("chrX", 1, 40_000)]
 PARTITIONING = bins.Partitioning(
     region_length=100_000, chromosomes=("chr1", "chr2", "chr3"), rare_boundary=5.0,
-    coding_effects=bins.coding_effects(["coding"]), family_bins=8, longest_event=5_000,
-    chromosome_lengths={})
+    coding_effects=bins.coding_effects(["coding"]), family_bins=8)
 EFFECT_OF_TYPE = {
     "STANDARD": "missense", "PROMO": "synonymous", "SMALL": "nonsense",
     "MEDIUM": "frame-shift", "ECONOMY": "splice-site", "LARGE": "intergenic",
@@ -252,7 +251,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Study:
         store.write_study(
             Study(full.pedigree, full.summary, full.family, PARTITIONING), path, {"source": "derived", "bins": "100000"})
         _STORED[key] = path
-    return store.read_study(spark, _STORED[key], PARTITIONING)
+    return store.read_study(spark, _STORED[key])
 
 
 def stored_path(spark: SparkSession, sf_dir: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import derive
 from checks.registry import register
 from checks.variant_queries import PICK, RB, ROWS_SQL, folded, rows
-from kinfold.functions import alleles, genotypes
+from kinfold.functions import alleles, bins, genotypes
 from kinfold.operators import filters, pedigree
 from kinfold.plans import gene_profiles, imports
 from kinfold.plans import study as plan
@@ -86,14 +86,39 @@ def r03_ultra_rare_pruning(spark, sf):
     return rows(plan.query_variants(derive.stored(spark, sf), ultra_rare=True))
 
 
-@register("r08_gene_region_pruning", ROWS_SQL.format("gene IN ('Brand#3', 'Brand#8') OR gene2 IN ('Brand#3', 'Brand#8')"))
-def r08_gene_region_pruning(spark, sf):
-    """Gene extents of the queried symbols become region bins."""
-    by_brand = derive.sites(spark, sf).select(
-        F.explode(F.transform("effect_gene", lambda g: g["effect_gene_symbols"])).alias("gene"),
-        F.col("chromosome").alias("chrom"), F.col("position").cast("long").alias("cds_start"), F.col("end_position").cast("long").alias("cds_end"))
-    return rows(plan.query_variants(
-        replace(derive.stored(spark, sf), gene_models=by_brand), genes=["Brand#3", "Brand#8"]))
+def of_genes(names):
+    return "gene IN ({0}) OR gene2 IN ({0})".format(", ".join(f"'{n}'" for n in names))
+
+
+FEW_GENES, MANY_GENES = ["Brand#3", "Brand#8", "no such gene"], [f"Brand#{i}" for i in range(1, 26)] + ["no such gene"]
+# bins come from the genes stored with the study, whatever their number and whether they are stored at all
+pruned("r08_gene_region_pruning", of_genes(FEW_GENES), genes=FEW_GENES)
+pruned("p05_pruning_by_many_genes", of_genes(MANY_GENES), genes=MANY_GENES)
+pruned("p15_pruning_unknown_class", "(inheritance & 256) <> 0", inheritance="unknown")
+pruned("p15_pruning_omission", "(inheritance & 16) <> 0", inheritance="omission")
+pruned("p42_pruning_denovo_or_other", "(inheritance & 4) <> 0 AND (inheritance & 2) = 0", inheritance=["denovo", "not mendelian"])
+
+
+def datasets(spark, sf):
+    """The stored study, the same alleles in bins of another length, and unpartitioned, as one dataset."""
+    stored = derive.stored(spark, sf)
+    plain = stored.summary.drop(*derive.PARTITIONING.family_columns), stored.family.drop(*derive.PARTITIONING.family_columns)
+    other = bins.Partitioning(region_length=20_000, chromosomes=("chr1", "chr2"), integer_region_bins=True)
+    path = scratch_dir(spark)
+    store.write_study(plan.Study(stored.pedigree, *plain, other), path)
+    return plan.union_studies({"a": stored, "b": store.read_study(spark, path), "c": plan.Study(stored.pedigree, *plain)})
+
+
+@register("u01_differently_partitioned_studies", "SELECT study_id, r.* FROM (" + ROWS_SQL.format(
+    "chromosome = 'chr3' AND end_position >= 10000 AND position <= 90000 AND effect = 'missense'") + ") r CROSS JOIN (VALUES ('a'), ('b'), ('c')) t(study_id)")
+def u01_differently_partitioned_studies(spark, sf):
+    found = plan.query_variants(datasets(spark, sf), regions=[filters.Region("chr3", 10_000, 90_000)], effect_types=["missense"])
+    return rows(found, "study_id")
+
+
+@register("a07_smallest_study_of_shared_variants", "SELECT 'a' AS study_id, r.* FROM (" + ROWS_SQL.format("effect = 'nonsense'") + ") r")
+def a07_smallest_study_of_shared_variants(spark, sf):
+    return rows(plan.query_variants(datasets(spark, sf), effect_types=["nonsense"], unique=True), "study_id")
 
 
 @register("d33_reannotated_study", "SELECT s::BIGINT AS s, ai::BIGINT AS ai, CASE WHEN NOT cnv THEN size::BIGINT * 10 END AS depth FROM summary")
@@ -103,7 +128,7 @@ def d33_reannotated_study(spark, sf):
         "chromosome", "position", "reference", "alternative", "depth")
     target = scratch_dir(spark)
     store.reannotate(derive.stored(spark, sf), notes, target, drop=["score", "label"])
-    return store.read_study(spark, target, derive.PARTITIONING).summary.select(
+    return store.read_study(spark, target).summary.select(
         F.col("summary_index").alias("s"), F.col("allele_index").alias("ai"), "depth")
 
 

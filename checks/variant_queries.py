@@ -14,9 +14,9 @@ from kinfold.plans import study as plan
 LGDS = "('frame-shift', 'nonsense', 'splice-site', 'no-frame-shift-newStop')"
 
 
-def rows(df):
+def rows(df, *more):
     """Identity columns of family alleles."""
-    return df.select("family_id", "location", "allele_index", F.array_join("allele_in_members", ";").alias("carriers"))
+    return df.select(*more, "family_id", "location", "allele_index", F.array_join("allele_in_members", ";").alias("carriers"))
 
 
 ROWS_SQL = "SELECT family_id, location, ai::BIGINT AS allele_index, carriers FROM v WHERE {}"

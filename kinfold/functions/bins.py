@@ -11,6 +11,8 @@ from kinfold.functions import codes
 
 INTEGER_BIN_STRIDE = 10_000
 INTEGER_OTHER_BIN = 10_000_000
+#: Rows longer than a bin are apart from the others, so that those reach into the next bin at most.
+LONG = "long"
 
 
 @dataclass(frozen=True)
@@ -23,7 +25,6 @@ class Partitioning:
     rare_boundary: float = 0.0
     coding_effects: tuple[str, ...] = ()
     family_bins: int = 0
-    longest_event: int = 0  # longest end_position - position stored, see ``region_bins_of``
     chromosome_lengths: dict = field(default_factory=dict)
 
     @property
@@ -44,13 +45,17 @@ class Partitioning:
             return str(INTEGER_OTHER_BIN + index)
         return f"{chrom if chrom in self.chromosomes else 'other'}_{index}"
 
-    def region_bins_of(self, chrom: str, start: int | None, stop: int | None) -> list[str]:
-        """Bins a region touches.
+    def long_bin_name(self, chrom: str) -> str:
+        """The bin of a chromosome's rows that are longer than a bin."""
+        if self.integer_region_bins:
+            if chrom in self.chromosomes:
+                return str(self.chromosomes.index(chrom) * INTEGER_BIN_STRIDE + INTEGER_BIN_STRIDE - 1)
+            return str(INTEGER_OTHER_BIN - 1)
+        return f"{chrom if chrom in self.chromosomes else 'other'}_{LONG}"
 
-        Rows are binned by start position, so the range is widened to the left by the longest
-        stored event: a copy-number row that starts in an earlier bin and reaches in is kept.
-        """
-        first = max((start or 1) - self.longest_event, 1)
+    def region_bins_of(self, chrom: str, start: int | None, stop: int | None) -> list[str]:
+        """Bins of the positions of a region."""
+        first = max(start or 1, 1)
         last = stop or self.chromosome_lengths.get(chrom) or first
         if chrom in self.chromosome_lengths:
             last = min(last, self.chromosome_lengths[chrom])
@@ -80,6 +85,16 @@ def region_bin(chrom: Column, pos: Column, partitioning: Partitioning) -> Column
     return F.concat(F.when(listed, chrom).otherwise(F.lit("other")), F.lit("_"), index.cast("string"))
 
 
+def row_region_bin(chrom: Column, pos: Column, end: Column, partitioning: Partitioning) -> Column:
+    """Directory name of a row: the bin of its start, or its chromosome's bin of long rows."""
+    listed = F.when(F.lit(False), F.lit(""))
+    for name in partitioning.chromosomes:
+        listed = listed.when(chrom == name, partitioning.long_bin_name(name))
+    return F.when(
+        F.coalesce(end, pos) - pos >= partitioning.region_length, listed.otherwise(partitioning.long_bin_name(""))
+    ).otherwise(region_bin(chrom, pos, partitioning))
+
+
 def region_bins(chrom: Column, start: Column, stop: Column, partitioning: Partitioning) -> Column:
     """Array of the bins between two positions."""
     length = partitioning.region_length

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,17 +121,9 @@ def variant_type(text: str, column: str = "variant_type") -> Column:
     return flag_expr(text, column, {**codes.ALLELE_TYPES, **codes.ALLELE_TYPE_ALIASES})
 
 
-def denovo_only_roles(text: str) -> bool:
-    """The expression admits carriers prb+sib but rejects prb+sib+mom+dad."""
-    children = codes.ROLES["prb"] | codes.ROLES["sib"]
-    everyone = children | codes.ROLES["mom"] | codes.ROLES["dad"]
-    return matches(text, children, codes.ROLES) and not matches(text, everyone, codes.ROLES)
-
-
 def denovo_only_inheritance(texts: str | list[str]) -> bool:
-    """The expressions reject every inherited, possible or missing class."""
+    """No combination of inheritance classes without ``denovo`` satisfies all the expressions."""
     texts = [texts] if isinstance(texts, str) else list(texts)
-    others = ["mendelian", "possible_denovo", "possible_omission", "missing"]
-    return not any(
-        all(matches(t, codes.INHERITANCE[name], codes.INHERITANCE) for t in texts)
-        for name in others)
+    others = sorted({code for name, code in codes.INHERITANCE.items() if name != "denovo"})
+    masks = {sum(chosen) for n in range(len(others) + 1) for chosen in combinations(others, n)}
+    return not any(all(matches(t, mask, codes.INHERITANCE) for t in texts) for mask in masks)

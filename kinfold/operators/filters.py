@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import bins, codes, flags
 
-GENE_REGION_LIMIT = 20
 GENE_REGION_PAD = 20_000
-REGION_BIN_LIMIT = 20
-FAMILY_BIN_LIMIT = 10
 
 
 @dataclass(frozen=True)
@@ -142,16 +139,17 @@ def merge_intervals(intervals: DataFrame, block: int = 1_000_000) -> DataFrame:
     return inner.unionByName(bridged)
 
 
-def gene_regions(gene_models: DataFrame, genes: list[str], pad: int = GENE_REGION_PAD) -> list[Region]:
-    """Padded extents of at most 20 genes, one per gene and chromosome."""
-    if len(genes) > GENE_REGION_LIMIT:
-        return []
-    extents = gene_models.filter(F.col("gene").isin(list(genes))).groupBy("gene", "chrom").agg(
-        F.min("cds_start").alias("start"), F.max("cds_end").alias("stop"))
-    # at most 20 genes, each on few contigs
-    return [
-        Region(r["chrom"], max(1, r["start"] - pad), r["stop"] + pad)
-        for r in extents.orderBy("chrom", "start").collect()]
+def gene_regions(gene_models: DataFrame, genes: list[str] | DataFrame, pad: int = GENE_REGION_PAD) -> DataFrame:
+    """Padded extents ``(chrom, start, stop)`` of any number of genes, one per gene and chromosome.
+
+    Genes come as a list or in a DataFrame column ``gene``; those without a model have no region.
+    """
+    if isinstance(genes, list):
+        genes = gene_models.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
+    return (
+        gene_models.join(genes.select("gene").distinct(), "gene", "left_semi").groupBy("gene", "chrom")
+        .agg(F.min("cds_start").alias("start"), F.max("cds_end").alias("stop"))
+        .select("chrom", F.greatest(F.col("start") - pad, F.lit(1)).alias("start"), (F.col("stop") + pad).alias("stop")))
 
 
 def genes_and_effects(genes: list[str] | None, effect_types: list[str] | None) -> Column:
@@ -255,15 +253,39 @@ def variant_id() -> Column:
 # ---- partition pruning ----------------------------------------------------------------------
 
 def region_bin_filter(partitioning: bins.Partitioning, regions: list[Region] | None) -> Column | None:
-    """``region_bin IN (…)`` when few bins are touched."""
-    if "region_bin" not in partitioning.family_columns or not regions:
-        return None
-    names = sorted({
-        name for r in regions for name in partitioning.region_bins_of(r.chrom, r.start, r.stop)})
-    open_ended = any(r.stop is None and r.chrom not in partitioning.chromosome_lengths for r in regions)
-    if open_ended or len(names) > REGION_BIN_LIMIT:
+    """Bins that can hold rows of the regions, as bounds on the number of the bin.
+
+    Rows are binned by their start and those in numbered bins are no longer than a bin, so the one before a region counts
+    too, and so do the chromosome's long rows.
+    """
+    if "region_bin" not in partitioning.summary_columns or regions is None:
         return None
-    return F.col("region_bin").cast("string").isin(names)
+    name = F.col("region_bin").cast("string")
+    length = partitioning.region_length
+
+    def touched(region: Region) -> Column:
+        first = max(((region.start or 1) - 1) // length - 1, 0)
+        last = None if region.stop is None else (max(region.stop, 1) - 1) // length
+        if partitioning.integer_region_bins:
+            base = int(partitioning.bin_name(region.chrom, 0))
+            top = bins.INTEGER_BIN_STRIDE - 2 if region.chrom in partitioning.chromosomes else None
+            number = name.cast("long") - base
+        else:
+            prefix, top = partitioning.bin_name(region.chrom, 0)[:-1], None
+            number = F.when(F.startswith(name, F.lit(prefix)), F.expr(f"try_cast(substring(CAST(region_bin AS STRING), {len(prefix) + 1}) AS BIGINT)"))
+        last = top if last is None else last if top is None else min(last, top)
+        inside = (number >= first) & (F.lit(True) if last is None else number <= last)
+        return F.coalesce(inside, F.lit(False)) | (name == partitioning.long_bin_name(region.chrom))
+
+    return _any([touched(r) for r in regions])
+
+
+def bins_of_genes(gene_bins: DataFrame, genes: list[str] | DataFrame) -> DataFrame:
+    """Region bins that hold rows of the genes, a list or a DataFrame column ``gene``."""
+    rows = (
+        gene_bins.filter(F.col("gene").isin(list(genes))) if isinstance(genes, list)
+        else gene_bins.join(genes.select("gene"), "gene", "left_semi"))
+    return rows.select("region_bin").distinct()
 
 
 def coding_bin_filter(partitioning: bins.Partitioning, effect_types: list[str] | None) -> Column | None:
@@ -293,13 +315,10 @@ def frequency_bin_filter(
 
 
 def family_bin_filter(partitioning: bins.Partitioning, family_ids: list[str] | None) -> Column | None:
-    """Few families requested: only their bins can match."""
+    """The bins of the requested families."""
     if partitioning.family_bins <= 0 or family_ids is None:
         return None
-    wanted = sorted({bins.family_bin_of(f, partitioning.family_bins) for f in family_ids})
-    if len(wanted) >= min(FAMILY_BIN_LIMIT, partitioning.family_bins // 2):
-        return None
-    return F.col("family_bin").isin(wanted)
+    return F.col("family_bin").isin(sorted({bins.family_bin_of(f, partitioning.family_bins) for f in family_ids}))
 
 
 # ---- person filters -------------------------------------------------------------------------

@@ -182,6 +182,11 @@ def _seen(status: int) -> Column:
     return F.col("seen_in_status").isin(status, 3)
 
 
+def _alternatives() -> Column:
+    """Number of alternatives of the row's site; a copy-number site has one."""
+    return F.when(F.col("site_alternative").isNull(), 1).otherwise(F.size(F.split("site_alternative", ",")))
+
+
 def columns() -> dict[str, Column]:
     """Named answer columns over ``query_variants`` rows."""
     inheritance = F.col("inheritance_in_members")
@@ -194,8 +199,7 @@ def columns() -> dict[str, Column]:
         "reference": F.col("reference"),
         "alternative": F.col("alternative"),
         "genotype": genotypes.genotype_text(F.col("genotype")),
-        "best_st": genotypes.best_state_text(
-            genotypes.best_state(F.col("genotype"), F.lit(2)), F.lit(2)),
+        "best_st": genotypes.best_state_text(genotypes.best_state(F.col("genotype"), _alternatives()), _alternatives()),
         "family_person_ids": F.array_join("member_ids", ";"),
         "carrier_person_ids": F.array_join("allele_in_members", ";"),
         "family_person_attributes": person_attributes(F.col("genotype")),

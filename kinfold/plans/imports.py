@@ -15,7 +15,7 @@ NO_EFFECT = "array(named_struct('effect_gene_symbols', CAST(NULL AS STRING), 'ef
 
 def build_study(
     sites: DataFrame, calls: DataFrame, ped: DataFrame, partitioning: Partitioning = Partitioning(),
-    annotations: DataFrame | None = None, gene_models: DataFrame | None = None, frequencies: bool = True,
+    annotations: DataFrame | None = None, frequencies: bool = True,
     include_reference: bool = False, scratch: str | None = None, **modes,
 ) -> Study:
     """Alleles, frequencies, counters and annotations of called family genotypes.
@@ -46,9 +46,4 @@ def build_study(
                 ("af_parents_called_count", "bigint"), ("af_parents_called_percent", "double"),
                 ("af_allele_count", "bigint"), ("af_allele_freq", "double")):
             sa = sa.withColumn(name, F.lit(None).cast(kind))
-    return Study(ped, variants.stored_summary(sa, fa), fa, partitioning, gene_models)
-
-
-def longest_event(sites: DataFrame) -> DataFrame:
-    """Length of the longest stored event, for region pruning."""
-    return sites.agg(F.coalesce(F.max(F.col("end_position") - F.col("position")), F.lit(0)).alias("longest"))
+    return Study(ped, variants.stored_summary(sa, fa), fa, partitioning)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,44 +17,65 @@ Range = tuple[str, float | None, float | None]
 
 @dataclass(frozen=True)
 class Study:
-    """Stored tables of one study or of a dataset of studies (told apart by ``study_id``)."""
+    """Stored tables of one study or of a dataset of studies (told apart by ``study_id``).
+
+    ``gene_bins`` (gene, region_bin) says in which region bins rows of a gene are stored. ``leaves`` are the studies of a
+    dataset by their id; each has its own partitioning.
+    """
 
     pedigree: DataFrame
     summary: DataFrame
     family: DataFrame
     partitioning: Partitioning = Partitioning()
-    gene_models: DataFrame | None = None
+    gene_bins: DataFrame | None = None
+    leaves: dict[str, Study] = field(default_factory=dict)
 
 
-def union_studies(studies: dict[str, Study]) -> Study:
+def union_studies(studies: dict[str, Study], people: DataFrame | None = None) -> Study:
     """A dataset over leaf studies; every row names its study."""
     def stack(name: str) -> DataFrame:
         return reduce(
             lambda a, b: a.unionByName(b, allowMissingColumns=True),
             [getattr(s, name).withColumn("study_id", F.lit(i)) for i, s in studies.items()])
-    first = next(iter(studies.values()))
-    people = reduce(pedigree.combine_families, [s.pedigree for s in studies.values()])
-    return replace(first, pedigree=people, summary=stack("summary"), family=stack("family"))
+    if people is None:
+        people = reduce(pedigree.combine_families, [s.pedigree for s in studies.values()])
+    return Study(people, stack("summary"), stack("family"), leaves=studies)
 
 
-def prune_columns(
+def pruned(
     study: Study, regions=None, genes=None, effect_types: list[str] | None = None,
     inheritance: str | list[str] | None = None, ultra_rare: bool = False,
-    frequency_filter: list[Range] | None = None, **_,
-) -> list[Column]:
-    """Partition predicates implied by the filters; they hold on summary and family rows alike."""
-    region_list = regions if isinstance(regions, list) else None
-    if regions is None and isinstance(genes, list) and genes and study.gene_models is not None \
-            and "region_bin" in study.partitioning.family_columns:
-        region_list = filters.gene_regions(study.gene_models, genes) or None
+    frequency_filter: list[Range] | None = None, family_ids=None, **_,
+) -> Study:
+    """The study with only the partitions that can answer the filters.
+
+    The predicates hold on summary and family rows alike and go to both, because Catalyst infers them only for join keys.
+    Each study of a dataset is pruned by its own partitioning. The bins of genes are a table, so any number of genes prunes,
+    and a gene that is stored nowhere has none.
+    """
+    query = dict(
+        regions=regions, genes=genes, effect_types=effect_types, inheritance=inheritance, ultra_rare=ultra_rare,
+        frequency_filter=frequency_filter, family_ids=family_ids)
+    if study.leaves:
+        return union_studies({i: pruned(s, **query) for i, s in study.leaves.items()}, study.pedigree)
+    part = study.partitioning
     effects = None if effect_types is None else codes.expand_effects(effect_types)
     texts = [inheritance] if isinstance(inheritance, str) else inheritance
     found = [
-        filters.region_bin_filter(study.partitioning, region_list),
-        filters.coding_bin_filter(study.partitioning, effects),
-        filters.frequency_bin_filter(study.partitioning, texts, ultra_rare, frequency_filter),
-    ]
-    return [c for c in found if c is not None]
+        filters.region_bin_filter(part, regions if isinstance(regions, list) else None),
+        filters.coding_bin_filter(part, effects),
+        filters.frequency_bin_filter(part, texts, ultra_rare, frequency_filter)]
+    summary, family = study.summary, study.family
+    for condition in found:
+        if condition is not None:
+            summary, family = summary.filter(condition), family.filter(condition)
+    of_families = filters.family_bin_filter(part, family_ids if isinstance(family_ids, list) else None)
+    if of_families is not None:
+        family = family.filter(of_families)
+    if study.gene_bins is not None and "region_bin" in part.summary_columns and (isinstance(genes, DataFrame) or genes):
+        wanted = filters.bins_of_genes(study.gene_bins, genes)
+        summary, family = (rows.join(wanted, "region_bin", "left_semi") for rows in (summary, family))
+    return replace(study, summary=summary, family=family)
 
 
 def _allele_conditions(
@@ -89,19 +110,17 @@ def summary_query(
     categorical_attr_filter: list[tuple[str, list | None]] | None = None, ultra_rare: bool = False,
     frequency_filter: list[Range] | None = None, return_reference: bool = False,
     return_unknown: bool = False, study_ids: list[str] | None = None, prune: bool = True,
-    pruning: list[Column] | None = None, limit: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Summary alleles satisfying every given filter.
 
-    A long region or gene list comes as a DataFrame. ``pruning`` replaces the partition predicates
-    derived from the arguments.
+    A long region or gene list comes as a DataFrame.
     """
-    if pruning is None:
-        pruning = [] if not prune else prune_columns(
-            study, regions, genes, effect_types, None, ultra_rare, frequency_filter)
+    if prune:
+        study = pruned(study, regions, genes, effect_types, None, ultra_rare, frequency_filter)
     region_table = regions if isinstance(regions, DataFrame) else None
     effects = None if effect_types is None else codes.expand_effects(effect_types)
-    conditions = pruning + _allele_conditions(
+    conditions = _allele_conditions(
         None if region_table is not None else regions, genes, effects, variant_type,
         real_attr_filter, categorical_attr_filter, ultra_rare, frequency_filter, return_reference,
         return_unknown)
@@ -123,14 +142,13 @@ def family_query(
     roles: str | None = None, sexes: str | None = None, affected_statuses: str | None = None,
     selected_tags: list[str] | None = None, deselected_tags: list[str] | None = None,
     tags_or_mode: bool = False, tags: DataFrame | None = None, return_reference: bool = False,
-    return_unknown: bool = False, study_ids: list[str] | None = None, prune: bool = True, pruning: list[Column] = (),
+    return_unknown: bool = False, study_ids: list[str] | None = None, prune: bool = True,
 ) -> DataFrame:
     """Family alleles satisfying every given filter."""
+    if prune:
+        study = pruned(study, inheritance=inheritance, family_ids=family_ids)
     rows = study.family
-    conditions: list[Column] = list(pruning)
-    if prune and isinstance(family_ids, list):
-        bin_filter = filters.family_bin_filter(study.partitioning, family_ids)
-        conditions += [] if bin_filter is None else [bin_filter]
+    conditions: list[Column] = []
     if roles is not None:
         conditions.append(flags.roles(roles))
     if inheritance is not None:
@@ -179,13 +197,12 @@ def query_variants(
     """Family alleles joined with their summary alleles; all filters are ANDed.
 
     Keyword arguments are those of ``summary_query`` and ``family_query``. ``unique`` keeps one
-    row per allele of a family over studies; ``limit`` is applied after it. The partition
-    predicates go to both sides of the join, because Catalyst infers them only for join keys.
+    row per allele of a family over studies; ``limit`` is applied after it.
     """
     for_summary = {k: v for k, v in query.items() if k in SUMMARY_ARGUMENTS}
     for_family = {k: v for k, v in query.items() if k not in SUMMARY_ARGUMENTS}
     for_family["return_reference"] = query.get("return_reference", False)
-    pruning = prune_columns(study, **query) if prune else []
+    study = pruned(study, **query) if prune else study
     family = study.family
     if person_set is not None:
         collection, set_ids = person_set
@@ -193,10 +210,9 @@ def query_variants(
             sets = person_sets.assign(study.pedigree, collection)
             family = filters.carried_by_table(family, person_sets.selected_persons(sets, set_ids))
     sa = summary_query(
-        study, pruning=pruning, return_unknown=return_unknown, study_ids=study_ids, **for_summary)
+        study, prune=False, return_unknown=return_unknown, study_ids=study_ids, **for_summary)
     fa = family_query(
-        replace(study, family=family), prune=prune, pruning=pruning, return_unknown=return_unknown,
-        study_ids=study_ids, **for_family)
+        replace(study, family=family), prune=False, return_unknown=return_unknown, study_ids=study_ids, **for_family)
     keys = ["sj_index"] + (["study_id"] if "study_id" in fa.columns and "study_id" in sa.columns else [])
     own = [c for c in sa.columns if c not in fa.columns or c in keys]
     rows = fa.join(sa.select(*own), keys).withColumn("location", location()).withColumn("fvuid", fvuid())
@@ -206,7 +222,10 @@ def query_variants(
     if unique:
         allele = alleles.fvuid(
             F.col("family_id"), F.col("location"), F.col("reference"), F.col("alternative"))
-        rows = rows.withColumn("_allele", allele).dropDuplicates(["_allele"]).drop("_allele")
+        names = rows.columns  # of several studies the row of the smallest study id stays
+        rank = F.col("study_id") if "study_id" in names else F.lit("")
+        rows = rows.groupBy(allele.alias("_allele")).agg(
+            F.min_by(F.struct(*names), F.struct(rank, "sj_index")).alias("_row")).select("_row.*")
     return rows if limit is None else rows.limit(limit)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ ROWS_PER_FILE = 5_000_000
 def with_summary_bins(summary: DataFrame, part: bins.Partitioning) -> DataFrame:
     """Bin columns of summary alleles."""
     if "region_bin" in part.summary_columns:
-        summary = summary.withColumn("region_bin", bins.region_bin(F.col("chromosome"), F.col("position"), part))
+        summary = summary.withColumn("region_bin", bins.row_region_bin(
+            F.col("chromosome"), F.col("position"), F.col("end_position"), part))
     if "frequency_bin" in part.summary_columns:
         summary = summary.withColumn("frequency_bin", bins.frequency_bin(
             F.col("af_allele_count"), F.col("af_allele_freq"), F.col("seen_as_denovo"), part.rare_boundary))
@@ -35,14 +39,15 @@ def with_family_bins(family: DataFrame, summary: DataFrame, part: bins.Partition
     """
     if part.summary_columns:
         wanted = ["bucket_index", "summary_index", "allele_index"]
-        facts = {"region_bin": ["chromosome", "position"], "frequency_bin": ["af_allele_count", "af_allele_freq"], "coding_bin": ["effect_gene"]}
+        facts = {"region_bin": ["chromosome", "position", "end_position"], "frequency_bin": ["af_allele_count", "af_allele_freq"], "coding_bin": ["effect_gene"]}
         needed = [c for b in part.summary_columns for c in facts[b]]
         own = summary.select(*wanted, *needed)
         # the reference allele has no summary row of its own: borrow the first alternative's site
         borrowed = own.filter("allele_index = 1").withColumn("allele_index", F.lit(0))
         family = family.join(own.filter("allele_index > 0").unionByName(borrowed), wanted)
         if "region_bin" in part.summary_columns:
-            family = family.withColumn("region_bin", bins.region_bin(F.col("chromosome"), F.col("position"), part))
+            family = family.withColumn("region_bin", bins.row_region_bin(
+                F.col("chromosome"), F.col("position"), F.col("end_position"), part))
         if "frequency_bin" in part.summary_columns:
             family = family.withColumn("frequency_bin", bins.frequency_bin(
                 F.col("af_allele_count"), F.col("af_allele_freq"), F.col("is_denovo"), part.rare_boundary))
@@ -59,15 +64,18 @@ def _write(df: DataFrame, path: str, columns: list[str]) -> None:
     """Partitioned write with few files per directory.
 
     Rows are rebalanced by directory: adaptive execution merges small directories into one task
-    and splits a directory holding a third of the study over many. Files are cut by row count.
+    and splits a directory holding a third of the study over many. Files are cut by row count and
+    sorted, so that the statistics of their row groups tell alleles apart.
     """
     rows = df.hint("rebalance", *columns) if columns else df
+    if "sj_index" in df.columns:
+        rows = rows.sortWithinPartitions(*columns, "sj_index")
     out = rows.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
     (out.partitionBy(*columns) if columns else out).parquet(path)
 
 
 def write_study(study: Study, path: str, metadata: dict[str, str] | None = None) -> None:
-    """Pedigree, summary, family and metadata tables under one directory."""
+    """Pedigree, summary, family and metadata tables, the partitioning and the bins of genes under one directory."""
     spark = study.pedigree.sparkSession
     part = study.partitioning
     pedigree_files.stored(study.pedigree, part.family_bins).write.mode("errorifexists").parquet(f"{path}/pedigree")
@@ -75,6 +83,10 @@ def write_study(study: Study, path: str, metadata: dict[str, str] | None = None)
     # the bins of family rows need columns of the summary: read what was just written
     summary = spark.read.parquet(f"{path}/summary")
     _write(with_family_bins(study.family, summary, part), f"{path}/family", part.family_columns)
+    if "region_bin" in part.summary_columns:
+        genes = summary.select(F.explode("effect_gene.effect_gene_symbols").alias("gene"), F.col("region_bin").cast("string").alias("region_bin"))
+        genes.filter("gene IS NOT NULL").distinct().write.mode("errorifexists").parquet(f"{path}/gene_bins")
+    spark.createDataFrame([(json.dumps(asdict(part)),)], "partitioning string").write.mode("errorifexists").parquet(f"{path}/partitioning")
     write_metadata(spark, f"{path}/meta", metadata or {})
 
 
@@ -89,11 +101,20 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", "written").alias("value"))
 
 
-def read_study(spark: SparkSession, path: str, partitioning: bins.Partitioning, gene_models: DataFrame | None = None) -> Study:
-    """A stored study; partition columns come back from the directory names."""
+def read_study(spark: SparkSession, path: str) -> Study:
+    """A stored study with the partitioning it was written by; partition columns come back from the directory names."""
+    text = spark.read.parquet(f"{path}/partitioning").first()["partitioning"]
+    part = bins.Partitioning(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+    gene_bins = spark.read.parquet(f"{path}/gene_bins") if "region_bin" in part.summary_columns else None
     return Study(
         pedigree_files.loaded(spark.read.parquet(f"{path}/pedigree")),
-        spark.read.parquet(f"{path}/summary"), spark.read.parquet(f"{path}/family"), partitioning, gene_models)
+        _text_bins(spark.read.parquet(f"{path}/summary")), _text_bins(spark.read.parquet(f"{path}/family")), part, gene_bins)
+
+
+def _text_bins(rows: DataFrame) -> DataFrame:
+    """Directory names that read as numbers are still names."""
+    numbers = dict(rows.dtypes).get("region_bin") not in (None, "string")
+    return rows.withColumn("region_bin", F.col("region_bin").cast("string")) if numbers else rows
 
 
 def read_region(study: Study, region: filters.Region) -> Study:
@@ -105,7 +126,7 @@ def read_region(study: Study, region: filters.Region) -> Study:
     sites = summary.select("bucket_index", "summary_index").distinct()
     return Study(
         study.pedigree, summary, family.join(sites, ["bucket_index", "summary_index"], "left_semi"),
-        study.partitioning, study.gene_models)
+        study.partitioning, study.gene_bins)
 
 
 def compact(spark: SparkSession, source: str, target: str, columns: list[str]) -> None:

@@ -94,5 +94,8 @@ def test_region_bins(spark):
     assert part.region_bins_of("chr1", 7, 18) == ["chr1_0", "chr1_1", "chr1_2"]
     assert part.region_bins_of("chr1", 9, None) == ["chr1_1", "chr1_2"]
     assert part.all_region_bins() == ["chr1_0", "chr1_1", "chr1_2", "other_0", "other_1", "other_2"]
-    wide = bins.Partitioning(region_length=8, chromosomes=("chr1",), longest_event=8)
-    assert wide.region_bins_of("chr1", 17, 18) == ["chr1_1", "chr1_2"]
+    rows = spark.createDataFrame([("chr1", 5, 12), ("chr1", 5, 13), ("chr7", 9, None), ("chr7", 9, 90)], "c string, p int, e int")
+    found = lambda p: [r[0] for r in rows.select(bins.row_region_bin(F.col("c"), F.col("p"), F.col("e"), p)).collect()]
+    assert found(part) == ["chr1_0", "chr1_long", "other_1", "other_long"]
+    numbers = bins.Partitioning(region_length=8, chromosomes=("chr0", "chr1"), integer_region_bins=True)
+    assert found(numbers) == ["10000", "19999", "10000001", "9999999"]

@@ -57,8 +57,7 @@ def test_unknown_names_and_injection_are_rejected(spark):
 
 
 def test_denovo_only():
-    assert flags.denovo_only_roles("prb and not mom and not dad")
-    assert not flags.denovo_only_roles("prb")
-    assert flags.denovo_only_inheritance("denovo")
-    assert not flags.denovo_only_inheritance(["not mendelian"])
-    assert flags.denovo_only_inheritance(["denovo", "not possible_denovo and not possible_omission"])
+    only = flags.denovo_only_inheritance
+    assert only("denovo") and only("denovo and not mendelian") and only(["denovo", "not possible_denovo"])
+    assert not any(only(n) for n in codes.INHERITANCE if n != "denovo")
+    assert not only("not mendelian") and not only("denovo or unknown") and not only(["denovo or other", "not missing"])

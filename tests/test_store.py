@@ -6,6 +6,7 @@ import pytest
 from conftest import ped_rows
 from pyspark.sql import functions as F
 
+from kinfold.functions import codes
 from kinfold.functions.bins import Partitioning, coding_effects
 from kinfold.operators import filters, pedigree, variants
 from kinfold.plans import imports
@@ -16,7 +17,7 @@ from kinfold.sources import store
 FAMILIES = 12
 PART = Partitioning(
     region_length=100, chromosomes=("chr1", "chr2"), rare_boundary=20.0, coding_effects=coding_effects(["coding"]),
-    family_bins=10, longest_event=400, chromosome_lengths={"chr1": 1000, "chr2": 1000, "chr9": 1000})
+    family_bins=10, chromosome_lengths={"chr1": 1000, "chr2": 1000, "chr9": 1000})
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +54,7 @@ def stored(spark):
     path = scratch_dir(spark)
     store.write_study(built, path, {"id": "fixture"})
     store.write_metadata(spark, f"{path}/meta", {"id": "renamed", "extra": "1"})
-    return path, store.read_study(spark, path, PART)
+    return path, store.read_study(spark, path)
 
 
 QUERIES = [
@@ -73,10 +74,39 @@ QUERIES = [
     {"roles": "prb and not mom and not dad"},
     {"regions": [filters.Region("chr1", 1, 300)], "effect_types": ["coding"], "inheritance": "denovo"},
     {"return_reference": True, "return_unknown": True},
+    {"genes": ["g1"]},
+    {"genes": ["g1", "absent"], "effect_types": ["lgds"]},
+    {"genes": ["absent"]},
+    {"genes": [f"g{i}" for i in range(30)], "regions": [filters.Region("chr2")]},
+    {"family_ids": [f"f{i}" for i in range(11)]},
+    {"family_ids": []},
+    {"regions": []},
+    {"regions": [filters.Region("chr9", 980, 1400), filters.Region("chr5", 1, 5)]},
+    *[{"inheritance": name, "return_reference": True, "return_unknown": True} for name in codes.INHERITANCE],
+    {"inheritance": ["denovo or unknown", "not mendelian"], "return_unknown": True},
 ]
 
 
-@pytest.mark.parametrize("query", QUERIES, ids=[",".join(q) or "all" for q in QUERIES])
+@pytest.fixture(scope="module")
+def dataset(spark, stored):
+    """The study, its alleles in integer bins of another length, and unpartitioned."""
+    _, study = stored
+    plain = study.summary.drop(*PART.family_columns), study.family.drop(*PART.family_columns)
+    path = scratch_dir(spark)
+    store.write_study(plan.Study(study.pedigree, *plain, Partitioning(region_length=70, chromosomes=("chr2",), integer_region_bins=True, rare_boundary=10.0)), path)
+    other = store.read_study(spark, path)
+    return plan.union_studies({"a": study, "b": other, "c": plan.Study(study.pedigree, *plain)})
+
+
+@pytest.mark.parametrize("query", QUERIES[::3], ids=[",".join(q) or "all" for q in QUERIES[::3]])
+def test_pruning_of_differently_partitioned_studies(stored, dataset, query):
+    _, study = stored
+    ids = lambda df, *more: sorted(tuple(r) for r in df.select(*more, "family_id", "sj_index").collect())
+    single = ids(plan.query_variants(study, prune=False, **query))
+    assert ids(plan.query_variants(dataset, **query), "study_id") == sorted((s, *r) for s in "abc" for r in single)
+
+
+@pytest.mark.parametrize("query", QUERIES, ids=[",".join(map(str, q)) or "all" for q in QUERIES])
 def test_pruning_keeps_results(stored, query):
     _, study = stored
     def ids(df):
@@ -141,6 +171,7 @@ def test_union_of_studies_and_unique_variants(stored):
     single = plan.query_variants(study).count()
     assert plan.query_variants(both).count() == 2 * single
     identities = plan.query_variants(study).select("family_id", "location", "reference", "alternative").distinct().count()
-    assert plan.query_variants(both, unique=True).count() == identities
+    unique = plan.query_variants(plan.union_studies({"b": study, "a": study}), unique=True)
+    assert unique.count() == identities and {r[0] for r in unique.select("study_id").distinct().collect()} == {"a"}
     assert plan.query_variants(both, study_ids=["b"]).count() == single
     assert plan.query_variants(both, unique=True, limit=3).count() == 3
