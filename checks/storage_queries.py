@@ -10,7 +10,7 @@ from checks import derive
 from checks.registry import register
 from checks.variant_queries import PICK, RB, ROWS_SQL, folded, rows
 from kinfold.functions import alleles, bins, genotypes
-from kinfold.operators import filters, pedigree
+from kinfold.operators import filters, pedigree, variants
 from kinfold.plans import gene_profiles, imports
 from kinfold.plans import study as plan
 from kinfold.session import scratch_dir
@@ -151,19 +151,30 @@ def d35_verified_files(spark, sf):
 
 # ---- VCF ----------------------------------------------------------------------------------------
 
-def family_lines(spark, sf):
-    """One VCF per family, as split lines with the family as the file name."""
-    lines = exports.family_vcf_lines(derive.sites(spark, sf), derive.calls(spark, sf))
-    return lines.select(
-        F.col("family_id").alias("file"), F.xxhash64("family_id", "chromosome", "position").alias("line"),
-        F.split("value", "\t").alias("f"))
-
-
-def family_calls(spark, sf):
-    """Sample calls of all families; a position is one site, whichever file it is in."""
-    lines = family_lines(spark, sf)
-    recs = vcf.records(lines).withColumn("occurrence", F.lit(0))
-    return recs, vcf.sample_calls(recs, vcf.samples(lines))
+_VCF: dict[tuple[str, str], str] = {}
+#: Families with an even number are the first sample batch, the others the second.
+BATCH = "bat AS (SELECT family_id, CAST(substr(family_id, 2) AS INT) % 2 AS b FROM members GROUP BY 1)"
+
+
+def vcf_paths(spark, sf):
+    """Two batches of VCF text, one file per chromosome, written once per session from the calls."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VCF:
+        path = scratch_dir(spark)
+        sites = derive.sites(spark, sf)
+        for batch in (0, 1):
+            calls = derive.calls(spark, sf).filter(F.substring("family_id", 2, 20).cast("int") % 2 == batch)
+            people = calls.select("family_id", F.posexplode("members.person_id").alias("i", "person_id")).distinct().groupBy().agg(
+                F.array_sort(F.collect_list(F.struct("family_id", "i", "person_id"))).alias("p"))
+            samples = people.select(F.posexplode("p").alias("place", "x")).select("place", "x.person_id")
+            lines = exports.vcf_lines(sites, calls, samples)
+            columns = "\t".join(vcf.FIXED_COLUMNS)
+            header = lines.select("chromosome").distinct().join(people.select(F.array_join("p.person_id", "\t").alias("names")), F.lit(True)).select(
+                "chromosome", F.lit(0).alias("position"), F.concat(F.lit(f"#{columns}\t"), "names").alias("value"))
+            (lines.unionByName(header).repartition("chromosome").sortWithinPartitions("chromosome", "position")
+                .select("chromosome", "value").write.partitionBy("chromosome").text(f"{path}/{batch}"))
+        _VCF[key] = path
+    return [[f"{_VCF[key]}/{batch}/*"] for batch in (0, 1)]
 
 
 @register("k06_family_vcf_lines", """
@@ -173,42 +184,83 @@ def k06_family_vcf_lines(spark, sf):
         F.count("*").alias("lines"))
 
 
-GT = "SELECT t.chromosome, t.position::BIGINT AS position, g.person_id, g.a1::BIGINT AS a1, g.a2::BIGINT AS a2 FROM gt g JOIN sites t ON t.s = g.s"
+KNOWN = "known AS (SELECT family_id, s FROM gt GROUP BY 1, 2 HAVING bool_or(a1 >= 0 OR a2 >= 0))"
+
 
+def any_known():
+    return F.exists("members", lambda m: (m["a1"] >= 0) | (m["a2"] >= 0))
 
-@register("s03_vcf_sample_calls", GT)
+
+@register("s03_vcf_sample_calls", f""", {KNOWN}
+SELECT t.chromosome, t.position::BIGINT AS position, g.person_id, g.a1::BIGINT AS a1, g.a2::BIGINT AS a2
+FROM gt g JOIN known USING (family_id, s) JOIN sites t ON t.s = g.s""")
 def s03_vcf_sample_calls(spark, sf):
-    return family_calls(spark, sf)[1].select(
-        "chromosome", "position", F.col("sample_id").alias("person_id"), "a1", "a2")
+    """Calls of the families with a known copy, read from the text of two sample batches."""
+    read = vcf.read(spark, vcf_paths(spark, sf), derive.ped(spark, sf))
+    return read.calls.filter(any_known()).join(read.sites, ["bucket_index", "summary_index"]).select(
+        "chromosome", "position", F.inline("members")).select("chromosome", "position", "person_id", "a1", "a2")
+
+
+def filled_frequencies(name, fill, called, reference):
+    @register(name, f""", {BATCH},
+nf AS (SELECT family_id, count(*) FILTER (WHERE is_founder) AS founders FROM members GROUP BY 1),
+has AS (SELECT DISTINCT g.s, bat.b FROM gt g JOIN bat USING (family_id)),
+own AS (SELECT g.s, g.family_id, bool_and(a1 <> -1 AND a2 <> -1) AS good,
+  sum(CASE WHEN is_founder THEN (a1 = 0)::INT + (a2 = 0)::INT ELSE 0 END) AS refs, count(*) FILTER (WHERE is_founder) AS founders FROM gt g GROUP BY 1, 2),
+counted AS (SELECT s, coalesce(sum(founders) FILTER (WHERE good), 0) AS called, coalesce(sum(refs) FILTER (WHERE good), 0) AS refs FROM own GROUP BY 1),
+away AS (SELECT s, sum(founders) AS founders FROM (SELECT DISTINCT s FROM gt) x, bat JOIN nf USING (family_id)
+  WHERE NOT EXISTS (SELECT 1 FROM has WHERE has.s = x.s AND has.b = bat.b) GROUP BY 1)
+SELECT t.chromosome, t.position::BIGINT AS position, ({called})::BIGINT AS called, ({reference})::BIGINT AS reference_copies
+FROM counted c JOIN sites t ON t.s = c.s LEFT JOIN away a ON a.s = c.s""")
+    def run(spark, sf):
+        ped = derive.ped(spark, sf)
+        read = vcf.read(spark, vcf_paths(spark, sf), ped, fill=fill)
+        found = variants.allele_frequencies(read.calls, derive.founders(spark, sf), absent_are_reference=fill == 0)
+        return read.sites.join(found, ["bucket_index", "summary_index"], "left").select(
+            "chromosome", "position", F.coalesce("af_parents_called_count", F.lit(0)).cast("long").alias("called"),
+            F.coalesce(F.try_element_at("_counts", F.lit(0)), F.lit(0)).cast("long").alias("reference_copies"))
 
 
-@register("s04_vcf_batches_merged", """
-SELECT t.chromosome, t.position::BIGINT AS position, g.person_id, CASE WHEN t.chromosome = 'chrX' THEN 0 ELSE g.a1 END::BIGINT AS a1,
-  CASE WHEN t.chromosome = 'chrX' THEN 0 ELSE g.a2 END::BIGINT AS a2 FROM gt g JOIN sites t ON t.s = g.s""")
-def s04_vcf_batches_merged(spark, sf):
-    """The first batch lacks chrX; the second has every site with all calls reference."""
-    recs, calls = family_calls(spark, sf)
-    _, merged = vcf.merged([
-        (recs.filter("chromosome <> 'chrX'"), calls.filter("chromosome <> 'chrX'")),
-        (recs, calls.withColumn("a1", F.lit(0)).withColumn("a2", F.lit(0)))])
-    return merged.select("chromosome", "position", F.col("sample_id").alias("person_id"), "a1", "a2")
+# a site that a batch lacks is unknown in its families, or reference when filled so
+filled_frequencies("s04_vcf_batches_merged", -1, "c.called", "c.refs")
+filled_frequencies("s04_vcf_batches_filled_as_reference", 0, "c.called + coalesce(a.founders, 0)", "c.refs + 2 * coalesce(a.founders, 0)")
 
 
-@register("s05_vcf_study_inputs", """
+@register("s05_vcf_study_inputs", f""", {KNOWN}
 SELECT family_id, t.chromosome, t.position::BIGINT AS position, string_agg(CASE WHEN a1 < 0 THEN '.' ELSE a1::VARCHAR END || '/'
-  || CASE WHEN a2 < 0 THEN '.' ELSE a2::VARCHAR END, ';' ORDER BY idx) AS genotype FROM gt JOIN sites t ON t.s = gt.s GROUP BY 1, 2, 3""")
+  || CASE WHEN a2 < 0 THEN '.' ELSE a2::VARCHAR END, ';' ORDER BY idx) AS genotype
+FROM gt JOIN known USING (family_id, s) JOIN sites t ON t.s = gt.s GROUP BY 1, 2, 3""")
 def s05_vcf_study_inputs(spark, sf):
-    recs, calls = family_calls(spark, sf)
-    site_rows, call_rows = vcf.merged([(recs, calls)])
-    sites, families = vcf.to_study_inputs(site_rows.distinct(), call_rows, derive.ped(spark, sf))
-    return families.join(sites, ["bucket_index", "summary_index"]).select(
-        "family_id", "chromosome", "position", genotypes.genotype_text(F.col("members")).alias("genotype"))
+    read = vcf.read(spark, vcf_paths(spark, sf), derive.ped(spark, sf), fill=0, scratch=scratch_dir(spark))
+    in_batch = read.calls.filter(any_known()).join(read.sites, ["bucket_index", "summary_index"])
+    return in_batch.select("family_id", "chromosome", "position", genotypes.genotype_text(F.col("members")).alias("genotype"))
+
+
+@register("k06_multi_sample_vcf_lines", f""", {BATCH},
+people AS (SELECT DISTINCT g.person_id, g.family_id, g.idx, bat.b FROM gt g JOIN bat USING (family_id)),
+seen AS (SELECT DISTINCT g.s, bat.b FROM gt g JOIN bat USING (family_id)),
+cells AS (SELECT seen.s, seen.b, string_agg(CASE WHEN g.s IS NULL THEN './.' ELSE CASE WHEN g.a1 = -1 THEN '.' ELSE g.a1::VARCHAR END
+    || CASE g.a2 WHEN -2 THEN '' WHEN -1 THEN '/.' ELSE '/' || g.a2 END END, chr(9) ORDER BY p.family_id, p.idx) AS calls
+  FROM seen JOIN people p ON p.b = seen.b LEFT JOIN gt g ON g.s = seen.s AND g.person_id = p.person_id GROUP BY 1, 2)
+SELECT b::BIGINT AS batch, t.chromosome, t.position::BIGINT AS position, concat_ws(chr(9), coalesce(t.reference, '.'),
+  CASE WHEN t.alt1 IS NULL THEN '.' WHEN t.n_alts = 2 THEN t.alt1 || ',' || t.alt1 || 'T' ELSE t.alt1 END, '.', '.', '.', 'GT', calls) AS line
+FROM cells JOIN sites t ON t.s = cells.s""")
+def k06_multi_sample_vcf_lines(spark, sf):
+    """The written lines as text, read back."""
+    lines = None
+    for batch, paths in enumerate(vcf_paths(spark, sf)):
+        fields = vcf.read_lines(spark, paths).filter(F.get("f", F.lit(0)) != "#CHROM").select(
+            F.lit(batch).alias("batch"), F.get("f", F.lit(0)).alias("chromosome"), F.get("f", F.lit(1)).cast("long").alias("position"),
+            F.array_join(F.slice("f", 4, F.size("f")), "\t").alias("line"))
+        lines = fields if lines is None else lines.unionByName(fields)
+    return lines
 
 
 @register("s07_samples_matched", "SELECT person_id, missing OR person_id NOT IN (SELECT person_id FROM gt) AS not_sequenced FROM ped")
 def s07_samples_matched(spark, sf):
-    lines = family_lines(spark, sf)
-    return pedigree.match_samples(derive.ped(spark, sf), vcf.samples(lines), fixed=False).select("person_id", "not_sequenced")
+    lines = [vcf.read_lines(spark, paths) for paths in vcf_paths(spark, sf)]
+    found = vcf.samples(lines[0]).unionByName(vcf.samples(lines[1]))
+    return pedigree.match_samples(derive.ped(spark, sf), found, fixed=False).select("person_id", "not_sequenced")
 
 
 @register("s16_chromosome_prefix", "SELECT s::BIGINT AS s, substr(chromosome, 4) AS plain, 'x_' || chromosome AS longer FROM sites")

@@ -138,11 +138,12 @@ def family_alleles(
         "inheritance_by_member", F.col("members").alias("genotype"))
 
 
-def allele_frequencies(calls: DataFrame, n_founders: DataFrame) -> DataFrame:
+def allele_frequencies(calls: DataFrame, n_founders: DataFrame, absent_are_reference: bool = False) -> DataFrame:
     """Founder allele counts and frequencies (percent) per variant and allele.
 
     Only families without an unknown copy count. ``n_founders`` is a one-row table with the number
-    of founders of the pedigree in column ``founders``.
+    of founders of the pedigree in column ``founders``. With ``absent_are_reference`` the founders
+    of families without a row at a variant count as called with two reference copies.
     """
     members = F.col("members")
     founders = F.filter("members", lambda m: m["founder"])
@@ -156,11 +157,17 @@ def allele_frequencies(calls: DataFrame, n_founders: DataFrame) -> DataFrame:
             F.when(a == 0, F.size(founders)).otherwise(0).alias("called")))
 
     nothing = F.array().cast("array<struct<allele_index:int,n:int,called:int>>")
-    rows = calls.select(*KEY, F.explode(
-        F.when(genotypes.any_unknown(members), nothing).otherwise(codes.bind(copies, counts))).alias("c"))
+    uncalled = F.array(F.struct(F.lit(0).alias("allele_index"), F.lit(0).alias("n"), F.lit(0).alias("called")))
+    rows = calls.select(*KEY, F.size(founders).alias("present"), F.posexplode(
+        F.when(genotypes.any_unknown(members), uncalled if absent_are_reference else nothing).otherwise(codes.bind(copies, counts))).alias("i", "c"))
     per_allele = rows.groupBy(*KEY, F.col("c.allele_index").alias("allele_index")).agg(
-        F.sum("c.n").alias("af_allele_count"), F.sum("c.called").alias("called"))
+        F.sum("c.n").alias("af_allele_count"), F.sum("c.called").alias("called"),
+        F.sum(F.when(F.col("i") == 0, F.col("present")).otherwise(0)).alias("present"))
     total = n_founders.select("founders").scalar()
+    if absent_are_reference:  # the reference allele's row has all families of the variant
+        absent = F.when(F.col("allele_index") == 0, total - F.col("present")).otherwise(0)
+        per_allele = per_allele.withColumn("af_allele_count", F.col("af_allele_count") + 2 * absent).withColumn(
+            "called", F.col("called") + absent)
     return per_allele.groupBy(*KEY).agg(
         F.sum("called").alias("af_parents_called_count"),
         F.map_from_entries(F.collect_list(F.struct("allele_index", "af_allele_count"))).alias("_counts")).select(

@@ -16,14 +16,15 @@ NO_EFFECT = "array(named_struct('effect_gene_symbols', CAST(NULL AS STRING), 'ef
 def build_study(
     sites: DataFrame, calls: DataFrame, ped: DataFrame, partitioning: Partitioning = Partitioning(),
     annotations: DataFrame | None = None, frequencies: bool = True,
-    include_reference: bool = False, scratch: str | None = None, **modes,
+    include_reference: bool = False, scratch: str | None = None, absent_are_reference: bool = False, **modes,
 ) -> Study:
     """Alleles, frequencies, counters and annotations of called family genotypes.
 
     ``annotations`` is keyed by ``chromosome, position, reference, alternative`` and should bring
     ``effect_gene``; alleles without effects get one pair of missing values. ``frequencies`` is
-    switched off for de-novo sources, whose frequency columns stay missing. Other keywords go to
-    ``variants.family_alleles``.
+    switched off for de-novo sources, whose frequency columns stay missing; they count families
+    without a row as reference with ``absent_are_reference``, as calls filled with reference need.
+    Other keywords go to ``variants.family_alleles``.
 
     Sites and calls feed several tables. With ``scratch``, a new path in the shared folder (see
     ``session.scratch_dir``), both are written there first, so files are parsed once.
@@ -40,7 +41,7 @@ def build_study(
         sa = sa.withColumn("effect_gene", F.coalesce("effect_gene", F.expr(NO_EFFECT)))
     if frequencies:
         founders = pedigree.with_parent_flags(ped).filter("is_founder").agg(F.count("*").alias("founders"))
-        sa = variants.with_frequency(sa, variants.allele_frequencies(calls, founders))
+        sa = variants.with_frequency(sa, variants.allele_frequencies(calls, founders, absent_are_reference))
     else:
         for name, kind in (
                 ("af_parents_called_count", "bigint"), ("af_parents_called_percent", "double"),

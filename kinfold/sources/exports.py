@@ -11,20 +11,30 @@ def _call_text(a1: Column, a2: Column) -> Column:
     return F.when(a2 == -2, side(a1)).otherwise(F.concat_ws("/", side(a1), side(a2)))
 
 
-def vcf_lines(sites: DataFrame, calls: DataFrame, samples: list[str], fill: str = "./.") -> DataFrame:
-    """VCF records as ``(chromosome, position, value)`` in the order of ``samples``.
+def vcf_lines(sites: DataFrame, calls: DataFrame, samples: list[str] | DataFrame, fill: str = "./.") -> DataFrame:
+    """VCF records as ``(chromosome, position, value)`` with the samples in their order.
 
-    The calls of a site become one map, which is the width of one VCF line, and the line picks its
-    samples from it; no wide pivot is planned. Sort by the first two columns before writing.
+    ``samples`` is a list of person ids or a table ``(place, person_id)`` with places from 0. Calls
+    keep to their family until the line is put together: its calls are sorted by place and every
+    gap before one is filled, so a line costs its width. Sort by the first two columns before writing.
     """
     keys = ["bucket_index", "summary_index"]
-    member = calls.select(*keys, F.explode("members").alias("m"))
-    by_site = member.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("m.person_id").alias("k"), _call_text(F.col("m.a1"), F.col("m.a2")).alias("v")))).alias("g"))
-    order = F.array(*[F.lit(s) for s in samples])
-    genotypes = F.array_join(F.transform(order, lambda s: F.coalesce(F.try_element_at(F.col("g"), s), F.lit(fill))), "\t")
+    if isinstance(samples, list):
+        samples = calls.sparkSession.createDataFrame(list(enumerate(samples)), "place int, person_id string")
+    families = calls.select("family_id", F.col("members.person_id").alias("ids")).distinct()
+    places = families.select("family_id", F.explode("ids").alias("person_id")).join(samples, "person_id").groupBy("family_id").agg(
+        F.map_from_entries(F.collect_set(F.struct("person_id", "place"))).alias("_at"))
+    entries = F.filter(F.transform("members", lambda m: F.struct(
+        F.try_element_at(F.col("_at"), m["person_id"]).alias("place"), _call_text(m["a1"], m["a2"]).alias("text"))), lambda e: e["place"].isNotNull())
+    by_site = calls.join(places, "family_id").select(*keys, entries.alias("e")).groupBy(*keys).agg(
+        F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    before = F.concat(F.array(F.lit(-1)), F.slice(F.transform("e", lambda e: e["place"]), 1, F.greatest(F.size("e") - 1, F.lit(0))))
+    filled = F.zip_with("e", before, lambda e, last: F.concat(F.repeat(F.lit(f"{fill}\t"), e["place"] - last - 1), e["text"]))
+    rest = F.col("width") - 1 - F.get("e", F.size("e") - 1)["place"]
+    genotypes = F.concat(F.array_join(filled, "\t"), F.repeat(F.lit(f"\t{fill}"), rest))
+    width = samples.agg((F.max("place") + 1).alias("width")).scalar()
     alternatives = F.array_join(F.transform("alternatives", lambda a: F.coalesce(a, F.lit("."))), ",")
-    return sites.join(by_site, keys).select("chromosome", "position", F.concat_ws(
+    return sites.join(by_site.filter(F.size("e") > 0).withColumn("width", width), keys).select("chromosome", "position", F.concat_ws(
         "\t", F.col("chromosome"), F.col("position").cast("string"), F.lit("."), F.coalesce("reference", F.lit(".")),
         alternatives, F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), genotypes).alias("value"))
 

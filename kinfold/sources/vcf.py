@@ -1,17 +1,22 @@
 """VCF text files as Spark rows.
 
-Lines are read as text and split by Spark, so a file is one distributed job over its splits. Each
-record is cut once; sample calls are unfolded to one row per sample and joined to the pedigree on
-the sample's position in its file.
+Lines are read as text and split by Spark, so a file is one distributed job over its splits. The
+header of a file says at which place of a line each family member is; this layout joins the
+records of the file, and a record unfolds to its families with the calls picked by place. Sample
+calls are never rows of their own: what is shuffled is a record once, for its number, and the
+families that several batches share.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.functions import codes
 from kinfold.operators import pedigree, variants
 from kinfold.session import written
 
@@ -20,9 +25,14 @@ FIRST_SAMPLE = len(FIXED_COLUMNS)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tab-split lines with their file and line order; ``##`` lines are dropped."""
+    """Tab-split lines; ``##`` lines are dropped.
+
+    ``line`` orders the lines of a file: by the start of their part of the file, then by the order
+    in which the part is read. The number alone would follow the packing of parts into tasks.
+    """
     lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+        "value", F.col("_metadata.file_path").alias("file"), F.struct(
+            F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("place")).alias("line"))
     return lines.filter(~F.col("value").startswith("##") & (F.length("value") > 0)).select(
         "file", "line", F.split("value", "\t").alias("f"))
 
@@ -43,16 +53,23 @@ def adjusted_chrom(chrom: Column, prefix: str | None = None, add: bool = True) -
     return F.when(chrom.startswith(prefix), F.substring(chrom, len(prefix) + 1, F.length(chrom))).otherwise(chrom)
 
 
-def records(lines: DataFrame, prefix: str | None = None, add_prefix: bool = True) -> DataFrame:
-    """Site columns and the raw sample fields, one row per record; HLA contigs are skipped."""
+def records(lines: DataFrame, prefix: str | None = None, add_prefix: bool = True, skip_contigs: str | None = None) -> DataFrame:
+    """Site columns and the calls of all samples, one row per record.
+
+    ``skip_contigs`` leaves out contigs whose name contains it.
+    """
     field = lambda i: F.get("f", F.lit(i))
-    body = lines.filter((field(0) != "#CHROM") & ~field(0).contains("HLA"))
+    body = lines.filter(field(0) != "#CHROM")
+    if skip_contigs is not None:
+        body = body.filter(~field(0).contains(skip_contigs))
     gt_place = F.array_position(F.split(field(8), ":"), "GT").cast("int")
     return body.select(
         "file", "line", adjusted_chrom(field(0), prefix, add_prefix).alias("chromosome"),
-        field(1).cast("int").alias("position"), field(3).alias("reference"),
+        field(1).try_cast("int").alias("position"), field(3).alias("reference"),
         F.split(field(4), ",").alias("alternatives"), gt_place.alias("gt_place"),
-        F.slice("f", FIRST_SAMPLE + 1, F.greatest(F.size("f") - FIRST_SAMPLE, F.lit(0))).alias("fields"))
+        F.slice("f", FIRST_SAMPLE + 1, F.greatest(F.size("f") - FIRST_SAMPLE, F.lit(0))).alias("fields")).select(
+        "file", "line", "chromosome", "position", "reference", "alternatives",
+        F.transform("fields", lambda f: call_of(f, F.col("gt_place"))).alias("calls"))
 
 
 def allele_of(text: Column) -> Column:
@@ -60,109 +77,141 @@ def allele_of(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(-1))
 
 
-def calls_of(field: Column, gt_place: Column) -> Column:
-    """``struct(a1, a2)`` of a sample field; a single side is haploid."""
-    sides = F.split(F.try_element_at(F.split(field, ":"), gt_place), "[/|]")
-    return F.struct(
-        allele_of(F.get(sides, F.lit(0))).alias("a1"),
-        F.when(F.size(sides) == 1, F.lit(-2)).otherwise(allele_of(F.get(sides, F.lit(1)))).alias("a2"))
+def call_of(field: Column, gt_place: Column) -> Column:
+    """``struct(a1, a2, sides)`` of a sample field; a single side is haploid."""
+    text = F.when(gt_place == 1, F.substring_index(field, ":", 1)).otherwise(F.try_element_at(F.split(field, ":"), gt_place))
+
+    def pair(sides: Column) -> Column:
+        return F.struct(
+            allele_of(F.get(sides, F.lit(0))).alias("a1"),
+            F.when(F.size(sides) == 1, F.lit(-2)).otherwise(allele_of(F.get(sides, F.lit(1)))).alias("a2"),
+            F.size(sides).alias("sides"))
+    return codes.bind(F.split(F.translate(text, "|", "/"), "/"), pair)
+
+
+def unreadable() -> Column:
+    """Whether a record has a call of more than two sides, or no position."""
+    return F.col("position").isNull() | F.exists("calls", lambda c: c["sides"] > 2)
 
 
 SITE = ["chromosome", "position", "occurrence"]
 
 
-def numbered(recs: DataFrame) -> DataFrame:
-    """Adds ``occurrence``: 0 for the first record at a position, 1 for the second, ….
+class Tables(NamedTuple):
+    """What is read from VCF files; ``quarantine`` has the records that could not be."""
 
-    Only positions with several records are looked at closely; their numbers are joined back, so
-    the wide records are not sorted.
-    """
-    repeated = recs.groupBy("chromosome", "position").agg(
-        F.sort_array(F.collect_list("line")).alias("_lines")).filter(F.size("_lines") > 1)
-    places = repeated.select(F.posexplode("_lines").alias("_occ", "line"))
-    return recs.join(places, "line", "left").withColumn(
-        "occurrence", F.coalesce("_occ", F.lit(0))).drop("_occ")
+    sites: DataFrame
+    calls: DataFrame
+    pedigree: DataFrame
+    quarantine: DataFrame
 
 
-def sample_calls(recs: DataFrame, sample_places: DataFrame) -> DataFrame:
-    """One row per record and sample ``(chromosome, position, occurrence, sample_id, a1, a2)``."""
-    unfolded = recs.select("file", *SITE, "gt_place", F.posexplode("fields").alias("place", "field"))
-    called = unfolded.withColumn("c", calls_of(F.col("field"), F.col("gt_place")))
-    return called.join(sample_places, ["file", "place"]).select(*SITE, "sample_id", "c.a1", "c.a2")
+def numbered(recs: DataFrame) -> DataFrame:
+    """Records without their calls, with ``occurrence``: 0 for the first at a position of a batch, 1 for the second, …."""
+    order = W.partitionBy("chromosome", "position").orderBy("file", "line")
+    return recs.select("file", "line", "chromosome", "position", "reference", "alternatives").withColumn(
+        "occurrence", F.row_number().over(order) - 1)
 
 
-def first_call_wins(batches: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Rows of several batches; for a key in several, the batch listed first decides."""
-    names = [c for c in batches[0].columns if c not in keys]
-    ranked = reduce(DataFrame.unionByName, [b.withColumn("_ord", F.lit(i)) for i, b in enumerate(batches)])
-    return ranked.groupBy(*keys).agg(F.min_by(F.struct(*names), "_ord").alias("w")).select(*keys, "w.*")
+def merged_sites(batches: list[DataFrame]) -> DataFrame:
+    """Sites of several batches aligned by ``SITE``, shaped as in the first batch that has them."""
+    shapes = [b.select(*SITE, "reference", "alternatives") for b in batches]
+    if len(shapes) == 1:
+        return shapes[0]
+    ranked = reduce(DataFrame.unionByName, [b.withColumn("_ord", F.lit(i)) for i, b in enumerate(shapes)])
+    return ranked.groupBy(*SITE).agg(F.min_by(F.struct("reference", "alternatives"), "_ord").alias("w")).select(*SITE, "w.*")
 
 
-def merged(batches: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """``(records, calls)`` of several sample batches aligned by chromosome and position.
+def family_places(batches: list[DataFrame], ped: DataFrame) -> DataFrame:
+    """``(file, shared, families)`` of the samples ``(file, place, sample_id)`` of each batch.
 
-    Returns the sites, shaped as in the first batch that has them, and the calls, where the first
-    batch wins per sample. One batch alone needs no alignment and is passed through.
-    """
-    shapes = [r.select(*SITE, "reference", "alternatives") for r, _ in batches]
-    if len(batches) == 1:
-        return shapes[0], batches[0][1]
-    return first_call_wins(shapes, SITE), first_call_wins([c for _, c in batches], [*SITE, "sample_id"])
-
-
-def to_study_inputs(
-    site_rows: DataFrame, call_rows: DataFrame, ped: DataFrame, fill: int = -1, bucket_index: int = 1,
-    transmission_type: int = 1, scratch: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(sites, calls)`` as the variant operators take them.
-
-    Sample calls are shuffled once, to their family and site; the family's member array, with
-    ``fill`` (-1 unknown, 0 reference) for members without a call, is joined to the grouped rows.
-    Families without any sample at a site do not appear: they are all unknown, or all reference
-    when filled. With ``scratch`` the numbered sites are written there once, as they are needed on
-    both sides.
+    A family has its members with the place of their sample in the file, if they have one, and
+    whether other batches have samples of it too.
     """
-    bucketed = site_rows.withColumn("bucket_index", F.lit(bucket_index))
-    sites = variants.running_index(
-        bucketed, "bucket_index", "position", ["chromosome", "occurrence"], "summary_index").withColumn(
-        "end_position", F.lit(None).cast("int")).withColumn("transmission_type", F.lit(transmission_type))
-    if scratch is not None:
-        sites = written(sites, f"{scratch}/numbered")
+    layout = pedigree.layout(ped).select("family_id", F.col("members").alias("m"))
     owners = pedigree.members(ped).select("family_id", "person_id", "sample_id")
-    by_family = call_rows.join(owners, "sample_id").groupBy(*SITE, "family_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("person_id", F.struct("a1", "a2")))).alias("_gt"))
+    placed = reduce(DataFrame.unionByName, [b.withColumn("batch", F.lit(i)) for i, b in enumerate(batches)]).join(owners, "sample_id")
+    shared = placed.groupBy("family_id").agg((F.count_distinct("batch") > 1).alias("shared"))
+    by_file = placed.groupBy("file", "family_id").agg(
+        F.map_from_entries(F.collect_set(F.struct("person_id", "place"))).alias("_at"))
+    at = lambda m: F.try_element_at(F.col("_at"), m["person_id"])
+    found = by_file.join(layout, "family_id").join(shared, "family_id").select("file", F.struct(
+        "family_id", "shared", F.transform("m", lambda m: F.struct(
+            *[m[f].alias(f) for f in variants.MEMBER_FIELDS], at(m).alias("place"))).alias("members")).alias("f"))
+    return found.groupBy("file", F.col("f.shared").alias("shared")).agg(F.collect_list("f").alias("families"))
 
+
+def family_calls(recs: DataFrame, places: DataFrame, fill: int) -> DataFrame:
+    """Records ``(…KEY, file, calls)`` unfolded to the families of their file.
+
+    Calls are picked inside the record, so an unfolded row is as wide as its family.
+    """
     def with_call(m: Column) -> Column:
-        call = F.try_element_at(F.col("_gt"), m["person_id"])
+        call, known = F.get("calls", m["place"]), m["place"].isNotNull()
+        side = lambda name: F.when(known, F.coalesce(call[name], F.lit(-1))).otherwise(fill)
         return F.struct(
-            *[m[f].alias(f) for f in variants.MEMBER_FIELDS],
-            F.coalesce(call["a1"], F.lit(fill)).alias("a1"), F.coalesce(call["a2"], F.lit(fill)).alias("a2"))
+            *[m[f].alias(f) for f in variants.MEMBER_FIELDS], side("a1").alias("a1"), side("a2").alias("a2"), known.alias("known"))
+
+    called = F.transform("families", lambda f: F.struct(
+        f["family_id"].alias("family_id"), F.transform(f["members"], with_call).alias("members")))
+    return recs.join(places, "file").select(*variants.KEY, F.inline(called))
 
-    filled = by_family.join(pedigree.layout(ped), "family_id").select(
-        *SITE, "family_id", F.transform("members", with_call).alias("members"))
-    calls = filled.join(sites.select(*SITE, *variants.KEY), SITE).select(*variants.KEY, "family_id", "members")
-    return sites.drop("occurrence"), calls
 
+def _plain(members: Column) -> Column:
+    return F.transform(members, lambda m: m.dropFields("known"))
 
-def read(
-    spark: SparkSession, batches: list[list[str]], ped: DataFrame, fill: int = -1,
-    fixed_pedigree: bool = True, prefix: str | None = None, add_prefix: bool = True,
+
+def merged_calls(batches: list[DataFrame]) -> DataFrame:
+    """Calls of the families that several batches share; of a member with a call in several, the first batch counts."""
+    rows = reduce(DataFrame.unionByName, [b.withColumn("_ord", F.lit(i)) for i, b in enumerate(batches)])
+    grouped = rows.groupBy(*variants.KEY, "family_id").agg(F.array_sort(F.collect_list(F.struct("_ord", "members"))).alias("b"))
+    lists = F.transform("b", lambda x: x["members"])
+    first = F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, F.lit(0)), lambda acc, other: F.zip_with(
+        acc, other, lambda m, n: F.when(~m["known"] & n["known"], n).otherwise(m)))
+    return grouped.select(*variants.KEY, "family_id", _plain(first).alias("members"))
+
+
+def study_inputs(
+    batches: list[DataFrame], ped: DataFrame, fill: int = -1, prefix: str | None = None, add_prefix: bool = True,
+    skip_contigs: str | None = None, fixed_pedigree: bool = True, bucket_index: int = 1, transmission_type: int = 1,
     scratch: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sites, family calls and the matched pedigree of VCF files.
+) -> Tables:
+    """Sites, family calls and the matched pedigree of the lines of several sample batches.
+
+    Members without a sample in any batch that has the site get ``fill``: -1 is unknown and 0 is
+    reference. Families without a sample in those batches have no row; when filled as reference,
+    ``allele_frequencies`` is told to count them as such. With ``scratch`` the numbered sites are
+    written there, as they are needed on both sides.
+    """
+    recs = [records(lines, prefix, add_prefix, skip_contigs) for lines in batches]
+    odd = reduce(DataFrame.unionByName, [r.filter(unreadable()) for r in recs])
+    recs = [r.filter(~unreadable()) for r in recs]
+    places = [samples(lines) for lines in batches]
+    matched = pedigree.match_samples(ped, reduce(DataFrame.unionByName, [p.select("sample_id") for p in places]), fixed_pedigree)
+    narrow = [numbered(r) for r in recs]
+    sites = variants.running_index(
+        merged_sites(narrow).withColumn("bucket_index", F.lit(bucket_index)), "bucket_index", "position", ["chromosome", "occurrence"], "summary_index")
+    sites = sites.withColumn("end_position", F.lit(None).cast("int")).withColumn("transmission_type", F.lit(transmission_type))
+    if scratch is not None:
+        sites = written(sites, f"{scratch}/numbered")
+    layouts = family_places(places, matched)
+    if scratch is not None:
+        layouts = written(layouts, f"{scratch}/layouts")
+    keyed = [
+        wide.select("file", "line", "calls").join(
+            thin.select("file", "line", *SITE).join(sites.select(*SITE, *variants.KEY), SITE).select("file", "line", *variants.KEY), ["file", "line"])
+        for wide, thin in zip(recs, narrow)]
+    alone = [family_calls(k, layouts.filter(~F.col("shared")), fill).withColumn("members", _plain(F.col("members"))) for k in keyed]
+    calls = reduce(DataFrame.unionByName, alone)
+    if len(batches) > 1:  # only families that several batches share are grouped
+        calls = calls.unionByName(merged_calls([family_calls(k, layouts.filter("shared"), fill) for k in keyed]))
+    return Tables(sites.drop("occurrence"), calls, matched, odd)
+
+
+def read(spark: SparkSession, batches: list[list[str]], ped: DataFrame, **options) -> Tables:
+    """``study_inputs`` of VCF files.
 
     A batch is a set of files with the same samples, such as one file per chromosome; batches with
     different samples are merged by position.
     """
-    tables, sample_tables = [], []
-    for paths in batches:
-        lines = read_lines(spark, paths)
-        places = samples(lines)
-        recs = numbered(records(lines, prefix, add_prefix))
-        sample_tables.append(places.select("sample_id"))
-        tables.append((recs, sample_calls(recs, places)))
-    all_samples = reduce(DataFrame.union, sample_tables)
-    matched = pedigree.match_samples(ped, all_samples, fixed_pedigree)
-    site_rows, call_rows = merged(tables)
-    sites, calls = to_study_inputs(site_rows, call_rows, matched, fill, scratch=scratch)
-    return sites, calls, matched
+    return study_inputs([read_lines(spark, paths) for paths in batches], ped, **options)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import genotypes
 from kinfold.operators import variants
-from kinfold.plans import imports
+from kinfold.plans import browser, imports
 from kinfold.plans import study as plan
 from kinfold.sources import call_tables, exports, liftover, side_tables, vcf
 
@@ -31,15 +31,17 @@ def test_vcf_reader(spark, tmp_path):
         ("chr1", 10, "A", "C,G", "0/0 0/0 0/1 0|2 0/0 ./. 1/1 0/0"),
         ("chrX", 20, "A", "T", "0/1 1 0 0 0/0 0 0 0"),
         ("HLA-A", 5, "A", "T", "0/1 0/1 0/1 0/1 0/1 0/1 0/1 0/1")])
-    sites, calls, matched = vcf.read(spark, [[path]], ped)
+    sites, calls, matched, odd = vcf.read(spark, [[path]], ped, skip_contigs="HLA")
     got = texts(sites, calls)
     assert got[("chr1", 10, "f1")] == "0/0;0/0;0/1;0/2"
     assert got[("chr1", 10, "f2")] == "0/0;./.;1/1;./."  # sib2 has no sample
     assert got[("chrX", 20, "f1")] == "0/1;1/.;0/.;0/."
     assert not any(c.startswith("HLA") for c, _, _ in got)
-    _, calls_ref, _ = vcf.read(spark, [[path]], ped, fill=0)
+    assert odd.count() == 0
+    assert any(c.startswith("HLA") for c, _, _ in texts(*vcf.read(spark, [[path]], ped)[:2]))
+    _, calls_ref, _, _ = vcf.read(spark, [[path]], ped, fill=0, skip_contigs="HLA")
     assert texts(sites, calls_ref)[("chr1", 10, "f2")] == "0/0;./.;1/1;0/0"
-    _, calls_free, free = vcf.read(spark, [[path]], ped, fixed_pedigree=False)
+    _, calls_free, free, _ = vcf.read(spark, [[path]], ped, fixed_pedigree=False, skip_contigs="HLA")
     assert texts(sites, calls_free)[("chr1", 10, "f2")] == "0/0;./.;1/1"
     assert [r[0] for r in free.filter("not_sequenced").select("person_id").collect()] == ["sib2"]
 
@@ -50,7 +52,7 @@ def test_vcf_batches(spark, tmp_path):
     chr2 = write_vcf(tmp_path / "one2.vcf", ["mom1", "dad1", "prb1", "sib1"], [("chr2", 7, "G", "T", "0/0 0/0 0/1 0/0")])
     two = write_vcf(tmp_path / "two.vcf", ["prb1", "mom2", "dad2", "prb2", "sib2"], [
         ("chr1", 10, "A", "T", "1/1 0/0 0/1 0/0 0/0"), ("chr1", 11, "C", "G", "0/0 0/0 0/1 0/0 0/0")])
-    sites, calls, _ = vcf.read(spark, [[one, chr2], [two]], ped)
+    sites, calls, _, _ = vcf.read(spark, [[one, chr2], [two]], ped)
     got = texts(sites, calls)
     assert got[("chr1", 10, "f1")] == "0/1;0/0;0/1;0/0"  # first batch wins for prb1
     assert got[("chr1", 10, "f2")] == "0/0;0/1;0/0;0/0"
@@ -60,12 +62,43 @@ def test_vcf_batches(spark, tmp_path):
     assert shapes[("chr1", 10)] == ["C"]
 
 
+def test_vcf_batches_filled_as_reference_count_absent_families(spark, tmp_path):
+    trios = ped_rows(spark, "".join(f"f{i} m{i} 0 0 F unaffected mom\nf{i} d{i} 0 0 M unaffected dad\nf{i} p{i} m{i} d{i} M affected prb\n" for i in (1, 2)))
+    one = write_vcf(tmp_path / "one.vcf", ["m1", "d1", "p1"], [("chr1", 10, "A", "C", "0/1 0/0 0/1"), ("chr1", 20, "A", "C", "./. 0/0 0/1")])
+    two = write_vcf(tmp_path / "two.vcf", ["m2", "d2", "p2"], [("chr1", 20, "A", "C", "0/1 0/1 0/1")])
+
+    def frequencies(fill):
+        sites, calls, _, _ = vcf.read(spark, [[one], [two]], trios, fill=fill)
+        study = imports.build_study(sites, calls, trios, absent_are_reference=fill == 0)
+        return {r["position"]: (r["af_parents_called_count"], r["af_allele_count"], r["af_allele_freq"]) for r in study.summary.collect()}
+
+    assert frequencies(-1) == {10: (2, 1, 25.0), 20: (2, 2, 50.0)}
+    assert frequencies(0) == {10: (4, 1, 12.5), 20: (2, 2, 50.0)}
+
+
+def test_vcf_records_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    ped = ped_rows(spark, QUAD)
+    path = write_vcf(tmp_path / "a.vcf", ["mom1", "dad1", "prb1", "sib1"], [
+        ("chr1", 10, "A", "C", "0/0 0/0 0/1/1 0/0"), ("chr1", "x", "A", "C", "0/0 0/0 0/1 0/0"), ("chr1", 12, "A", "C", "0/0 0/0 0/1 0/0")])
+    sites, calls, _, odd = vcf.read(spark, [[path]], ped)
+    assert [k[1] for k in texts(sites, calls)] == [12] and odd.count() == 2
+
+
+def test_best_states_of_three_alternatives(spark, tmp_path):
+    ped = ped_rows(spark, QUAD)
+    path = write_vcf(tmp_path / "a.vcf", ["mom1", "dad1", "prb1", "sib1"], [
+        ("chr1", 10, "A", "C,G,T", "0/3 0/0 0/3 1/2"), ("chr1", 20, "A", "C", "0/1 0/0 ./. 0/1")])
+    sites, calls, _, _ = vcf.read(spark, [[path]], ped)
+    found = browser.answer(plan.query_variants(imports.build_study(sites, calls, ped)), ["location", "best_st"]).collect()
+    assert {(r["location"], r["best_st"]) for r in found} == {("chr1:10", "1210/0001/0001/1010"), ("chr1:20", "12?1/10?1")}
+
+
 def test_vcf_repeated_positions_stay_apart(spark, tmp_path):
     ped = ped_rows(spark, QUAD)
     people = ["mom1", "dad1", "prb1", "sib1"]
     path = write_vcf(tmp_path / "a.vcf", people, [
         ("chr1", 10, "A", "C", "0/0 0/0 0/1 0/0"), ("chr1", 10, "AT", "A", "0/1 0/0 0/0 0/0"), ("chr1", 11, "A", "C", "0/0 0/1 0/0 0/0")])
-    sites, calls, _ = vcf.read(spark, [[path]], ped)
+    sites, calls, _, _ = vcf.read(spark, [[path]], ped)
     found = {(r["reference"], r["alternatives"][0], r["g"]) for r in calls.join(sites, ["bucket_index", "summary_index"]).select(
         "reference", "alternatives", genotypes.genotype_text(F.col("members")).alias("g")).collect()}
     assert found == {("A", "C", "0/0;0/0;0/1;0/0"), ("AT", "A", "0/1;0/0;0/0;0/0"), ("A", "C", "0/0;0/1;0/0;0/0")}
@@ -77,7 +110,7 @@ def test_vcf_import_modes(spark, tmp_path):
         ("chr1", 1, "A", "C", "0/0 0/0 0/1 0/0"), ("chr1", 2, "A", "C", "1/1 0/0 0/0 0/1"),
         ("chr1", 3, "A", "C", "0/1 0/0 0/1 0/0"), ("chr1", 4, "A", "C", "0/0 0/0 0/0 0/0"),
         ("chr1", 5, "A", "C", "./. 0/0 0/1 0/0")])
-    sites, calls, _ = vcf.read(spark, [[path]], ped)
+    sites, calls, _, _ = vcf.read(spark, [[path]], ped)
 
     def classes(**modes):
         study = imports.build_study(sites, calls, ped, **modes)
@@ -103,10 +136,10 @@ def test_vcf_export_round_trip(spark, tmp_path):
     people = [f"{r}{i}" for i in (1, 2) for r in ("mom", "dad", "prb", "sib")]
     path = write_vcf(tmp_path / "a.vcf", people, [
         ("chr1", 10, "A", "C,G", "0/0 0/0 0/1 0/2 0/0 ./. 1/1 0/0"), ("chrX", 20, "A", "T", "0/1 1 0 0 0/0 0 0 0/1")])
-    sites, calls, _ = vcf.read(spark, [[path]], ped)
+    sites, calls, _, _ = vcf.read(spark, [[path]], ped)
     out = str(tmp_path / "out")
     exports.write_vcf(exports.vcf_lines(sites, calls, people), exports.vcf_header(people, {"chr1": 100}), out)
-    back_sites, back_calls, _ = vcf.read(spark, [[out]], ped)
+    back_sites, back_calls, _, _ = vcf.read(spark, [[out]], ped)
     assert texts(back_sites, back_calls) == texts(sites, calls)
 
 
