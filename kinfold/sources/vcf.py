@@ -54,7 +54,7 @@ def adjusted_chrom(chrom: Column, prefix: str | None = None, add: bool = True) -
 
 
 def records(lines: DataFrame, prefix: str | None = None, add_prefix: bool = True, skip_contigs: str | None = None) -> DataFrame:
-    """Site columns and the calls of all samples, one row per record.
+    """Site columns and the raw sample fields, one row per record.
 
     ``skip_contigs`` leaves out contigs whose name contains it.
     """
@@ -67,9 +67,12 @@ def records(lines: DataFrame, prefix: str | None = None, add_prefix: bool = True
         "file", "line", adjusted_chrom(field(0), prefix, add_prefix).alias("chromosome"),
         field(1).try_cast("int").alias("position"), field(3).alias("reference"),
         F.split(field(4), ",").alias("alternatives"), gt_place.alias("gt_place"),
-        F.slice("f", FIRST_SAMPLE + 1, F.greatest(F.size("f") - FIRST_SAMPLE, F.lit(0))).alias("fields")).select(
-        "file", "line", "chromosome", "position", "reference", "alternatives",
-        F.transform("fields", lambda f: call_of(f, F.col("gt_place"))).alias("calls"))
+        F.slice("f", FIRST_SAMPLE + 1, F.greatest(F.size("f") - FIRST_SAMPLE, F.lit(0))).alias("fields"))
+
+
+def call_text(field: Column, gt_place: Column) -> Column:
+    """The GT part of a sample field; it comes first unless the format says otherwise."""
+    return F.when(gt_place == 1, F.substring_index(field, ":", 1)).otherwise(F.try_element_at(F.split(field, ":"), gt_place))
 
 
 def allele_of(text: Column) -> Column:
@@ -77,21 +80,31 @@ def allele_of(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(-1))
 
 
-def call_of(field: Column, gt_place: Column) -> Column:
-    """``struct(a1, a2, sides)`` of a sample field; a single side is haploid."""
-    text = F.when(gt_place == 1, F.substring_index(field, ":", 1)).otherwise(F.try_element_at(F.split(field, ":"), gt_place))
+def _of_record(use) -> Column:
+    """``use`` of a record's fields and GT place.
+
+    Both are bound first: a filter that is pushed below the projection that makes them would
+    otherwise cut the line again for every sample.
+    """
+    return codes.bind(F.struct("fields", "gt_place"), lambda r: use(r["fields"], r["gt_place"]))
+
 
-    def pair(sides: Column) -> Column:
+def calls() -> Column:
+    """``struct(a1, a2)`` of all samples of a record; a single side is haploid."""
+    def call(field: Column, gt_place: Column) -> Column:
+        text = F.translate(call_text(field, gt_place), "|", "/")
         return F.struct(
-            allele_of(F.get(sides, F.lit(0))).alias("a1"),
-            F.when(F.size(sides) == 1, F.lit(-2)).otherwise(allele_of(F.get(sides, F.lit(1)))).alias("a2"),
-            F.size(sides).alias("sides"))
-    return codes.bind(F.split(F.translate(text, "|", "/"), "/"), pair)
+            allele_of(F.substring_index(text, "/", 1)).alias("a1"),
+            F.when(F.instr(text, "/") == 0, F.lit(-2)).otherwise(allele_of(F.substring_index(text, "/", -1))).alias("a2"))
+    return _of_record(lambda fields, gt_place: F.transform(fields, lambda f: call(f, gt_place)))
 
 
 def unreadable() -> Column:
     """Whether a record has a call of more than two sides, or no position."""
-    return F.col("position").isNull() | F.exists("calls", lambda c: c["sides"] > 2)
+    def sides(field: Column, gt_place: Column) -> Column:
+        text = F.coalesce(call_text(field, gt_place), F.lit(""))
+        return F.length(text) - F.length(F.translate(text, "/|", "")) + 1
+    return F.col("position").isNull() | _of_record(lambda fields, gt_place: F.exists(fields, lambda f: sides(f, gt_place) > 2))
 
 
 SITE = ["chromosome", "position", "occurrence"]
@@ -198,14 +211,14 @@ def study_inputs(
     if scratch is not None:
         layouts = written(layouts, f"{scratch}/layouts")
     keyed = [
-        wide.select("file", "line", "calls").join(
+        wide.select("file", "line", calls().alias("calls")).join(
             thin.select("file", "line", *SITE).join(sites.select(*SITE, *variants.KEY), SITE).select("file", "line", *variants.KEY), ["file", "line"])
         for wide, thin in zip(recs, narrow)]
     alone = [family_calls(k, layouts.filter(~F.col("shared")), fill).withColumn("members", _plain(F.col("members"))) for k in keyed]
-    calls = reduce(DataFrame.unionByName, alone)
+    found = reduce(DataFrame.unionByName, alone)
     if len(batches) > 1:  # only families that several batches share are grouped
-        calls = calls.unionByName(merged_calls([family_calls(k, layouts.filter("shared"), fill) for k in keyed]))
-    return Tables(sites.drop("occurrence"), calls, matched, odd)
+        found = found.unionByName(merged_calls([family_calls(k, layouts.filter("shared"), fill) for k in keyed]))
+    return Tables(sites.drop("occurrence"), found, matched, odd)
 
 
 def read(spark: SparkSession, batches: list[list[str]], ped: DataFrame, **options) -> Tables:
