@@ -254,15 +254,10 @@ def browser_rows(
         .join(wide, "measure_id", "left"))
 
 
-def _escaped_pattern(keyword: str) -> str:
-    return "%" + keyword.replace("/", "//").replace("%", "/%").replace("_", "/_") + "%"
-
-
 def keyword_condition(keyword: str, instrument: str | None) -> Column:
-    """Case-insensitive substring on measure id and name, and on the instrument when none is given."""
-    columns = ([] if instrument else ["instrument_name"]) + ["measure_id", "measure_name"]
-    pattern = _escaped_pattern(keyword).replace("'", "\\'")
-    return reduce(lambda a, b: a | b, [F.expr(f"{c} ILIKE '{pattern}' ESCAPE '/'") for c in columns])
+    """The keyword, whatever its characters and case, in the measure's id or name, or the instrument's when none is given."""
+    places = ["measure_id", "measure_name"] + ([] if instrument else ["instrument_name"])
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(p), F.lit(keyword.lower())) for p in places])
 
 
 def search(

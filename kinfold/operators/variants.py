@@ -19,10 +19,12 @@ DENOVO = codes.INHERITANCE["denovo"]
 
 
 def sj_index() -> Column:
-    """One join key per allele: ((bucket * 10^9) + summary_index) * 10^4 + allele_index."""
-    return (
+    """One join key per allele: ((bucket * 10^9) + summary_index) * 10^4 + allele_index; numbers beyond these are an error."""
+    key = (
         (F.col("bucket_index").cast("long") * 1_000_000_000 + F.col("summary_index")) * 10_000
         + F.col("allele_index"))
+    beyond = (F.col("summary_index") >= 1_000_000_000) | (F.col("allele_index") >= 10_000)
+    return F.when(beyond, F.raise_error("a summary or allele index is too large for sj_index").cast("long")).otherwise(key)
 
 
 def running_index(df: DataFrame, bucket: str, position: str, order: list[str], name: str, block: int = 10_000) -> DataFrame:

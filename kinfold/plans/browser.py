@@ -259,12 +259,16 @@ def variant_rows(rows: DataFrame, names: list[str], formats: dict[str, str] | No
 
 
 def with_gene_scores(rows: DataFrame, scores: DataFrame, score_ids: list[str]) -> DataFrame:
-    """Score columns of each allele's first gene."""
+    """Score columns of each allele's first gene.
+
+    Alleles without a gene share no key, so they do not meet in one task of the join.
+    """
     wide = scores.groupBy("gene").agg(*[
         F.max(F.when(F.col("score_id") == s, F.col("value"))).alias(s) for s in score_ids])
     first = F.get(alleles.genes(F.col("effect_gene")), F.lit(0))
-    return rows.withColumn("_gene", first).join(
-        wide.withColumnRenamed("gene", "_gene"), "_gene", "left").drop("_gene")
+    named = rows.withColumn("_gene", first)
+    scored = named.filter(F.col("_gene").isNotNull()).join(wide.withColumnRenamed("gene", "_gene"), "_gene", "left").drop("_gene")
+    return scored.unionByName(named.filter(F.col("_gene").isNull()).drop("_gene"), allowMissingColumns=True)
 
 
 def with_family_measures(rows: DataFrame, measures: DataFrame) -> DataFrame:
