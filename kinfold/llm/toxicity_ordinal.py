@@ -61,7 +61,7 @@ def _counted(text: str | None) -> Counter[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
-    """Labelled documents (toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number.
+    """Labelled documents (doc_id, toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number.
 
     An id with several labels is toxic if one of them says so; null ids and labels are left out.
     """
@@ -71,40 +71,39 @@ def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLE
         part = by_id.where((F.col("toxic") > 0) == bool(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[toxic])
         first = part if first is None else first.unionAll(part)
     # sum(most) narrow rows at most: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
+    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
 
 
 def design(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each document and, per document and distinct word, its row, the word's CRC pair as one number and its count.
+    """Class of each document and, per document and distinct word, its row, the places of the word and its stem, and its count.
 
-    The features are built where the texts are; the driver receives numbers of a bounded number of documents.
+    The features are built where the texts are; the driver receives numbers of a bounded number of documents, in the order of
+    their ids, so that the model does not depend on the order in which tasks end.
     """
-    schema = pa.schema([("toxic", pa.int32()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            pairs, counts = [], []
+            places, counts = [], []
             for text in batch.column("text").to_pylist():
                 words = _counted(text)
-                pairs.append([a * PLACES + b for a, b in map(word_places, words)])
+                places.append([p for w in words for p in word_places(w)])
                 counts.append(list(words.values()))
-            yield batch_of({"toxic": batch.column("toxic"), "pairs": pairs, "counts": counts}, schema)
+            yield batch_of({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "places": places, "counts": counts}, schema)
 
-    got = labelled.mapInArrow(count, "toxic int, pairs array<bigint>, counts array<int>").toArrow()
-    lengths = pc.list_value_length(got["pairs"]).to_numpy()
-    # rows arrive in any order; the model must not depend on it
-    order = np.argsort([f"{t} {n} {p[:8]}" for t, n, p in zip(got["toxic"].to_pylist(), lengths, got["pairs"].to_pylist())], kind="stable")
-    got, lengths = got.take(pa.array(order)), lengths[order]
-    flat = lambda name: np.asarray(pc.list_flatten(got[name]))
-    return got["toxic"].to_numpy(), np.repeat(np.arange(len(lengths)), lengths), flat("pairs"), flat("counts")
+    got = labelled.select("doc_id", "toxic", "text").mapInArrow(
+        count, "doc_id bigint, toxic int, places array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    lengths = pc.list_value_length(got["counts"]).to_numpy()
+    both = np.asarray(pc.list_flatten(got["places"])).reshape(-1, 2)
+    return got["toxic"].to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), both, np.asarray(pc.list_flatten(got["counts"]))
 
 
 def telling(toxic: np.ndarray, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Whether each feature tells: eight toxic documents or more hold it, and it is 40 times as frequent there as in clean ones."""
-    once = np.unique(features * len(toxic) + rows)
-    feature, row = once // len(toxic), once % len(toxic)
-    size = int(features.max()) + 1 if len(features) else 0
-    bad, good = (np.bincount(feature[toxic[row] == t], minlength=size) for t in (1, 0))
+    once = np.unique(features.astype(np.int64) * len(toxic) + rows)
+    is_bad = toxic[once % len(toxic)] == 1
+    once //= len(toxic)
+    bad, good = (np.bincount(once[chosen], minlength=PLACES) for chosen in (is_bad, ~is_bad))
     return (bad >= 8) & (bad / max((toxic == 1).sum(), 1) > 40 * (good + 0.5) / ((toxic == 0).sum() + 1))
 
 
@@ -120,19 +119,17 @@ def fit(labelled: DataFrame, steps: int = 600, rate: float = 0.3, shrink: float
     Only telling features get a weight. Without documents of both classes no score can be learnt; the model then expects
     severity 0 of everything.
     """
-    toxic, rows, pairs, counts = design(labelled)
+    toxic, rows, places, counts = design(labelled)
     levels = len(GRADE_HITS) + 2
     weights = np.zeros(PLACES, np.float32)
     if not toxic.any() or toxic.all():
         return Model(weights, np.full(levels - 1, 50.0))
-    words = np.unique(pairs, return_inverse=True)[1]
-    grade = grades(toxic, rows, counts, telling(toxic, rows, words)[words])
-    places, feature = np.unique(np.concatenate([pairs // PLACES, pairs % PLACES]), return_inverse=True)
-    row, value = np.tile(rows, 2), np.tile(1 + np.log(counts), 2)
-    tells = telling(toxic, row, feature)
-    used = tells[feature]
-    row, value, feature = row[used], value[used], (np.cumsum(tells) - 1)[feature[used]]
-    places, n = places[tells], len(toxic)
+    of_words, of_stems = (telling(toxic, rows, places[:, k])[places[:, k]] for k in (0, 1))
+    grade = grades(toxic, rows, counts, of_words)
+    row = np.concatenate([rows[of_words], rows[of_stems]])
+    value = 1 + np.log(np.concatenate([counts[of_words], counts[of_stems]]))
+    places, feature = np.unique(np.concatenate([places[of_words, 0], places[of_stems, 1]]), return_inverse=True)
+    n = len(toxic)
     w, squares, gaps, gap_squares = np.zeros(len(places)), np.full(len(places), 1e-8), np.array([2.0, 1.0, 1.0]), np.full(levels - 1, 1e-8)
     for _ in range(steps):
         score = np.bincount(row, weights=w[feature] * value, minlength=n)
