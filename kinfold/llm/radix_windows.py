@@ -142,11 +142,11 @@ def sift(rows: DataFrame) -> DataFrame:
     repeated: another row agrees in both digits. undecided: no other does, or the row stands for those that agree with it
     while others with the same first digit do not.
     """
-    shared = rows.groupBy("high").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("low").alias("most")).where(F.col("n") > 1)
+    # written, so that the join has an exchange of its own on either side and can split a digit that fills a partition
+    shared = cut(rows.groupBy("high").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("low").alias("most")).where(F.col("n") > 1))
     met = cut(rows.join(shared, "high").withColumn("mixed", F.col("least") != F.col("most")).drop("n", "least", "most"))
     place = F.struct("id", "crc", "first")
-    kinds = (
-        met.where("mixed").groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("one")))
+    kinds = cut(met.where("mixed").groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("one")))
     mixed = met.where("mixed").join(kinds, ["high", "low"]).select(
         *rows.columns, (F.col("n") > 1).alias("repeated"), ((F.col("n") == 1) | place.eqNullSafe(F.col("one"))).alias("undecided"))
     return met.where(~F.col("mixed")).select(*rows.columns, F.lit(True).alias("repeated"), F.lit(False).alias("undecided")).unionAll(mixed)
@@ -297,7 +297,7 @@ def strip(docs: DataFrame, finish: Finish = kept_text, finished: T.StructType =
     windows = (
         waiting.select("id", "crc", "packed").join(_renamed(second.where(F.size("open") > 0).select("id", "crc", "open")), _same_key())
         .select("id", "crc", "packed", "open").mapInArrow(_windows_of, f"{KEY}, first bigint, digit bigint"))
-    equal = windows.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    equal = cut(windows.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     third = windows.join(equal, "digit").groupBy("id", "crc").agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("ranges"))
     later = (
         second.select("id", "crc", "ranges").unionAll(third)
