@@ -198,15 +198,16 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def components(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(bits, component_id) of the distinct fingerprints of ``rows`` (doc_id, bits).
+    """(bits, root, component_id) of the distinct fingerprints of ``rows`` (doc_id, bits).
 
-    component_id is the smallest doc_id whose fingerprint can be reached; null ids count only where there is no other.
+    root is the fingerprint that stands for the component, and the only name of it that is its own. component_id is the
+    smallest doc_id whose fingerprint can be reached; null ids count only where there is no other.
     """
     distinct = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
     linked = stars(links(distinct.select("bits"), crowd))
     rooted = distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(lowest, "root").select("bits", "component_id")
+    return rooted.join(lowest, "root").select("bits", "root", "component_id")
 
 
 def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -221,13 +222,14 @@ def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 def survivors(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row of each group of near-duplicates in ``docs``, with all its columns: that of the smallest id.
 
-    Of several rows with this id, the one with the smallest hash over all columns stays, once. Null ids come last.
+    Groups are told apart by their texts, not by an id, which may be null or repeated. Of several rows with the smallest id,
+    the one with the smallest hash over all columns stays, once. Null ids come last.
     """
     names = docs.columns
     whole = F.xxhash64(*[column(c) for c in names])
     rows = cut(fingerprinted(docs.select("doc_id", whole.alias("row_hash"), "text"), keep_text=False))
     first = (
-        rows.join(components(rows, crowd), "bits").groupBy("component_id")
+        rows.join(components(rows, crowd), "bits").groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first")).select("first.*"))
     packed = docs.select(F.struct(*[column(c) for c in names]).alias("row"), column("doc_id").alias("id"), whole.alias("hash"))
     return (

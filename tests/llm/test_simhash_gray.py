@@ -105,3 +105,11 @@ def test_groups_and_survivors(spark, docs_of):
     kept = simhash_gray.survivors(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["12", "4", "6", "None"]
     assert simhash_gray.groups(docs.limit(0)).count() == 0 and simhash_gray.survivors(docs.limit(0)).count() == 0
+
+
+def test_survivors_of_null_and_repeated_ids_are_told_apart_by_their_texts(spark, docs_of):
+    draw = random.Random(5)
+    texts = [" ".join(str(draw.random()) for _ in range(60)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
+    kept = simhash_gray.survivors(docs_of(rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
