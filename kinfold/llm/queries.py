@@ -121,7 +121,7 @@ def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
-    return simhash_gray.groups(table(spark, sf_dir, "documents"))
+    return simhash_gray.groups(table(spark, sf_dir, "documents"), near=False)
 
 
 def _removal_digest(data: bytes, spans: np.ndarray) -> tuple[Any, ...]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.llm import near_copies
 from kinfold.llm.common import column, cut, pieces, without
 from kinfold.llm.components import stars
 
@@ -197,39 +198,48 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = further
 
 
-def components(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(bits, root, component_id) of the distinct fingerprints of ``rows`` (doc_id, bits).
+def components(rows: DataFrame, pairs: DataFrame, node: str = "bits") -> DataFrame:
+    """(node, root, component_id) of the distinct nodes of ``rows`` (doc_id, node), which ``pairs`` (a, b) link.
 
-    root is the fingerprint that stands for the component, and the only name of it that is its own. component_id is the
-    smallest doc_id whose fingerprint can be reached; null ids count only where there is no other.
+    root is the node that stands for the component, and the only name of it that is its own. component_id is the smallest
+    doc_id whose node can be reached; null ids count only where there is no other.
     """
-    distinct = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    linked = stars(links(distinct.select("bits"), crowd))
-    rooted = distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
+    distinct = cut(rows.groupBy(node).agg(F.min("doc_id").alias("first_id")))
+    linked = stars(pairs)
+    rooted = distinct.join(linked, distinct[node] == linked["node"], "left").select(distinct[node], "first_id", F.coalesce("root", node).alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(lowest, "root").select("bits", "root", "component_id")
+    return rooted.join(lowest, "root").select(node, "root", "component_id")
 
 
-def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def groups(docs: DataFrame, crowd: int = CROWD, near: bool = True) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay.
+    Linked are near copies, as ``survivors`` takes them; or, if not ``near``, fingerprints within two bits. Null and empty
+    texts have fingerprint 0 and are linked like any other. Repeated rows stay.
     """
-    rows = cut(fingerprinted(docs.select("doc_id", "text"), keep_text=False))
-    return rows.join(components(rows, crowd), "bits").select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+    if near:
+        texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+        rows = cut(near_copies.marked(fingerprinted(texts)))
+        found = components(rows, near_copies.links(texts, rows), "copy")
+        joined = rows.join(found, "copy")
+    else:
+        rows = cut(fingerprinted(docs.select("doc_id", "text"), keep_text=False))
+        joined = rows.join(components(rows, links(cut(rows.select("bits").distinct()), crowd)), "bits")
+    return joined.select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One row of each group of near-duplicates in ``docs``, with all its columns: that of the smallest id.
+def survivors(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies (``near_copies``) in ``docs``, with all its columns: that of the smallest id.
 
     Groups are told apart by their texts, not by an id, which may be null or repeated. Of several rows with the smallest id,
     the one with the smallest hash over all columns stays, once. Null ids come last.
     """
     names = docs.columns
     whole = F.xxhash64(*[column(c) for c in names])
-    rows = cut(fingerprinted(docs.select("doc_id", whole.alias("row_hash"), "text"), keep_text=False))
+    texts = docs.select("doc_id", whole.alias("row_hash"), "text")
+    rows = cut(near_copies.marked(texts))
     first = (
-        rows.join(components(rows, crowd), "bits").groupBy("root")
+        rows.join(components(rows, near_copies.links(texts, rows), "copy"), "copy").groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first")).select("first.*"))
     packed = docs.select(F.struct(*[column(c) for c in names]).alias("row"), column("doc_id").alias("id"), whole.alias("hash"))
     return (
