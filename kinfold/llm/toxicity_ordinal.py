@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import batch_of, column, pieces, without
+from kinfold.llm.common import batch_of, column, cut, pieces, without
 
 TOKEN = re.compile(r"\w+")
 #: Features are hashed to so many places.
@@ -30,6 +30,8 @@ PLACES = 1 << 20
 STEM = 5
 #: Clean and toxic labelled documents that training reads at most.
 MOST_CLEAN, MOST_TOXIC = 6000, 3000
+#: A telling feature is so many times as frequent in toxic texts as in clean ones; of the telling ones so many may be so by chance.
+OFTEN, BY_CHANCE = 10, 0.05
 #: A toxic document with more telling words than this is one grade higher, for each of the numbers.
 GRADE_HITS = (2, 6)
 #: Documents of this expected severity and more are rejected.
@@ -60,51 +62,138 @@ def _counted(text: str | None) -> Counter[str]:
     return Counter(TOKEN.findall(text.lower())) if text else Counter()
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
-    """Labelled documents (doc_id, toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number.
+def _by_id(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of every labelled id: toxic if one of its labels says so; null ids and labels are left out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
-    An id with several labels is toxic if one of them says so; null ids and labels are left out.
-    """
-    by_id = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
+    """Labelled documents (doc_id, toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number."""
     first = None
     for toxic in (0, 1):
-        part = by_id.where((F.col("toxic") > 0) == bool(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[toxic])
+        part = _by_id(labels).where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[toxic])
         first = part if first is None else first.unionAll(part)
     # sum(most) narrow rows at most: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
+    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("doc_id", "toxic", "text")
 
 
-def design(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each document and, per document and distinct word, its row, the places of the word and its stem, and its count.
+def features(word: str) -> tuple[int, int]:
+    """The two features of a word: it and its stem, each by its place."""
+    a, b = word_places(word)
+    return a, PLACES + b
+
+
+def design(labelled: DataFrame, tells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each document and, per document, distinct word and feature of it that ``tells``, its row, the feature and the count.
 
     The features are built where the texts are; the driver receives numbers of a bounded number of documents, in the order of
     their ids, so that the model does not depend on the order in which tasks end.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text_hash", pa.int64()), ("features", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    bits = np.packbits(tells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.unpackbits(bits)
         for batch in pieces(batches, "text"):
-            places, counts = [], []
+            found, counts = [], []
             for text in batch.column("text").to_pylist():
-                words = _counted(text)
-                places.append([p for w in words for p in word_places(w)])
-                counts.append(list(words.values()))
-            yield batch_of({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "places": places, "counts": counts}, schema)
-
-    got = labelled.select("doc_id", "toxic", "text").mapInArrow(
-        count, "doc_id bigint, toxic int, places array<int>, counts array<int>").toArrow().sort_by("doc_id")
+                held = [(f, n) for word, n in _counted(text).items() for f in features(word) if told[f]]
+                found.append([f for f, _ in held])
+                counts.append([n for _, n in held])
+            yield batch_of({
+                "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "text_hash": batch.column("text_hash"), "features": found, "counts": counts}, schema)
+
+    got = labelled.select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        count, "doc_id bigint, toxic int, text_hash bigint, features array<int>, counts array<int>").toArrow().sort_by(
+        [("doc_id", "ascending"), ("text_hash", "ascending")])
     lengths = pc.list_value_length(got["counts"]).to_numpy()
-    both = np.asarray(pc.list_flatten(got["places"])).reshape(-1, 2)
-    return got["toxic"].to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), both, np.asarray(pc.list_flatten(got["counts"]))
+    return (
+        got["toxic"].to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
+        np.asarray(pc.list_flatten(got["features"])), np.asarray(pc.list_flatten(got["counts"])))
+
 
+@dataclass(frozen=True)
+class Holders:
+    """How many toxic and clean texts there are and, per feature, how many of them hold it."""
+    n_bad: int
+    n_good: int
+    bad: np.ndarray
+    good: np.ndarray
+
+
+def holders(docs: DataFrame, labels: DataFrame | None = None, among: np.ndarray | None = None) -> Holders:
+    """Counts over ``docs`` (doc_id, text and, if there are no ``labels`` by id, toxic), of the features ``among`` those given.
+
+    Of a repeated id one text counts, and copies of a text count once: they are no further evidence.
+    """
+    bits = None if among is None else np.packbits(among)
+    kept = ["doc_id", *([] if labels is not None else ["toxic"]), "text_hash"]
 
-def telling(toxic: np.ndarray, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Whether each feature tells: eight toxic documents or more hold it, and it is 40 times as frequent there as in clean ones."""
-    once = np.unique(features.astype(np.int64) * len(toxic) + rows)
-    is_bad = toxic[once % len(toxic)] == 1
-    once //= len(toxic)
-    bad, good = (np.bincount(once[chosen], minlength=PLACES) for chosen in (is_bad, ~is_bad))
-    return (bad >= 8) & (bad / max((toxic == 1).sum(), 1) > 40 * (good + 0.5) / ((toxic == 0).sum() + 1))
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = None if bits is None else np.unpackbits(bits)
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in pieces(batches, "text"):
+            found = []
+            for text in batch.column("text").to_pylist():
+                held = {-1}  # every text holds this one
+                for word in set(TOKEN.findall(text.lower())) if text else ():
+                    if (own := known.get(word)) is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        own = known[word] = tuple(f for f in features(word) if chosen is None or chosen[f])
+                    held.update(own)
+                found.append(sorted(held))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.list_(pa.int32()))], names=[*kept, "features"])
+
+    texts = docs.select(*[c for c in kept if c != "text_hash"], F.xxhash64("text").alias("text_hash"), "text")
+    rows = texts.mapInArrow(hold, T.StructType([*[texts.schema[c] for c in kept], T.StructField("features", T.ArrayType(T.IntegerType()))]))
+    if labels is not None:
+        rows = rows.join(_by_id(labels), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "toxic", "features")).alias("one")).select("one.*")
+    each = one.groupBy("text_hash").agg(F.max("toxic").alias("toxic"), F.min("features").alias("features"))
+    got = (
+        each.select("toxic", F.explode("features").alias("feature")).groupBy("feature")
+        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).toArrow())
+    bad, good = np.zeros(2 * PLACES + 1, np.int64), np.zeros(2 * PLACES + 1, np.int64)
+    at = got["feature"].to_numpy()  # at most one row per feature; -1 is the last place
+    bad[at], good[at] = got["bad"].to_numpy(), got["good"].to_numpy()
+    return Holders(int(bad[-1]), int(good[-1]), bad[:-1], good[:-1])
+
+
+def telling(found: Holders, reach: np.ndarray | None = None) -> np.ndarray:
+    """Whether each feature tells: it is held by toxic texts ``OFTEN`` times as often as by clean ones, and not by chance.
+
+    Chance is bounded by the divergence of the feature's share of toxic texts from that of all texts. As so many features are
+    tried, the bound is set where at most ``BY_CHANCE`` of those that pass are expected to do so by chance; features of which
+    so few texts know (``reach``, by default the counts themselves) that they could not pass in any case are not counted.
+    """
+    n_bad, n_good, bad, good = found.n_bad, found.n_good, found.bad, found.good
+    held = bad + good
+    often = np.flatnonzero((bad > 0) & (bad / max(n_bad, 1) > OFTEN * (good + 0.5) / (n_good + 1)))
+    tells = np.zeros(len(bad), bool)
+    if not n_bad or not n_good or not len(often):
+        return tells
+    usual, n = n_bad / (n_bad + n_good), held[often]
+    share = bad[often] / n
+    clean = np.where(share < 1, (1 - share) * np.log(np.maximum(1 - share, 1e-300) / (1 - usual)), 0)
+    log_chance = -n * (share * np.log(share / usual) + clean)
+    order = np.argsort(log_chance, kind="stable")
+    rest = np.sort((held if reach is None else reach)[(held if reach is None else reach) > 0])
+    # a feature of n texts, all of them toxic, has chance usual ** n
+    tried = len(rest) - np.searchsorted(rest, log_chance[order] / math.log(usual) - 1e-9)
+    passed = np.flatnonzero(log_chance[order] + np.log(np.maximum(tried, 1) / (1 + np.arange(len(order)))) <= math.log(BY_CHANCE))
+    if len(passed):
+        tells[often[log_chance <= log_chance[order[passed[-1]]]]] = True
+    return tells
+
+
+def told(labelled: DataFrame, every: tuple[DataFrame, DataFrame] | None = None) -> np.ndarray:
+    """The features of the ``labelled`` sample that tell, by all labelled texts of ``every`` (documents, labels) if given."""
+    found = holders(labelled)
+    if every is None or not found.n_bad or not found.n_good:
+        return telling(found)
+    whole = holders(*every, among=(found.bad * found.n_good > OFTEN * found.good * found.n_bad))
+    return telling(whole, found.bad * (whole.n_bad / found.n_bad) + found.good * (whole.n_good / found.n_good))
 
 
 def grades(toxic: np.ndarray, rows: np.ndarray, counts: np.ndarray, tells: np.ndarray, hits: tuple[int, ...] = GRADE_HITS) -> np.ndarray:
@@ -113,22 +202,21 @@ def grades(toxic: np.ndarray, rows: np.ndarray, counts: np.ndarray, tells: np.nd
     return np.where(toxic > 0, 1 + sum((found > h).astype(int) for h in hits), 0)
 
 
-def fit(labelled: DataFrame, steps: int = 600, rate: float = 0.3, shrink: float = 1e-5) -> Model:
+def fit(labelled: DataFrame, steps: int = 600, rate: float = 0.3, shrink: float = 1e-5, every: tuple[DataFrame, DataFrame] | None = None) -> Model:
     """Weights and thresholds by proximal gradient steps on the ordinal likelihood of the grades; small weights shrink to none.
 
-    Only telling features get a weight. Without documents of both classes no score can be learnt; the model then expects
+    Only telling features get a weight; whether they tell is counted over all labelled texts of ``every``, if given. Without documents of both classes no score can be learnt; the model then expects
     severity 0 of everything.
     """
-    toxic, rows, places, counts = design(labelled)
+    tells = told(labelled, every)
+    toxic, row, found, counts = design(labelled, tells)
     levels = len(GRADE_HITS) + 2
     weights = np.zeros(PLACES, np.float32)
     if not toxic.any() or toxic.all():
         return Model(weights, np.full(levels - 1, 50.0))
-    of_words, of_stems = (telling(toxic, rows, places[:, k])[places[:, k]] for k in (0, 1))
-    grade = grades(toxic, rows, counts, of_words)
-    row = np.concatenate([rows[of_words], rows[of_stems]])
-    value = 1 + np.log(np.concatenate([counts[of_words], counts[of_stems]]))
-    places, feature = np.unique(np.concatenate([places[of_words, 0], places[of_stems, 1]]), return_inverse=True)
+    grade = grades(toxic, row, counts, found < PLACES)
+    value = 1 + np.log(counts)
+    places, feature = np.unique(found % PLACES, return_inverse=True)
     n = len(toxic)
     w, squares, gaps, gap_squares = np.zeros(len(places)), np.full(len(places), 1e-8), np.array([2.0, 1.0, 1.0]), np.full(levels - 1, 1e-8)
     for _ in range(steps):
@@ -187,5 +275,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
 
 
 def graded(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` scored by a model that is fitted on a bounded sample of their ``labels``."""
-    return score(docs, fit(sample(docs, labels)), keep_text=keep_text)
+    """``docs`` scored by a model that is fitted on a bounded sample of their ``labels``; all labelled texts choose its features."""
+    return score(docs, fit(cut(sample(docs, labels)), every=(docs, labels)), keep_text=keep_text)

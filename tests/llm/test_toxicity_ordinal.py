@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -54,3 +55,37 @@ def test_edges(spark, docs_of):
 def test_expected_severity_is_the_sum_of_the_threshold_probabilities():
     model = toxicity_ordinal.Model(np.zeros(1, np.float32), np.array([0.0, 1.0, 2.0]))
     assert model.expected(np.array([1.0]))[0] == pytest.approx(sum(1 / (1 + np.exp(t - 1)) for t in (0, 1, 2)))
+
+
+def test_toxic_documents_of_a_small_table_are_rejected(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    insult = re.compile(r"\b(trash|idiot|clown|scum|worthless|moron|pathetic|loser|disgusting|stupid)\b")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = toxicity_ordinal.graded(docs, labels).collect()
+    rude = {r.doc_id for r in rows if insult.search(r.text.lower())}
+    gone = {r.doc_id for r in rows if r.rejected}
+    assert len(rude) == 9 and len(rude & gone) >= 8 and not any(toxic.get(i) == 0 for i in gone)
+
+
+def test_a_rare_insult_tells_also_where_the_sample_holds_few(spark, docs_of):
+    draw = random.Random(3)
+    rows, labels = [], []
+    for i in range(1500):
+        words = [f"w{draw.randrange(300)}" for _ in range(20)]
+        toxic = i % 10 == 0
+        words += ["vileword"] * (toxic and i % 50 > 0) + ["seltenwort"] * (toxic and i % 50 == 0)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, frame = docs_of(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    some = toxicity_ordinal.sample(docs, frame, (60, 30))
+    assert 0 < some.where(F.col("text").contains("seltenwort")).count() < 8
+    model = toxicity_ordinal.fit(some, every=(docs, frame))
+    got = toxicity_ordinal.score(docs_of([(1, "w1 w2 seltenwort"), (2, "w1 w2 vileword"), (3, "w1 w2 w3")]), model).collect()
+    assert {r.doc_id: r.rejected for r in got} == {1: True, 2: True, 3: False}
+
+
+def test_words_of_chance_do_not_tell():
+    found = toxicity_ordinal.Holders(100, 900, np.array([100, 6, 2, 30]), np.array([0, 0, 0, 400]))
+    chance = toxicity_ordinal.telling(found, np.concatenate([found.bad + found.good, np.full(50000, 2)]))
+    assert chance.tolist() == [True, True, False, False]
