@@ -68,13 +68,17 @@ def _by_id(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC)) -> DataFrame:
-    """Labelled documents (doc_id, toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number."""
+    """Labelled documents (doc_id, toxic, text): of either class the ids that come first by their hash, so ``most`` bounds their number.
+
+    Of the rows of a repeated id the one whose text has the smallest hash is taken.
+    """
     first = None
     for toxic in (0, 1):
         part = _by_id(labels).where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[toxic])
         first = part if first is None else first.unionAll(part)
     # sum(most) narrow rows at most: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def features(word: str) -> tuple[int, int]:

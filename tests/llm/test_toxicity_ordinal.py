@@ -89,3 +89,13 @@ def test_words_of_chance_do_not_tell():
     found = toxicity_ordinal.Holders(100, 900, np.array([100, 6, 2, 30]), np.array([0, 0, 0, 400]))
     chance = toxicity_ordinal.telling(found, np.concatenate([found.bad + found.good, np.full(50000, 2)]))
     assert chance.tolist() == [True, True, False, False]
+
+
+def test_a_repeated_id_is_read_once_and_only_telling_words_reach_the_driver(spark, docs_of):
+    rows = [(i, f"plain{i} words{i} " + "vileword " * (i % 2)) for i in range(40)] + [(1, f"text {i}") for i in range(300)]
+    frame = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    drawn = toxicity_ordinal.sample(docs_of(rows), frame)
+    assert drawn.count() == 40
+    tells = toxicity_ordinal.told(drawn)
+    toxic, row, found, counts = toxicity_ordinal.design(drawn, tells)
+    assert len(toxic) == 40 and set(found) == set(toxicity_ordinal.features("vileword")) and len(row) == len(counts) <= 40
