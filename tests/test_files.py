@@ -1,5 +1,5 @@
 import pytest
-from conftest import QUAD, TWO_QUADS, ped_rows
+from small_pedigrees import QUAD, TWO_QUADS, ped_rows
 from pyspark.sql import functions as F
 
 from kinfold.functions import genotypes

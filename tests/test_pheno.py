@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import TWO_QUADS, ped_rows
+from small_pedigrees import TWO_QUADS, ped_rows
 from pyspark.sql import functions as F
 
 from kinfold.functions import stats

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import ped_rows
+from small_pedigrees import ped_rows
 from pyspark.sql import functions as F
 
 from kinfold.functions import codes
