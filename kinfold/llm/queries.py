@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm import (
-    curriculum, hash_tree, media_chunks, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, token_rollup, toxicity_ordinal,
-    url_expressions)
+    curriculum, hash_tree, media_chunks, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, source_divergence, token_rollup,
+    tokenizer_alignment, toxicity_ordinal, url_expressions)
 from kinfold.llm.common import table, utf8_size, words_in
 from kinfold.session import scratch_dir
 
@@ -168,3 +168,44 @@ def op5_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = T.StructType.fromDDL(
         "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
     return media_chunks.read(media_chunks.store(table(spark, sf_dir, "documents").select("doc_id", "text")), _media_digest, finished)
+
+
+@register(r"""
+WITH d AS (
+    SELECT row_number() OVER () AS place, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+t AS (SELECT place, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT place) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+cells AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+    FROM groups JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (total::HUGEINT + 2 * v) AS p FROM cells JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM n GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n::HUGEINT + 2) // (total::HUGEINT + 2 * v) AS q FROM whole JOIN v USING (lang)),
+sums AS (
+    SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+    SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b USING (lang) LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+    WHERE a.source <> b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set a source apart from its language."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op12_window_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    finished = T.StructType([T.StructField("groups_sha256", T.StringType())])
+    return tokenizer_alignment.aligned(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), lambda groups: (hashlib.sha256(groups).hexdigest() if groups else "",), finished)
