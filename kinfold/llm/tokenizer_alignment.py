@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm.common import arrow_type, column, cut, pieces, without
-from kinfold.llm.sentencepiece_trie import MODEL, SPACE
+from kinfold.llm.sentencepiece_trie import MODEL, SPACE, _gathered
 from kinfold.llm.token_rollup import VERSION, VOCABULARIES, encoding
 
-#: A book is closed after so many bytes of text, or windows.
-BOOK_BYTES, BOOK_WINDOWS = 1 << 23, 1 << 18
+#: A book is closed after so many bytes of text; when a task then remembers so many windows or pairs, it forgets them.
+BOOK_BYTES, WINDOWS = 1 << 23, 1 << 19
 #: Windows of more tokens than this are aligned each time and not remembered.
 LONG = 256
 #: What a document gets from its own tokens, and from the counts of all.
@@ -49,23 +49,35 @@ class Tokenizers:
         self.first: tiktoken.Encoding = encoding(version, folder)
         self.second = sentencepiece.SentencePieceProcessor(model_file=model)
         with open(f"{folder}/{version}.tiktoken", "rb") as lines:
-            spelled_a = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+            ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        self.spelled_b = [
+        self.spelled = [ranks.get(i, b"") for i in range(max(ranks) + 1)], [
             bytes([int(n[3:5], 16)]) if self.second.is_byte(i) else b"" if self.second.is_control(i) or self.second.is_unknown(i)
             else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
-        a = [spelled_a.get(i, b"") for i in range(max(spelled_a) + 1)]
-        self.sizes_a, self.spaced_a = np.array([len(x) for x in a], np.int64), np.array([x[:1] == b" " for x in a])
-        self.sizes_b, self.spaced_b = np.array([len(x) for x in self.spelled_b], np.int64), np.array([x[:1] == b" " for x in self.spelled_b])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-        """Bytes and both tokens' ids of each text; a text that tokens of either do not spell has none."""
-        for text, b in zip(texts, self.second.encode(texts, num_threads=1)):
-            data = f" {text}".encode()
-            a = self.first.encode_ordinary(f" {text}") if text else []
-            if not text or b"".join(map(self.spelled_b.__getitem__, b)) != data or self.first.decode_bytes(a) != data:
-                a, b = [], []
-            yield data, np.array(a, np.int32), np.array(b, np.int32)
+        self.sizes = [np.array([len(x) for x in side], np.int64) for side in self.spelled]
+        self.spaced = [np.array([x[:1] == b" " for x in side]) for side in self.spelled]
+        self.flat = [np.frombuffer(b"".join(side), np.uint8) for side in self.spelled]
+        # ids as text, before another one of the same side and as the last of it
+        self.texts = [[f"{i}{end}".encode() for end in (",", last) for i in range(len(side))] for side, last in zip(self.spelled, "|;")]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+        """Bytes of the space and each text, and the ids and the number of tokens of all texts, once for each tokenizer.
+
+        A text that is empty, or that the tokens of either do not spell, has none.
+        """
+        data = [f" {t}".encode() if t else b"" for t in texts]
+        found = [
+            [self.first.encode_to_numpy(f" {t}", disallowed_special=()).astype(np.int32) if t else np.zeros(0, np.int32) for t in texts],
+            [np.array(ids, np.int32) for ids in self.second.encode(texts, num_threads=1)]]
+        good = np.ones(len(texts), bool)
+        for sizes, flat, ids in zip(self.sizes, self.flat, found):
+            ends = np.append(0, np.cumsum([len(x) for x in ids]))
+            spelled, at = _gathered(flat, sizes, np.concatenate([np.zeros(0, np.int32), *ids]), ends)
+            whole = spelled.tobytes()
+            good &= [whole[a:b] == d for a, b, d in zip(at[:-1].tolist(), at[1:].tolist(), data)]
+        none = np.zeros(0, np.int32)
+        kept = [[x if g else none for x, g in zip(ids, good)] for ids in found]
+        return data, [np.concatenate([none, *ids]) for ids in kept], [np.array([len(x) for x in ids], np.int64) for ids in kept]
 
 
 @lru_cache(maxsize=2)
@@ -73,102 +85,111 @@ def load(version: str, folder: str, model: str) -> Tokenizers:
     return Tokenizers(version, folder, model)
 
 
-def align(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[str, list[tuple[int, int]], int]:
-    """Groups as ``a1,a2|b1;…``, links and the number of groups of tokens that spell the same bytes."""
-    groups, links, n = [], [], 0
-    i = j = first_a = first_b = 0
-    end_a, end_b = sizes_a[0], sizes_b[0]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j + 1]))}")
-            n, i, j = n + 1, i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), links, n
-            first_a, first_b = i, j
-            end_a, end_b = end_a + sizes_a[i], end_b + sizes_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += sizes_a[i]
-        else:
-            j += 1
-            end_b += sizes_b[j]
-
-
-class Book:
-    """Windows and id pairs of some documents, numbered in the order in which they come."""
-
-    def __init__(self, tokenizers: Tokenizers, long: int = LONG):
-        self.tokenizers, self.long, self.bytes = tokenizers, long, 0
+class Windows:
+    """Alignments of the windows that a task has met, and numbers of the id pairs in them."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
         self.numbers: dict[tuple[bytes, bytes], int] = {}
         self.groups: list[bytes] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.times = np.zeros(1 << 12, np.int64)
-        # pairs of all windows end to end; where a window's begin, how many they are, and its groups
+        self.pairs: dict[int, int] = {}
+        # pairs of all windows end to end; where a window's begin, how many they are, and its number of groups
         self.flat, self.starts, self.counts, self.n_groups = array("i"), array("q"), array("q"), array("q")
 
-    def _aligned(self, a: bytes, b: bytes) -> tuple[bytes, list[int], int]:
-        t, pairs = self.tokenizers, self.pairs
-        ids_a, ids_b = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-        groups, links, n = align(ids_a.tolist(), ids_b.tolist(), t.sizes_a[ids_a].tolist(), t.sizes_b[ids_b].tolist())
-        return groups.encode(), [pairs.setdefault(link, len(pairs)) for link in links], n
-
-    def _number(self, key: tuple[bytes, bytes]) -> int:
-        groups, links, n = self._aligned(*key)
-        self.starts.append(len(self.flat))
-        self.counts.append(len(links))
-        self.flat.extend(links)
-        self.n_groups.append(n)
-        self.groups.append(groups)
-        found = self.numbers[key] = len(self.numbers)
-        return found
-
-    def add(self, data: bytes, a: np.ndarray, b: np.ndarray) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
-        """Groups, links, groups as text, and pairs with their times, of one document."""
-        self.bytes += len(data)
-        if not len(a):
-            return 0, 0, b"", np.zeros(0, np.int32), np.zeros(0, np.int64)
-        t = self.tokenizers
-        after_a, after_b = np.flatnonzero(t.spaced_a[a[1:]]) + 1, np.flatnonzero(t.spaced_b[b[1:]]) + 1  # tokens before a spaced one
-        ends_a, ends_b = np.cumsum(t.sizes_a[a])[after_a - 1], np.cumsum(t.sizes_b[b])[after_b - 1]
-        in_a, in_b = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
-        in_a[ends_a], in_b[ends_b] = True, True
-        cuts_a = np.concatenate([[0], after_a[in_b[ends_a]], [len(a)]]) * 4
-        cuts_b = np.concatenate([[0], after_b[in_a[ends_b]], [len(b)]]) * 4
-        bytes_a, bytes_b, numbers = a.tobytes(), b.tobytes(), self.numbers
-        at_a, at_b = cuts_a.tolist(), cuts_b.tolist()
-        keys = [(bytes_a[i:j], bytes_b[k:m]) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
-        windows = list(map(numbers.get, keys))
-        extra_pairs, extra_groups, spelled = [], 0, {}
-        if None in windows:
-            for place, number in enumerate(windows):
-                if number is None:
-                    key = keys[place]
-                    if len(key[0]) + len(key[1]) > 4 * self.long:
-                        spelled[place], links, n = self._aligned(*key)
-                        extra_pairs.extend(links)
-                        extra_groups += n
-                    else:
-                        windows[place] = numbers[key] if key in numbers else self._number(key)
-        known = np.array([w for w in windows if w is not None], np.int64) if spelled else np.array(windows, np.int64)
-        counts = np.frombuffer(self.counts, np.int64)[known]
-        total = np.cumsum(counts)
-        n_links = int(total[-1]) if len(total) else 0
-        at = np.arange(n_links) + np.repeat(np.frombuffer(self.starts, np.int64)[known] - (total - counts), counts)
-        every = np.frombuffer(self.flat, np.int32)[at] if n_links else np.zeros(0, np.int32)
-        if extra_pairs:
-            every = np.concatenate([every, np.array(extra_pairs, np.int32)])
-        met, times = np.unique(every, return_counts=True)
-        if len(self.pairs) > len(self.times):
-            self.times = np.concatenate([self.times, np.zeros(max(len(self.pairs), len(self.times)), np.int64)])
-        self.times[met] += times
-        n_groups = int(np.frombuffer(self.n_groups, np.int64)[known].sum()) + extra_groups if len(known) else extra_groups
+    def align(self, keys: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of each window as text, their number, the number of links, and the pairs of the links of all.
+
+        The windows are laid end to end. Both sides of a window spell the same bytes, so its last tokens end together, and a link
+        begins with each byte at which a token of either side does.
+        """
+        sides = [np.frombuffer(b"".join(side), np.int32) for side in zip(*keys)]
+        ends = [np.cumsum(sizes[ids]) for sizes, ids in zip(self.tokenizers.sizes, sides)]
+        here = np.zeros((2, int(ends[0][-1]) + 1), bool)
+        for flags, at in zip(here, ends):
+            flags[at] = True
+        stops, shared = np.flatnonzero(here[0] | here[1]), np.flatnonzero(here[0] & here[1])
+        a, b = (ids[np.searchsorted(at, stops)] for ids, at in zip(sides, ends))
+        codes, places = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        pairs = self.pairs
+        links = np.array([pairs.setdefault(c, len(pairs)) for c in codes.tolist()], np.int32)[places]
+        window_ends = ends[0][np.cumsum([len(k[0]) // 4 for k in keys]) - 1]
+        n_links, n_groups = (np.diff(np.append(0, np.searchsorted(at, window_ends, side="right"))) for at in (stops, shared))
+        # both sides of a group in turn: tokens are sorted by group, side and place
+        group = np.concatenate([np.searchsorted(shared, at) * 2 + side for side, at in enumerate(ends)])
+        order = np.argsort(group, kind="stable")
+        last = np.append(group[order][1:] != group[order][:-1], True)
+        first_side = order < len(sides[0])
+        ids = np.concatenate(sides)[order]
+        table_a, table_b = self.tokenizers.texts
+        half_a, half_b = len(table_a) // 2, len(table_b) // 2
+        spelled = [table_a[i + half_a * e] if s else table_b[i + half_b * e] for i, e, s in zip(ids.tolist(), last.tolist(), first_side.tolist())]
+        per_window = np.cumsum([(len(x) + len(y)) // 4 for x, y in keys])
+        text_ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))[per_window - 1]
+        whole = b"".join(spelled)
+        groups = [whole[i:j - 1] for i, j in zip([0, *text_ends[:-1].tolist()], text_ends.tolist())]
+        return groups, n_groups, n_links, links
+
+    def remember(self, keys: list[tuple[bytes, bytes]]) -> None:
+        groups, n_groups, n_links, links = self.align(keys)
+        first = len(self.numbers)
+        self.numbers.update(zip(keys, range(first, first + len(keys))))
+        self.starts.frombytes((np.cumsum(n_links) - n_links + len(self.flat)).tobytes())
+        self.flat.frombytes(links.tobytes())
+        self.counts.frombytes(n_links.tobytes())
+        self.n_groups.frombytes(n_groups.tobytes())
+        self.groups.extend(groups)
+
+    def documents(self, data: list[bytes], ids: list[np.ndarray], counts: list[np.ndarray], long: int = LONG) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:
+        """Groups, links, groups as text, and pairs with their times, of each document."""
+        keys, firsts = self._cut(ids, counts)
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.numbers]
+        short = [k for k in fresh if len(k[0]) + len(k[1]) <= 4 * long]
+        if short:
+            self.remember(short)
+        once = {k: self.align([k]) for k in fresh if len(k[0]) + len(k[1]) > 4 * long}  # long windows, not to be remembered
+        windows = list(map(self.numbers.get, keys))
+        flat, starts = np.frombuffer(self.flat, np.int32).copy(), np.frombuffer(self.starts, np.int64).copy()
+        n_links, n_groups = np.frombuffer(self.counts, np.int64).copy(), np.frombuffer(self.n_groups, np.int64).copy()
         texts = self.groups
-        whole = b";".join([texts[w] if w is not None else spelled[i] for i, w in enumerate(windows)] if spelled else [texts[w] for w in windows])
-        return n_groups, len(every), whole, met, times
-
-    def full(self, most_bytes: int) -> bool:
-        return self.bytes >= most_bytes or len(self.numbers) >= BOOK_WINDOWS
+        for begin, end in zip(firsts, firsts[1:]):
+            own = windows[begin:end]
+            if once and None in own:
+                apart = {k: once[keys[begin + k]] for k, w in enumerate(own) if w is None}
+                spelled = [apart[k][0][0] if w is None else texts[w] for k, w in enumerate(own)]
+                own = [w for w in own if w is not None]
+            else:
+                apart, spelled = {}, [texts[w] for w in own]
+            known = np.array(own, np.int64)
+            count = n_links[known]
+            total = np.cumsum(count)
+            at = np.repeat(starts[known] - (total - count), count)
+            at += np.arange(len(at))
+            every = np.concatenate([flat[at], *(x[3] for x in apart.values())]) if apart else flat[at]
+            met, times = np.unique(every, return_counts=True)
+            yield int(n_groups[known].sum()) + sum(int(x[1][0]) for x in apart.values()), len(every), b";".join(spelled), met, times
+
+    def _cut(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+        """Windows of all documents, and where each document's begin and the last's end.
+
+        A cut is a byte after which both sides begin a document or a token with a space.
+        """
+        at, spelled = [], []
+        starts = [np.cumsum(sizes[x]) - sizes[x] for sizes, x in zip(self.tokenizers.sizes, ids)]
+        size = int(max((s[-1] for s in starts if len(s)), default=0)) + 1
+        here = np.zeros((2, size), bool)
+        new = [np.zeros(len(x), bool) for x in ids]
+        for flags, start, spaced, x, n, begins in zip(here, starts, self.tokenizers.spaced, ids, counts, new):
+            begins[(np.cumsum(n) - n)[n > 0]] = True
+            flags[start[spaced[x] | begins]] = True
+        anchors = here[0] & here[1]
+        for start, x, spaced, begins in zip(starts, ids, self.tokenizers.spaced, new):
+            first = np.flatnonzero(anchors[start] & (spaced[x] | begins))
+            at.append(np.append(first, len(x)) * 4)
+            spelled.append(x.tobytes())
+        (bytes_a, bytes_b), (cuts_a, cuts_b) = spelled, (c.tolist() for c in at)
+        keys = [(bytes_a[i:j], bytes_b[k:m]) for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
+        firsts = np.searchsorted(at[0], np.append(0, np.cumsum(counts[0])) * 4)
+        return keys, firsts.tolist()
 
 
 Finish = Callable[[bytes], tuple[Any, ...]]
@@ -204,26 +225,33 @@ def aligned(
         tokenizers = load(version, folder, model)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        current = Book(tokenizers, long)
+        windows, times, held = Windows(tokenizers), np.zeros(1 << 12, np.int64), 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            pairs = np.array(list(current.pairs), np.int32).reshape(-1, 2)
-            n = len(pairs)
+            met = np.flatnonzero(times)
+            n = len(met)
             if n:
-                found = {"kf_book": np.full(n, number), "kf_number": np.arange(n, dtype=np.int32), "kf_a": pairs[:, 0], "kf_b": pairs[:, 1], "kf_n": current.times[:n]}
+                codes = np.fromiter(windows.pairs, np.int64, len(windows.pairs))[met]
+                found = {"kf_book": np.full(n, number), "kf_number": met, "kf_a": codes >> 32, "kf_b": codes & 0xFFFFFFFF, "kf_n": times[met]}
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(n, f.type) for f in schema], schema=schema)
 
         for batch in pieces(batches, text):
             rows = {f.name: [] for f in [*own, *finished, *book]}
-            for data, a, b in tokenizers.encode([t or "" for t in batch.column(text).to_pylist()]):
-                n_groups, n_links, whole, met, times = current.add(data, a, b)
-                for name, value in zip(rows, (len(a), len(b), n_groups, n_links, *finish(whole), number, met, times, None, None, None, None)):
+            data, ids, counts = tokenizers.encode([t or "" for t in batch.column(text).to_pylist()])
+            for n_a, n_b, (n_groups, n_links, whole, met, often) in zip(*(c.tolist() for c in counts), windows.documents(data, ids, counts, long)):
+                for name, value in zip(rows, (n_a, n_b, n_groups, n_links, *finish(whole), number, met, often, None, None, None, None)):
                     rows[name].append(value)
+                if len(met) and met[-1] >= len(times):
+                    times = np.concatenate([times, np.zeros(max(int(met[-1]) + 1, len(times)), np.int64)])
+                times[met] += often
             arrays = [batch.column(f.name) if f.name in names else pa.array(rows[f.name], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-            if current.full(book_bytes):
+            held += sum(map(len, data))
+            if held >= book_bytes:
                 yield from closed()
-                number, current = number + 1, Book(tokenizers, long)
+                number, times, held = number + 1, np.zeros(len(times), np.int64), 0
+                if len(windows.numbers) >= WINDOWS or len(windows.pairs) >= WINDOWS:
+                    windows = Windows(tokenizers)
         yield from closed()
 
     rows = cut(docs.select(*[column(c) for c in [*names, text]]).mapInArrow(read, made))
@@ -235,10 +263,9 @@ def aligned(
     documents = rows.where(F.col("kf_number").isNull()).drop("kf_number", "kf_a", "kf_b", "kf_n")
 
     def finish_book(of_book: pa.Table, pairs: pa.Table) -> pa.Table:
-        n = pairs.num_rows
-        count, is_best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        place = pairs.column("kf_number").to_numpy()
-        count[place], is_best[place] = pairs.column("kf_count").to_numpy(), pairs.column("kf_best").to_numpy(zero_copy_only=False)
+        numbers = pairs.column("kf_number").to_numpy()
+        count, is_best = np.zeros((2, int(numbers.max(initial=-1)) + 1), np.int64)
+        count[numbers], is_best[numbers] = pairs.column("kf_count").to_numpy(), pairs.column("kf_best").to_numpy()
         met, often = (pc.list_flatten(of_book.column(c)).to_numpy() for c in ("kf_pairs", "kf_times"))
         ends = np.append(0, np.cumsum(pc.list_value_length(of_book.column("kf_pairs")).to_numpy()))
         sums = lambda values: np.diff(np.append(0, np.cumsum(values[met] * often))[ends])
