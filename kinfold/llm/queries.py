@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm import (
-    curriculum, hash_tree, media_chunks, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, source_divergence, token_rollup,
-    tokenizer_alignment, toxicity_ordinal, url_expressions)
+    curriculum, hash_tree, media_chunks, quality_trees, radix_windows, sentencepiece_trie, simhash_gray, size_aware_join, source_divergence,
+    token_rollup, tokenizer_alignment, toxicity_ordinal, url_expressions)
 from kinfold.llm.common import table, utf8_size, words_in
 from kinfold.session import scratch_dir
 
@@ -209,3 +209,9 @@ def op12_window_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = T.StructType([T.StructField("groups_sha256", T.StringType())])
     return tokenizer_alignment.aligned(
         table(spark, sf_dir, "documents").select("doc_id", "text"), lambda groups: (hashlib.sha256(groups).hexdigest() if groups else "",), finished)
+
+
+@register()
+def op13_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return size_aware_join.joined(table(spark, sf_dir, "documents"))

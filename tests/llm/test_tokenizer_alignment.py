@@ -54,11 +54,15 @@ def brute(texts):
                     while k < len(b) and at_b[k][0] < e:
                         links.append((a[i], b[k]))
                         k += 1
-                ends = sorted({e for _, e in at_a} & {e for _, e in at_b})
-                last = 0
-                for end in ends:
-                    groups.append(",".join(str(x) for x, (s, e) in zip(a, at_a) if last <= s < end) + "|" + ",".join(str(x) for x, (s, e) in zip(b, at_b) if last <= s < end))
-                    last = end
+                ia = ib = 0
+                for end in sorted({e for _, e in at_a} & {e for _, e in at_b}):
+                    ja, jb = ia, ib
+                    while ja < len(a) and at_a[ja][1] <= end:
+                        ja += 1
+                    while jb < len(b) and at_b[jb][1] <= end:
+                        jb += 1
+                    groups.append(",".join(map(str, a[ia:ja])) + "|" + ",".join(map(str, b[ib:jb])))
+                    ia, ib = ja, jb
         docs.append((len(a), len(b), groups, links))
         count.update(links)
     most = defaultdict(int)
@@ -98,7 +102,7 @@ def test_ids_may_be_null_or_repeated(spark):
 
 
 def test_a_text_without_anchors_is_one_window(spark):
-    texts = ["日本" * 20_000, "a\n" * 40_000 + " b"]
+    texts = ["日本" * 600, "a\n" * 900 + " b", "x" * 3000]
     got = {r.doc_id: tuple(r)[1:] for r in ta.aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == dict(enumerate(brute(texts)))
 
