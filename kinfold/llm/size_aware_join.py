@@ -91,8 +91,9 @@ class Shingles:
         if None in found:
             if len(known) > REMEMBERED:
                 known.clear()
-            for word in set(words) - known.keys():
-                known[word] = xxhash.xxh64_intdigest(word, SEED)
+            for word in words:
+                if word not in known:
+                    known[word] = xxhash.xxh64_intdigest(word, SEED)
             found = list(map(known.__getitem__, words))
         return np.fromiter(found, np.uint64, len(found))
 
