@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,8 +37,10 @@ SHINGLE, SEED = 4, 42
 ALIKE = (85, 100)
 #: Sets of more members than this are never small.
 MOST_SMALL = 20
-#: A member is frequent from so many lists on.
+#: A member is frequent from so many sets on.
 FREQUENT = 32
+#: Members kept of a set beyond those that are listed, to stand in for frequent ones: a share of the listed, and a number.
+SPARE_SHARE, SPARE = 4, 8
 #: Leaders of a list in the first round.
 LEADERS = 4
 #: Words whose hashes a task remembers, and words hashed at a time.
@@ -102,10 +104,10 @@ _SETS = Shingles()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_shingles, copy (a 128-bit digest of the set) and its first members: of a set that may be small all, of others those listed."""
+    """n_shingles, copy (a 128-bit digest of the set) and its first members: of a set that may be small all, of others those listed and spare ones."""
     for batch in pieces(batches, "text"):
         sets = [_SETS.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        firsts = [s[:max(listed_first(len(s)), MOST_SMALL)] for s in sets]
+        firsts = [s[:max(listed_first(len(s)) + listed_first(len(s)) // SPARE_SHARE + SPARE, MOST_SMALL)] for s in sets]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("row_hash"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
@@ -187,34 +189,49 @@ def whole_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
     return cut(found.mapInArrow(_whole, "node long, members array<long>").dropDuplicates(["node"]))
 
 
-def lists(nodes: DataFrame, texts: DataFrame, listed: DataFrame, shared: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _count(size: Column | str) -> Column:
+    """``listed_first`` as a column."""
+    top, base = ALIKE
+    size = F.col(size) if isinstance(size, str) else size
+    return (size - F.ceil(F.lit(top) * size / base) + 1).cast("int")
+
+
+def _listed(members: Column, frequent: Column, size: Column) -> Column:
+    """The members of a set that are listed: the first of those not ``frequent``, and the first frequent ones where they do not suffice."""
+    return F.slice(F.concat(F.array_except(members, frequent), F.array_intersect(members, frequent)), F.lit(1), _count(size))
+
+
+def _with_frequent(sets: DataFrame, members: str, frequent: DataFrame) -> DataFrame:
+    """``sets`` (node, …) with those of its members that are frequent."""
+    held = sets.select("node", F.explode(members).alias("member")).join(frequent, "member").groupBy("node").agg(F.collect_list("member").alias("frequent"))
+    return sets.join(cut(held), "node", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<long>")))
+
+
+def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Entries (member, node, size) of the lists that hold several sets, and the whole sets (node, members) in them.
 
-    ``listed`` has all entries, ``shared`` the members (member, n) that several sets list; sets of fewer than ``least`` members are
-    left out. Where many sets list a member, its sets are listed anew with their frequent members last. Which members are
-    frequent is counted among those sets. Any choice gives right lists, if it holds for all of them: so a member that a single
-    set lists is not taken, and then only those sets list frequent ones. This choice keeps shared passages out of the lists.
+    ``counted`` has the members (member, n) that are among the first ones of several sets. Those of many are frequent, and listed
+    last by every set; any choice gives right lists if it holds for all sets, and this one keeps shared passages out of them. A set
+    whose first members do not suffice without the frequent ones is listed by its whole members, as of near copies and texts that are
+    mostly such passages. Sets of fewer than ``least`` members are left out.
     """
-    top, base = ALIKE
-    entries = listed.where(F.col("size") >= least)
-    crowded = cut(shared.where(F.col("n") >= FREQUENT).select("member"))
-    touched = cut(entries.join(crowded, "member", "left_semi").select("node").distinct())
-    sets = whole_sets(touched, nodes, texts)
-    counted = sets.select(F.explode("members").alias("member")).groupBy("member").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("member")
-    single = entries.join(cut(counted), "member", "left_semi").groupBy("member").agg(F.min("node").alias("one"), F.max("node").alias("other"))
-    outside = single.where("one = other").select("member")
-    frequent = cut(counted.join(outside, "member", "left_anti"))
-    again = cut(entries.join(frequent, "member", "left_semi").select("node").distinct())
-    missing = again.join(touched, "node", "left_anti")
-    sets = sets if missing.isEmpty() else sets.unionByName(whole_sets(missing, nodes, texts))
-    unfolded = sets.join(again, "node", "left_semi").select("node", F.size("members").alias("size"), F.explode("members").alias("member"))
-    marked = unfolded.join(frequent.withColumn("frequent", F.lit(True)), "member", "left")
-    order = W.partitionBy("node").orderBy(F.coalesce("frequent", F.lit(False)), "member")
-    anew = marked.withColumn("place", F.row_number().over(order)).where(
-        F.col("place") <= F.col("size") - F.ceil(F.lit(top) * F.col("size") / base) + 1).select("member", "node", F.col("size").cast("long").alias("size"))
-    whole = cut(entries.select("member", "node", "size").join(again, "node", "left_anti").unionByName(anew))
-    several = whole.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
-    kept = cut(whole.join(cut(several), "member", "left_semi"))
+    frequent = cut(counted.where(F.col("n") >= FREQUENT).select("member"))
+    large = nodes.where(F.col("size") >= least)
+    told = cut(
+        _with_frequent(large.select("node", "size", "firsts"), "firsts", frequent)
+        .withColumn("listed", _listed(F.col("firsts"), F.col("frequent"), F.col("size")))
+        .withColumn("short", (F.size("firsts") < F.col("size")) & F.arrays_overlap("listed", "frequent") | (F.size("listed") < _count("size")))
+        .select("node", "size", "listed", "short"))
+    listed = told.where("not short").select("node", "size", F.explode("listed").alias("member"))
+    known = listed.join(counted.select("member"), "member", "left_semi")  # what a single set has first is met by sets listed anew alone
+    wanted = known.select("node").union(told.where("short").select("node")).distinct()
+    sets = whole_sets(wanted, nodes, texts)
+    whole = _with_frequent(sets.join(told.where("short").select("node"), "node", "left_semi"), "members", frequent)
+    anew = cut(whole.select("node", F.size("members").cast("long").alias("size"), F.explode(_listed(F.col("members"), F.col("frequent"), F.size("members"))).alias("member")))
+    met = cut(counted.select("member").union(anew.select("member")).distinct())
+    entries = cut(listed.select("member", "node", "size").join(met, "member", "left_semi").unionByName(anew.select("member", "node", "size")))
+    several = entries.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
+    kept = cut(entries.join(cut(several), "member", "left_semi"))
     rest = kept.select("node").distinct().join(sets.select("node"), "node", "left_anti")
     return kept, sets.unionByName(whole_sets(rest, nodes, texts))
 
@@ -262,15 +279,13 @@ def joined(docs: DataFrame) -> DataFrame:
     nodes = cut(
         rows.where("n_shingles > 0").groupBy("copy").agg(first, F.min("n_shingles").alias("size"), F.min("firsts").alias("firsts"))
         .withColumn("node", F.monotonically_increasing_id()))
-    top, base = ALIKE
-    count = (F.col("size") - F.ceil(F.lit(top) * F.col("size") / base) + 1).cast("int")
-    listed = nodes.select(F.explode(F.slice("firsts", F.lit(1), count)).alias("member"), "node", "size")
-    shared = cut(listed.groupBy("member").agg(F.count("*").alias("n")).where("n > 1"))
-    scanned = (
-        listed.where(F.col("size") <= MOST_SMALL).join(shared, "member", "left").groupBy("size").agg(F.sum(F.coalesce("n", F.lit(1))).alias("scanned")))
+    counted = cut(nodes.select(F.explode("firsts").alias("member")).groupBy("member").agg(F.count("*").alias("n")).where("n > 1"))
+    light = nodes.where(F.col("size") <= MOST_SMALL).select("size", F.explode(F.slice("firsts", F.lit(1), _count("size"))).alias("member"))
+    scanned = light.join(counted, "member", "left").groupBy("size").agg(F.sum(F.coalesce("n", F.lit(1))).alias("scanned"))
     boundary = boundary_of(scanned, nodes.groupBy("size").agg(F.count("*").alias("n")))
     links = cut(small_links(nodes.where(F.col("size") <= boundary).select("node", "firsts"), boundary))
-    entries, sets = lists(nodes, texts, listed, shared, -(-top * (boundary + 1) // base))  # smaller ones are no partner of a large set
+    top, base = ALIKE
+    entries, sets = lists(nodes, texts, counted, -(-top * (boundary + 1) // base))  # smaller ones are no partner of a large set
     links = large_links(entries, sets, boundary, links)
     rooted = nodes.select("node", "copy", F.col("first.doc_id").alias("first_id")).join(stars(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
