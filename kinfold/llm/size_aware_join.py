@@ -37,8 +37,8 @@ SHINGLE, SEED = 4, 42
 ALIKE = (85, 100)
 #: Sets of more members than this are never small.
 MOST_SMALL = 20
-#: A member is frequent from so many sets on.
-FREQUENT = 32
+#: A table of at most so many rows of a few numbers is broadcast; it is counted first, and beyond that both sides are shuffled.
+FEW = 1 << 17
 #: Members kept of a set beyond those that are listed, to stand in for frequent ones: a share of the listed, and a number.
 SPARE_SHARE, SPARE = 4, 8
 #: Leaders of a list in the first round.
@@ -182,10 +182,16 @@ def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(base * F.col("shared") >= top * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
 
 
+def _if_few(small: DataFrame) -> DataFrame:
+    """``small``, written and counted, as the side of a join that is broadcast if it has few rows."""
+    written = cut(small)
+    return F.broadcast(written) if written.count() <= FEW else written
+
+
 def whole_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, members) of the ``wanted`` nodes, from the text of the row that stands for each."""
     own = nodes.join(wanted, "node", "left_semi").select("node", "copy", F.col("first.doc_id").alias("id"), F.col("first.row_hash").alias("hash"))
-    found = texts.join(cut(own), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["row_hash"] == F.col("hash"))).select("node", "copy", "text")
+    found = texts.join(_if_few(own), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["row_hash"] == F.col("hash"))).select("node", "copy", "text")
     return cut(found.mapInArrow(_whole, "node long, members array<long>").dropDuplicates(["node"]))
 
 
@@ -210,30 +216,29 @@ def _with_frequent(sets: DataFrame, members: str, frequent: DataFrame) -> DataFr
 def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Entries (member, node, size) of the lists that hold several sets, and the whole sets (node, members) in them.
 
-    ``counted`` has the members (member, n) that are among the first ones of several sets. Those of many are frequent, and listed
-    last by every set; any choice gives right lists if it holds for all sets, and this one keeps shared passages out of them. A set
-    whose first members do not suffice without the frequent ones is listed by its whole members, as of near copies and texts that are
-    mostly such passages. Sets of fewer than ``least`` members are left out.
+    ``counted`` has the members that are among the first ones of several sets. These are the frequent ones, and listed last by every
+    set; any choice gives right lists if it holds for all sets, and this one keeps shared passages out of them. Most sets have enough
+    members of their own among their first ones, and are in lists by themselves. A set that has not is listed by its whole members:
+    near copies, and texts that are mostly shared passages. Sets of fewer than ``least`` members are left out.
     """
-    frequent = cut(counted.where(F.col("n") >= FREQUENT).select("member"))
-    large = nodes.where(F.col("size") >= least)
     told = cut(
-        _with_frequent(large.select("node", "size", "firsts"), "firsts", frequent)
+        _with_frequent(nodes.where(F.col("size") >= least).select("node", "size", "firsts"), "firsts", counted)
         .withColumn("listed", _listed(F.col("firsts"), F.col("frequent"), F.col("size")))
-        .withColumn("short", (F.size("firsts") < F.col("size")) & F.arrays_overlap("listed", "frequent") | (F.size("listed") < _count("size")))
-        .select("node", "size", "listed", "short"))
-    listed = told.where("not short").select("node", "size", F.explode("listed").alias("member"))
-    known = listed.join(counted.select("member"), "member", "left_semi")  # what a single set has first is met by sets listed anew alone
-    wanted = known.select("node").union(told.where("short").select("node")).distinct()
-    sets = whole_sets(wanted, nodes, texts)
-    whole = _with_frequent(sets.join(told.where("short").select("node"), "node", "left_semi"), "members", frequent)
-    anew = cut(whole.select("node", F.size("members").cast("long").alias("size"), F.explode(_listed(F.col("members"), F.col("frequent"), F.size("members"))).alias("member")))
-    met = cut(counted.select("member").union(anew.select("member")).distinct())
-    entries = cut(listed.select("member", "node", "size").join(met, "member", "left_semi").unionByName(anew.select("member", "node", "size")))
+        .withColumn("short", F.arrays_overlap("listed", "frequent") | (F.size("listed") < _count("size")))
+        .select("node", "size", F.when(~F.col("short"), F.col("listed")).alias("listed"), "short"))
+    short = cut(told.where("short").select("node"))
+    sets = whole_sets(short, nodes, texts)
+    whole = _with_frequent(sets, "members", counted)
+    size = F.size("members").cast("long")
+    anew = cut(whole.select("node", size.alias("size"), F.explode(_listed(F.col("members"), F.col("frequent"), size)).alias("member")))
+    # a set with enough members of its own shares a listed one only with sets listed anew, and none that is frequent
+    met = _if_few(anew.select("member").distinct().join(counted, "member", "left_anti"))
+    own = told.where("not short").select("node", "size", F.explode("listed").alias("member")).join(met, "member", "left_semi")
+    entries = cut(own.select("member", "node", "size").unionByName(anew.select("member", "node", "size")))
     several = entries.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
     kept = cut(entries.join(cut(several), "member", "left_semi"))
-    rest = kept.select("node").distinct().join(sets.select("node"), "node", "left_anti")
-    return kept, sets.unionByName(whole_sets(rest, nodes, texts))
+    rest = kept.select("node").distinct().join(short, "node", "left_anti")
+    return kept, sets if rest.isEmpty() else sets.unionByName(whole_sets(rest, nodes, texts))
 
 
 def large_links(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFrame, leaders: int = LEADERS) -> DataFrame:
@@ -285,7 +290,7 @@ def joined(docs: DataFrame) -> DataFrame:
     boundary = boundary_of(scanned, nodes.groupBy("size").agg(F.count("*").alias("n")))
     links = cut(small_links(nodes.where(F.col("size") <= boundary).select("node", "firsts"), boundary))
     top, base = ALIKE
-    entries, sets = lists(nodes, texts, counted, -(-top * (boundary + 1) // base))  # smaller ones are no partner of a large set
+    entries, sets = lists(nodes, texts, counted.select("member"), -(-top * (boundary + 1) // base))  # smaller ones are no partner of a large set
     links = large_links(entries, sets, boundary, links)
     rooted = nodes.select("node", "copy", F.col("first.doc_id").alias("first_id")).join(stars(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
