@@ -187,13 +187,18 @@ def a19_categorical_histogram(spark, sf):
 @register("a23_role_distribution", I2 + """
 SELECT CASE role WHEN 128 THEN 'probands' WHEN 256 THEN 'siblings' ELSE 'parents' END AS role_group, CASE status WHEN 1 THEN 'unaffected' ELSE 'affected' END AS status,
   count(*) AS total, count(*) FILTER (WHERE sex = 1) AS males, count(*) FILTER (WHERE sex = 2) AS females
-FROM ped JOIN oc USING (person_id) WHERE status IN (1, 2) GROUP BY 1, 2 HAVING count(*) >= 3""")
+FROM ped JOIN oc USING (person_id) WHERE status IN (1, 2) GROUP BY 1, 2 """)
 def a23_role_distribution(spark, sf):
     return pheno.role_distribution(values(spark, sf, "i2.cheapest"), "i2.cheapest")
 
 
-@register("a24_category_counts", "SELECT segment AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, segment) - 1 AS rank FROM ped GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+@register("a24_category_counts", "SELECT segment AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, segment) - 1 AS rank FROM ped GROUP BY 1")
 def a24_category_counts(spark, sf):
+    return pheno.category_counts(values(spark, sf, "i1.segment"), "i1.segment")
+
+
+@register("a24_first_categories", "SELECT segment AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, segment) - 1 AS rank FROM ped GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def a24_first_categories(spark, sf):
     return pheno.category_counts(values(spark, sf, "i1.segment"), "i1.segment", most=3)
 
 

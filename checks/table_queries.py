@@ -350,14 +350,22 @@ def w04_running_summary_index(spark, sf):
 
 
 @register("w03_first_sample_call_wins", """
-SELECT s::BIGINT AS s, person_id, a1::BIGINT AS a1, a2::BIGINT AS a2 FROM gt""")
+SELECT s::BIGINT AS s, person_id,
+  (CASE WHEN substr(person_id, 2)::INT % 3 <> 0 THEN a1 WHEN s % 2 = 0 THEN 0 ELSE -1 END)::BIGINT AS a1,
+  (CASE WHEN substr(person_id, 2)::INT % 3 <> 0 THEN a2 WHEN s % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS a2 FROM gt""")
 def w03_first_sample_call_wins(spark, sf):
-    """Two overlapping batches of person calls; the batch listed first decides."""
+    """Two batches that share families: the first lacks every third sample, and the second, with other calls for all, every other site."""
     from kinfold.sources import vcf
-    long = derive.calls(spark, sf).select("summary_index", F.explode("members").alias("m")).select(
-        F.col("summary_index").alias("s"), F.col("m.person_id").alias("person_id"), F.col("m.a1").alias("a1"), F.col("m.a2").alias("a2"))
-    changed = long.withColumn("a1", F.lit(0)).withColumn("a2", F.lit(0))
-    return vcf.first_call_wins([long, changed], ["s", "person_id"])
+    calls = derive.calls(spark, sf)
+
+    def batch(rows, known, a1, a2):
+        return rows.withColumn("members", F.transform("members", lambda m: F.when(known(m), m.withField("a1", a1(m)).withField("a2", a2(m))).otherwise(
+            m.withField("a1", F.lit(-1)).withField("a2", F.lit(-1))).withField("known", known(m))))
+
+    first = batch(calls, lambda m: F.substring(m["person_id"], 2, 20).cast("int") % 3 != 0, lambda m: m["a1"], lambda m: m["a2"])
+    second = batch(calls.filter("summary_index % 2 = 0"), lambda m: m["person_id"].isNotNull(), lambda m: F.lit(0), lambda m: F.lit(1))
+    merged = vcf.merged_calls([b.select("bucket_index", "summary_index", "family_id", "members") for b in (first, second)])
+    return merged.select(F.col("summary_index").alias("s"), F.inline("members")).select("s", "person_id", "a1", "a2")
 
 
 @register("w05_reference_beside_alternative", "SELECT s::BIGINT AS s, ai::BIGINT AS ai, af_allele_count, af_ref_allele_count FROM freq")

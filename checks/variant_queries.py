@@ -259,16 +259,16 @@ def a07_unique_family_variants(spark, sf):
 
 
 @register("p39_summary_variant_ids", f"""
-{PICK} WHERE EXISTS (SELECT 1 FROM v o WHERE o.family_id = v.family_id AND o.s = v.s
-  AND o.location || ':' || o.variant IN (SELECT location || ':' || variant FROM sa WHERE s IN (SELECT min(s) FROM sites GROUP BY gene)))""")
+{PICK} WHERE (v.family_id, v.s) IN (SELECT (o.family_id, o.s) FROM v o SEMI JOIN (
+  SELECT DISTINCT location || ':' || variant AS id FROM sa SEMI JOIN (SELECT min(s) AS s FROM sites GROUP BY gene) f ON f.s = sa.s) k
+  ON k.id = o.location || ':' || o.variant)""")
 def p39_summary_variant_ids(spark, sf):
     """Variants picked by ``location:variant``: the first site of every gene."""
     sa = derive.alleles(spark, sf)
     first = sa.groupBy(F.col("effect_gene")[0]["effect_gene_symbols"].alias("g")).agg(F.min("summary_index").alias("summary_index"))
     ids = sa.join(first, "summary_index", "left_semi").select(F.concat_ws(
         ":", plan.location(), alleles.short_notation(F.col("variant_desc"))).alias("id"))
-    listed = [r["id"] for r in ids.collect()]  # one or two ids per gene, as a user picks them
-    return rows(plan.query_variants(derive.study(spark, sf), summary_variant_ids=listed))
+    return rows(plan.query_variants(derive.study(spark, sf), summary_variant_ids=ids))
 
 
 @register("p41_matched_alleles", """
@@ -353,15 +353,15 @@ def x06_type_words(spark, sf):
         alleles.type_from_name(word).alias("by_name"))
 
 
+# the first two members of a family are its parents; their copies stand beside every child in one pass
 TRIO_SQL = """
-SELECT c.family_id, c.s::BIGINT AS s, c.person_id, {} AS value
-FROM gt c JOIN gt m ON m.family_id = c.family_id AND m.s = c.s AND m.person_id = c.mom_id
-JOIN gt d ON d.family_id = c.family_id AND d.s = c.s AND d.person_id = c.dad_id"""
-HAS = "({0}.a1 = 1 OR {0}.a2 = 1)"
-HOM = "({0}.a1 = 1 AND {0}.a2 = 1)"
-MENDEL = f"({HAS.format('c')} AND ({HAS.format('m')} OR {HAS.format('d')}))"
-DENOVO = f"({HAS.format('c')} AND NOT {HAS.format('m')} AND NOT {HAS.format('d')})"
-OMIT = f"(NOT {HAS.format('c')} AND ({HOM.format('m')} OR {HOM.format('d')}))"
+SELECT family_id, s::BIGINT AS s, person_id, {} AS value
+FROM (SELECT family_id, s, person_id, idx, a1 = 1 OR a2 = 1 AS has,
+    bool_or(idx = 0) OVER w AND bool_or(idx = 1) OVER w AS trio,
+    bool_or(idx < 2 AND (a1 = 1 OR a2 = 1)) OVER w AS parent_has, bool_or(idx < 2 AND a1 = 1 AND a2 = 1) OVER w AS parent_hom
+  FROM gt WINDOW w AS (PARTITION BY family_id, s))
+WHERE idx > 1 AND trio"""
+MENDEL, DENOVO, OMIT = "(has AND parent_has)", "(has AND NOT parent_has)", "(NOT has AND parent_hom)"
 
 
 def trio_query(name, sql_value, value):

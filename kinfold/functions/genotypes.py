@@ -248,22 +248,15 @@ def genotype_text(members: Column) -> Column:
 
 
 def genotype_from_best_state(state: Column) -> Column:
-    """Two allele indexes from the per-allele copy counts of one member."""
-    ploidy = F.aggregate(state, F.lit(0), lambda acc, v: acc + v)
-    start = F.struct(F.lit(0).alias("a1"), F.lit(0).alias("a2"))
-
-    def step(acc: Column, allele: Column) -> Column:
-        count = F.get(state, allele)
-        fills_first = acc["a1"] == 0
-        a1 = F.when((count == 2) | ((count == 1) & fills_first), allele).otherwise(acc["a1"])
-        a2 = (
-            F.when(count == 2, allele)
-            .when((count == 1) & fills_first & (ploidy == 1), F.lit(codes.HAPLOID_FILLER))
-            .when((count == 1) & ~fills_first, allele)
-            .otherwise(acc["a2"]))
-        return F.struct(a1.cast("int").alias("a1"), a2.cast("int").alias("a2"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(state) - 1), start, step)
+    """Two allele indexes from the copy counts of one member, reference first; a single copy leaves the second side empty.
+
+    Each alternative allele is listed once per copy. The first two of the list are the sides, and reference copies fill the rest.
+    """
+    listed = F.flatten(F.transform(F.slice(state, F.lit(2), F.size(state)), lambda n, i: F.array_repeat(i + 1, F.greatest(n, F.lit(0)))))
+    side = lambda i: F.coalesce(F.get(listed, F.lit(i)), F.lit(0)).cast("int")
+    single = F.aggregate(state, F.lit(0), lambda total, n: total + n) == 1
+    return F.when(state.isNotNull(), F.struct(
+        side(0).alias("a1"), F.when(single, F.lit(codes.HAPLOID_FILLER)).otherwise(side(1)).cast("int").alias("a2")))
 
 
 def genetic_model(

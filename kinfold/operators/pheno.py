@@ -31,8 +31,6 @@ ROLE_GROUPS = {
     "half siblings": ["paternal_half_sibling", "maternal_half_sibling"],
     "children": ["child"],
 }
-ROLE_GROUP_CUTOFF = 3
-MAX_CATEGORIES = 12
 
 
 # ---- values ---------------------------------------------------------------------------------
@@ -361,8 +359,8 @@ def needs_log_scale(histogram: DataFrame, bar: str, numeric: bool) -> DataFrame:
     return histogram.agg((F.min(bar) * 10 < F.max(bar)).alias("log_scale"))
 
 
-def role_distribution(values: DataFrame, measure_id: str, merge_parents: bool = False) -> DataFrame:
-    """Persons with a value per role group and status, by sex; groups under 3 persons are left out."""
+def role_distribution(values: DataFrame, measure_id: str, merge_parents: bool = False, least: int = 1) -> DataFrame:
+    """Persons with a value per role group and status, by sex; groups under ``least`` persons are left out."""
     present = values.filter(F.col(f"`{measure_id}`").isNotNull() & F.col("status").isin(1, 2))
     group = F.lit(None)
     for name, roles in ROLE_GROUPS.items():
@@ -372,25 +370,34 @@ def role_distribution(values: DataFrame, measure_id: str, merge_parents: bool =
         .groupBy("role_group", codes.decode(codes.STATUSES, F.col("status")).alias("status"))
         .agg(F.count("*").alias("total"), F.count(F.when(F.col("sex") == 1, 1)).alias("males"),
              F.count(F.when(F.col("sex") == 2, 1)).alias("females"))
-        .filter(F.col("total") >= ROLE_GROUP_CUTOFF))
+        .filter(F.col("total") >= least))
 
 
-def category_counts(
-    values: DataFrame, measure_id: str, natural_order: bool = False, most: int = MAX_CATEGORIES,
-) -> DataFrame:
-    """The most frequent categories with their rank, or all categories in numeric order.
+def category_counts(values: DataFrame, measure_id: str, natural_order: bool = False, most: int | None = None) -> DataFrame:
+    """All categories of a measure with their number of persons and their rank, or the first ``most`` of them.
 
-    The numeric order is for ordinal measures, which by classification have fewer values than
-    ``Inference.continuous_rank``; the ranks are given over at most that many rows.
+    The rank begins with the most frequent category, ties with the smallest, or follows the numeric order; values that are no
+    numbers come last, in text order. Categories are ranked inside blocks of the order, and a block begins after the categories of
+    the blocks before it, so no window holds them all.
     """
     counts = values.groupBy(F.col(f"`{measure_id}`").alias("value")).agg(F.count("*").alias("n"))
-    if natural_order:
-        ranked = counts.orderBy(F.col("value").cast("double"))
-        order = W.orderBy(F.col("value").cast("double"))
+    number = F.col("value").try_cast("double")
+    if natural_order:  # blocks of leading digits in numeric order
+        block = F.when(number.isNull(), F.lit(float("inf"))).otherwise(F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 16))
+        order = [number.isNull(), number, F.col("value")]
     else:
-        ranked = counts.orderBy(F.desc("n"), "value").limit(most)
-        order = W.orderBy(F.desc("n"), "value")
-    return ranked.withColumn("rank", F.row_number().over(order) - 1)
+        block, order = -F.col("n").cast("double"), [F.col("value").isNotNull(), F.col("value")]
+    # many categories may have one count: they are divided by their first letters
+    part = F.lit(None).cast("string") if natural_order else F.substring(F.col("value").cast("string"), 1, 2)
+    blocked = counts.withColumn("_block", block).withColumn("_part", part)
+    sizes = blocked.groupBy("_block", "_part").agg(F.count("*").alias("_size"))
+    ahead = F.coalesce(F.sum("_size").over(W.orderBy("_block", F.col("_part").isNotNull(), "_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_block").alias("_b"), F.col("_part").alias("_p"), ahead.alias("_ahead"))
+    inside = F.row_number().over(W.partitionBy("_block", "_part").orderBy(*order)) - 1
+    ranked = blocked.withColumn("_nth", inside).join(
+        starts, (F.col("_block") == F.col("_b")) & F.col("_part").eqNullSafe(F.col("_p"))).select(
+        "value", "n", (F.col("_nth") + F.col("_ahead")).cast("int").alias("rank"))
+    return ranked if most is None else ranked.filter(F.col("rank") < most)
 
 
 # ---- association ----------------------------------------------------------------------------

@@ -218,7 +218,11 @@ def query_variants(
     rows = fa.join(sa.select(*own), keys).withColumn("location", location()).withColumn("fvuid", fvuid())
     if summary_variant_ids is not None:
         rows = rows.withColumn("variant", alleles.short_notation(F.col("variant_desc")))
-        rows = keep_variants(rows, filters.variant_id().isin(list(summary_variant_ids)))
+        if isinstance(summary_variant_ids, DataFrame):
+            named = summary_variant_ids.select(F.col(summary_variant_ids.columns[0]).alias("_id")).distinct()
+            rows = kept_variants(rows, rows.withColumn("_id", filters.variant_id()).join(named, "_id", "left_semi"))
+        else:
+            rows = keep_variants(rows, filters.variant_id().isin(list(summary_variant_ids)))
     if unique:
         allele = alleles.fvuid(
             F.col("family_id"), F.col("location"), F.col("reference"), F.col("alternative"))
@@ -231,9 +235,14 @@ def query_variants(
 
 def keep_variants(rows: DataFrame, condition: Column) -> DataFrame:
     """All alleles of the family variants with any allele satisfying the condition."""
+    return kept_variants(rows, rows.filter(condition))
+
+
+def kept_variants(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All alleles of the family variants with any allele among the ``chosen`` rows."""
     keys = ["bucket_index", "summary_index", "family_id"]
     keys += ["study_id"] if "study_id" in rows.columns else []
-    return rows.join(rows.filter(condition).select(*keys).distinct(), keys, "left_semi")
+    return rows.join(chosen.select(*keys).distinct(), keys, "left_semi")
 
 
 def location() -> Column:
