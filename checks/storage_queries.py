@@ -487,6 +487,58 @@ def chain(spark, sf):
         F.when(odd, start + 49_899 + 1000).otherwise(start + 1000).alias("target_start"), F.when(odd, "-").otherwise("+").alias("strand"))
 
 
+@register("s08_rejected_lines", """
+SELECT location, CASE WHEN position % 7 = 0 THEN 'no position' WHEN position % 7 = 1 THEN 'unreadable alleles' END AS reason, NULL::VARCHAR AS person_id
+FROM v WHERE (inheritance & 4) <> 0 AND NOT cnv AND position % 7 IN (0, 1)
+UNION ALL
+SELECT location, 'unknown person', 'nobody' FROM v WHERE (inheritance & 4) <> 0 AND NOT cnv AND position % 7 = 2""")
+def s08_rejected_lines(spark, sf):
+    """Lines without a position or alleles, and persons without a family, are returned with the reason."""
+    found = plan.query_variants(derive.study(spark, sf), inheritance="denovo").filter("reference IS NOT NULL")
+    odd = F.col("position") % 7
+    lines = found.select(
+        F.concat(F.col("chromosome"), F.lit(":"), F.when(odd == 0, "?").otherwise(F.col("position").cast("string"))).alias("location"),
+        F.when(odd != 1, F.col("reference")).alias("ref"), F.col("alternative").alias("alt"),
+        F.concat_ws(";", F.array_join("allele_in_members", ";"), F.when(odd == 2, "nobody")).alias("person_id"), F.col("location").alias("named"))
+    rejected = call_tables.denovo_rejects(lines, location="location").select("named", "reason", F.lit(None).cast("string").alias("person_id"))
+    strangers = call_tables.rejected_carriers(call_tables.denovo_rows(lines, location="location"), derive.ped(spark, sf)).select("named", "reason", "person_id")
+    return rejected.unionByName(strangers).withColumnRenamed("named", "location")
+
+
+def chain_text(spark, sf):
+    """Chains of three blocks for every 50,000 positions, odd ones on the reverse strand, and a chain of low score over every third."""
+    spans = derive.sites(spark, sf).select("chromosome", F.floor((F.col("position") - 1) / 50_000).alias("b")).distinct()
+    at = (F.col("b") * 50_000).cast("string")
+    head = lambda score, prefix, strand, start: F.concat_ws(
+        " ", F.lit("chain"), F.lit(score), "chromosome", F.lit("90000000"), F.lit("+"), at, (F.col("b") * 50_000 + 49_900).cast("string"),
+        F.concat(F.lit(prefix), "chromosome"), F.lit("10000000"), strand, start, F.lit("9000000"), F.col("b").cast("string"))
+    strand = F.when(F.col("b") % 2 == 1, "-").otherwise("+")
+    main = spans.select(F.concat_ws("\n", F.lit("# made"), head("900", "t", strand, (F.col("b") * 50_000 + 1000).cast("string")), F.lit("20000\t50\t10"), F.lit("10000 0 5"), F.lit("19850")).alias("value"))
+    other = spans.filter("b % 3 = 0").select(F.concat_ws("\n", head("1", "u", F.lit("+"), at), F.lit("49900")).alias("value"))
+    path = scratch_dir(spark)
+    main.unionByName(other).write.option("lineSep", "\n\n").text(path)
+    return path
+
+
+@register("s17_lifted_from_chain_text", """
+SELECT chromosome, position, position_src, reference, CASE WHEN kind IS NULL THEN 'no block covers the position' WHEN leaves THEN 'the allele leaves its block' END AS reason
+FROM (SELECT
+    CASE WHEN kind IS NULL OR leaves THEN c ELSE CASE kind WHEN 3 THEN 'u' ELSE 't' END || c END AS chromosome,
+    (CASE WHEN kind IS NULL OR leaves THEN p WHEN kind = 3 THEN p WHEN b % 2 = 0 THEN b * 50000 + 1000 + off - shift + 1
+      ELSE 10000000 - (b * 50000 + 1000 + off - shift + n - 1) END)::BIGINT AS position, p::BIGINT AS position_src,
+    CASE WHEN kind < 3 AND NOT leaves AND b % 2 = 1 THEN reverse(translate(reference, 'ACGT', 'TGCA')) ELSE reference END AS reference, kind, leaves
+  FROM (SELECT *, off + n > (CASE kind WHEN 0 THEN 20000 WHEN 1 THEN 30050 ELSE 49900 END) AS leaves, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 40 ELSE 35 END AS shift
+    FROM (SELECT *, CASE WHEN off < 20000 THEN 0 WHEN off >= 20050 AND off < 30050 THEN 1 WHEN off >= 30050 AND off < 49900 THEN 2
+        WHEN off < 49900 AND b % 3 = 0 THEN 3 END AS kind
+      FROM (SELECT chromosome AS c, position AS p, reference, length(reference) AS n, (position - 1) // 50000 AS b, (position - 1) % 50000 AS off FROM sa WHERE NOT cnv))))""")
+def s17_lifted_from_chain_text(spark, sf):
+    """Sites through chain text of several blocks, both strands and overlapping chains; those without a place have the reason."""
+    sa = derive.alleles(spark, sf).filter("reference IS NOT NULL").select("chromosome", "position", "reference", "alternative")
+    lifted, rejected = liftover.lift_sites_apart(sa, liftover.read_chain(spark, chain_text(spark, sf)))
+    return lifted.select("chromosome", "position", "position_src", "reference", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select("chromosome", "position", F.col("position").alias("position_src"), "reference", "reason"))
+
+
 @register("s17_lifted_sites", """
 SELECT 't' || chromosome AS chromosome, CASE WHEN b % 2 = 0 THEN position + 1000 ELSE b * 50000 + 50899 - (position + length(reference) - 1 - b * 50000) END::BIGINT AS position,
   position::BIGINT AS position_src, CASE WHEN b % 2 = 0 THEN reference ELSE reverse(translate(reference, 'ACGT', 'TGCA')) END AS reference

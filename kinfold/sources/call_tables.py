@@ -40,7 +40,7 @@ def _members_with(
 
 # ---- de-novo calls --------------------------------------------------------------------------
 
-def denovo_rows(
+def judged_rows(
     raw: DataFrame, chrom: str = "chrom", pos: str = "pos", ref: str = "ref", alt: str = "alt",
     location: str | None = None, variant: str | None = None, base_before: DataFrame | None = None,
     prefix: str | None = None, add_prefix: bool = True,
@@ -49,8 +49,7 @@ def denovo_rows(
 
     Locations may be ``chrom:pos``; variants may be short notations. Insertions and deletions in
     short notation need the reference bases from the base before on, given as ``base_before``
-    ``(chromosome, start, bases)`` keyed by that position. Rows whose site cannot be resolved are
-    dropped.
+    ``(chromosome, start, bases)`` keyed by that position. ``reason`` says why a site cannot be resolved, and is null where it is.
     """
     if location:
         where = F.split(F.col(location), ":")
@@ -76,8 +75,18 @@ def denovo_rows(
         resolved = alleles.notation_to_vcf(F.col("position"), text, F.col("_before"))
         rows = rows.withColumn("_r", resolved).withColumn("position", F.col("_r.position")).withColumn(
             "reference", F.col("_r.reference")).withColumn("alternative", F.col("_r.alternative")).drop("_variant", "_before", "_r")
-    return rows.filter(
-        F.col("position").isNotNull() & F.col("reference").isNotNull() & F.col("alternative").isNotNull())
+    return rows.withColumn("reason", F.when(F.col("chromosome").isNull() | (F.col("chromosome") == ""), "no chromosome").when(
+        F.col("position").isNull(), "no position").when(F.col("reference").isNull() | F.col("alternative").isNull(), "unreadable alleles"))
+
+
+def denovo_rows(raw: DataFrame, **layout) -> DataFrame:
+    """The rows of ``judged_rows`` whose site is resolved; ``denovo_rejects`` has the others."""
+    return judged_rows(raw, **layout).filter("reason IS NULL").drop("reason")
+
+
+def denovo_rejects(raw: DataFrame, **layout) -> DataFrame:
+    """The rows of ``judged_rows`` whose site is not resolved, with the reason."""
+    return judged_rows(raw, **layout).filter("reason IS NOT NULL")
 
 
 def listed_persons(cell: Column) -> Column:
@@ -91,20 +100,44 @@ def _with_members(rows: DataFrame, ped: DataFrame) -> DataFrame:
     return rows.drop("place", *variants.MEMBER_FIELDS).join(people, "family_id")
 
 
-def denovo_by_person(rows: DataFrame, ped: DataFrame, person: str = "person_id", family: str | None = None) -> DataFrame:
-    """One row per site and family with the carriers; person cells may list several ids.
+def listed_carriers(rows: DataFrame, ped: DataFrame, person: str = "person_id", family: str | None = None) -> DataFrame:
+    """Rows repeated for each person of the ``person`` cell, with the family and the ``reason`` why it has none.
 
-    Separate lines of one family at one site become one family row. Unknown persons are dropped; a
-    person of several families is an error found by ``ambiguous_persons``.
+    A person the pedigree does not know, or not in the family given, has no family; a person of several families has one only if
+    the table names it.
     """
     split = rows.withColumn("person_id", F.explode(listed_persons(F.col(person))))
     owners = ped.select("family_id", "person_id").distinct()
     if family is not None:
-        split = split.withColumn("family_id", F.col(family))
-        known = split.join(owners, ["family_id", "person_id"], "left_semi")
-    else:
-        known = split.join(owners, "person_id")
-    return known.groupBy(*SITE, "family_id").agg(F.array_sort(F.collect_set("person_id")).alias("carriers"))
+        named = owners.withColumnsRenamed({"family_id": "_family", "person_id": "_person"})
+        found = split.join(named, (F.col(family) == F.col("_family")) & (F.col("person_id") == F.col("_person")), "left")
+        return found.withColumn("reason", F.when(F.col("_family").isNull(), "unknown person")).withColumn("family_id", F.col("_family")).drop("_family", "_person")
+    one = owners.groupBy("person_id").agg(F.count("*").alias("_families"), F.min("family_id").alias("_family"))
+    found = split.drop("family_id").join(one, "person_id", "left")
+    return found.withColumn("reason", F.when(F.col("_families").isNull(), "unknown person").when(F.col("_families") > 1, "person of several families")).withColumn(
+        "family_id", F.when(F.col("_families") == 1, F.col("_family"))).drop("_families", "_family")
+
+
+def denovo_by_person(
+    rows: DataFrame, ped: DataFrame, person: str = "person_id", family: str | None = None, extra: list[str] = (), unknown: str = "apart",
+) -> DataFrame:
+    """One row per site and family with the carriers; person cells may list several ids.
+
+    Separate lines of one family at one site become one family row, with the ``extra`` columns of each in ``lines``. A person of
+    several families is an error when the row is computed. Unknown persons are one too if ``unknown`` is ``"error"``;
+    else ``rejected_carriers`` has them.
+    """
+    listed = listed_carriers(rows, ped, person, family)
+    fatal = F.col("reason").isNotNull() if unknown == "error" else F.col("reason") == "person of several families"
+    checked = listed.withColumn("family_id", F.when(
+        fatal, F.raise_error(F.concat_ws(": ", "reason", "person_id")).cast("string")).otherwise(F.col("family_id"))).filter("family_id IS NOT NULL")
+    lines = [F.array_sort(F.collect_set(F.struct(*extra))).alias("lines")] if extra else []
+    return checked.groupBy(*SITE, "family_id").agg(F.array_sort(F.collect_set("person_id")).alias("carriers"), *lines)
+
+
+def rejected_carriers(rows: DataFrame, ped: DataFrame, person: str = "person_id", family: str | None = None) -> DataFrame:
+    """Listed persons without one family, with the columns of their line and the reason."""
+    return listed_carriers(rows, ped, person, family).filter("reason IS NOT NULL")
 
 
 def ambiguous_persons(rows: DataFrame, ped: DataFrame, person: str = "person_id") -> DataFrame:
@@ -126,12 +159,11 @@ def _columns_of(matrix: Column) -> Column:
 
 
 def calls_from_states(rows: DataFrame, keys: list[str], ped: DataFrame, states: Column) -> DataFrame:
-    """Family genotypes from best states listed in member order."""
+    """Family genotypes from best states listed in member order; members beyond a short list are unknown."""
     joined = _with_members(rows.withColumn("_st", states), ped)
     pair = genotypes.genotype_from_best_state(F.get("_st", F.col("place")))
-    known = joined.withColumn("_state", F.get("_st", F.col("place"))).filter("_state IS NOT NULL")
-    return variants.family_calls(
-        known.withColumn("_g", pair).withColumn("a1", F.col("_g.a1")).withColumn("a2", F.col("_g.a2")), keys)
+    side = lambda name: F.coalesce(F.col(f"_g.{name}"), F.lit(-1))
+    return variants.family_calls(joined.withColumn("_g", pair).withColumn("a1", side("a1")).withColumn("a2", side("a2")), keys)
 
 
 def denovo_study_inputs(
@@ -224,12 +256,12 @@ def cnv_rows(
     The type is 32 for duplication words and 16 for deletion words; other words give NULL.
     """
     if chrom is not None:
-        c, a, b = F.col(chrom), F.col(start).cast("int"), F.col(end).cast("int")
+        c, a, b = F.col(chrom), F.col(start).try_cast("int"), F.col(end).try_cast("int")
         used = [chrom, start, end, variant]
     else:
         c = F.regexp_extract(location, r"^([^:]+):", 1)
-        a = F.regexp_extract(location, r":(\d+)-", 1).cast("int")
-        b = F.regexp_extract(location, r"-(\d+)$", 1).cast("int")
+        a = F.regexp_extract(location, r":(\d+)-", 1).try_cast("int")
+        b = F.regexp_extract(location, r"-(\d+)$", 1).try_cast("int")
         used = [location, variant]
     kind = F.when(F.col(variant).isin(list(plus)), 32).when(F.col(variant).isin(list(minus)), 16)
     return raw.select(
@@ -237,15 +269,25 @@ def cnv_rows(
         *[x for x in raw.columns if x not in used])
 
 
+def cnv_rejects(rows: DataFrame) -> DataFrame:
+    """Rows of ``cnv_rows`` without a place or with an unknown type word, with the ``reason``."""
+    return rows.withColumn("reason", F.when(F.col("chromosome").isNull() | (F.col("chromosome") == ""), "no chromosome").when(
+        F.col("position").isNull() | F.col("end_position").isNull(), "no interval").when(F.col("variant_type").isNull(), "unknown type")).filter("reason IS NOT NULL")
+
+
 CNV_KEY = ["chromosome", "position", "end_position", "variant_type"]
 
 
 def cnv_states_by_person(rows: DataFrame, ped: DataFrame, par: list[tuple[str, int, int]] = (), person: str = "person_id") -> DataFrame:
-    """Copies ``[ref, alt]`` of every member of a carrier's family; ``place`` is the member order."""
-    split = rows.withColumn("person_id", F.explode(listed_persons(F.col(person)))).select(*CNV_KEY, "person_id")
-    owners = ped.select("family_id", "person_id").distinct()
-    carriers = split.join(owners, "person_id").groupBy(*CNV_KEY, "family_id").agg(
-        F.array_sort(F.collect_set("person_id")).alias("carriers"))
+    """Copies ``[ref, alt]`` of every member of a carrier's family; ``place`` is the member order.
+
+    Rows that ``cnv_rejects`` returns have none; a person of several families is an error, and ``rejected_carriers`` has unknown ones.
+    """
+    placed = rows.dropna(subset=CNV_KEY)
+    listed = listed_carriers(placed.select(*CNV_KEY, F.col(person).alias("person_id")), ped)
+    checked = listed.withColumn("family_id", F.when(
+        F.col("reason") == "person of several families", F.raise_error(F.concat_ws(": ", "reason", "person_id")).cast("string")).otherwise(F.col("family_id")))
+    carriers = checked.filter("family_id IS NOT NULL").groupBy(*CNV_KEY, "family_id").agg(F.array_sort(F.collect_set("person_id")).alias("carriers"))
     expected = genotypes.interval_ploidy(
         F.col("chromosome"), F.col("position"), F.col("end_position"), F.col("sex"), list(par))
     alt = F.array_contains("carriers", F.col("person_id")).cast("int")

@@ -252,3 +252,49 @@ def test_chromosome_prefix(spark, prefix, add, want):
 def test_summary_key_is_unique(spark):
     df = spark.createDataFrame([(1, 5, 2), (2, 0, 0)], "bucket_index int, summary_index int, allele_index int")
     assert [r[0] for r in df.select(variants.sj_index()).collect()] == [10_000_000_050_002, 20_000_000_000_000]
+
+
+def test_chain_text_gives_blocks_and_the_best_one_counts(spark, tmp_path):
+    (tmp_path / "a.chain").write_text(
+        "# comment\nchain 50 c 1000 + 99 400 t 2000 - 100 390 1\n100 10 0\n50\t5\t20\n120\n\nchain 9 c 1000 + 0 900 u 900 + 0 900 2\n900\n\nchain x c 1 + 0 1 t 1 + 0 1 3\n1\n\n")
+    blocks = liftover.read_chain(spark, str(tmp_path / "a.chain"))
+    assert sorted((r.start, r.stop, r.target_chrom, r.target_start, r.strand, r.score) for r in blocks.collect()) == [
+        (1, 900, "u", 1, "+", 9.0), (100, 199, "t", 1900, "-", 50.0), (210, 259, "t", 1800, "-", 50.0), (265, 384, "t", 1730, "-", 50.0)]
+    assert [r.value for r in liftover.unreadable_chains(spark, str(tmp_path / "a.chain")).collect()] == ["chain x c 1 + 0 1 t 1 + 0 1 3\n1"]
+    df = spark.createDataFrame(
+        [("c", 100, "A", "C"), ("c", 100, "A", "C"), ("c", 199, "AC", "A"), ("c", 205, "A", "C"), ("c", 950, "A", "C"), ("d", 1, "A", "C"), (None, None, None, None)],
+        "chromosome string, position int, reference string, alternative string")
+    lifted, rejected = liftover.lift_sites_apart(df, blocks)
+    assert sorted((r.position_src, r.chromosome, r.position, r.reference) for r in lifted.collect()) == [(100, "t", 1900, "T"), (100, "t", 1900, "T"), (205, "u", 205, "A")]
+    assert sorted((repr(r.position), r.reason) for r in rejected.collect()) == [
+        ("1", "no block covers the position"), ("199", "the allele leaves its block"), ("950", "no block covers the position"), ("None", "no block covers the position")]
+    cnv = spark.createDataFrame([("c", 100, 150), ("c", 950, 960), ("c", 100, 205), ("c", 100, 990)], "chromosome string, position int, end_position int")
+    lifted, rejected = liftover.lift_intervals_apart(cnv, blocks)
+    assert [r.location for r in lifted.collect()] == ["t:1850-1900"]
+    assert sorted((r.position, r.reason) for r in rejected.collect()) == [
+        (100, "no block covers the end"), (100, "the ends are on two chromosomes"), (950, "no block covers the start")]
+
+
+def test_bad_lines_and_persons_are_returned(spark):
+    ped = ped_rows(spark, TWO_QUADS + "f3 prb1 0 0 F affected prb\n")
+    raw = spark.createDataFrame(
+        [("c:5", "A", "C", "sib1;nobody", "x"), ("c:5", "A", "C", "mom1", "y"), ("c:?", "A", "C", "sib1", "z"), ("c:6", None, "C", "sib1", "z"), ("c:7", "A", "C", "prb1", "w")],
+        "location string, ref string, alt string, person_id string, note string")
+    assert sorted((r.note, r.reason) for r in call_tables.denovo_rejects(raw, location="location").collect()) == [("z", "no position"), ("z", "unreadable alleles")]
+    rows = call_tables.denovo_rows(raw, location="location")
+    assert sorted((r.person_id, r.note, r.reason) for r in call_tables.rejected_carriers(rows, ped).collect()) == [
+        ("nobody", "x", "unknown person"), ("prb1", "w", "person of several families")]
+    good = rows.filter("position = 5")
+    assert [(r.carriers, [x.note for x in r.lines]) for r in call_tables.denovo_by_person(good, ped, extra=["note"]).collect()] == [(["mom1", "sib1"], ["x", "y"])]
+    for bad, options in ((rows, {}), (good, {"unknown": "error"})):
+        with pytest.raises(Exception, match="several families|unknown person"):
+            call_tables.denovo_by_person(bad, ped, **options).collect()
+    cnv = call_tables.cnv_rows(spark.createDataFrame([("c:1-9", "CNV+", "mom1"), ("c:1", "CNV+", "mom1"), ("c:1-9", "odd", "mom1")], "location string, variant string, person_id string"))
+    assert sorted(r.reason for r in call_tables.cnv_rejects(cnv).collect()) == ["no interval", "unknown type"]
+
+
+def test_short_best_states_leave_the_rest_unknown(spark):
+    ped = ped_rows(spark, QUAD)
+    rows = spark.createDataFrame([("c", 5, "A", "C", "f1", "2 1/0 1")], "chromosome string, position int, reference string, alternative string, family_id string, state string")
+    _, calls = call_tables.denovo_study_inputs(rows, ped, best_state="state")
+    assert [(m["a1"], m["a2"]) for m in calls.first()["members"]] == [(0, 0), (1, 0), (-1, -1), (-1, -1)]
