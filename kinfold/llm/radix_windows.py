@@ -254,7 +254,7 @@ def strip(docs: DataFrame, finish: Finish = kept_text, finished: T.StructType =
     names = [c for c in without(docs, *finished.names).columns if c != "text"]
     data = F.coalesce(column("text"), F.lit("")).cast("binary")
     keyed = docs.select(
-        F.struct(*[column(c) for c in names]).alias("row"), column("doc_id").cast("long").alias("id"), F.crc32(data).alias("crc"), data.alias("text"))
+        F.struct(*[column(c) for c in names]).alias("row"), *_named(data), data.alias("text"))
     rows = keyed.select("id", "crc", "text").mapInArrow(_families_of, f"{KEY}, first bigint, last bigint, leader bigint, high bigint, low bigint")
     first = _by_text(sift(rows))
     row_type = keyed.schema["row"]
@@ -316,6 +316,14 @@ def strip(docs: DataFrame, finish: Finish = kept_text, finished: T.StructType =
     return done.unionAll(ended).select("row.*", "made.*")
 
 
+def _named(data: Any) -> list[Any]:
+    """Two 64-bit hashes of a row's id and whole text, from different starts: together (id, crc) name the text in all joins.
+
+    A null or repeated id does not make two texts one.
+    """
+    return [F.xxhash64(F.lit(0), column("doc_id"), data).alias("id"), F.xxhash64(F.lit(1), data, F.octet_length(data), column("doc_id")).alias("crc")]
+
+
 def _renamed(side: DataFrame) -> DataFrame:
     return side.withColumnRenamed("id", "id_").withColumnRenamed("crc", "crc_")
 

@@ -28,7 +28,7 @@ VERSION = "byte_bpe_50k"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GROUP = ("source", "lang", "tokenizer")
 COUNTS = "n_tokens bigint, n_bytes bigint"
-SIGNED = f"doc_id bigint, source string, lang string, tokenizer string, {COUNTS}, sign int, batch string"
+SIGNED = f"doc_id bigint, text_key string, source string, lang string, tokenizer string, {COUNTS}, sign int, batch string"
 DELTAS = f"source string, lang string, tokenizer string, n_docs bigint, {COUNTS}, batch string"
 
 
@@ -76,7 +76,7 @@ class Rollup:
 
     def current(self) -> DataFrame:
         """The counts that stand, one row per document and tokenizer version."""
-        identity = ["doc_id", *GROUP, "n_tokens", "n_bytes"]
+        identity = ["doc_id", "text_key", *GROUP, "n_tokens", "n_bytes"]
         return self._rows("signed", SIGNED).groupBy(*identity).agg(F.sum("sign").alias("sign")).where(F.col("sign") > 0).drop("sign")
 
     def totals(self) -> DataFrame:
@@ -85,28 +85,29 @@ class Rollup:
         return self._rows("deltas", DELTAS).groupBy(*GROUP).agg(*sums).where(F.col("n_docs") != 0)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch of changes (change, doc_id, source, lang, tokenizer, n_tokens, n_bytes); False if it was applied before.
+        """Apply a batch of changes (change, doc_id, source, lang, tokenizer, n_tokens, n_bytes; text_key if ids do not name documents); False if it was applied before.
 
         ``insert`` and ``revise`` put a count in the place of any that stands for the document and tokenizer version;
         ``delete`` takes it away and needs no counts. Of several puts of one document in a batch the one with the largest
-        counts stays, and a delete beats a put. Deleting what is not there does nothing. A null id is an id like any other;
-        null sources and languages are groups of their own; null counts are 0.
+        counts stays, and a delete beats a put. Deleting what is not there does nothing. A document is named by its id and text_key, and a
+        null of either is a name like any other; null sources and languages are groups of their own; null counts are 0.
         """
         if "/" in batch or not batch:
             raise ValueError("a batch needs a name that can be a folder")
         marker = f"{self.path}/commits/batch={batch}"
         if self._there(f"{marker}/_SUCCESS"):
             return False
+        text_key = F.col("text_key") if "text_key" in changes.columns else F.lit(None).cast("string").alias("text_key")
         named = changes.select(
-            "doc_id", "tokenizer", (F.col("change") == "delete").cast("int").alias("gone"),
+            "doc_id", text_key, "tokenizer", (F.col("change") == "delete").cast("int").alias("gone"),
             F.struct(
                 F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"),
                 F.col("source").alias("source"), F.col("lang").alias("lang")).alias("put"))
-        last = named.groupBy("doc_id", "tokenizer").agg(F.max("gone").alias("gone"), F.max("put").alias("put"))
-        comes = last.where(F.col("gone") == 0).select("doc_id", "put.source", "put.lang", "tokenizer", "put.n_tokens", "put.n_bytes", F.lit(1).alias("sign"))
-        stands, touched = self.current(), last.select(F.col("doc_id").alias("id_"), F.col("tokenizer").alias("version_"))
+        last = named.groupBy("doc_id", "text_key", "tokenizer").agg(F.max("gone").alias("gone"), F.max("put").alias("put"))
+        comes = last.where(F.col("gone") == 0).select("doc_id", "text_key", "put.source", "put.lang", "tokenizer", "put.n_tokens", "put.n_bytes", F.lit(1).alias("sign"))
+        stands, touched = self.current(), last.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("tokenizer").alias("version_"))
         goes = stands.join(
-            touched, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("tokenizer").eqNullSafe(F.col("version_")), "left_semi").withColumn("sign", F.lit(-1))
+            touched, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")) & F.col("tokenizer").eqNullSafe(F.col("version_")), "left_semi").withColumn("sign", F.lit(-1))
         comes.unionByName(goes).write.mode("overwrite").parquet(f"{self.path}/signed/batch={batch}")
         signed = self.spark.read.parquet(f"{self.path}/signed/batch={batch}")
         sums = [F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("n_tokens", "n_bytes")]
@@ -123,18 +124,18 @@ def without_repeated_lines(text: str = "text"):
 
 def history(rollup: Rollup, docs: DataFrame, version: str = VERSION, folder: str = VOCABULARIES) -> Rollup:
     """Three batches over ``docs``: all are inserted, texts with repeated lines are revised without them, and exact copies but
-    the one of the smallest id are deleted. Every batch is sent twice, as after a lost acknowledgement."""
-    docs = docs.select("doc_id", "source", "lang", "text")
+    the one of the smallest id are deleted. Every batch is sent twice, as after a lost acknowledgement. Documents are named by their
+    id and a digest of the text that was inserted, so null and repeated ids leave none uncounted."""
+    docs = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
     shorter = docs.withColumn("text", without_repeated_lines()).where(F.col("text") != docs["text"])
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    named = docs.select("doc_id", digest.alias("digest"))
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = named.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    named = docs.select("doc_id", "text_key")
+    first = named.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    copies = named.join(first, "text_key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     nothing = [F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(version).alias("tokenizer"),
                F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_bytes")]
     batches = {
         "insert": counted(docs, version, folder), "revise": counted(shorter, version, folder),
-        "delete": copies.select("doc_id", *nothing)}
+        "delete": copies.select("doc_id", "text_key", *nothing)}
     for name, rows in batches.items():
         for _ in range(2):
             rollup.commit(name, rows.withColumn("change", F.lit(name)))

@@ -51,6 +51,15 @@ def test_history_over_texts(spark, docs_of):
     assert got == {(s, "en", "byte_bpe_50k"): (len(ts), sum(count(t)[0] for t in ts), sum(count(t)[1] for t in ts)) for s, ts in standing.items()}
 
 
+def test_history_counts_every_text_of_null_and_repeated_ids(spark, docs_of):
+    texts = [(None, "one", "a"), (None, "two words", "a"), (None, "two words", "a"), (7, "two words", "b"), (7, "three", "b"), (7, "four\nfour", "b"), (8, "three", "c"), (None, None, "a"), (None, "", "a"), (9, "one", "d")]
+    rollup = Rollup(spark, tempfile.mkdtemp(dir=spark.conf.get("spark.checkpoint.dir")))
+    got = totals(token_rollup.history(rollup, docs_of(texts)))
+    count = lambda t: (len(token_rollup.encoding("byte_bpe_50k").encode_ordinary(t)), len(t))
+    standing = {"a": [""], "b": ["two words", "three", "four"], "d": ["one"]}
+    assert got == {(s, "en", "byte_bpe_50k"): (len(ts), sum(count(t)[0] for t in ts), sum(count(t)[1] for t in ts)) for s, ts in standing.items()}
+
+
 def test_clashing_columns_and_empty_table(spark, docs_of):
     clash = docs_of([(1, "a b")]).withColumn("Tokenizer", F.lit("x")).withColumn("n_bytes", F.lit(9))
     row = token_rollup.counted(clash).collect()[0]
