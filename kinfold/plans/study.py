@@ -20,7 +20,7 @@ class Study:
     """Stored tables of one study or of a dataset of studies (told apart by ``study_id``).
 
     ``gene_bins`` (gene, region_bin) says in which region bins rows of a gene are stored. ``leaves`` are the studies of a
-    dataset by their id; each has its own partitioning.
+    dataset by their id; each has its own partitioning. ``by_key`` says that files are sorted by ``sj_index``.
     """
 
     pedigree: DataFrame
@@ -29,6 +29,7 @@ class Study:
     partitioning: Partitioning = Partitioning()
     gene_bins: DataFrame | None = None
     leaves: dict[str, Study] = field(default_factory=dict)
+    by_key: bool = False
 
 
 def union_studies(studies: dict[str, Study], people: DataFrame | None = None) -> Study:
@@ -189,6 +190,24 @@ SUMMARY_ARGUMENTS = {
 }
 
 
+#: Ranges of keys that a query passes to the scan of the family alleles at most.
+KEY_RANGES = 64
+
+
+def key_ranges(summary: DataFrame, most: int = KEY_RANGES) -> Column:
+    """A condition on ``sj_index`` that holds for all rows of ``summary``: at most ``most`` closed ranges.
+
+    The span of the keys is cut into parts of equal length, and each part is narrowed to the keys it has. The driver gets a row
+    per part. Statistics of files sorted by the key then tell the scan which row groups to leave out.
+    """
+    low, high = summary.agg(F.min("sj_index"), F.max("sj_index")).first()
+    if low is None:
+        return F.lit(False)
+    width = (high - low) // most + 1
+    parts = summary.groupBy(F.expr(f"(sj_index - {low}) div {width}").alias("part")).agg(F.min("sj_index").alias("a"), F.max("sj_index").alias("b")).collect()
+    return reduce(lambda x, y: x | y, [F.col("sj_index").between(r["a"], r["b"]) for r in sorted(parts)])
+
+
 def query_variants(
     study: Study, *, person_set: tuple[person_sets.Collection, list[str]] | None = None,
     unique: bool = False, limit: int | None = None, summary_variant_ids: list[str] | None = None,
@@ -197,7 +216,8 @@ def query_variants(
     """Family alleles joined with their summary alleles; all filters are ANDed.
 
     Keyword arguments are those of ``summary_query`` and ``family_query``. ``unique`` keeps one
-    row per allele of a family over studies; ``limit`` is applied after it.
+    row per allele of a family over studies; ``limit`` is applied after it. Where files are sorted by the key of the join and
+    the summary alleles are filtered, those are read first, and the scan of the family alleles gets the ranges of their keys.
     """
     for_summary = {k: v for k, v in query.items() if k in SUMMARY_ARGUMENTS}
     for_family = {k: v for k, v in query.items() if k not in SUMMARY_ARGUMENTS}
@@ -211,6 +231,9 @@ def query_variants(
             family = filters.carried_by_table(family, person_sets.selected_persons(sets, set_ids))
     sa = summary_query(
         study, prune=False, return_unknown=return_unknown, study_ids=study_ids, **for_summary)
+    chosen = [v for k, v in for_summary.items() if k != "return_reference"]
+    if prune and study.by_key and any(v is not None and v is not False for v in chosen):
+        family = family.filter(key_ranges(sa))
     fa = family_query(
         replace(study, family=family), prune=False, return_unknown=return_unknown, study_ids=study_ids, **for_family)
     keys = ["sj_index"] + (["study_id"] if "study_id" in fa.columns and "study_id" in sa.columns else [])

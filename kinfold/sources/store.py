@@ -108,7 +108,7 @@ def read_study(spark: SparkSession, path: str) -> Study:
     gene_bins = spark.read.parquet(f"{path}/gene_bins") if "region_bin" in part.summary_columns else None
     return Study(
         pedigree_files.loaded(spark.read.parquet(f"{path}/pedigree")),
-        _text_bins(spark.read.parquet(f"{path}/summary")), _text_bins(spark.read.parquet(f"{path}/family")), part, gene_bins)
+        _text_bins(spark.read.parquet(f"{path}/summary")), _text_bins(spark.read.parquet(f"{path}/family")), part, gene_bins, by_key=True)
 
 
 def _text_bins(rows: DataFrame) -> DataFrame:

@@ -175,3 +175,19 @@ def test_union_of_studies_and_unique_variants(stored):
     assert unique.count() == identities and {r[0] for r in unique.select("study_id").distinct().collect()} == {"a"}
     assert plan.query_variants(both, study_ids=["b"]).count() == single
     assert plan.query_variants(both, unique=True, limit=3).count() == 3
+
+
+def test_a_filter_on_summary_alleles_reaches_the_scan_of_family_alleles(stored):
+    from kinfold.plans.study import key_ranges
+    _, study = stored
+    assert study.by_key
+    found = plan.query_variants(study, genes=["g1"])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    keys = [r[0] for r in study.summary.filter("exists(effect_gene, g -> g.effect_gene_symbols = 'g1')").select("sj_index").distinct().collect()]
+    assert keys and f">= {min(keys)})" in text and f"<= {max(keys)})" in text
+    rows = study.summary.filter("summary_index in (3, 20, 21)").select("sj_index")
+    for most in (1, 2, 64):
+        kept = study.summary.filter(key_ranges(rows, most))
+        assert rows.join(kept, "sj_index", "left_anti").isEmpty()
+        assert most < 64 or kept.select("summary_index").distinct().count() == 3
+    assert study.summary.filter(key_ranges(rows.limit(0))).isEmpty()
