@@ -38,7 +38,7 @@ ALIKE = (85, 100)
 #: Sets of more members than this are never small.
 MOST_SMALL = 20
 #: A table of at most so many rows of a few numbers is broadcast; it is counted first, and beyond that both sides are shuffled.
-FEW = 1 << 17
+FEW, FEW_MEMBERS = 1 << 17, 1 << 21
 #: Members kept of a set beyond those that are listed, to stand in for frequent ones: a share of the listed, and a number.
 SPARE_SHARE, SPARE = 4, 8
 #: Leaders of a list in the first round.
@@ -175,11 +175,17 @@ def boundary_of(entries: DataFrame, sizes: DataFrame) -> int:
 
 
 def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole ``sets`` (node, members) are alike."""
+    """Links (a, b) of the ``pairs`` (node, leader) whose whole ``sets`` (node, members) are alike.
+
+    The sets of the leaders are broadcast if they have few members in all, so that a pair is not shuffled with a set.
+    """
     top, base = ALIKE
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"of_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
-    return both.where(base * F.col("shared") >= top * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
+    leading = cut(sets.join(pairs.select(F.col("leader").alias("node")).distinct(), "node", "left_semi"))
+    few = (leading.agg(F.sum(F.size("members"))).first()[0] or 0) <= FEW_MEMBERS
+    own, other = sets.withColumnRenamed("members", "own"), leading.select(F.col("node").alias("leader"), F.col("members").alias("other"))
+    both = pairs.join(own, "node").join(F.broadcast(other) if few else other, "leader")
+    both = both.withColumn("shared", F.size(F.array_intersect("own", "other")).cast("long"))
+    return both.where(base * F.col("shared") >= top * (F.size("own") + F.size("other") - F.col("shared"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
 def _if_few(small: DataFrame) -> DataFrame:
@@ -244,7 +250,7 @@ def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) ->
 def large_links(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFrame, leaders: int = LEADERS) -> DataFrame:
     """Links (a, b) that, with the ``known`` ones, connect all sets alike of which one at least is large."""
     top, base = ALIKE
-    rooted, links = cut(stars(known)), known
+    rooted, links, listed = cut(stars(known)), known, None
     while True:
         state = entries.join(rooted, "node", "left").select("member", "node", "size", F.coalesce("root", "node").alias("root"))
         state = cut(state)
@@ -256,18 +262,26 @@ def large_links(entries: DataFrame, sets: DataFrame, boundary: int, known: DataF
         open_ = cut(state.join(heads, "member"))
         rank = F.row_number().over(W.partitionBy("member").orderBy(F.col("root") == F.col("top"), F.xxhash64("node"), "node"))
         ranked = open_.select("member", "node", "size", "root", "top", rank.alias("nth")).where(F.col("nth") <= leaders)
-        leading = cut(ranked.select("member", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("root").alias("leader_root"), "nth"))
+        leading = cut(ranked.select("member", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("root").alias("leader_root")))
         fits = (
             (F.col("root") != F.col("leader_root")) & (base * F.least("size", "leader_size") >= top * F.greatest("size", "leader_size"))
             & (F.greatest("size", "leader_size") > boundary))
-        pairs = open_.join(leading, "member").where(fits).select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if listed is None:  # most lists are short and end with this round
+            listed = cut(entries.groupBy("node").agg(F.collect_list("member").alias("listed")))
+            pairs = open_.join(leading, "member").where(fits).select("node", "leader").distinct()
+        else:
+            # two sets that meet in many lists are compared for the first of them alone: all of these are read until they are decided
+            theirs = cut(listed.join(open_.select("node").distinct(), "node", "left_semi"))
+            led = cut(leading.join(theirs.select(F.col("node").alias("leader"), F.col("listed").alias("leader_listed")), "leader"))
+            first = F.array_min(F.array_intersect("listed", "leader_listed")) == F.col("first_of")
+            members = cut(open_.join(theirs, "node").withColumn("first_of", F.col("member")))
+            pairs = members.join(led, "member").where(fits & first).select("node", "leader")
         found = cut(_links_of(cut(pairs), sets))
         links = cut(links.unionByName(found))
         if not found.isEmpty():
             rooted = cut(stars(links))
-        entries = open_.select("member", "node", "size").join(
-            leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti")
+        entries = cut(open_.select("member", "node", "size").join(
+            leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti"))
         leaders *= 4
 
 
