@@ -142,12 +142,16 @@ class Windows:
     def documents(self, data: list[bytes], ids: list[np.ndarray], counts: list[np.ndarray], long: int = LONG) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:
         """Groups, links, groups as text, and pairs with their times, of each document."""
         keys, firsts = self._cut(ids, counts)
-        fresh = [k for k in dict.fromkeys(keys) if k not in self.numbers]
+        numbers = self.numbers
+        windows = list(map(numbers.get, keys))
+        unseen = [place for place, number in enumerate(windows) if number is None]
+        fresh = list(dict.fromkeys([keys[place] for place in unseen]))
         short = [k for k in fresh if len(k[0]) + len(k[1]) <= 4 * long]
         if short:
             self.remember(short)
         once = {k: self.align([k]) for k in fresh if len(k[0]) + len(k[1]) > 4 * long}  # long windows, not to be remembered
-        windows = list(map(self.numbers.get, keys))
+        for place in unseen:
+            windows[place] = numbers.get(keys[place])
         flat, starts = np.frombuffer(self.flat, np.int32).copy(), np.frombuffer(self.starts, np.int64).copy()
         n_links, n_groups = np.frombuffer(self.counts, np.int64).copy(), np.frombuffer(self.n_groups, np.int64).copy()
         texts = self.groups
