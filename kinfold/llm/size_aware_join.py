@@ -10,8 +10,8 @@ not with their pairs.
 Large sets are heavy: for them inverted lists are scanned. Members are put in one order for all sets, the frequent ones last, and of a
 set only so many first members are listed that any set alike must be listed with it once. Some sets of a list lead it: they
 are compared, whole, with all others of the list that they are not yet connected to, and leave it. The first to lead are those outside the list's
-largest component; there are four times as many leaders in each round, until every list is of one component or has no pair
-left. So groups of near copies cost a few comparisons for each set, no pair is missed, and no list is held in one task.
+largest component; there are sixteen times as many leaders in each round, until every list is of one component or has no pair
+left. Links of a round join the components of the round before, so only these are searched for components again. So groups of near copies cost a few comparisons for each set, no pair is missed, and no list is held in one task.
 
 A set is small up to a boundary, at which the subsets to be made and the list entries to be scanned are the fewest in all.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import cut, pieces
-from kinfold.llm.components import stars
+from kinfold.llm.components import moved, stars
 
 SHINGLE, SEED = 4, 42
 #: The least similarity as a fraction, compared in whole numbers.
@@ -41,8 +41,8 @@ MOST_SMALL = 20
 FEW, FEW_MEMBERS = 1 << 17, 1 << 21
 #: Members kept of a set beyond those that are listed, to stand in for frequent ones: a share of the listed, and a number.
 SPARE_SHARE, SPARE = 4, 8
-#: Leaders of a list in the first round.
-LEADERS = 4
+#: Leaders of a list in the first round, and how many times as many there are in each next one.
+LEADERS, MORE_LEADERS = 4, 16
 #: Words whose hashes a task remembers, and words hashed at a time.
 REMEMBERED, WORDS_AT_ONCE = 1 << 19, 1 << 18
 
@@ -175,7 +175,7 @@ def boundary_of(entries: DataFrame, sizes: DataFrame) -> int:
 
 
 def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of the ``pairs`` (node, leader) whose whole ``sets`` (node, members) are alike.
+    """The ``pairs`` (node, leader, root, leader_root) whose whole ``sets`` (node, members) are alike, as links (a, b) of their roots.
 
     The sets of the leaders are broadcast if they have few members in all, so that a pair is not shuffled with a set.
     """
@@ -185,7 +185,7 @@ def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own, other = sets.withColumnRenamed("members", "own"), leading.select(F.col("node").alias("leader"), F.col("members").alias("other"))
     both = pairs.join(own, "node").join(F.broadcast(other) if few else other, "leader")
     both = both.withColumn("shared", F.size(F.array_intersect("own", "other")).cast("long"))
-    return both.where(base * F.col("shared") >= top * (F.size("own") + F.size("other") - F.col("shared"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return both.where(base * F.col("shared") >= top * (F.size("own") + F.size("other") - F.col("shared"))).select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
 
 
 def _if_few(small: DataFrame) -> DataFrame:
@@ -247,18 +247,17 @@ def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) ->
     return kept, sets if rest.isEmpty() else sets.unionByName(whole_sets(rest, nodes, texts))
 
 
-def large_links(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """Links (a, b) that, with the ``known`` ones, connect all sets alike of which one at least is large."""
+def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFrame, leaders: int = LEADERS) -> DataFrame:
+    """(node, root) of all nodes that the links (a, b) ``known`` and those of all sets alike of which one at least is large give a smaller root."""
     top, base = ALIKE
-    rooted, links, listed = cut(stars(known)), known, None
+    rooted, listed = cut(stars(known, FEW)), None
+    state = cut(entries.join(rooted, "node", "left").select("member", "node", "size", F.coalesce("root", "node").alias("root")))
     while True:
-        state = entries.join(rooted, "node", "left").select("member", "node", "size", F.coalesce("root", "node").alias("root"))
-        state = cut(state)
         parts = state.groupBy("member", "root").agg(F.count("*").alias("n"))
         heads = cut(parts.groupBy("member").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
                     .select("member", F.col("top.root").alias("top")))
         if heads.isEmpty():
-            return links
+            return rooted
         open_ = cut(state.join(heads, "member"))
         rank = F.row_number().over(W.partitionBy("member").orderBy(F.col("root") == F.col("top"), F.xxhash64("node"), "node"))
         ranked = open_.select("member", "node", "size", "root", "top", rank.alias("nth")).where(F.col("nth") <= leaders)
@@ -266,23 +265,26 @@ def large_links(entries: DataFrame, sets: DataFrame, boundary: int, known: DataF
         fits = (
             (F.col("root") != F.col("leader_root")) & (base * F.least("size", "leader_size") >= top * F.greatest("size", "leader_size"))
             & (F.greatest("size", "leader_size") > boundary))
+        pair = ["node", "leader", "root", "leader_root"]
         if listed is None:  # most lists are short and end with this round
             listed = cut(entries.groupBy("node").agg(F.collect_list("member").alias("listed")))
-            pairs = open_.join(leading, "member").where(fits).select("node", "leader").distinct()
+            pairs = open_.join(leading, "member").where(fits).select(*pair).distinct()
         else:
             # two sets that meet in many lists are compared for the first of them alone: all of these are read until they are decided
             theirs = cut(listed.join(open_.select("node").distinct(), "node", "left_semi"))
             led = cut(leading.join(theirs.select(F.col("node").alias("leader"), F.col("listed").alias("leader_listed")), "leader"))
             first = F.array_min(F.array_intersect("listed", "leader_listed")) == F.col("first_of")
             members = cut(open_.join(theirs, "node").withColumn("first_of", F.col("member")))
-            pairs = members.join(led, "member").where(fits & first).select("node", "leader")
+            pairs = members.join(led, "member").where(fits & first).select(*pair)
         found = cut(_links_of(cut(pairs), sets))
-        links = cut(links.unionByName(found))
+        state = open_.select("member", "node", "size", "root").join(
+            leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti")
         if not found.isEmpty():
-            rooted = cut(stars(links))
-        entries = cut(open_.select("member", "node", "size").join(
-            leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti"))
-        leaders *= 4
+            roots = cut(stars(found, FEW))
+            state = moved(state, roots, FEW)
+            rooted = cut(moved(rooted, roots, FEW).select("node", "root").unionByName(roots))
+        state = cut(state)
+        leaders *= MORE_LEADERS
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -305,8 +307,8 @@ def joined(docs: DataFrame) -> DataFrame:
     links = cut(small_links(nodes.where(F.col("size") <= boundary).select("node", "firsts"), boundary))
     top, base = ALIKE
     entries, sets = lists(nodes, texts, counted.select("member"), -(-top * (boundary + 1) // base))  # smaller ones are no partner of a large set
-    links = large_links(entries, sets, boundary, links)
-    rooted = nodes.select("node", "copy", F.col("first.doc_id").alias("first_id")).join(stars(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = connected(entries, sets, boundary, links)
+    rooted = nodes.select("node", "copy", F.col("first.doc_id").alias("first_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     found = cut(rooted.join(lowest, "root").select("copy", "component_id"))
     return rows.join(found, "copy", "left").select(
