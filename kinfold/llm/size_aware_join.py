@@ -8,7 +8,8 @@ same subset is alike by that alone. A subset's smallest set of each size stands
 not with their pairs.
 
 Large sets are heavy: for them inverted lists are scanned. Members are put in one order for all sets, the frequent ones last, and of a
-set only so many first members are listed that any set alike must be listed with it once. Some sets of a list lead it: they
+set only so many first members are listed that any set alike must be listed with it once. Before the first member that two sets share
+they share none, so its places in both bound what they share, and most pairs that meet by a shared passage are left out. Some sets of a list lead it: they
 are compared, whole, with all others of the list that they are not yet connected to, and leave it. The first to lead are those outside the list's
 largest component; there are sixteen times as many leaders in each round, until every list is of one component or has no pair
 left. Links of a round join the components of the round before, so only these are searched for components again. So groups of near copies cost a few comparisons for each set, no pair is missed, and no list is held in one task.
@@ -220,7 +221,7 @@ def _with_frequent(sets: DataFrame, members: str, frequent: DataFrame) -> DataFr
 
 
 def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Entries (member, node, size) of the lists that hold several sets, and the whole sets (node, members) in them.
+    """Entries (member, node, size, place) of the lists that hold several sets, and the whole sets (node, members) in them.
 
     ``counted`` has the members that are among the first ones of several sets. These are the frequent ones, and listed last by every
     set; any choice gives right lists if it holds for all sets, and this one keeps shared passages out of them. Most sets have enough
@@ -236,11 +237,11 @@ def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) ->
     sets = whole_sets(short, nodes, texts)
     whole = _with_frequent(sets, "members", counted)
     size = F.size("members").cast("long")
-    anew = cut(whole.select("node", size.alias("size"), F.explode(_listed(F.col("members"), F.col("frequent"), size)).alias("member")))
+    anew = cut(whole.select("node", size.alias("size"), F.posexplode(_listed(F.col("members"), F.col("frequent"), size)).alias("place", "member")))
     # a set with enough members of its own shares a listed one only with sets listed anew, and none that is frequent
     met = _if_few(anew.select("member").distinct().join(counted, "member", "left_anti"))
-    own = told.where("not short").select("node", "size", F.explode("listed").alias("member")).join(met, "member", "left_semi")
-    entries = cut(own.select("member", "node", "size").unionByName(anew.select("member", "node", "size")))
+    own = told.where("not short").select("node", "size", F.posexplode("listed").alias("place", "member")).join(met, "member", "left_semi")
+    entries = cut(own.select("member", "node", "size", "place").unionByName(anew.select("member", "node", "size", "place")))
     several = entries.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
     kept = cut(entries.join(cut(several), "member", "left_semi"))
     rest = kept.select("node").distinct().join(short, "node", "left_anti")
@@ -251,7 +252,7 @@ def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFra
     """(node, root) of all nodes that the links (a, b) ``known`` and those of all sets alike of which one at least is large give a smaller root."""
     top, base = ALIKE
     rooted, listed = cut(stars(known, FEW)), None
-    state = cut(entries.join(rooted, "node", "left").select("member", "node", "size", F.coalesce("root", "node").alias("root")))
+    state = cut(entries.join(rooted, "node", "left").select("member", "node", "size", "place", F.coalesce("root", "node").alias("root")))
     while True:
         parts = state.groupBy("member", "root").agg(F.count("*").alias("n"))
         heads = cut(parts.groupBy("member").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -260,28 +261,31 @@ def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFra
             return rooted
         open_ = cut(state.join(heads, "member"))
         rank = F.row_number().over(W.partitionBy("member").orderBy(F.col("root") == F.col("top"), F.xxhash64("node"), "node"))
-        ranked = open_.select("member", "node", "size", "root", "top", rank.alias("nth")).where(F.col("nth") <= leaders)
-        leading = cut(ranked.select("member", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("root").alias("leader_root")))
+        ranked = open_.select("member", "node", "size", "place", "root", "top", rank.alias("nth")).where(F.col("nth") <= leaders)
+        leading = cut(ranked.select("member", *(F.col(c).alias(f"leader_{c}") for c in ("size", "place", "root")), F.col("node").alias("leader")))
+        # alike sets pass in the list of the first member that they share: both share nothing before it
+        left = F.least(F.col("size") - F.col("place"), F.col("leader_size") - F.col("leader_place"))
         fits = (
             (F.col("root") != F.col("leader_root")) & (base * F.least("size", "leader_size") >= top * F.greatest("size", "leader_size"))
-            & (F.greatest("size", "leader_size") > boundary))
+            & (F.greatest("size", "leader_size") > boundary) & ((top + base) * left >= top * (F.col("size") + F.col("leader_size"))))
         pair = ["node", "leader", "root", "leader_root"]
         if listed is None:  # most lists are short and end with this round
-            listed = cut(entries.groupBy("node").agg(F.collect_list("member").alias("listed")))
+            in_order = F.array_sort(F.collect_list(F.struct("place", "member")))
+            listed = cut(entries.groupBy("node").agg(in_order["member"].alias("listed")))
             pairs = open_.join(leading, "member").where(fits).select(*pair).distinct()
         else:
             # two sets that meet in many lists are compared for the first of them alone: all of these are read until they are decided
             theirs = cut(listed.join(open_.select("node").distinct(), "node", "left_semi"))
             led = cut(leading.join(theirs.select(F.col("node").alias("leader"), F.col("listed").alias("leader_listed")), "leader"))
-            first = F.array_min(F.array_intersect("listed", "leader_listed")) == F.col("first_of")
+            first = F.try_element_at(F.array_intersect("listed", "leader_listed"), F.lit(1)) == F.col("first_of")
             members = cut(open_.join(theirs, "node").withColumn("first_of", F.col("member")))
             pairs = members.join(led, "member").where(fits & first).select(*pair)
         found = cut(_links_of(cut(pairs), sets))
-        state = open_.select("member", "node", "size", "root").join(
+        state = open_.select("member", "node", "size", "place", "root").join(
             leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti")
         if not found.isEmpty():
             roots = cut(stars(found, FEW))
-            state = moved(state, roots, FEW)
+            state = moved(state, roots, FEW).select("member", "node", "size", "place", "root")
             rooted = cut(moved(rooted, roots, FEW).select("node", "root").unionByName(roots))
         state = cut(state)
         leaders *= MORE_LEADERS
