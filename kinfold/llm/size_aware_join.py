@@ -9,7 +9,8 @@ not with their pairs.
 
 Large sets are heavy: for them inverted lists are scanned. Members are put in one order for all sets, the frequent ones last, and of a
 set only so many first members are listed that any set alike must be listed with it once. Before the first member that two sets share
-they share none, so its places in both bound what they share, and most pairs that meet by a shared passage are left out. Some sets of a list lead it: they
+they share none, so its places in both bound what they share, and most pairs that meet by a shared passage are left out. Each set has 256 bits, of which every member turns one over: sets
+differ in as many members at least as in bits, so most pairs that are not alike are left out without their sets. Some sets of a list lead it: they
 are compared, whole, with all others of the list that they are not yet connected to, and leave it. The first to lead are those outside the list's
 largest component; there are sixteen times as many leaders in each round, until every list is of one component or has no pair
 left. Links of a round join the components of the round before, so only these are searched for components again. So groups of near copies cost a few comparisons for each set, no pair is missed, and no list is held in one task.
@@ -44,6 +45,8 @@ FEW, FEW_MEMBERS = 1 << 17, 1 << 21
 SPARE_SHARE, SPARE = 4, 8
 #: Leaders of a list in the first round, and how many times as many there are in each next one.
 LEADERS, MORE_LEADERS = 4, 16
+#: 64-bit numbers that hold the parity bits of a set.
+PARITIES = 4
 #: Words whose hashes a task remembers, and words hashed at a time.
 REMEMBERED, WORDS_AT_ONCE = 1 << 19, 1 << 18
 
@@ -115,12 +118,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "row_hash", "n_shingles", "copy", "firsts"])
 
 
+def _parities(members: np.ndarray) -> list[int]:
+    odd = np.bincount(members & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the texts that have the set of their node."""
+    """Whole sets and parity bits of the texts that have the set of their node."""
     for batch in pieces(batches, "text"):
         found = [_SETS.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         own = [xxhash.xxh3_128_digest(s.tobytes()) == copy for s, copy in zip(found, batch.column("copy").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"]).filter(pa.array(own, pa.bool_()))
+        bits = [_parities(s) for s in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+            names=["node", "members", "bits"]).filter(pa.array(own, pa.bool_()))
 
 
 def subset_keys(n: int) -> int:
@@ -183,7 +194,7 @@ def _links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     top, base = ALIKE
     leading = cut(sets.join(pairs.select(F.col("leader").alias("node")).distinct(), "node", "left_semi"))
     few = (leading.agg(F.sum(F.size("members"))).first()[0] or 0) <= FEW_MEMBERS
-    own, other = sets.withColumnRenamed("members", "own"), leading.select(F.col("node").alias("leader"), F.col("members").alias("other"))
+    own, other = sets.select("node", F.col("members").alias("own")), leading.select(F.col("node").alias("leader"), F.col("members").alias("other"))
     both = pairs.join(own, "node").join(F.broadcast(other) if few else other, "leader")
     both = both.withColumn("shared", F.size(F.array_intersect("own", "other")).cast("long"))
     return both.where(base * F.col("shared") >= top * (F.size("own") + F.size("other") - F.col("shared"))).select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
@@ -196,10 +207,10 @@ def _if_few(small: DataFrame) -> DataFrame:
 
 
 def whole_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, members) of the ``wanted`` nodes, from the text of the row that stands for each."""
+    """(node, members, bits) of the ``wanted`` nodes, from the text of the row that stands for each."""
     own = nodes.join(wanted, "node", "left_semi").select("node", "copy", F.col("first.doc_id").alias("id"), F.col("first.row_hash").alias("hash"))
     found = texts.join(_if_few(own), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["row_hash"] == F.col("hash"))).select("node", "copy", "text")
-    return cut(found.mapInArrow(_whole, "node long, members array<long>").dropDuplicates(["node"]))
+    return cut(found.mapInArrow(_whole, "node long, members array<long>, bits array<long>").dropDuplicates(["node"]))
 
 
 def _count(size: Column | str) -> Column:
@@ -221,7 +232,7 @@ def _with_frequent(sets: DataFrame, members: str, frequent: DataFrame) -> DataFr
 
 
 def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Entries (member, node, size, place) of the lists that hold several sets, and the whole sets (node, members) in them.
+    """Entries (member, node, size, place) of the lists that hold several sets, and the whole sets (node, members, bits) in them.
 
     ``counted`` has the members that are among the first ones of several sets. These are the frequent ones, and listed last by every
     set; any choice gives right lists if it holds for all sets, and this one keeps shared passages out of them. Most sets have enough
@@ -235,7 +246,7 @@ def lists(nodes: DataFrame, texts: DataFrame, counted: DataFrame, least: int) ->
         .select("node", "size", F.when(~F.col("short"), F.col("listed")).alias("listed"), "short"))
     short = cut(told.where("short").select("node"))
     sets = whole_sets(short, nodes, texts)
-    whole = _with_frequent(sets, "members", counted)
+    whole = _with_frequent(sets.drop("bits"), "members", counted)
     size = F.size("members").cast("long")
     anew = cut(whole.select("node", size.alias("size"), F.posexplode(_listed(F.col("members"), F.col("frequent"), size)).alias("place", "member")))
     # a set with enough members of its own shares a listed one only with sets listed anew, and none that is frequent
@@ -252,7 +263,8 @@ def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFra
     """(node, root) of all nodes that the links (a, b) ``known`` and those of all sets alike of which one at least is large give a smaller root."""
     top, base = ALIKE
     rooted, listed = cut(stars(known, FEW)), None
-    state = cut(entries.join(rooted, "node", "left").select("member", "node", "size", "place", F.coalesce("root", "node").alias("root")))
+    columns = ["member", "node", "size", "place", "bits", "root"]
+    state = cut(entries.join(sets.select("node", "bits"), "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*columns))
     while True:
         parts = state.groupBy("member", "root").agg(F.count("*").alias("n"))
         heads = cut(parts.groupBy("member").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -261,13 +273,16 @@ def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFra
             return rooted
         open_ = cut(state.join(heads, "member"))
         rank = F.row_number().over(W.partitionBy("member").orderBy(F.col("root") == F.col("top"), F.xxhash64("node"), "node"))
-        ranked = open_.select("member", "node", "size", "place", "root", "top", rank.alias("nth")).where(F.col("nth") <= leaders)
-        leading = cut(ranked.select("member", *(F.col(c).alias(f"leader_{c}") for c in ("size", "place", "root")), F.col("node").alias("leader")))
+        ranked = open_.select(*columns, "top", rank.alias("nth")).where(F.col("nth") <= leaders)
+        leading = cut(ranked.select("member", *(F.col(c).alias(f"leader_{c}") for c in ("size", "place", "bits", "root")), F.col("node").alias("leader")))
         # alike sets pass in the list of the first member that they share: both share nothing before it
         left = F.least(F.col("size") - F.col("place"), F.col("leader_size") - F.col("leader_place"))
+        both = F.col("size") + F.col("leader_size")
+        apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("leader_bits")[i])) for i in range(PARITIES))
         fits = (
             (F.col("root") != F.col("leader_root")) & (base * F.least("size", "leader_size") >= top * F.greatest("size", "leader_size"))
-            & (F.greatest("size", "leader_size") > boundary) & ((top + base) * left >= top * (F.col("size") + F.col("leader_size"))))
+            & (F.greatest("size", "leader_size") > boundary) & ((top + base) * left >= top * both)
+            & ((top + base) * (both - apart) >= 2 * top * both))
         pair = ["node", "leader", "root", "leader_root"]
         if listed is None:  # most lists are short and end with this round
             in_order = F.array_sort(F.collect_list(F.struct("place", "member")))
@@ -281,11 +296,11 @@ def connected(entries: DataFrame, sets: DataFrame, boundary: int, known: DataFra
             members = cut(open_.join(theirs, "node").withColumn("first_of", F.col("member")))
             pairs = members.join(led, "member").where(fits & first).select(*pair)
         found = cut(_links_of(cut(pairs), sets))
-        state = open_.select("member", "node", "size", "place", "root").join(
+        state = open_.select(*columns).join(
             leading.select("member", F.col("leader").alias("node")), ["member", "node"], "left_anti")
         if not found.isEmpty():
             roots = cut(stars(found, FEW))
-            state = moved(state, roots, FEW).select("member", "node", "size", "place", "root")
+            state = moved(state, roots, FEW).select(*columns)
             rooted = cut(moved(rooted, roots, FEW).select("node", "root").unionByName(roots))
         state = cut(state)
         leaders *= MORE_LEADERS
