@@ -15,20 +15,22 @@ def stars(edges: DataFrame, few: int = 0) -> DataFrame:
     are linked to the smallest of the neighbourhood. Both are a minimum per node, combined before the shuffle, and a join
     that can split a node with very many neighbours. Each round is written; the rounds end when one changes nothing, after
     a number that grows with the logarithm of the nodes. While there are at most ``few`` links, which are counted in every
-    round, the minima are broadcast.
+    round, one task takes them, without a shuffle.
     """
     links = cut(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
     state = _state(links)
     while state[0]:
-        beside = F.broadcast if state[0] <= few else lambda minima: minima
-        both = links.unionAll(links.select(F.col("root").alias("node"), F.col("node").alias("root")))
+        is_few = state[0] <= few
+        beside = F.broadcast if is_few else lambda minima: minima
+        sides = F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), F.col("node").alias("root")))
+        both = (links.coalesce(1) if is_few else links).select(F.inline(sides))
         lowest = both.groupBy("node").agg(F.min("root").alias("low"))
         large = (
             both.join(beside(lowest), "node").where(F.col("root") > F.col("node"))
             .select(F.col("root").alias("node"), F.least("low", "node").alias("root")))
-        if state[0] > few:
+        if not is_few:
             large = large.distinct()
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(beside(low), "node").select(F.explode(F.array("node", "root")).alias("node"), F.col("low").alias("root"))
