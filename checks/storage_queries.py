@@ -46,12 +46,37 @@ def k04_study_metadata(spark, sf):
     return store.read_metadata(spark, f"{derive.stored_path(spark, sf)}/meta")
 
 
-@register("k05_compacted_summary", "SELECT count(*) AS alleles, sum(family_variants_count)::BIGINT AS family_variants FROM summary")
+@register("k05_compacted_summary", "SELECT s::BIGINT AS s, ai::BIGINT AS ai, family_variants_count::BIGINT AS family_variants FROM summary")
 def k05_compacted_summary(spark, sf):
     source, target = f"{derive.stored_path(spark, sf)}/summary", scratch_dir(spark)
     store.compact(spark, source, target, derive.PARTITIONING.summary_columns)
-    return spark.read.parquet(target).agg(
-        F.count("*").alias("alleles"), F.sum("family_variants_count").alias("family_variants"))
+    return spark.read.parquet(target).select(
+        F.col("summary_index").alias("s"), F.col("allele_index").alias("ai"), F.col("family_variants_count").alias("family_variants"))
+
+
+def copied_study(spark, sf):
+    """Path of a copy of the stored study, to be changed."""
+    path, study = scratch_dir(spark), derive.stored(spark, sf)
+    dropped = study.partitioning.family_columns
+    store.write_study(replace(study, summary=study.summary.drop(*dropped), family=study.family.drop(*dropped)), path)
+    return path
+
+
+@register("j15_withdrawn_from_stored_study", """, gone AS (SELECT family_id FROM ped WHERE segment = 'AUTOMOBILE' AND role = 16)
+SELECT family_id, s::BIGINT AS s, ai::BIGINT AS ai, 'allele' AS stored FROM fa WHERE family_id NOT IN (SELECT family_id FROM gone)
+UNION ALL SELECT family_id, count(*), NULL, 'persons' FROM ped WHERE family_id NOT IN (SELECT family_id FROM gone) GROUP BY 1""")
+def j15_withdrawn_from_stored_study(spark, sf):
+    """Alleles and numbers of persons of the families that stay, after two withdrawals from a stored study."""
+    path = copied_study(spark, sf)
+    gone = derive.ped(spark, sf).filter("segment = 'AUTOMOBILE' AND role = 16").select("family_id")
+    odd = F.xxhash64("family_id") % 2 == 0
+    store.withdraw_families(spark, path, gone.filter(odd))
+    store.withdraw_families(spark, path, gone.filter(~odd))
+    left = store.read_study(spark, path)
+    found = left.family.select(
+        "family_id", F.col("summary_index").cast("long").alias("s"), F.col("allele_index").cast("long").alias("ai"), F.lit("allele").alias("stored"))
+    return found.unionByName(left.pedigree.groupBy("family_id").agg(
+        F.count("*").alias("s"), F.lit(None).cast("long").alias("ai"), F.lit("persons").alias("stored")))
 
 
 @register("s12_region_reader", "SELECT family_id, s::BIGINT AS s, ai::BIGINT AS ai FROM fa WHERE s IN (SELECT s FROM summary WHERE chromosome = 'chr2' AND end_position >= 40000 AND position <= 95000)")

@@ -1,17 +1,18 @@
-"""Stored studies: partitioned Parquet, metadata, compaction, verification."""
+"""Stored studies: partitioned Parquet, metadata, withdrawal, compaction, verification."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import bins
-from kinfold.operators import filters
+from kinfold.operators import filters, pedigree
 from kinfold.plans.study import Study
-from kinfold.sources import pedigree_files
+from kinfold.sources import pedigree_files, snapshots
 
 ROWS_PER_FILE = 5_000_000
 
@@ -88,6 +89,7 @@ def write_study(study: Study, path: str, metadata: dict[str, str] | None = None)
         genes.filter("gene IS NOT NULL").distinct().write.mode("errorifexists").parquet(f"{path}/gene_bins")
     spark.createDataFrame([(json.dumps(asdict(part)),)], "partitioning string").write.mode("errorifexists").parquet(f"{path}/partitioning")
     write_metadata(spark, f"{path}/meta", metadata or {})
+    snapshots.commit(spark, path, snapshots.FIRST, 0)
 
 
 def write_metadata(spark: SparkSession, path: str, values: dict[str, str]) -> None:
@@ -101,20 +103,79 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("key").agg(F.max_by("value", "written").alias("value"))
 
 
-def read_study(spark: SparkSession, path: str) -> Study:
-    """A stored study with the partitioning it was written by; partition columns come back from the directory names."""
+def _partitioning(spark: SparkSession, path: str) -> bins.Partitioning:
     text = spark.read.parquet(f"{path}/partitioning").first()["partitioning"]
-    part = bins.Partitioning(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+    return bins.Partitioning(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+
+
+def read_study(spark: SparkSession, path: str, number: int | None = None) -> Study:
+    """A stored study with the partitioning it was written by, in its latest state or an earlier one; partition columns come back from the directory names."""
+    part = _partitioning(spark, path)
+    _, state = snapshots.state_of(spark, path, number)
     gene_bins = spark.read.parquet(f"{path}/gene_bins") if "region_bin" in part.summary_columns else None
     return Study(
-        pedigree_files.loaded(spark.read.parquet(f"{path}/pedigree")),
-        _text_bins(spark.read.parquet(f"{path}/summary")), _text_bins(spark.read.parquet(f"{path}/family")), part, gene_bins, by_key=True)
+        pedigree_files.loaded(spark.read.parquet(f"{path}/{state['pedigree']}")),
+        snapshots.rows_of(spark, path, state["summary"]), snapshots.rows_of(spark, path, state["family"]), part, gene_bins, by_key=True)
+
 
+def withdraw_families(spark: SparkSession, path: str, family_ids: DataFrame) -> int:
+    """Families deleted from the pedigree and the family alleles of a stored study; returns the number of its new state.
 
-def _text_bins(rows: DataFrame) -> DataFrame:
-    """Directory names that read as numbers are still names."""
-    numbers = dict(rows.dtypes).get("region_bin") not in (None, "string")
-    return rows.withColumn("region_bin", F.col("region_bin").cast("string")) if numbers else rows
+    Only the family bins that hold one of the families (at most as many values as there are bins) are written anew, without a family
+    bin all family alleles; other files stay as they are. Summary alleles and their counters stay. A study that has none of the
+    families keeps its state.
+    """
+    part = _partitioning(spark, path)
+    number, state = snapshots.state_of(spark, path)
+    people = spark.read.parquet(f"{path}/{state['pedigree']}")
+    gone = people.join(family_ids.select("family_id"), "family_id", "left_semi").select("family_id").distinct()
+    if gone.isEmpty():
+        return number
+    column, values = None, []
+    if part.family_bins > 0:
+        column = "family_bin"
+        values = [str(r[0]) for r in gone.select(bins.family_bin(F.col("family_id"), part.family_bins)).distinct().collect()]
+    family = snapshots.replaced(
+        spark, path, state["family"], column, values, lambda rows: pedigree.without_families(rows, gone),
+        lambda rows, target: _write(rows, target, part.family_columns), "family")
+    renewed = f"pedigree-{number + 1}"
+    pedigree.without_families(people, gone).write.mode("overwrite").parquet(f"{path}/{renewed}")
+    snapshots.commit(spark, path, state | {"pedigree": renewed, "family": family}, number + 1)
+    return number + 1
+
+
+def compact_study(spark: SparkSession, path: str, table: str, small_bytes: int = 32 << 20) -> int:
+    """Region bins in which a directory holds several files under ``small_bytes`` written anew; returns the number of the latest state.
+
+    ``table`` is summary or family. Directories are chosen by the sizes of their files; other region bins are left alone, and so are
+    the files of the earlier state. Without region bins, one such directory has the whole table written anew.
+    """
+    part = _partitioning(spark, path)
+    columns = part.summary_columns if table == "summary" else part.family_columns
+    number, state = snapshots.state_of(spark, path)
+    small = table_files(spark, path, table).filter(F.col("bytes") < small_bytes).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+    column, values = None, []
+    if "region_bin" in columns:
+        column, values = "region_bin", [r[0] or "" for r in small.select("region_bin").distinct().collect()]
+    elif small.isEmpty():
+        return number
+    parts = snapshots.replaced(
+        spark, path, state[table], column, values, lambda rows: rows, lambda rows, target: _write(rows, target, columns), table)
+    if parts != state[table]:
+        number += 1
+        snapshots.commit(spark, path, state | {table: parts}, number)
+    return number
+
+
+def table_files(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """(partition columns, file, bytes) of the files that count for ``table`` in the latest state."""
+    part = _partitioning(spark, path)
+    columns = part.summary_columns if table == "summary" else part.family_columns
+    _, state = snapshots.state_of(spark, path)
+    listed = [
+        snapshots.rows_of(spark, path, [p]).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        for p in state[table]]
+    return reduce(DataFrame.unionByName, listed).distinct()
 
 
 def read_region(study: Study, region: filters.Region) -> Study:

@@ -1,6 +1,7 @@
 """Stored studies: pruned queries must equal unpruned ones."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from small_pedigrees import ped_rows
@@ -191,3 +192,83 @@ def test_a_filter_on_summary_alleles_reaches_the_scan_of_family_alleles(stored):
         assert rows.join(kept, "sj_index", "left_anti").isEmpty()
         assert most < 64 or kept.select("summary_index").distinct().count() == 3
     assert study.summary.filter(key_ranges(rows.limit(0))).isEmpty()
+
+
+COARSE = Partitioning(region_length=500, chromosomes=("chr1", "chr2"), family_bins=4, chromosome_lengths={"chr1": 1000, "chr2": 1000, "chr9": 1000})
+
+
+@pytest.fixture
+def copied(spark, stored):
+    """A copy of the stored study, with fewer directories, that may be changed."""
+    path, dropped = scratch_dir(spark), PART.family_columns
+    study = stored[1]
+    store.write_study(replace(
+        study, summary=study.summary.drop(*dropped), family=study.family.drop(*dropped).filter("summary_index < 20"), partitioning=COARSE), path)
+    return path
+
+
+def family_rows(study):
+    return sorted(tuple(r) for r in study.family.select("family_id", "summary_index", "allele_index", "family_bin", "region_bin").collect())
+
+
+def test_withdrawal_rewrites_only_bins_of_withdrawn_families(spark, copied):
+    before, files = family_rows(store.read_study(spark, copied)), {tuple(r) for r in store.table_files(spark, copied, "family").collect()}
+    gone = spark.createDataFrame([("f1",), ("f2",), ("f1",), ("unknown",)], "family_id string")
+    assert store.withdraw_families(spark, copied, gone) == 1
+    after = store.read_study(spark, copied)
+    assert family_rows(after) == [r for r in before if r[0] not in ("f1", "f2")]
+    assert {r[0] for r in after.pedigree.select("family_id").collect()} == {f"f{i}" for i in range(FAMILIES)} - {"f1", "f2"}
+    touched = {r[3] for r in before if r[0] in ("f1", "f2")}
+    kept = {tuple(r) for r in store.table_files(spark, copied, "family").collect()}
+    place = COARSE.family_columns.index("family_bin")
+    assert {f for f in files if f[place] not in touched} <= kept
+    assert not {f for f in files if f[place] in touched} & kept
+    assert family_rows(store.read_study(spark, copied, 0)) == before
+    assert store.withdraw_families(spark, copied, gone) == 1  # nothing left to withdraw
+
+
+def test_withdrawal_of_all_families_in_turn(spark, copied):
+    held = {r[0] for r in family_rows(store.read_study(spark, copied))}
+    for family in ("f0", "f7"):
+        store.withdraw_families(spark, copied, spark.createDataFrame([(family,)], "family_id string"))
+    assert {r[0] for r in family_rows(store.read_study(spark, copied))} == held - {"f0", "f7"}
+    everyone = store.read_study(spark, copied).pedigree.select("family_id")
+    store.withdraw_families(spark, copied, everyone)
+    left = store.read_study(spark, copied)
+    assert family_rows(left) == [] and left.pedigree.count() == 0
+
+
+def test_broken_off_withdrawal_changes_nothing(spark, copied, monkeypatch):
+    before = family_rows(store.read_study(spark, copied))
+    gone = spark.createDataFrame([("f1",)], "family_id string")
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store.snapshots, "commit", fail)
+        with pytest.raises(RuntimeError):
+            store.withdraw_families(spark, copied, gone)
+    assert family_rows(store.read_study(spark, copied)) == before
+    store.withdraw_families(spark, copied, gone)
+    assert family_rows(store.read_study(spark, copied)) == [r for r in before if r[0] != "f1"]
+
+
+def test_compaction_merges_only_bins_with_several_small_files(spark, stored, copied):
+    whole = store.read_study(spark, copied).summary
+    some = whole.select("region_bin").distinct().orderBy("region_bin").first()[0]
+    # one region bin is written row by row, as many small appends would leave it
+    _, state = store.snapshots.state_of(spark, copied)
+    parts = store.snapshots.replaced(
+        spark, copied, state["summary"], "region_bin", [some], lambda rows: rows,
+        lambda rows, target: rows.write.option("maxRecordsPerFile", 1).partitionBy(*COARSE.summary_columns).parquet(target), "summary")
+    store.snapshots.commit(spark, copied, state | {"summary": parts}, 1)
+    files = {tuple(r) for r in store.table_files(spark, copied, "summary").collect()}
+    assert store.compact_study(spark, copied, "summary") in (1, 2)
+    merged = {tuple(r) for r in store.table_files(spark, copied, "summary").collect()}
+    assert {f for f in files if f[0] != some} == {f for f in merged if f[0] != some}
+    assert len({f[:-2] for f in merged}) == len(merged) <= len(files)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(store.read_study(spark, copied).summary) == rows(whole)
+    number = store.compact_study(spark, copied, "summary")
+    assert store.compact_study(spark, copied, "summary") == number
