@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,8 +139,8 @@ def withdraw_families(spark: SparkSession, path: str, family_ids: DataFrame) ->
     family = snapshots.replaced(
         spark, path, state["family"], column, values, lambda rows: pedigree.without_families(rows, gone),
         lambda rows, target: _write(rows, target, part.family_columns), "family")
-    renewed = f"pedigree-{number + 1}"
-    pedigree.without_families(people, gone).write.mode("overwrite").parquet(f"{path}/{renewed}")
+    renewed = f"pedigree-{uuid4().hex}"
+    pedigree.without_families(people, gone).write.mode("errorifexists").parquet(f"{path}/{renewed}")
     snapshots.commit(spark, path, state | {"pedigree": renewed, "family": family}, number + 1)
     return number + 1
 
