@@ -191,6 +191,8 @@ def columns() -> dict[str, Column]:
     """Named answer columns over ``query_variants`` rows."""
     inheritance = F.col("inheritance_in_members")
     inh = codes.INHERITANCE
+    # fields by name, so that Catalyst shuffles no other field of the members
+    described = F.arrays_zip(*[F.col("genotype")[f].alias(f) for f in ("role", "sex", "status", "a1", "a2")])
     return {
         "family": F.col("family_id"),
         "location": F.col("location"),
@@ -202,9 +204,8 @@ def columns() -> dict[str, Column]:
         "best_st": genotypes.best_state_text(genotypes.best_state(F.col("genotype"), _alternatives()), _alternatives()),
         "family_person_ids": F.array_join("member_ids", ";"),
         "carrier_person_ids": F.array_join("allele_in_members", ";"),
-        "family_person_attributes": person_attributes(F.col("genotype")),
-        "carrier_person_attributes": person_attributes(
-            genotypes.carriers(F.col("genotype"), F.col("allele_index"))),
+        "family_person_attributes": person_attributes(described),
+        "carrier_person_attributes": person_attributes(genotypes.carriers(described, F.col("allele_index"))),
         "inheritance_type": F.when(inheritance.bitwiseAND(inh["denovo"]) != 0, "denovo").when(
             inheritance.bitwiseAND(inh["possible_denovo"] | inh["possible_omission"]) != 0, "-").otherwise("mendelian"),
         "is_denovo": inheritance.bitwiseAND(inh["denovo"]) != 0,

@@ -7,8 +7,11 @@ from glob import glob
 from pyspark.sql import functions as F
 
 from checks import derive, storage_queries
+from kinfold.functions import alleles, genotypes
 from kinfold.functions.bins import Partitioning
 from kinfold.operators import variants
+from kinfold.plans import browser
+from kinfold.plans import study as plan
 from kinfold.plans.study import Study
 from kinfold.session import scratch_dir
 from kinfold.sources import store
@@ -72,3 +75,31 @@ def test_text_of_sample_matrix_is_compressed(spark):
     files = [f for batch in paths for p in batch for f in glob(f"{p}/part-*")]
     assert files and all(f.endswith(".gz") for f in files)
     assert sum(os.path.getsize(f) for f in files) * 5 < sum(len(gzip.open(f).read()) for f in files)
+
+
+def test_calls_meet_their_lines_and_sites_in_one_shuffle(spark):
+    text = derive.calls(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [summary_index" in text
+
+
+def test_only_named_fields_of_the_members_are_shuffled_for_the_browser(spark):
+    found = browser.answer(plan.query_variants(derive.study(spark, SF)), ["family", "genotype", "carrier_person_attributes"])
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_extract_a1" in text.split("Join Inner")[0] and "genotype" not in text.split("Join Inner")[0].replace("AS genotype", "")
+
+
+def test_variant_ids_of_a_table_keep_whole_family_variants(spark):
+    whole = plan.query_variants(derive.study(spark, SF)).withColumn("id", F.concat_ws(":", "location", alleles.short_notation(F.col("variant_desc"))))
+    ids = whole.filter("allele_index = 2 AND summary_index % 3 = 0").select("id").distinct()
+    keys = ["summary_index", "family_id"]
+    expected = whole.join(whole.join(ids, "id", "left_semi").select(*keys).distinct(), keys, "left_semi").select(*keys, "allele_index")
+    got = plan.query_variants(derive.study(spark, SF), summary_variant_ids=ids).select(*keys, "allele_index")
+    assert sorted(got.collect()) == sorted(expected.collect()) and got.filter("allele_index = 1").count() > 0
+
+
+def test_alleles_present(spark):
+    rows = [([0, 2, -1], [1, -2, 2]), ([0, 0], [0, -2]), ([-1], [-1]), ([3], [3])]
+    df = spark.createDataFrame(rows, "a1 array<int>, a2 array<int>").select(F.arrays_zip("a1", "a2").alias("members"))
+    got = [r[0] for r in df.select(genotypes.alleles_present(F.col("members"))).collect()]
+    assert got == [[1, 2], [], [], [3]]
+    assert "lambdafunction" not in df.select(genotypes.alleles_present(F.col("members")))._jdf.queryExecution().optimizedPlan().toString()
