@@ -106,6 +106,14 @@ def _written_out(stripes: dict[str, dict[bytes, tuple[list[int], dict[str, int]]
                 names=["lang", "term", "n_docs", "sources", "counts"])
 
 
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column without nulls; a value that is there often becomes one Python object."""
+    found = column.flatten().dictionary_encode()
+    values = np.array([*found.dictionary.to_pylist(), None], object)[found.indices.to_numpy()].tolist()
+    ends = np.cumsum(column.value_lengths().to_numpy()).tolist()
+    return (values[a:b] for a, b in zip([0, *ends], ends))
+
+
 def _merging(least: int, limits: Limits):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of merged stripes of ``least`` documents or more, each of one language and in the order of its terms."""
@@ -121,7 +129,7 @@ def _merging(least: int, limits: Limits):
 
         def stripes():
             for batch in batches:
-                yield from zip(*(batch.column(n).to_pylist() for n in ("lang", "term", "n_docs", "sources", "counts")))
+                yield from zip(*(batch.column(n).to_pylist() for n in ("lang", "term", "n_docs")), *(_lists(batch.column(n)) for n in ("sources", "counts")))
             yield None, None, 0, [], []
 
         for lang, term, docs, sources, numbers in stripes():
