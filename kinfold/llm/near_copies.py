@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm.common import column, cut, pieces
+from kinfold.llm.components import stars
 
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction, so that it is compared in whole numbers.
@@ -75,22 +76,41 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*[column(c) for c in [*names, text]]).mapInArrow(mark, schema)
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of copies that join all those alike; ``rows`` has doc_id, row_hash, copy and bands of ``docs`` (doc_id, row_hash, text)."""
+def links(docs: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) of copies that join all those alike; ``rows`` has doc_id, row_hash, copy and bands of ``docs`` (doc_id, row_hash, text).
+
+    ``candidates`` (a, b), which an index found, are compared first. Then come the bands whose copies these links do not yet join;
+    of bands with the same copies one is compared.
+    """
     nodes = cut(
         rows.groupBy("copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first"), F.min("bands").alias("bands")))
     spread = nodes.select("copy", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band", "key")
+    held = [F.bit_xor(F.xxhash64("copy", F.lit(i))).alias(f"x{i}") for i in range(2)]  # 128 bits tell which copies a band has
+    shared = (
+        spread.groupBy("band", "key").agg(F.count("*").alias("n"), *held).where(F.col("n") > 1)
+        .groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key")).alias("first")).select("first.*"))
     members = cut(spread.join(shared, ["band", "key"]).select("copy", "band", "key"))
     wanted = (
         nodes.join(members.select("copy").distinct(), "copy", "left_semi")
         .select("copy", F.col("first.doc_id").alias("id"), F.col("first.row_hash").alias("hash")))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["row_hash"] == wanted["hash"])).select("copy", "text")
     sets = cut(texts.mapInArrow(_sets, "copy binary, hashes array<long>").dropDuplicates(["copy"]))
+    own, other = (sets.select(F.col("copy").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
+    known = cut(candidates.join(own, "a").join(other, "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_alike_pairs, "a binary, b binary"))
+    rooted = members.join(stars(known).withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
     ordered = (
-        members.join(sets, "copy").select("band", "key", "copy", "hashes")
+        members.join(apart, ["band", "key"]).join(sets, "copy").select("band", "key", "copy", "hashes")
         .repartition("band", "key").sortWithinPartitions("band", "key"))
-    return ordered.mapInArrow(_link_partition, "a binary, b binary")
+    return known.unionByName(ordered.mapInArrow(_link_partition, "a binary, b binary"))
+
+
+def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sets are alike."""
+    for batch in batches:
+        sides = [batch.column(c) for c in ("a_hashes", "b_hashes")]
+        near = [bool(alike([side[k].values.to_numpy().view(np.uint64) for side in sides])[0]) for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

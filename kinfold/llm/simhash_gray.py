@@ -211,6 +211,18 @@ def components(rows: DataFrame, pairs: DataFrame, node: str = "bits") -> DataFra
     return rooted.join(lowest, "root").select(node, "root", "component_id")
 
 
+def near_links(texts: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) of the near copies in ``rows`` (doc_id, row_hash, bits, copy, bands) of ``texts``: the index over their fingerprints
+    gives candidates, which are compared by their whole sets; bands join what differs in more bits."""
+    prints = cut(rows.select("bits", "copy").distinct())
+    first = cut(prints.groupBy("bits").agg(F.min("copy").alias("first")))
+    found = links(first.select("bits"), crowd)
+    a, b = (first.select(F.col("bits").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
+    equal = prints.join(first, "bits").select(F.col("copy").alias("a"), F.col("first").alias("b"))
+    close = found.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return near_copies.links(texts, rows, equal.unionByName(close).where(F.col("a") != F.col("b")).distinct())
+
+
 def groups(docs: DataFrame, crowd: int = CROWD, near: bool = True) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
@@ -220,7 +232,7 @@ def groups(docs: DataFrame, crowd: int = CROWD, near: bool = True) -> DataFrame:
     if near:
         texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
         rows = cut(near_copies.marked(fingerprinted(texts)))
-        found = components(rows, near_copies.links(texts, rows), "copy")
+        found = components(rows, near_links(texts, rows, crowd), "copy")
         joined = rows.join(found, "copy")
     else:
         rows = cut(fingerprinted(docs.select("doc_id", "text"), keep_text=False))
@@ -237,9 +249,9 @@ def survivors(docs: DataFrame) -> DataFrame:
     names = docs.columns
     whole = F.xxhash64(*[column(c) for c in names])
     texts = docs.select("doc_id", whole.alias("row_hash"), "text")
-    rows = cut(near_copies.marked(texts))
+    rows = cut(near_copies.marked(fingerprinted(texts)))
     first = (
-        rows.join(components(rows, near_copies.links(texts, rows), "copy"), "copy").groupBy("root")
+        rows.join(components(rows, near_links(texts, rows), "copy"), "copy").groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first")).select("first.*"))
     packed = docs.select(F.struct(*[column(c) for c in names]).alias("row"), column("doc_id").alias("id"), whole.alias("hash"))
     return (

@@ -113,3 +113,13 @@ def test_survivors_of_null_and_repeated_ids_are_told_apart_by_their_texts(spark,
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
     kept = simhash_gray.survivors(docs_of(rows)).collect()
     assert sorted(r.text for r in kept) == sorted(texts)
+
+
+def test_survivors_come_through_the_index(spark, docs_of, monkeypatch):
+    draw = random.Random(9)
+    words = [str(draw.random()) for _ in range(400)]
+    rows = [(k, " ".join(words[:200] + [f"w{k}"] + words[200:])) for k in range(6)] + [(9, "a text apart from the others")]
+    asked, search = [], simhash_gray.links
+    monkeypatch.setattr(simhash_gray, "links", lambda prints, crowd: asked.append(prints.count()) or search(prints, crowd))
+    kept = simhash_gray.survivors(docs_of(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 9] and asked and asked[0] >= 2
