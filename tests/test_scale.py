@@ -103,3 +103,41 @@ def test_alleles_present(spark):
     got = [r[0] for r in df.select(genotypes.alleles_present(F.col("members"))).collect()]
     assert got == [[1, 2], [], [], [3]]
     assert "lambdafunction" not in df.select(genotypes.alleles_present(F.col("members")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def big_and_small_families(spark):
+    """Calls of families of two to six members with unknown copies, homozygous parents and a member twice."""
+    member = lambda i, role, sex, mom, dad, a1, a2: (f"p{i}", sex, 1 + i % 2, role, role.bit_length(), sex, 1 + i % 2, mom, dad, role in (16, 32), a1, a2)
+    rows = []
+    for n in range(2, 7):
+        for k in range(60):
+            copy = lambda i: ((k * 7 + i * 3 + n) % 5 - 1 if k % 3 else (k + i) % 3, -2 if (k + i) % 11 == 0 else (k * 5 + i) % 4 - (k % 4 == 1))
+            people = [member(0, 16, 2, 0, 0, *copy(0)), member(1, 32, 1, 0, 0, *copy(1))]
+            people += [member(2 + i % 3, 128 if i == 0 else 256, 1 + i % 2, 1, 2, *copy(2 + i)) for i in range(n - 2)]
+            rows.append((1, k, f"f{n}", people))
+    fields = "person_id:string,sex:int,status:int,role:int,role_bit:int,sex_bit:int,status_bit:int,mom_ix:int,dad_ix:int,founder:boolean,a1:int,a2:int"
+    return spark.createDataFrame(rows, f"bucket_index int, summary_index int, family_id string, members array<struct<{fields}>>")
+
+
+def test_families_worked_out_by_place_give_what_functions_over_the_array_give(spark, monkeypatch):
+    calls, founders = big_and_small_families(spark), spark.sql("SELECT 10L AS founders")
+
+    def results():
+        made = [variants.family_alleles(calls, **modes) for modes in (
+            {}, {"denovo_mode": "denovo", "omission_mode": "ignore"}, {"denovo_source": True}, {"include_reference": True, "include_unknown_persons": False})]
+        made += [variants.allele_frequencies(calls, founders, absent).withColumn("_counts", F.array_sort(F.map_entries("_counts"))) for absent in (False, True)]
+        return [sorted(map(repr, df.collect())) for df in made]
+
+    by_place = results()
+    monkeypatch.setattr(genotypes, "PLACES", 1)
+    assert by_place == results() and all(by_place)
+
+
+def test_counters_and_frequencies_read_only_their_member_fields(spark):
+    path = scratch_dir(spark)
+    big_and_small_families(spark).write.parquet(path)
+    calls = spark.read.parquet(path)
+    read = lambda df: df._jdf.queryExecution().sparkPlan().collectLeaves().apply(0).requiredSchema().catalogString()
+    counters = read(variants.allele_counters(variants.family_alleles(calls)))
+    assert "status:" in counters and not any(f"{f}:" in counters for f in ("person_id", "sex", "role", "role_bit"))
+    assert "members:array<struct<founder:boolean,a1:int,a2:int>>" in read(variants.allele_frequencies(calls, spark.sql("SELECT 10L AS founders")))
