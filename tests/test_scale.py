@@ -141,3 +141,8 @@ def test_counters_and_frequencies_read_only_their_member_fields(spark):
     counters = read(variants.allele_counters(variants.family_alleles(calls)))
     assert "status:" in counters and not any(f"{f}:" in counters for f in ("person_id", "sex", "role", "role_bit"))
     assert "members:array<struct<founder:boolean,a1:int,a2:int>>" in read(variants.allele_frequencies(calls, spark.sql("SELECT 10L AS founders")))
+
+
+def test_filter_by_inheritance_does_not_repeat_the_classes(spark):
+    found = variants.family_alleles(big_and_small_families(spark)).filter("(inheritance_in_members & 4) <> 0 AND allele_index > 0")
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
