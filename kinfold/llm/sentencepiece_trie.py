@@ -31,7 +31,7 @@ SPACE = "▁"
 MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNIGRAM, MERGES = 1, 2
 #: Pairs of pieces of which a task remembers whether merging leaves them apart, and words of which it keeps the pieces.
-REMEMBERED, WORDS_KNOWN = 1 << 20, 1 << 19
+REMEMBERED, WORDS_KNOWN = 1 << 19, 1 << 18
 
 
 def _fields(data: bytes) -> dict[int, list]:

@@ -37,7 +37,7 @@ GRADE_HITS = (2, 6)
 #: Documents of this expected severity and more are rejected.
 REJECT_AT = 0.5
 #: Words of which a task remembers the weight.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 16
 
 
 @dataclass(frozen=True)
