@@ -36,6 +36,8 @@ from kinfold.llm.token_rollup import VERSION, VOCABULARIES, encoding
 BOOK_BYTES, WINDOWS = 1 << 23, 1 << 19
 #: Windows of more tokens than this are aligned each time and not remembered.
 LONG = 256
+#: In a window, ids of the second tokenizer have this bit beside them.
+SECOND = 1 << 30
 #: What a document gets from its own tokens, and from the counts of all.
 OWN = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 COUNTED = "n_best bigint, count_sum bigint"
@@ -57,8 +59,9 @@ class Tokenizers:
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in self.spelled]
         self.spaced = [np.array([x[:1] == b" " for x in side]) for side in self.spelled]
         self.flat = [np.frombuffer(b"".join(side), np.uint8) for side in self.spelled]
-        # ids as text, before another one of the same side and as the last of it
-        self.texts = [[f"{i}{end}".encode() for end in (",", last) for i in range(len(side))] for side, last in zip(self.spelled, "|;")]
+        # ids of both sides as text, before another one of the same side and as the last of it
+        self.texts = [f"{i}{end}".encode() for side, last in zip(self.spelled, "|;") for end in (",", last) for i in range(len(side))]
+        self.text_sizes = np.array([len(x) for x in self.texts], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
         """Bytes of the space and each text, and the ids and the number of tokens of all texts, once for each tokenizer.
@@ -90,19 +93,22 @@ class Windows:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.numbers: dict[bytes, int] = {}
         self.groups: list[bytes] = []
         self.pairs: dict[int, int] = {}
         # pairs of all windows end to end; where a window's begin, how many they are, and its number of groups
         self.flat, self.starts, self.counts, self.n_groups = array("i"), array("q"), array("q"), array("q")
 
-    def align(self, keys: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, keys: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Groups of each window as text, their number, the number of links, and the pairs of the links of all.
 
         The windows are laid end to end. Both sides of a window spell the same bytes, so its last tokens end together, and a link
         begins with each byte at which a token of either side does.
         """
-        sides = [np.frombuffer(b"".join(side), np.int32) for side in zip(*keys)]
+        both = np.frombuffer(b"".join(keys), np.int32)
+        of_first = both < SECOND
+        sides = [both[of_first], both[~of_first] - np.int32(SECOND)]
+        key_ends = np.cumsum([len(k) // 4 for k in keys])
         ends = [np.cumsum(sizes[ids]) for sizes, ids in zip(self.tokenizers.sizes, sides)]
         here = np.zeros((2, int(ends[0][-1]) + 1), bool)
         for flags, at in zip(here, ends):
@@ -112,24 +118,21 @@ class Windows:
         codes, places = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
         pairs = self.pairs
         links = np.array([pairs.setdefault(c, len(pairs)) for c in codes.tolist()], np.int32)[places]
-        window_ends = ends[0][np.cumsum([len(k[0]) // 4 for k in keys]) - 1]
+        window_ends = ends[0][np.cumsum(of_first)[key_ends - 1] - 1]
         n_links, n_groups = (np.diff(np.append(0, np.searchsorted(at, window_ends, side="right"))) for at in (stops, shared))
         # both sides of a group in turn: tokens are sorted by group, side and place
         group = np.concatenate([np.searchsorted(shared, at) * 2 + side for side, at in enumerate(ends)])
         order = np.argsort(group, kind="stable")
         last = np.append(group[order][1:] != group[order][:-1], True)
-        first_side = order < len(sides[0])
-        ids = np.concatenate(sides)[order]
-        table_a, table_b = self.tokenizers.texts
-        half_a, half_b = len(table_a) // 2, len(table_b) // 2
-        spelled = [table_a[i + half_a * e] if s else table_b[i + half_b * e] for i, e, s in zip(ids.tolist(), last.tolist(), first_side.tolist())]
-        per_window = np.cumsum([(len(x) + len(y)) // 4 for x, y in keys])
-        text_ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))[per_window - 1]
-        whole = b"".join(spelled)
+        half_a, half_b = map(len, self.tokenizers.spelled)
+        # where the text of each id is: those of the second side come after both halves of the first
+        place = np.concatenate([sides[0], sides[1] + 2 * half_a])[order] + last * np.where(order < len(sides[0]), half_a, half_b)
+        text_ends = np.cumsum(self.tokenizers.text_sizes[place])[key_ends - 1]
+        whole = b"".join(map(self.tokenizers.texts.__getitem__, place.tolist()))
         groups = [whole[i:j - 1] for i, j in zip([0, *text_ends[:-1].tolist()], text_ends.tolist())]
         return groups, n_groups, n_links, links
 
-    def remember(self, keys: list[tuple[bytes, bytes]]) -> None:
+    def remember(self, keys: list[bytes]) -> None:
         groups, n_groups, n_links, links = self.align(keys)
         first = len(self.numbers)
         self.numbers.update(zip(keys, range(first, first + len(keys))))
@@ -146,24 +149,24 @@ class Windows:
         windows = list(map(numbers.get, keys))
         unseen = [place for place, number in enumerate(windows) if number is None]
         fresh = list(dict.fromkeys([keys[place] for place in unseen]))
-        short = [k for k in fresh if len(k[0]) + len(k[1]) <= 4 * long]
+        short = [k for k in fresh if len(k) <= 4 * long]
         if short:
             self.remember(short)
-        once = {k: self.align([k]) for k in fresh if len(k[0]) + len(k[1]) > 4 * long}  # long windows, not to be remembered
+        once = {k: self.align([k]) for k in fresh if len(k) > 4 * long}  # long windows, not to be remembered
         for place in unseen:
             windows[place] = numbers.get(keys[place])
         flat, starts = np.frombuffer(self.flat, np.int32).copy(), np.frombuffer(self.starts, np.int64).copy()
         n_links, n_groups = np.frombuffer(self.counts, np.int64).copy(), np.frombuffer(self.n_groups, np.int64).copy()
         texts = self.groups
+        place_of = np.array([0 if w is None else w for w in windows] if once else windows, np.int64)
         for begin, end in zip(firsts, firsts[1:]):
-            own = windows[begin:end]
+            own, known = windows[begin:end], place_of[begin:end]
             if once and None in own:
                 apart = {k: once[keys[begin + k]] for k, w in enumerate(own) if w is None}
                 spelled = [apart[k][0][0] if w is None else texts[w] for k, w in enumerate(own)]
-                own = [w for w in own if w is not None]
+                known = known[[w is not None for w in own]]
             else:
-                apart, spelled = {}, [texts[w] for w in own]
-            known = np.array(own, np.int64)
+                apart, spelled = {}, map(texts.__getitem__, own)
             count = n_links[known]
             total = np.cumsum(count)
             at = np.repeat(starts[known] - (total - count), count)
@@ -172,12 +175,12 @@ class Windows:
             met, times = np.unique(every, return_counts=True)
             yield int(n_groups[known].sum()) + sum(int(x[1][0]) for x in apart.values()), len(every), b";".join(spelled), met, times
 
-    def _cut(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+    def _cut(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
         """Windows of all documents, and where each document's begin and the last's end.
 
-        A cut is a byte after which both sides begin a document or a token with a space.
+        A window is the ids of the first side, followed by those of the second with ``SECOND``. A cut is a byte after which both sides begin a document or a token with a space.
         """
-        at, spelled = [], []
+        at = []
         starts = [np.cumsum(sizes[x]) - sizes[x] for sizes, x in zip(self.tokenizers.sizes, ids)]
         size = int(max((s[-1] for s in starts if len(s)), default=0)) + 1
         here = np.zeros((2, size), bool)
@@ -187,12 +190,14 @@ class Windows:
             flags[start[spaced[x] | begins]] = True
         anchors = here[0] & here[1]
         for start, x, spaced, begins in zip(starts, ids, self.tokenizers.spaced, new):
-            first = np.flatnonzero(anchors[start] & (spaced[x] | begins))
-            at.append(np.append(first, len(x)) * 4)
-            spelled.append(x.tobytes())
-        (bytes_a, bytes_b), (cuts_a, cuts_b) = spelled, (c.tolist() for c in at)
-        keys = [(bytes_a[i:j], bytes_b[k:m]) for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-        firsts = np.searchsorted(at[0], np.append(0, np.cumsum(counts[0])) * 4)
+            at.append(np.append(np.flatnonzero(anchors[start] & (spaced[x] | begins)), len(x)))
+        # both sides of a window lie together: a token moves on by those of the other side before it
+        both = np.empty(sum(map(len, ids)), np.int32)
+        both[np.arange(len(ids[0])) + np.repeat(at[1][:-1], np.diff(at[0]))] = ids[0]
+        both[np.arange(len(ids[1])) + np.repeat(at[0][1:], np.diff(at[1]))] = ids[1] + np.int32(SECOND)
+        spelled, cuts = both.tobytes(), ((at[0] + at[1]) * 4).tolist()
+        keys = [spelled[i:j] for i, j in zip(cuts, cuts[1:])]
+        firsts = np.searchsorted(at[0], np.append(0, np.cumsum(counts[0])))
         return keys, firsts.tolist()
 
 

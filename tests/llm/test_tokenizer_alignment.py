@@ -115,3 +115,17 @@ def test_query_digests_the_groups_of_the_given_table(spark):
         g = got[r.doc_id]
         assert (g.n_a, g.n_b, g.n_groups, g.n_links, g.n_best, g.count_sum) == w[:6]
         assert g.groups_sha256 == (hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "")
+
+
+def test_a_window_is_one_run_of_both_sides(spark):
+    tokenizers = ta.load(ta.VERSION, ta.VOCABULARIES, ta.MODEL)
+    _, ids, counts = tokenizers.encode(["one two", None, "one naïvely"])
+    keys, firsts = ta.Windows(tokenizers)._cut(ids, counts)
+    sides = [[], []]
+    for key in keys:
+        window = [int.from_bytes(key[i:i + 4], "little") for i in range(0, len(key), 4)]
+        first = [i for i in window if i < 1 << 30]
+        assert window == first + sorted(window[len(first):], key=lambda i: i < 1 << 30)
+        sides[0] += first
+        sides[1] += [i - (1 << 30) for i in window[len(first):]]
+    assert sides == [x.tolist() for x in ids] and keys[0] == keys[firsts[2]] and firsts[1] == firsts[2]
