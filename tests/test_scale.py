@@ -146,3 +146,26 @@ def test_counters_and_frequencies_read_only_their_member_fields(spark):
 def test_filter_by_inheritance_does_not_repeat_the_classes(spark):
     found = variants.family_alleles(big_and_small_families(spark)).filter("(inheritance_in_members & 4) <> 0 AND allele_index > 0")
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_family_alleles_are_worked_out_at_the_queried_sites_only(spark):
+    from checks import derive
+    from kinfold.operators.filters import Region
+    from kinfold.plans import study as plan
+
+    sf, asked = "/root/testdata/sf0.001", []
+
+    def family_of(sites):
+        asked.append(sites)
+        return derive.family_of(spark, sf, sites)
+
+    study, regions = derive.study(spark, sf), [Region("chr1", 5_000, 9_000), Region("chrX", None, 3_000)]
+    shown = ["family_id", "sj_index", "location", "inheritance_by_member"]
+    want = sorted(plan.query_variants(study, regions=regions).select(*shown).collect())
+    got = sorted(plan.query_variants(study, regions=regions, family_of=family_of).select(*shown).collect())
+    assert got == want and want
+    sites = {(r.bucket_index, r.summary_index) for r in asked[0].collect()}
+    found = {(r.bucket_index, r.summary_index) for r in family_of(asked[0]).select("bucket_index", "summary_index").collect()}
+    assert found and found <= sites
+    # without a filter of summary alleles the family alleles of the study are taken
+    plan.query_variants(study, inheritance="denovo", family_of=lambda sites: 1 / 0)
