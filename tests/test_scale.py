@@ -169,3 +169,16 @@ def test_family_alleles_are_worked_out_at_the_queried_sites_only(spark):
     assert found and found <= sites
     # without a filter of summary alleles the family alleles of the study are taken
     plan.query_variants(study, inheritance="denovo", family_of=lambda sites: 1 / 0)
+
+
+def test_only_used_columns_are_compared_for_unique_variants(spark):
+    found = spark.createDataFrame([
+        ("f1", "chr1:5", "A", "C", "b", 1, "x" * 9), ("f1", "chr1:5", "A", "C", "a", 7, "y" * 9), ("f1", "chr1:5", "A", "C", "a", 3, "z" * 9),
+        ("f1", "chr1:5", "A", "C", "a", 3, "z" * 9), ("f1", "chr1:5", "A", None, "b", 2, "w" * 9), (None, "chr1:5", "A", "C", "b", 1, "v" * 9),
+    ], "family_id string, location string, reference string, alternative string, study_id string, sj_index long, wide string")
+    first = plan.first_of_studies(found)
+    assert first.columns == found.columns
+    assert sorted(tuple(map(str, r)) for r in first.select("family_id", "study_id", "sj_index", "wide").collect()) == [
+        ("None", "b", "1", "v" * 9), ("f1", "a", "3", "z" * 9), ("f1", "b", "2", "w" * 9)]
+    text = plan.first_of_studies(found.repartition(2)).select("family_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project" in text and "wide" not in text.split("RepartitionByExpression")[0].split("Repartition")[0]
