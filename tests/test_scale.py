@@ -2,6 +2,7 @@
 
 import gzip
 import os
+from dataclasses import replace
 from glob import glob
 
 from pyspark.sql import functions as F
@@ -182,3 +183,35 @@ def test_only_used_columns_are_compared_for_unique_variants(spark):
         ("None", "b", "1", "v" * 9), ("f1", "a", "3", "z" * 9), ("f1", "b", "2", "w" * 9)]
     text = plan.first_of_studies(found.repartition(2)).select("family_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "Project" in text and "wide" not in text.split("RepartitionByExpression")[0].split("Repartition")[0]
+
+
+def test_family_rows_with_the_facts_of_their_site_get_their_bins_without_a_join(spark):
+    part = Partitioning(region_length=1000, chromosomes=("chr1",), rare_boundary=5.0, coding_effects=("missense",), family_bins=4)
+    study = small_study(spark, part)
+    twice = study.summary.unionByName(study.summary.filter("summary_index = 3")).filter("summary_index <> 4")
+    summary = twice.withColumns({"af_allele_count": F.col("summary_index"), "af_allele_freq": F.col("summary_index") / 2.0, "seen_as_denovo": F.lit(False)})
+    family = study.family.withColumn("is_denovo", F.col("family_id") == "f2")
+    family = family.unionByName(family.filter("summary_index < 9").withColumn("allele_index", F.lit(0)))
+    facts = store.site_facts(store.with_summary_bins(summary, part), part)
+    brought = family.join(facts, ["bucket_index", "summary_index"])
+    joined, looked_up = (store.with_family_bins(rows, summary, part) for rows in (family, brought.localCheckpoint()))
+    bins_of = lambda df: sorted(df.select("family_id", "summary_index", "allele_index", *part.family_columns).collect())
+    assert bins_of(looked_up) == bins_of(joined) and len(bins_of(joined)) == (39 + 1) * 12 + (8 + 1) * 12
+    assert "Join" not in looked_up._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_family_rows_of_a_rewritten_study_keep_their_bins(spark, monkeypatch):
+    path, again, other = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
+    store.write_study(small_study(spark, Partitioning(region_length=1000, chromosomes=("chr1",), coding_effects=("missense",), family_bins=4)), path)
+    study = store.read_study(spark, path)
+    asked = []
+    whole = store.with_family_bins
+    monkeypatch.setattr(store, "with_family_bins", lambda *given: asked.append(given) or whole(*given))
+    notes = study.summary.select("chromosome", "position", F.lit(None).cast("string").alias("reference"), F.lit(None).cast("string").alias("alternative"))
+    study = replace(study, summary=study.summary.withColumns({"reference": F.lit(None).cast("string"), "alternative": F.lit(None).cast("string")}))
+    rows_of = lambda df: sorted(df.select("family_id", "summary_index", "region_bin", "coding_bin", "family_bin").collect())
+    store.reannotate(study, notes.withColumn("depth", F.lit(1)), again)
+    assert not asked and rows_of(store.read_study(spark, again).family) == rows_of(study.family)
+    new_effect = F.array(F.struct(F.lit("g").alias("effect_gene_symbols"), F.lit("intron").alias("effect_types")))
+    store.reannotate(study, notes.withColumn("effect_gene", new_effect), other, drop=["effect_gene"])
+    assert len(asked) == 1 and {r[3] for r in rows_of(store.read_study(spark, other).family)} == {0}
