@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, scratch_dir(df.sparkSession))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges both. Spark's guess of a table's size is that of its compressed files, or less, and
+    what it would have the driver build and broadcast for it can be twenty times as large."""
+    return df.hint("merge")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names, in any case, are about to be given to new ones."""
     taken = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import cut
+from kinfold.llm.common import cut, merged
 
 
 def stars(edges: DataFrame, few: int = 0) -> DataFrame:
@@ -15,7 +15,7 @@ def stars(edges: DataFrame, few: int = 0) -> DataFrame:
     are linked to the smallest of the neighbourhood. Both are a minimum per node, combined before the shuffle, and a join
     that can split a node with very many neighbours. Each round is written; the rounds end when one changes nothing, after
     a number that grows with the logarithm of the nodes. While there are at most ``few`` links, which are counted in every
-    round, one task takes them, without a shuffle.
+    round, one task takes them, without a shuffle. Without ``few`` nothing is broadcast.
     """
     links = cut(
         edges.where(F.col("a") != F.col("b"))
@@ -23,7 +23,7 @@ def stars(edges: DataFrame, few: int = 0) -> DataFrame:
     state = _state(links)
     while state[0]:
         is_few = state[0] <= few
-        beside = F.broadcast if is_few else lambda minima: minima
+        beside = F.broadcast if is_few else (lambda minima: minima) if few else merged
         sides = F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), F.col("node").alias("root")))
         both = (links.coalesce(1) if is_few else links).select(F.inline(sides))
         lowest = both.groupBy("node").agg(F.min("root").alias("low"))

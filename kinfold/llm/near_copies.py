@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import column, cut, pieces
+from kinfold.llm.common import column, cut, merged, pieces
 from kinfold.llm.components import stars
 
 SHINGLE, SEED = 5, 42
@@ -89,18 +89,18 @@ def links(docs: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
     shared = (
         spread.groupBy("band", "key").agg(F.count("*").alias("n"), *held).where(F.col("n") > 1)
         .groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key")).alias("first")).select("first.*"))
-    members = cut(spread.join(shared, ["band", "key"]).select("copy", "band", "key"))
+    members = cut(spread.join(merged(shared), ["band", "key"]).select("copy", "band", "key"))
     wanted = (
-        nodes.join(members.select("copy").distinct(), "copy", "left_semi")
+        nodes.join(merged(members.select("copy").distinct()), "copy", "left_semi")
         .select("copy", F.col("first.doc_id").alias("id"), F.col("first.row_hash").alias("hash")))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["row_hash"] == wanted["hash"])).select("copy", "text")
+    texts = docs.join(merged(wanted), docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["row_hash"] == wanted["hash"])).select("copy", "text")
     sets = cut(texts.mapInArrow(_sets, "copy binary, hashes array<long>").dropDuplicates(["copy"]))
     own, other = (sets.select(F.col("copy").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in ("a", "b"))
-    known = cut(candidates.join(own, "a").join(other, "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_alike_pairs, "a binary, b binary"))
-    rooted = members.join(stars(known).withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    known = cut(candidates.join(merged(own), "a").join(merged(other), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_alike_pairs, "a binary, b binary"))
+    rooted = members.join(merged(stars(known).withColumnRenamed("node", "copy")), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
     ordered = (
-        members.join(apart, ["band", "key"]).join(sets, "copy").select("band", "key", "copy", "hashes")
+        members.join(merged(apart), ["band", "key"]).join(merged(sets), "copy").select("band", "key", "copy", "hashes")
         .repartition("band", "key").sortWithinPartitions("band", "key"))
     return known.unionByName(ordered.mapInArrow(_link_partition, "a binary, b binary"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm import near_copies
-from kinfold.llm.common import column, cut, pieces, without
+from kinfold.llm.common import column, cut, merged, pieces, without
 from kinfold.llm.components import stars
 
 SHINGLE, SEED = 3, 42
@@ -109,7 +109,7 @@ def links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = (
         nodes.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         .select("kind", "key", (F.col("n") > crowd).alias("crowded")))
-    upper = nodes.join(crowded, ["kind", "key"]).select(
+    upper = nodes.join(merged(crowded), ["kind", "key"]).select(
         "bits", "kind", "key", F.explode(
             F.when(F.col("crowded"), _finer(F.col("bits"), F.col("kind")))
             .otherwise(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("key"))))).alias("finer"))
@@ -206,9 +206,9 @@ def components(rows: DataFrame, pairs: DataFrame, node: str = "bits") -> DataFra
     """
     distinct = cut(rows.groupBy(node).agg(F.min("doc_id").alias("first_id")))
     linked = stars(pairs)
-    rooted = distinct.join(linked, distinct[node] == linked["node"], "left").select(distinct[node], "first_id", F.coalesce("root", node).alias("root"))
+    rooted = distinct.join(merged(linked), distinct[node] == linked["node"], "left").select(distinct[node], "first_id", F.coalesce("root", node).alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(lowest, "root").select(node, "root", "component_id")
+    return rooted.join(merged(lowest), "root").select(node, "root", "component_id")
 
 
 def near_links(texts: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -218,8 +218,8 @@ def near_links(texts: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFra
     first = cut(prints.groupBy("bits").agg(F.min("copy").alias("first")))
     found = links(first.select("bits"), crowd)
     a, b = (first.select(F.col("bits").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
-    equal = prints.join(first, "bits").select(F.col("copy").alias("a"), F.col("first").alias("b"))
-    close = found.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = prints.join(merged(first), "bits").select(F.col("copy").alias("a"), F.col("first").alias("b"))
+    close = found.join(merged(a), "a").join(merged(b), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     return near_copies.links(texts, rows, equal.unionByName(close).where(F.col("a") != F.col("b")).distinct())
 
 
@@ -233,10 +233,10 @@ def groups(docs: DataFrame, crowd: int = CROWD, near: bool = True) -> DataFrame:
         texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
         rows = cut(near_copies.marked(fingerprinted(texts)))
         found = components(rows, near_links(texts, rows, crowd), "copy")
-        joined = rows.join(found, "copy")
+        joined = rows.join(merged(found), "copy")
     else:
         rows = cut(fingerprinted(docs.select("doc_id", "text"), keep_text=False))
-        joined = rows.join(components(rows, links(cut(rows.select("bits").distinct()), crowd)), "bits")
+        joined = rows.join(merged(components(rows, links(cut(rows.select("bits").distinct()), crowd))), "bits")
     return joined.select("doc_id", as_hex(F.col("bits")).alias("fingerprint"), "component_id")
 
 
@@ -251,9 +251,9 @@ def survivors(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", whole.alias("row_hash"), "text")
     rows = cut(near_copies.marked(fingerprinted(texts)))
     first = (
-        rows.join(components(rows, near_links(texts, rows), "copy"), "copy").groupBy("root")
+        rows.join(merged(components(rows, near_links(texts, rows), "copy")), "copy").groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("first")).select("first.*"))
     packed = docs.select(F.struct(*[column(c) for c in names]).alias("row"), column("doc_id").alias("id"), whole.alias("hash"))
     return (
-        packed.join(first, packed["id"].eqNullSafe(first["doc_id"]) & (packed["hash"] == first["row_hash"]), "left_semi")
+        packed.join(merged(first), packed["id"].eqNullSafe(first["doc_id"]) & (packed["hash"] == first["row_hash"]), "left_semi")
         .dropDuplicates(["id", "hash"]).select("row.*"))

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from kinfold.llm import near_copies, simhash_gray
+from kinfold.llm import components, near_copies, simhash_gray
 
 
 def brute_set(text):
@@ -61,3 +61,20 @@ def test_the_given_tables_lose_every_near_copy_in_the_stage(spark):
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     low = brute_groups([r.text for r in rows])
     assert sorted(r.doc_id for r in simhash_gray.survivors(docs).collect()) == sorted(rows[i].doc_id for i in set(low))
+
+
+def test_nothing_is_broadcast_in_the_stage(spark, docs_of, monkeypatch):
+    plans = []
+    cut = near_copies.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for module in (near_copies, simhash_gray, components):
+        monkeypatch.setattr(module, "cut", seen)
+    words = [f"w{i}" for i in range(60)]
+    left = simhash_gray.survivors(docs_of([(i, " ".join(words[:40 + i % 3] + ["end"])) for i in range(12)] + [(20, "other words than these"), (21, None)]))
+    plans.append(left._jdf.queryExecution().executedPlan().toString())
+    assert left.count() > 1 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
